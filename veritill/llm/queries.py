@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import quality
+from . import neardups, quality
 
 QUERIES = {
+    "op1_minhash_dedup": neardups.op1_minhash_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
+    "op1_minhash_dedup": neardups.SQL,
     "op3_quality_rules": quality.SQL,
 }

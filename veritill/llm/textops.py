@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritill.sources.shipping import ship
+
 SLICE_BYTES = 2 << 20
 
 SPACE = np.zeros(256, bool)
@@ -137,12 +139,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows from a table written to the shared folder: cuts lineage, outlives executors, is computed once."""
+    ship(df.sparkSession)
     path = f"{checkpoint_dir(df.sparkSession)}/veritill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
