@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import neardups, quality
+from . import bpe, mixing, neardups, quality, secrets
 
 QUERIES = {
     "op1_minhash_dedup": neardups.op1_minhash_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op1_minhash_dedup": neardups.SQL,
     "op3_quality_rules": quality.SQL,
+    "op4_mixing": mixing.SQL,
 }
