@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, mixing, neardups, quality, secrets
+from . import bpe, media, mixing, neardups, quality, secrets
 
 QUERIES = {
     "op1_minhash_dedup": neardups.op1_minhash_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op8_media_webp": media.op8_media_webp,
     "pipeline": corpus_pipeline.run,
 }
 
