@@ -169,6 +169,26 @@ def _pair(x: Column | str, y: Column | str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _prefix_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs across components among classes (doc_id, component) that may reach the threshold; none that does is missing.
+
+    Shingles are ordered from the rarest. Two sets that reach the threshold share one of the first
+    n - ceil(n * percent / 100) + 1 of either, and at the first that they share, what is left of both is enough.
+    """
+    own = stored(classes.join(sets, "doc_id").withColumn("n", F.size("shingles")))
+    flat = own.select("doc_id", F.explode("shingles").alias("s"))
+    held = flat.groupBy("s").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    # a shingle that no other set holds comes first and joins nothing: only how many there are counts
+    common = flat.join(held, "s").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("held", "s"))).alias("common"))
+    ranked = own.drop("shingles").join(common, "doc_id").withColumn("alone", F.col("n") - F.size("common"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
+    ranked = ranked.filter(length > 0).select("doc_id", "component", "n", "alone", F.posexplode(F.slice("common", F.lit(1), length.cast("int"))).alias("k", "x"))
+    heads = stored(ranked.select(F.col("x.s").alias("s"), "doc_id", "component", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("left")))
+    x, y = (heads.select("s", F.col("doc_id").alias(d), F.col("component").alias(f"c{d}"), F.col("n").alias(f"n{d}"), F.col("left").alias(f"left{d}")) for d in "ab")
+    enough = (100 + percent) * F.least("lefta", "leftb") >= percent * (F.col("na") + F.col("nb"))
+    return x.join(y, "s").filter(F.col("a") < F.col("b")).filter(F.col("ca") != F.col("cb")).filter(enough).select("a", "b")
+
+
 def link(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) over the classes (doc_id, n_shingles, bands, sketch) that are linked with another one."""
     keys = classes.select("doc_id", F.explode("bands").alias("band"))
@@ -188,9 +208,12 @@ def link(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFra
             pivots = large.groupBy("band").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(turn))).alias("pivot"))
             pairs = large.join(pivots, "band").filter("component <> pivot.component").select(*_pair("doc_id", "pivot.doc_id"))
         else:
-            # what is left: pairs across components of one band, each once, but those tried with the first pivot
-            x, y = (at.select("band", "low", F.col("doc_id").alias(d), F.col("component").alias(c)) for d, c in (("a", "ca"), ("b", "cb")))
+            # what is left: pairs across components of one small band but those tried with the first pivot, and large bands by prefixes
+            small = at.filter(F.col("members") <= SMALL_BAND)
+            x, y = (small.select("band", "low", F.col("doc_id").alias(d), F.col("component").alias(c)) for d, c in (("a", "ca"), ("b", "cb")))
             pairs = x.join(y.drop("low"), "band").filter("a < b and ca <> cb and a <> low").select("a", "b")
+            if not large.isEmpty():
+                pairs = pairs.union(_prefix_pairs(large.select("doc_id", "component").distinct(), sets, percent))
         more = _confirmed(pairs.distinct(), classes, sets, percent)
         edges = stored(edges.union(more).union(found.filter("node <> component").select(*_pair("node", "component"))).distinct())
         if turn == PIVOT_ROUNDS or large.isEmpty():
