@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, language, media, mixing, neardups, quality, secrets, toxicity
+from . import bpe, language, media, mixing, neardups, quality, scoring, secrets, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": neardups.op1_minhash_dedup,
+    "op2_suffix_tree": scoring.op2_suffix_tree,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
     "op5_secret_scan": secrets.op5_secret_scan,
@@ -20,6 +21,7 @@ QUERIES = {
 
 SQL = {
     "op1_minhash_dedup": neardups.SQL,
+    "op2_suffix_tree": scoring.op2_suffix_tree,
     "op3_quality_rules": quality.SQL,
     "op4_mixing": mixing.SQL,
 }
