@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, language, media, mixing, neardups, quality, scoring, secrets, toxicity
+from . import bpe, language, media, mixing, neardups, pages, quality, scoring, secrets, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": neardups.op1_minhash_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_html_text": pages.op7_html_text,
     "op8_media_webp": media.op8_media_webp,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language_id": language.op10_language_id,
