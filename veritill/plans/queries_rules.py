@@ -109,10 +109,10 @@ def r6_heuristic_nli(spark, sf_dir):
     return df.select("example_id", s.alias("s")).select("example_id", "s.contradiction", "s.neutral", "s.entailment")
 
 
-@query("r7_heuristic_risk", sql("SELECT example_id, least(0.99, 0.04 + 0.35 * least(fails, 2) + 0.45 * semantic_contradiction + 0.18 * semantic_neutral) AS risk FROM v_treated JOIN (SELECT example_id, semantic_contradiction, semantic_neutral FROM v_features) USING (example_id)"))
+@query("r7_heuristic_risk", sql("SELECT example_id, round(least(0.99::DOUBLE, 0.04::DOUBLE + 0.35::DOUBLE * least(fails, 2) + 0.45::DOUBLE * semantic_contradiction + 0.18::DOUBLE * semantic_neutral), 9) AS risk FROM v_treated JOIN (SELECT example_id, semantic_contradiction, semantic_neutral FROM v_features) USING (example_id)"))
 def r7_heuristic_risk(spark, sf_dir):
     df = rules.with_signals(views.examples(spark, sf_dir)).withColumns(views.scores(F.col("example_id")))
-    return df.select("example_id", rules.heuristic_risk(F.size(rules.failed(F.col("signals"))), F.col("semantic_contradiction"), F.col("semantic_neutral")).alias("risk"))
+    return df.select("example_id", F.round(rules.heuristic_risk(F.size(rules.failed(F.col("signals"))), F.col("semantic_contradiction"), F.col("semantic_neutral")), 9).alias("risk"))
 
 
 _LOGIT = "ln(greatest(least({0}, 1 - 1e-6), 1e-6) / (1 - greatest(least({0}, 1 - 1e-6), 1e-6)))"
@@ -121,13 +121,13 @@ _STACK = "1 / (1 + exp(-greatest(least({0}, 40), -40)))"
 
 @query(
     "r8_fused_score",
-    sql(f"""SELECT example_id, {_STACK.format(f"({_LOGIT.format('stacked')} * 0.9 - 0.1)")} AS score FROM (
+    sql(f"""SELECT example_id, round({_STACK.format(f"({_LOGIT.format('stacked')} * 0.9 - 0.1)")}, 9) AS score FROM (
     SELECT example_id, {_STACK.format(f"({_LOGIT.format('probability')} - 0.5 + semantic_contradiction * 1.2 + semantic_neutral * 0.4 + hard_fail_count * 0.8)")} AS stacked FROM v_features)"""),
 )
 def r8_fused_score(spark, sf_dir):
     f = views.feature_rows(spark, sf_dir)
     weights = [(F.col("semantic_contradiction"), 1.2), (F.col("semantic_neutral"), 0.4), (F.col("hard_fail_count"), 0.8)]
-    return f.select("example_id", features.fused_score(F.col("probability"), weights, -0.5, 0.9, -0.1).alias("score"))
+    return f.select("example_id", F.round(features.fused_score(F.col("probability"), weights, -0.5, 0.9, -0.1), 9).alias("score"))
 
 
 _TEMPLATES = "MAP {" + ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in rules.TEMPLATES.items()) + "}"
@@ -180,11 +180,12 @@ def e2_feature_vector(spark, sf_dir):
 
 @query(
     "e3_semantic_features",
-    sql("""SELECT example_id, greatest(c, n) AS semantic_risk, -(c * ln(c) + n * ln(n) + e * ln(e)) / ln(3) AS semantic_entropy, greatest(c, n, e) - (c + n + e - greatest(c, n, e) - least(c, n, e)) AS semantic_top2_margin, c - e AS semantic_contradiction_entailment_margin
+    sql("""SELECT example_id, round(greatest(c, n), 9) AS semantic_risk, round(-(c * ln(c) + n * ln(n) + e * ln(e)) / ln(3), 9) AS semantic_entropy,
+    round(list_sort([c, n, e])[3] - list_sort([c, n, e])[2], 9) AS semantic_top2_margin, round(c - e, 9) AS semantic_contradiction_entailment_margin
     FROM (SELECT example_id, semantic_contradiction AS c, semantic_neutral AS n, semantic_entailment AS e FROM v_features)"""),
 )
 def e3_semantic_features(spark, sf_dir):
-    return features.semantic_values(views.feature_rows(spark, sf_dir)).select("example_id", *features.SEMANTIC[1:])
+    return features.semantic_values(views.feature_rows(spark, sf_dir)).select("example_id", *(F.round(n, 9).alias(n) for n in features.SEMANTIC[1:]))
 
 
 @query(
