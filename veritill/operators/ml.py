@@ -33,15 +33,22 @@ def assembled(df: DataFrame, numeric: list[str], categorical: list[str]) -> Data
     return VectorAssembler(inputCols=[*numeric, *(f"{c}_index" for c in categorical)], outputCol="features", handleInvalid="keep").transform(df)
 
 
-def _probability(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
+#: What a fitted model adds to its rows.
+_ADDED = ("probability", "rawPrediction", "prediction")
+
+
+def _applied(model, rows: DataFrame, name: str) -> DataFrame:
+    """Rows with the model's probability of label 1 under a name; columns of theirs that a model would add stay."""
+    own = [c for c in _ADDED if c in rows.columns]
+    d = model.transform(rows.withColumnsRenamed({c: f"_own_{c}" for c in own}))
+    return d.withColumn(name, vector_to_array("probability")[1]).drop(*_ADDED).withColumnsRenamed({f"_own_{c}": c for c in own})
 
 
 def tree_scores(train: DataFrame, rows: DataFrame, label: str = "label", weight: str | None = None, trees: int = 20, depth: int = 4) -> DataFrame:
     """Rows with tree_score by boosted trees fitted on `train`; both have assembled features."""
     extra = {"weightCol": weight} if weight else {}
     model = GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, seed=2026, **extra).fit(train)
-    return _probability(model.transform(rows), "tree_score")
+    return _applied(model, rows, "tree_score")
 
 
 def out_of_fold(df: DataFrame, fit, folds: int = 5) -> DataFrame:
@@ -58,7 +65,7 @@ def stacked(train: DataFrame, rows: DataFrame, columns: list[str], label: str =
     n = max(1, train.count())
     put = VectorAssembler(inputCols=columns, outputCol="stack_features")
     model = LogisticRegression(featuresCol="stack_features", labelCol=label, regParam=1 / (n * c), standardization=False, maxIter=200).fit(put.transform(train))
-    return _probability(model.transform(put.transform(rows)), "stack_score").drop("stack_features")
+    return _applied(model, put.transform(rows), "stack_score").drop("stack_features")
 
 
 def calibrated(train: DataFrame, rows: DataFrame, score: str = "stack_score", label: str = "label") -> DataFrame:
@@ -66,4 +73,4 @@ def calibrated(train: DataFrame, rows: DataFrame, score: str = "stack_score", la
     put = lambda df: df.withColumn("_z", logit(F.col(score)))
     vec = VectorAssembler(inputCols=["_z"], outputCol="_v")
     model = LogisticRegression(featuresCol="_v", labelCol=label, maxIter=200).fit(vec.transform(put(train)))
-    return _probability(model.transform(vec.transform(put(rows))), "calibrated").drop("_z", "_v")
+    return _applied(model, vec.transform(put(rows)), "calibrated").drop("_z", "_v")
