@@ -47,7 +47,7 @@ def _applied(model, rows: DataFrame, name: str) -> DataFrame:
 def tree_scores(train: DataFrame, rows: DataFrame, label: str = "label", weight: str | None = None, trees: int = 20, depth: int = 4) -> DataFrame:
     """Rows with tree_score by boosted trees fitted on `train`; both have assembled features."""
     extra = {"weightCol": weight} if weight else {}
-    model = GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, seed=2026, **extra).fit(train)
+    model = GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, seed=2026, **extra).fit(train.drop(*_ADDED))
     return _applied(model, rows, "tree_score")
 
 
@@ -64,7 +64,7 @@ def stacked(train: DataFrame, rows: DataFrame, columns: list[str], label: str =
     """Rows with stack_score by a ridge-penalised logistic fit; the penalty is that of inverse strength c per row."""
     n = max(1, train.count())
     put = VectorAssembler(inputCols=columns, outputCol="stack_features")
-    model = LogisticRegression(featuresCol="stack_features", labelCol=label, regParam=1 / (n * c), standardization=False, maxIter=200).fit(put.transform(train))
+    model = LogisticRegression(featuresCol="stack_features", labelCol=label, regParam=1 / (n * c), standardization=False, maxIter=200).fit(put.transform(train).drop(*_ADDED))
     return _applied(model, put.transform(rows), "stack_score").drop("stack_features")
 
 
@@ -72,5 +72,5 @@ def calibrated(train: DataFrame, rows: DataFrame, score: str = "stack_score", la
     """Rows with a calibrated probability: a logistic fit on the logit of the score."""
     put = lambda df: df.withColumn("_z", logit(F.col(score)))
     vec = VectorAssembler(inputCols=["_z"], outputCol="_v")
-    model = LogisticRegression(featuresCol="_v", labelCol=label, maxIter=200).fit(vec.transform(put(train)))
+    model = LogisticRegression(featuresCol="_v", labelCol=label, maxIter=200).fit(vec.transform(put(train)).drop(*_ADDED))
     return _applied(model, vec.transform(put(rows)), "calibrated").drop("_z", "_v")
