@@ -2,11 +2,12 @@
 
 A word is the mean of the vectors of its character n-grams (3 to 5 bytes, with its borders) and of the whole
 word, all hashed into one table, so a misspelling that was never seen shares most of its vectors with the
-words it comes from. A window of 12 words is the mean of its words, and a linear softmax reads it; a text is
+words it comes from. A window of 3 words is the mean of its words, and a linear softmax reads it; a text is
 as toxic as its most toxic window. Table and softmax are fitted together by gradient descent with momentum on a bounded sample of
-labelled documents (SAMPLE_ROWS of each label, first by a hash of their ids, outside the held-out fold);
-the share of each label among all of them sets the bias. As the softmax is linear, every distinct word of a
-task's slice is scored once.
+labelled documents (SAMPLE_ROWS of each label, first by a hash of their ids, outside the held-out fold).
+Labels are noisy: each half of the sample is first scored by a model of the other half, and documents marked
+toxic that score like clean ones don't train the final model. The share of those that stay sets the bias. As
+the softmax is linear, every distinct word of a task's slice is scored once.
 
 Edge cases: a null or empty text has the score of no evidence; without labels every score is 0; repeated
 rows give equal rows; an empty table gives an empty result; columns other than doc_id and text of documents
@@ -30,10 +31,16 @@ SAMPLE_ROWS = 900
 SAMPLE_BYTES = 30_000
 BUCKET_BITS = 17
 DIMENSION = 8
-WINDOW, STEP = 12, 4
+WINDOW, STEP = 3, 1
 FOLDS = 5
-ROUNDS, WARM = 90, 25
+ROUNDS, WARM = 40, 0
+#: A toxic label isn't believed if the document scores below this quantile of clean ones.
+CLEAN_QUANTILE = 0.97
 RATE = 0.4
+#: Documents that halve the log odds an n-gram starts from.
+SHRINK = 12.0
+#: Weight of the pull of the calibrated slope towards 1.
+PULL = 2e-4
 
 
 @dataclass
@@ -110,6 +117,23 @@ def logits(model: Model, w: Words) -> np.ndarray:
     return out
 
 
+def _log_odds(bucket: np.ndarray, owner: np.ndarray, word: np.ndarray, row: np.ndarray, toxic: np.ndarray, buckets: int) -> np.ndarray:
+    """For each bucket the log odds of a toxic document to have it, times n / (n + SHRINK) for its n documents."""
+    pairs = np.unique(row * (int(word.max(initial=0)) + 1) + word)
+    row, word = np.divmod(pairs, int(word.max(initial=0)) + 1)
+    by_word = np.argsort(word, kind="stable")
+    row, word = row[by_word], word[by_word]
+    first, end = np.searchsorted(word, owner), np.searchsorted(word, owner, "right")
+    many = end - first
+    at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+    seen = np.unique(np.repeat(bucket, many) * np.int64(len(toxic)) + row[at])
+    own, of = seen // len(toxic), toxic[seen % len(toxic)]
+    bad, all_ = np.bincount(own, of, buckets), np.bincount(own, minlength=buckets)
+    good = all_ - bad
+    odds = np.log((bad + 1) / (toxic.sum() + 2)) - np.log((good + 1) / (len(toxic) - toxic.sum() + 2))
+    return odds * all_ / (all_ + SHRINK)
+
+
 def train(texts: list[bytes], toxic: np.ndarray, prior: float, rounds: int = ROUNDS, seed: int = 3) -> Model:
     """Fits vectors and softmax together; the gradient of a text goes to its strongest window, at first to all."""
     rng = np.random.default_rng(seed)
@@ -125,6 +149,9 @@ def train(texts: list[bytes], toxic: np.ndarray, prior: float, rounds: int = ROU
     vectors = vectors[ids]
     size = np.diff(bags.at)
     owner = np.repeat(np.arange(len(size)), size)
+    # one direction starts from each n-gram's log odds over documents, shrunk where few documents have it
+    vectors[:, 0] = _log_odds(inverse, owner, bags.word, np.repeat(np.arange(len(w.counts)), w.counts), toxic, len(ids))
+    softmax[0] = 1.0
     sort = np.argsort(inverse, kind="stable")
     heads = np.searchsorted(inverse[sort], np.arange(len(ids)))
     owner_sorted = owner[sort]
@@ -172,16 +199,32 @@ def train(texts: list[bytes], toxic: np.ndarray, prior: float, rounds: int = ROU
 def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic fit, by Newton steps, with a little pull towards a slope of 1."""
     a, b = 1.0, -float(np.median(z))
-    for _ in range(50):
+    for _ in range(120):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         e, s = weight * (p - y), weight * p * (1 - p)
-        g = np.array([(e * z).sum() + 0.01 * (a - 1), e.sum()])
-        h = np.array([[(s * z * z).sum() + 0.01, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
+        g = np.array([(e * z).sum() + PULL * (a - 1), e.sum()])
+        h = np.array([[(s * z * z).sum() + PULL, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
         move = np.linalg.solve(h, g)
         a, b = a - float(np.clip(move[0], -0.5, 0.5)), b - float(np.clip(move[1], -2, 2))
     return max(a, 0.01), b
 
 
+def credible(texts: list[bytes], toxic: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Which documents train the final model: clean ones, and toxic ones that a model of the other half tells from clean ones."""
+    keep = np.ones(len(texts), bool)
+    half = np.arange(len(texts)) % 2
+    for k in (0, 1):
+        own, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
+        if len(set(toxic[other])) < 2 or len(set(toxic[own])) < 2:
+            continue
+        model = train([texts[i] for i in other], toxic[other], 0.5, rounds)
+        offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])])
+        z = logits(model, Words(np.frombuffer(b"".join(texts[i] for i in own), np.uint8), offsets, lower=True))
+        limit = np.quantile(z[toxic[own] == 0], CLEAN_QUANTILE)
+        keep[own[(toxic[own] == 1) & (z <= limit)]] = False
+    return keep if toxic[keep].any() else np.ones(len(texts), bool)
+
+
 def spread(text: bytes, most: int = SAMPLE_BYTES, pieces: int = 10) -> bytes:
     if len(text) <= most:
         return text
@@ -201,7 +244,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     found = sorted((r["doc_id"], spread(bytes(r["text"])), r["toxic"]) for r in rows.withColumn("text", F.col("text").cast("binary")).toLocalIterator())
     if len({t for _, _, t in found}) < 2:
         return Model(np.zeros(1 << BUCKET_BITS), -1e9)
-    return train([t for _, t, _ in found], np.array([t for _, _, t in found]), share[1] / (share[0] + share[1]))
+    texts, toxic = [t for _, t, _ in found], np.array([t for _, _, t in found])
+    keep = credible(texts, toxic)
+    believed = share[1] * toxic[keep].sum() / toxic.sum()
+    return train([t for t, k in zip(texts, keep, strict=True) if k], toxic[keep], believed / (share[0] + share[1]))
 
 
 RESULT = "doc_id bigint, held_out boolean, score double, predicted int"
