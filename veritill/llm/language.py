@@ -94,7 +94,7 @@ def train(texts: list[tuple[str, bytes]], order: int = ORDER, least: int = LEAST
             costs[at, :, m] = (8.0 if d == 0 else costs[tree.parent[at], :, m]) + escape[at, None]
             node, code, cost = entries[d]
             costs[node, code, m] = cost
-    return Model(names, tree, costs.reshape(-1, len(names)))
+    return Model(names, tree, costs.reshape(len(tree.keys) * size, len(names)))
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -189,7 +189,7 @@ def _rough(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 heavy = words[at] == h if len(words) else np.zeros(len(h), bool)
                 n = len(w.counts)
                 known = np.bincount(w.row[heavy], minlength=n)
-                base = np.bincount(w.row[heavy], logs[at[heavy]], n)
+                base = np.bincount(w.row[heavy], logs[at[heavy]], n).astype(float)  # without a heavy word it would be of integers
                 score = table.score(*symbols(w)) if table is not None else np.zeros(n)
                 first = np.concatenate([[0], np.cumsum(w.counts - known)])
                 rare = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h[~heavy].view(np.int64)))
