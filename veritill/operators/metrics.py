@@ -142,14 +142,14 @@ def grid(df: DataFrame, contradictions: tuple[float | None, ...], neutrals: tupl
 
 
 def select_configuration(df: DataFrame, expected: str, score: str, contradictions: tuple[float | None, ...] = (None, 0.95, 0.9, 0.85, 0.8), neutrals: tuple[float | None, ...] = (None, 0.9, 0.8, 0.7, 0.6), target: float = 0.10) -> DataFrame:
-    """The best threshold over all override settings; ties prefer the override that is off."""
+    """The best threshold over all override settings; ties prefer the override that is off, then the higher one."""
     key = ("contradiction_at", "neutral_at")
     off = lambda c: F.coalesce(F.col(c), F.lit(float("inf")))
     slim = df.select(expected, score, "semantic_contradiction", "semantic_neutral", "hard_fail_count", "critical_hold_count")
     # equal rows are counted once before the grid multiplies them
     curve = threshold_curve(grid(slim, contradictions, neutrals), expected, score, off(key[0]), off(key[1]), key)
     every = select_threshold(curve, target, key)
-    rank = F.struct("violation_recall", -F.col("false_step_up_count"), "threshold", F.col(key[0]).isNull(), F.col(key[1]).isNull())
+    rank = F.struct("violation_recall", -F.col("false_step_up_count"), "threshold", F.col(key[0]).isNull(), F.col(key[1]).isNull(), off(key[0]), off(key[1]))
     return every.agg(F.max_by(F.struct(*every.columns), rank).alias("b"), F.count(F.lit(1)).alias("configurations")).select("b.*", "configurations")
 
 

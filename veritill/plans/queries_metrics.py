@@ -94,7 +94,7 @@ _GRID = "\nUNION ALL ".join(f"SELECT {c} AS c, {n} AS n, * FROM ({curve_sql('1e9
 @query(
     "t2_configuration",
     sql(
-        """SELECT c AS contradiction_at, n AS neutral_at, round(threshold, 9) AS threshold, round(hit / bad, 9) AS violation_recall, fsu AS false_step_up_count FROM v_grid WHERE fsu <= floor(legit * 0.1) ORDER BY hit DESC, fsu, threshold DESC, c IS NULL DESC, n IS NULL DESC LIMIT 1""",
+        """SELECT c AS contradiction_at, n AS neutral_at, round(threshold, 9) AS threshold, round(hit / bad, 9) AS violation_recall, fsu AS false_step_up_count FROM v_grid WHERE fsu <= floor(legit * 0.1) ORDER BY hit DESC, fsu, threshold DESC, c IS NULL DESC, n IS NULL DESC, c DESC, n DESC LIMIT 1""",
         v_grid=_GRID,
     ),
 )

@@ -111,7 +111,7 @@ def g1_group_packing(spark, sf_dir):
     n = h.count()
     targets = {"train": n * 7 // 10, "validation": n // 10, "test": n // 10}
     targets["golden"] = n - sum(targets.values())
-    return selection.pack_groups(h.drop("split"), "group_id", targets).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("group_id").alias("groups"))
+    return selection.pack_groups(h.drop("split"), "source_record_id", targets).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_record_id").alias("groups"))
 
 
 @query("g2_role_fill")
