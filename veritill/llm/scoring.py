@@ -37,8 +37,10 @@ FOLDS = 10
 HEAVY = 2.5e-7
 MOST_CELLS = 24_000_000
 SYMBOLS = 257
-#: Distinct keys a task gathers before it passes them on.
-GATHER = 2_000_000
+#: Keys a task gathers before it sums them up, and passes them on if that leaves more than half.
+GATHER = 1_000_000
+#: Bytes of text worked on at once.
+PIECE = 1 << 20
 
 
 def symbols(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,10 +64,12 @@ class _Sums:
         self.keys, self.counts, self.loose = [], [], 0
 
     def add(self, keys: np.ndarray) -> None:
-        k, n = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(n)
-        self.loose += len(k)
+        self.put(*np.unique(keys, return_counts=True))
+
+    def put(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.loose += len(keys)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = C.summed(np.concatenate([*self.keys, np.zeros(0, np.uint64)]), np.concatenate([*self.counts, np.zeros(0, np.int64)]))
@@ -84,14 +88,18 @@ def _counts(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         for batch in batches:
             data, offsets = buffers(batch["text"])
             texts += batch.num_rows
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, PIECE):
                 w = Words(data, offsets[i : j + 1], lower=True)
                 s, _, start = symbols(w)
                 for own, keys in zip(sums, (w.hashes(), C.grams(s, start, depth)), strict=True):
                     own.add(keys)
                 for kind, own in enumerate(sums):
-                    if own.loose > 2 * GATHER:
-                        yield from rows(kind, *own.take())
+                    if own.loose > GATHER:
+                        keys, counts = own.take()
+                        if len(keys) > GATHER // 2:
+                            yield from rows(kind, keys, counts)
+                        else:
+                            own.put(keys, counts)
         for kind, own in enumerate(sums):
             yield from rows(kind, *own.take())
         yield from rows(2, np.zeros(1, np.uint64), np.array([texts]))
@@ -182,7 +190,7 @@ def _rough(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         table, words, logs = shared.value
         for batch in batches:
             data, offsets = buffers(batch["text"])
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, PIECE):
                 w = Words(data, offsets[i : j + 1], lower=True)
                 h = w.hashes()
                 at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
@@ -206,7 +214,7 @@ def _document_grams(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch["text"])
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, PIECE):
                 w = Words(data, offsets[i : j + 1], lower=True)
                 s, new, start = symbols(w)
                 keys = C.grams(s, start, depth)
