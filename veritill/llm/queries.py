@@ -22,7 +22,6 @@ QUERIES = {
 
 SQL = {
     "op1_minhash_dedup": neardups.SQL,
-    "op2_suffix_tree": scoring.op2_suffix_tree,
     "op3_quality_rules": quality.SQL,
     "op4_mixing": mixing.SQL,
 }
