@@ -35,6 +35,8 @@ SKETCH_SLACK = 5.2
 #: Bands of up to this many classes are paired at once; larger ones go through pivots first.
 SMALL_BAND = 48
 PIVOT_ROUNDS = 3
+#: Rounds in which sets that can't be linked leave before prefixes are compared.
+PEELS = 2
 
 _K = BANDS * ROWS
 _rng = np.random.default_rng(77)
@@ -175,13 +177,21 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFram
     Shingles are ordered from the rarest. Two sets that reach the threshold share one of the first
     n - ceil(n * percent / 100) + 1 of either, and at the first that they share, what is left of both is enough.
     """
-    own = stored(classes.join(sets, "doc_id").withColumn("n", F.size("shingles")))
+    own = classes.join(sets, "doc_id").withColumn("n", F.size("shingles"))
+    spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    # a set with more shingles of its own than the threshold allows is linked with nothing, and leaving it out frees others
+    for _ in range(PEELS):
+        own = stored(own)
+        counted = own.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("doc_id"))
+        single = counted.filter("held = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("single"))
+        own = own.join(single, "doc_id", "left").filter(spare > F.coalesce("single", F.lit(0))).drop("single")
+    own = stored(own)
     flat = own.select("doc_id", F.explode("shingles").alias("s"))
     held = flat.groupBy("s").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     # a shingle that no other set holds comes first and joins nothing: only how many there are counts
     common = flat.join(held, "s").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("held", "s"))).alias("common"))
     ranked = own.drop("shingles").join(common, "doc_id").withColumn("alone", F.col("n") - F.size("common"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
+    length = spare - F.col("alone")
     ranked = ranked.filter(length > 0).select("doc_id", "component", "n", "alone", F.posexplode(F.slice("common", F.lit(1), length.cast("int"))).alias("k", "x"))
     heads = stored(ranked.select(F.col("x.s").alias("s"), "doc_id", "component", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("left")))
     x, y = (heads.select("s", F.col("doc_id").alias(d), F.col("component").alias(f"c{d}"), F.col("n").alias(f"n{d}"), F.col("left").alias(f"left{d}")) for d in "ab")
@@ -205,7 +215,10 @@ def link(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFra
         at = stored(at.join(split, "band", "left_semi"))
         large = at.filter(F.col("members") > SMALL_BAND)
         if turn < PIVOT_ROUNDS and not large.isEmpty():
-            pivots = large.groupBy("band").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(turn))).alias("pivot"))
+            # first the class that shares most bands with others, as the source of many near copies does, then any
+            popular = large.groupBy("doc_id").agg(F.sum("members").alias("popularity"))
+            rank = F.struct(-F.col("popularity") if turn == 0 else F.lit(0), F.xxhash64("doc_id", F.lit(turn)))
+            pivots = large.join(popular, "doc_id").groupBy("band").agg(F.min_by(F.struct("doc_id", "component"), rank).alias("pivot"))
             pairs = large.join(pivots, "band").filter("component <> pivot.component").select(*_pair("doc_id", "pivot.doc_id"))
         else:
             # what is left: pairs across components of one small band but those tried with the first pivot, and large bands by prefixes
