@@ -265,6 +265,15 @@ def test_edges_don_t_crash(spark, edges):
     assert g[1] == g[2] == g[3] == "und" and g[4] != "und"
 
 
+def test_quality_finds_every_line_of_a_shared_footer(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    footer = "All rights reserved\nTerms and conditions\nPrivacy notice here\nContact us now"
+    data = [(k, f"{words(k)}\n{footer}", "h") for k in range(30)]
+    data += [(100 + k, f"{words(99).upper() if k % 2 else words(99)}\nown line", "h") for k in range(40)]  # copies
+    got = quality.judge(spark.createDataFrame(data, "doc_id bigint, text string, source string")).collect()
+    assert {(r.doc_id < 100, r.removed_words, r.kept) for r in got} == {(True, 12, True), (False, 0, True)}
+
+
 def test_empty_tables(spark, edges):
     none = edges.limit(0)
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")

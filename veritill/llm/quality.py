@@ -1,8 +1,8 @@
 """Operator 3: quality rules with cross-document line frequency.
 
 Every line is normalised (A-Z lowered, words joined by one blank) and hashed. Per host (`source`) the
-documents that hold a line are counted, documents that hold it between the same two neighbouring lines
-counting once, so that copies and near copies of a document don't turn its own lines into boilerplate.
+distinct documents that hold a line are counted: texts of equal words (A-Z lowered) count once, so that
+copies of a document don't turn its own lines into boilerplate; near copies count one by one.
 Lines above the limit are removed; a document that keeps too few of its words is rejected.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null source is a host of its
@@ -34,8 +34,8 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 STATS = (
-    "doc_id bigint, row_key bigint, host bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
-    "n_dup_lines bigint, n_repeat_words bigint, lines array<bigint>, contexts array<bigint>, line_words array<bigint>"
+    "doc_id bigint, row_key bigint, host bigint, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
+    "n_dup_lines bigint, n_repeat_words bigint, lines array<bigint>, line_words array<bigint>"
 )
 
 
@@ -71,24 +71,19 @@ def _stats(w: Words) -> dict[str, np.ndarray | list]:
     exact = span_hashes(w.data, breaks[line], ends)
     _, first = np.unique(exact ^ salt[row], return_index=True)
     out["n_dup_lines"] = np.bincount(row, minlength=n) - np.bincount(row[first], minlength=n)
-    # their normalised hashes, each with a hash of the lines around its first occurrence
+    # their normalised hashes, and that of the whole text
     lowered = span_hashes(LOWER[w.data], w.starts, w.ends)
     up, down = powers(len(lowered) + 1)
     sums = np.zeros(len(lowered) + 1, np.uint64)
     np.cumsum(lowered * up[: len(lowered)], out=sums[1:])
     h = mix((sums[head + words] - sums[head]) * down[head])
-    before, after = np.zeros_like(h), np.zeros_like(h)
-    if len(h) > 1:
-        same = row[1:] == row[:-1]
-        before[1:][same] = h[:-1][same]
-        after[:-1][same] = h[1:][same]
-    context = mix(before * np.uint64(3) + mix(after + np.uint64(1)))
+    out["text_key"] = mix((sums[w.first[1:]] - sums[w.first[:-1]]) * down[w.first[:-1]]).view(np.int64)
     _, first, inverse = np.unique(h ^ salt[row], return_index=True, return_inverse=True)
     total = np.bincount(inverse, weights=words).astype(np.int64)
     order = np.argsort(first)
     first = first[order]
     at = np.searchsorted(row[first], np.arange(n + 1))
-    for name, v in (("lines", h[first].view(np.int64)), ("contexts", context[first].view(np.int64)), ("line_words", total[order])):
+    for name, v in (("lines", h[first].view(np.int64)), ("line_words", total[order])):
         out[name] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v))
     out["hash"] = span_hashes(w.data, w.offsets[:-1], w.offsets[1:]).view(np.int64)
     return out
@@ -101,7 +96,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = batch.slice(i, j - i)
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": rows["doc_id"], "row_key": pa.array(out.pop("hash")), "host": rows["host"]} | {k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in out.items()}
-                | {k: out[k] for k in ("lines", "contexts", "line_words")}
+                | {k: out[k] for k in ("lines", "line_words")}
             ).select([x.split()[0] for x in STATS.split(", ")])
 
 
@@ -113,10 +108,10 @@ def line_statistics(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line) of the lines that more documents of their host hold than the limits allow."""
-    lines = stats.select("host", F.explode(F.arrays_zip("lines", "contexts")).alias("x")).select("host", F.col("x.lines").alias("line"), F.col("x.contexts").alias("context"))
+    """(host, line) of the lines that more distinct documents of their host hold than the limits allow."""
+    lines = stats.select("host", "text_key", F.explode("lines").alias("line"))
     hosts = stats.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    held = lines.groupBy("host", "line", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("held"))
+    held = lines.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("held"))
     return held.filter(F.col("held") > min_docs).join(hosts, "host").filter(F.col("held") > max_share * F.col("docs")).select("host", "line")
 
 
@@ -126,7 +121,7 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
     flagged = frequent_lines(stats, min_docs, max_share)
     own = stats.select("row_key", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_key", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     removed = own.join(flagged, ["host", "line"]).groupBy("row_key", "line").agg(F.max("words").alias("words")).groupBy("row_key").agg(F.sum("words").alias("removed_words"))
-    out = stats.drop("lines", "contexts", "line_words").join(removed, "row_key", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    out = stats.drop("lines", "line_words").join(removed, "row_key", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     out = out.withColumn("depleted", F.col("n_words") - F.col("removed_words") < min_left * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
