@@ -274,6 +274,26 @@ def test_quality_finds_every_line_of_a_shared_footer(spark):
     assert {(r.doc_id < 100, r.removed_words, r.kept) for r in got} == {(True, 12, True), (False, 0, True)}
 
 
+def test_stages_keep_rows_without_id_or_with_a_shared_one(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60 + k))
+    near = text(1).rsplit(" ", 1)[0]
+    data = [(None, text(0), "a"), (None, text(1), "a"), (None, near, "a"), (None, text(1), "a"), (1, text(2), "a"), (1, text(3), "b"), (1, "too short", "b"), (2, text(4), "b"), (3, text(4), "b"), (None, text(4), None)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string").coalesce(1)
+    key = lambda rows: sorted(((r.doc_id, r.text, r.source) for r in rows), key=repr)
+    good = quality.keep_good(spark, docs, SMALL)
+    assert key(good.collect()) == sorted((x for x in data if x[1] != "too short"), key=repr)
+    one = key(neardups.keep_one(spark, good, SMALL).collect())
+    assert len(one) == 5 and {x for x in one if x[1] not in (text(1), near)} == {(None, text(0), "a"), (1, text(2), "a"), (1, text(3), "b"), (2, text(4), "b")}
+    queue = mixing._queue(good, (1,), 2.0, 2)
+    assert all(r.taken == 2 * r.size for r in queue.collect())
+    taken = Counter()
+    for r in mixing._queue(good, mixing.WEIGHTS, mixing.SHARE, mixing.MOST_PASSES).collect():
+        taken[(r.doc_id, r.size)] += (2 * r.taken + r.size) // (2 * r.size)
+    mixed = mixing.mixed(spark, good, SMALL).collect()
+    assert Counter((r.doc_id, len(r.text.split())) for r in mixed) == Counter({k: n for k, n in taken.items() if n})
+    assert {r.text for r in mixed if r.doc_id is None} and {text(2), text(3)} <= {r.text for r in mixed}
+
+
 def test_empty_tables(spark, edges):
     none = edges.limit(0)
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textops import documents, stored, word_slices
+from .textops import documents, row_key, stored, word_slices
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -34,12 +34,12 @@ BUCKET_BITS = 14
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, w in word_slices(batch["text"], lower=False):
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), batch["source"].slice(i, j - i), pa.array(w.counts, pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*(batch[k].slice(i, j - i) for k in ("doc_id", "row_key", "source")), pa.array(w.counts, pa.int64())], ["doc_id", "row_key", "source", "size"])
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_key, place, bucket) per row, in a stored table; place is the shuffled order."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_count, "doc_id bigint, source string, size bigint")
+    """(doc_id, row_key, source, size, source_key, place, bucket) per row, in a stored table; place is the shuffled order."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), row_key(docs).alias("row_key"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_count, "doc_id bigint, row_key bigint, source string, size bigint")
     place = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
     rows = rows.withColumns({"source_key": F.xxhash64("source"), "place": place})
     return stored(rows.withColumn("bucket", F.shiftright("place", 60 - BUCKET_BITS)))
@@ -62,10 +62,10 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rest.select("source_key", "source_size", F.when(F.col("held"), F.col("cap").cast("double")).otherwise(level).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_PASSES) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target, taken and virtual_finish (of the first pass), in queue order."""
+def _queue(docs: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """Per row of docs: doc_id, row_key, size, source_size, target, taken and virtual_finish (of the first pass)."""
     rows = sized(docs)
-    inside = Window.partitionBy("source_key", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source_key", "bucket").orderBy("place", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("total"))
     totals = totals.select("source_key", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
@@ -74,7 +74,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     served = [F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - k * F.col("source_size") - F.col("start"))) for k in range(most)]
     taken = sum(served[1:], served[0])
     finish = F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target"))
-    queue = queue.select("doc_id", "size", "source_size", "target", taken.alias("taken"), finish.alias("virtual_finish"))
+    return queue.select("doc_id", "row_key", "size", "source_size", "target", taken.alias("taken"), finish.alias("virtual_finish"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_PASSES) -> DataFrame:
+    """Per row of docs: doc_id, size, source_size, target, taken and virtual_finish (of the first pass), in queue order."""
+    queue = _queue(docs, weights, share, most).drop("row_key")
     return queue.orderBy(F.col("virtual_finish").asc_nulls_last(), "doc_id")
 
 
@@ -86,8 +91,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it; a last part counts as one if at least half was taken."""
     columns = docs.columns
     copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
-    taken = mix(docs).select("doc_id", copies.cast("int").alias("veritill_copies")).filter("veritill_copies > 0").dropDuplicates(["doc_id"])
-    return docs.join(taken, "doc_id").withColumn("veritill_copies", F.explode(F.sequence(F.lit(1), "veritill_copies"))).select(*columns)
+    taken = _queue(docs, WEIGHTS, SHARE, MOST_PASSES).withColumn("copies", copies).groupBy(F.col("row_key").alias("veritill_key"))
+    taken = taken.agg(F.sort_array(F.collect_list("copies"), asc=False).alias("veritill_copies")).filter("veritill_copies[0] > 0")
+    # repeated rows share a key, and each gets the copies of one of them
+    turn = F.row_number().over(Window.partitionBy("veritill_key").orderBy("veritill_key"))
+    rows = docs.withColumn("veritill_key", row_key(docs)).join(taken, "veritill_key").withColumn("veritill_turn", turn)
+    rows = rows.withColumn("veritill_copies", F.element_at("veritill_copies", F.col("veritill_turn")).cast("int")).filter("veritill_copies > 0")
+    return rows.withColumn("veritill_copies", F.explode(F.sequence(F.lit(1), "veritill_copies"))).select(*columns)
 
 
 SQL_MIX = r"""

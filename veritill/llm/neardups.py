@@ -10,9 +10,10 @@ already linked are skipped, which loses no link between components. A pair at th
 with probability 1 - 3e-7 and passes the sketch with about the same.
 
 Edge cases: a null or empty text, or one without words, has the empty set and is linked with nothing;
-fewer than five words are one shingle; repeated rows share their class; rows without a doc_id are linked
-through equal sets only, and have a null component if no row of their class has an id; an empty table
-gives an empty result; columns other than doc_id and text are ignored.
+fewer than five words are one shingle; repeated rows share their class; rows of one doc_id with other texts
+and rows without a doc_id are linked by their own sets; a component without any id is null, and the stage
+still keeps one row of it; an empty table gives an empty result; columns other than doc_id, source and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import Words, documents, mix, stored, windows, word_slices
+from .textops import Words, documents, mix, row_key, stored, windows, word_slices
 
 WIDTH = 5
 PERCENT = 85
@@ -45,7 +46,7 @@ _FLIP = _rng.integers(0, 2**32, _K, dtype=np.uint32)
 _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 _SAMPLE_SALT = mix(np.arange(1001, 1001 + _K, dtype=np.uint64))
 
-SIGNATURE = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>"
+SIGNATURE = "doc_id bigint, row_key bigint, text_key bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>"
 SETS = "doc_id bigint, shingles array<bigint>"
 
 
@@ -112,8 +113,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(band_keys(low) if len(s) else none)
                 sketches.append(odd_sketch(low) if len(s) else none)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), _lists(bands), _lists(sketches)],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                [*(batch[k].slice(i, j - i) for k in ("doc_id", "row_key", "text_key")), pa.array(sizes, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), _lists(bands), _lists(sketches)],
+                [x.split()[0] for x in SIGNATURE.split(", ")],
             )
 
 
@@ -124,8 +125,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """One row per document: set size, set fingerprint, band keys and odd sketch, in a stored table."""
-    return stored(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_sign, SIGNATURE))
+    """One row per document: keys of row and text, set size, set fingerprint, band keys and odd sketch, in a stored table."""
+    text = F.col("text").cast("string")
+    return stored(docs.select(F.col("doc_id").cast("bigint"), row_key(docs).alias("row_key"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(_sign, SIGNATURE))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,7 +202,10 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def link(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) over the classes (doc_id, n_shingles, bands, sketch) that are linked with another one."""
+    """(node, component) over the classes (doc_id, n_shingles, bands, sketch) that are linked with another one.
+
+    What is called doc_id from here on names one text each, as rows may share an id or have none.
+    """
     keys = classes.select("doc_id", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("low")).filter("members > 1")
     members = stored(keys.join(shared, "band"))
@@ -234,19 +239,27 @@ def link(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFra
     raise AssertionError("the last turn returns")
 
 
-def classify(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept."""
+def _placed(docs: DataFrame, percent: int) -> DataFrame:
+    """Per row of docs: doc_id, row_key, n_shingles, component (a key of its own), component_id, kept."""
     signed = signatures(docs)
     some = signed.filter("n_shingles > 0")
     same = ["set_a", "set_b", "n_shingles"]
-    groups = stored(some.groupBy(*same).agg(F.min("doc_id").alias("class_id")))
-    classes = some.join(groups.withColumnRenamed("class_id", "doc_id"), [*same, "doc_id"]).dropDuplicates(["doc_id"])
-    classes = stored(classes.select("doc_id", "n_shingles", "bands", "sketch"))
-    linked = link(docs, classes, percent)
-    groups = groups.join(linked, F.col("class_id") == F.col("node"), "left").select(*same, F.coalesce("component", "class_id").alias("component"))
-    out = signed.select("doc_id", *same).join(groups, same, "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    groups = stored(some.groupBy(*same).agg(F.min("text_key").alias("class_id"), F.min("doc_id").alias("low_id")))
+    classes = some.join(groups.select(*same, F.col("class_id").alias("text_key")), [*same, "text_key"]).dropDuplicates(["text_key"])
+    classes = stored(classes.select(F.col("text_key").alias("doc_id"), "n_shingles", "bands", "sketch"))
+    linked = link(docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text"), classes, percent)
+    groups = groups.join(linked, F.col("class_id") == F.col("node"), "left").select(*same, "low_id", F.coalesce("component", "class_id").alias("component"))
+    # a component is named by its smallest id
+    named = groups.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    out = signed.select("doc_id", "row_key", *same).join(groups.drop("low_id").join(named, "component"), same, "left")
+    alone = F.col("n_shingles") == 0
+    out = out.withColumns({"component": F.when(alone, F.col("row_key")).otherwise(F.col("component")), "component_id": F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))})
+    return out.select("doc_id", "row_key", "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def classify(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept."""
+    return _placed(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,10 +267,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays (one of repeated rows)."""
+    """Pipeline stage: of each component the row with the smallest doc_id stays (one row, also where several have that id or none has one)."""
     columns = docs.columns
-    kept = classify(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
+    kept = _placed(docs, PERCENT).filter("kept").groupBy("component").agg(F.min("row_key").alias("veritill_key")).select("veritill_key")
+    return docs.withColumn("veritill_key", row_key(docs)).join(kept, "veritill_key", "left_semi").dropDuplicates(["veritill_key"]).select(*columns)
 
 
 SQL_LINKS = r"""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import LOWER, Words, documents, mix, powers, span_hashes, stored, windows, word_slices
+from .textops import LOWER, Words, documents, mix, powers, row_key, span_hashes, stored, windows, word_slices
 
 #: A line is boilerplate above both of these: documents of its host, and share of the host's documents.
 MIN_DOCS = 20
@@ -85,7 +85,6 @@ def _stats(w: Words) -> dict[str, np.ndarray | list]:
     at = np.searchsorted(row[first], np.arange(n + 1))
     for name, v in (("lines", h[first].view(np.int64)), ("line_words", total[order])):
         out[name] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v))
-    out["hash"] = span_hashes(w.data, w.offsets[:-1], w.offsets[1:]).view(np.int64)
     return out
 
 
@@ -95,16 +94,15 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = _stats(w)
             rows = batch.slice(i, j - i)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": rows["doc_id"], "row_key": pa.array(out.pop("hash")), "host": rows["host"]} | {k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in out.items()}
+                {"doc_id": rows["doc_id"], "row_key": rows["row_key"], "host": rows["host"]} | {k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in out.items()}
                 | {k: out[k] for k in ("lines", "line_words")}
             ).select([x.split()[0] for x in STATS.split(", ")])
 
 
 def line_statistics(docs: DataFrame) -> DataFrame:
     """One row per document with its base figures and its distinct lines, in a stored table."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("source").alias("host"), F.col("text").cast("string"))
-    stats = rows.mapInArrow(_measure, STATS)
-    return stored(stats.withColumn("row_key", F.xxhash64("doc_id", "host", "row_key")))
+    rows = docs.select(F.col("doc_id").cast("bigint"), row_key(docs).alias("row_key"), F.xxhash64("source").alias("host"), F.col("text").cast("string"))
+    return stored(rows.mapInArrow(_measure, STATS))
 
 
 def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -116,7 +114,7 @@ def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float
 
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """Per row of docs: the base figures, removed_words, base_failed, depleted and kept; row_key joins it back (see line_statistics)."""
+    """Per row of docs: the base figures, removed_words, base_failed, depleted and kept; row_key joins it back (see textops)."""
     stats = line_statistics(docs)
     flagged = frequent_lines(stats, min_docs, max_share)
     own = stats.select("row_key", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_key", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
@@ -135,10 +133,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of docs whose verdict is kept."""
+    """Pipeline stage: the rows of docs whose verdict is kept, with or without a doc_id."""
     columns = docs.columns
-    good = judge(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*columns)
+    good = judge(docs).filter("kept").select(F.col("row_key").alias("veritill_key")).distinct()
+    return docs.withColumn("veritill_key", row_key(docs)).join(good, "veritill_key", "left_semi").select(*columns)
 
 
 SQL_STATS = r"""

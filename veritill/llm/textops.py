@@ -150,6 +150,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_key(df: DataFrame) -> Column:
+    """A 64-bit key of a row's doc_id, source and text (null where df has no source): equal for repeated rows only, so verdicts are joined back by it."""
+    parts = [F.col("doc_id").cast("bigint"), F.col("source").cast("string") if "source" in df.columns else F.lit(None).cast("string"), F.col("text").cast("string")]
+    return F.xxhash64(*(x for c in parts for x in (c.isNull(), c)))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
