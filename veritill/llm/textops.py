@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritill.sources.shipping import ship
 
@@ -126,34 +130,82 @@ def word_slices(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words
         yield i, j, Words(data, offsets[i : j + 1], lower)
 
 
+def in_arrow(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
+    """mapInArrow, the package's sources having gone to the executors before: a function takes their list when it is made."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where the session names none, as in tests."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; a local one of our own only in local mode without such a setting, as in tests."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("veritill.checkpoint.dir", None)
     if not there:
-        there = spark.conf.get("veritill.checkpoint.dir", None)
-        if not there:
-            there = "file://" + tempfile.mkdtemp(prefix="veritill-")
-            spark.conf.set("veritill.checkpoint.dir", there)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="veritill-")
+        spark.conf.set("veritill.checkpoint.dir", there)
     return there
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a table written to the shared folder: cuts lineage, outlives executors, is computed once."""
-    ship(df.sparkSession)
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scratch: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
+
+
+def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """The same rows from a table written to the shared folder: cuts lineage, outlives executors, is computed once.
+
+    Inside `scratch` the table is deleted at the end of the block, a lasting one at the end of the block around it, if any.
+    """
     path = f"{checkpoint_dir(df.sparkSession)}/veritill-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    blocks = _scratch.get()
+    if len(blocks) > lasting:
+        blocks[-1 - lasting].append(out)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables; nothing that still has to be computed may read them."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            context = table.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables that were stored inside the block; what leaves it must be stored as lasting."""
+    tables: list[DataFrame] = []
+    token = _scratch.set((*_scratch.get(), tables))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        release(*tables)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+ROW_KEY = "struct<a:bigint,b:bigint>"
+
+
 def row_key(df: DataFrame) -> Column:
-    """A 64-bit key of a row's doc_id, source and text (null where df has no source): equal for repeated rows only, so verdicts are joined back by it."""
+    """A 128-bit key of a row's doc_id, source and text (null where df has no source): equal for repeated rows only, so verdicts are joined back by it."""
     parts = [F.col("doc_id").cast("bigint"), F.col("source").cast("string") if "source" in df.columns else F.lit(None).cast("string"), F.col("text").cast("string")]
-    return F.xxhash64(*(x for c in parts for x in (c.isNull(), c)))
+    parts = [x for c in parts for x in (c.isNull(), c)]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(c for k in range(len(taken) + 1) if (c := f"veritill_{name}" + "_" * k) not in taken) for name in names]
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

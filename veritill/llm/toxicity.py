@@ -4,14 +4,16 @@ A word is the mean of the vectors of its character n-grams (3 to 5 bytes, with i
 word, all hashed into one table, so a misspelling that was never seen shares most of its vectors with the
 words it comes from. A window of 3 words is the mean of its words, and a linear softmax reads it; a text is
 as toxic as its most toxic window. Table and softmax are fitted together by gradient descent with momentum on a bounded sample of
-labelled documents (SAMPLE_ROWS of each label, first by a hash of their ids, outside the held-out fold).
-Labels are noisy: each half of the sample is first scored by a model of the other half, and documents marked
-toxic that score like clean ones don't train the final model. The share of those that stay sets the bias. As
-the softmax is linear, every distinct word of a task's slice is scored once.
-
-Edge cases: a null or empty text has the score of no evidence; without labels every score is 0; repeated
-rows give equal rows; an empty table gives an empty result; columns other than doc_id and text of documents
-and doc_id and toxic of labels are ignored. Labels, language, source and id never enter a score.
+labelled documents (SAMPLE_ROWS of each label, first by a hash of their ids, outside the held-out fold), each
+read whole. Labels are noisy: each half of the sample is first scored by a model of the other half, and
+documents marked toxic that score like clean ones don't train the final model. The share of those that stay
+sets the bias. As the softmax is linear, every distinct word is projected to one number before the windows.
+
+Edge cases: a null or empty text has the score of no evidence; a text of any length is scored whole, in
+linear time; without labels every score is 0; windows that tie for the strongest share its gradient; repeated
+rows give equal rows, and several texts under one id are scored apart (for training, the least of them);
+an empty table gives an empty result; columns other than doc_id and text of documents and doc_id and toxic
+of labels are ignored. Labels, language, source and id never enter a score.
 """
 
 from __future__ import annotations
@@ -24,16 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import Words, buffers, crc_mod, documents, slices, span_hashes
+from .textops import Words, buffers, crc_mod, documents, in_arrow, slices, span_hashes
 
 SAMPLE_ROWS = 900
-#: Bytes of a training document that count: evenly spread stretches of it.
-SAMPLE_BYTES = 30_000
 BUCKET_BITS = 17
 DIMENSION = 8
-WINDOW, STEP = 3, 1
+WINDOW = 3
 FOLDS = 5
-ROUNDS, WARM = 40, 0
+ROUNDS = 40
 #: A toxic label isn't believed if the document scores below this quantile of clean ones.
 CLEAN_QUANTILE = 0.97
 RATE = 0.4
@@ -86,22 +86,22 @@ class Bags:
 
     def __init__(self, w: Words):
         starts, ends = _strip(w.data, w.starts, w.ends)
-        _, first, self.word = np.unique(span_hashes(w.data, starts, ends), return_index=True, return_inverse=True)
+        _, first, word = np.unique(span_hashes(w.data, starts, ends), return_index=True, return_inverse=True)
+        self.word = word.astype(np.int32)
         self.buckets, self.at = subwords(w.data, starts[first], ends[first])
-        self.first = w.first
-        # windows: every STEP words, the last ones of a text being as long as what is left, but for those inside another
-        counts = np.diff(w.first)
-        each = np.where(counts > 0, np.maximum(0, -(-(counts - WINDOW) // STEP)) + 1, 0)
+        self.sizes = np.diff(self.at)
+        # a window begins at every word, but for the last ones of a text, which are inside the one before
+        each = np.where(w.counts > 0, np.maximum(0, w.counts - WINDOW) + 1, 0)
         self.window_first = np.concatenate([[0], np.cumsum(each)])
         place = np.arange(int(each.sum())) - np.repeat(self.window_first[:-1], each)
-        self.begin = np.repeat(w.first[:-1], each) + STEP * place
-        self.end = np.minimum(self.begin + WINDOW, np.repeat(w.first[1:], each))
+        self.begin = (np.repeat(w.first[:-1], each) + place).astype(np.int32)
+        self.end = np.minimum(self.begin + WINDOW, np.repeat(w.first[1:], each)).astype(np.int32)
 
     def window_means(self, values: np.ndarray) -> np.ndarray:
-        """values: by distinct word, maybe with a second axis."""
-        sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values[self.word], axis=0, dtype=np.float64)])
-        size = (self.end - self.begin).astype(float)
-        return (sums[self.end] - sums[self.begin]) / (size if values.ndim == 1 else size[:, None])
+        """values: one number per distinct word."""
+        sums = np.zeros(len(self.word) + 1)
+        np.cumsum(values[self.word], out=sums[1:])
+        return (sums[self.end] - sums[self.begin]) / (self.end - self.begin)
 
 
 def logits(model: Model, w: Words) -> np.ndarray:
@@ -109,33 +109,32 @@ def logits(model: Model, w: Words) -> np.ndarray:
     out = np.full(len(w.counts), model.bias)
     bags = Bags(w)
     if len(bags.word):
-        size = np.diff(bags.at)
-        scores = np.add.reduceat(model.table[bags.buckets], bags.at[:-1]) / size
+        scores = np.add.reduceat(model.table[bags.buckets], bags.at[:-1]) / bags.sizes
         means = bags.window_means(scores)
         full = np.flatnonzero(w.counts)
         out[full] += np.maximum.reduceat(means, bags.window_first[:-1][full])
     return out
 
 
-def _log_odds(bucket: np.ndarray, owner: np.ndarray, word: np.ndarray, row: np.ndarray, toxic: np.ndarray, buckets: int) -> np.ndarray:
+def _log_odds(bags: Bags, bucket: np.ndarray, w: Words, toxic: np.ndarray, buckets: int) -> np.ndarray:
     """For each bucket the log odds of a toxic document to have it, times n / (n + SHRINK) for its n documents."""
-    pairs = np.unique(row * (int(word.max(initial=0)) + 1) + word)
-    row, word = np.divmod(pairs, int(word.max(initial=0)) + 1)
-    by_word = np.argsort(word, kind="stable")
-    row, word = row[by_word], word[by_word]
-    first, end = np.searchsorted(word, owner), np.searchsorted(word, owner, "right")
-    many = end - first
-    at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-    seen = np.unique(np.repeat(bucket, many) * np.int64(len(toxic)) + row[at])
-    own, of = seen // len(toxic), toxic[seen % len(toxic)]
-    bad, all_ = np.bincount(own, of, buckets), np.bincount(own, minlength=buckets)
-    good = all_ - bad
+    held = np.zeros((2, buckets))
+    for row, label in enumerate(toxic):
+        word = np.unique(bags.word[w.first[row] : w.first[row + 1]])
+        many = bags.sizes[word]
+        at = np.repeat(bags.at[word] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        held[int(label), np.unique(bucket[at])] += 1
+    good, bad = held
     odds = np.log((bad + 1) / (toxic.sum() + 2)) - np.log((good + 1) / (len(toxic) - toxic.sum() + 2))
-    return odds * all_ / (all_ + SHRINK)
+    return odds * (good + bad) / (good + bad + SHRINK)
 
 
 def train(texts: list[bytes], toxic: np.ndarray, prior: float, rounds: int = ROUNDS, seed: int = 3) -> Model:
-    """Fits vectors and softmax together; the gradient of a text goes to its strongest window, at first to all."""
+    """Fits vectors and softmax together; the gradient of a text goes to its strongest window.
+
+    A text's log odds are linear in the vectors of its strongest window, so both gradients come from one weight
+    per n-gram, and nothing is held per window but numbers.
+    """
     rng = np.random.default_rng(seed)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     w = Words(np.frombuffer(b"".join(texts), np.uint8), offsets, lower=True)
@@ -146,42 +145,29 @@ def train(texts: list[bytes], toxic: np.ndarray, prior: float, rounds: int = ROU
     softmax = rng.normal(0, 0.3, DIMENSION)
     bias = 0.0
     ids, inverse = np.unique(bags.buckets, return_inverse=True)
+    inverse = inverse.astype(np.int32)
     vectors = vectors[ids]
-    size = np.diff(bags.at)
-    owner = np.repeat(np.arange(len(size)), size)
+    owner = np.repeat(np.arange(len(bags.sizes), dtype=np.int32), bags.sizes)
     # one direction starts from each n-gram's log odds over documents, shrunk where few documents have it
-    vectors[:, 0] = _log_odds(inverse, owner, bags.word, np.repeat(np.arange(len(w.counts)), w.counts), toxic, len(ids))
+    vectors[:, 0] = _log_odds(bags, inverse, w, toxic, len(ids))
     softmax[0] = 1.0
-    sort = np.argsort(inverse, kind="stable")
-    heads = np.searchsorted(inverse[sort], np.arange(len(ids)))
-    owner_sorted = owner[sort]
     state: list = [np.zeros_like(vectors), 0.0, np.zeros(DIMENSION), 0.0]
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     spans = bags.window_first[full]
     count = np.diff(bags.window_first)[full]
     for step in range(1, rounds + 1):
-        words = np.add.reduceat(vectors[inverse], bags.at[:-1]) / size[:, None]
-        means = bags.window_means(words)
-        z = means @ softmax
+        z = bags.window_means(np.add.reduceat((vectors @ softmax)[inverse], bags.at[:-1]) / bags.sizes)
         top = np.maximum.reduceat(z, spans)
-        if step <= WARM:
-            share = np.repeat(1 / count, count)
-            doc = np.add.reduceat(z, spans) / count
-        else:
-            chosen = z == np.repeat(top, count)
-            share = chosen / np.repeat(np.add.reduceat(chosen.astype(float), spans), count)
-            doc = top
-        slope = weight * (1 / (1 + np.exp(-np.clip(doc + bias, -30, 30))) - y)
-        pull = np.repeat(slope, count) * share
-        used = np.flatnonzero(pull)
-        g_softmax = means[used].T @ pull[used] + 1e-4 * softmax
-        # back from windows to word positions, words and n-grams: only one direction in the vectors' space is needed
-        each = np.zeros(len(bags.word) + 1)
-        length = bags.end - bags.begin
-        np.add.at(each, bags.begin[used], pull[used] / length[used])
-        np.add.at(each, bags.end[used], -pull[used] / length[used])
-        by_word = np.bincount(bags.word, np.cumsum(each[:-1]), len(size)) / size
-        by_bucket = np.add.reduceat(by_word[owner_sorted], heads)
+        chosen = np.flatnonzero(z == np.repeat(top, count))
+        text = np.searchsorted(spans, chosen, "right") - 1
+        slope = weight * (1 / (1 + np.exp(-np.clip(top + bias, -30, 30))) - y)
+        pull = (slope / np.bincount(text, minlength=len(full)))[text]
+        # back from windows to words and n-grams
+        length = bags.end[chosen] - bags.begin[chosen]
+        at = np.repeat(bags.begin[chosen] - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+        by_word = np.bincount(bags.word[at], np.repeat(pull / length, length), len(bags.sizes)) / bags.sizes
+        by_bucket = np.bincount(inverse, by_word[owner], len(ids))
+        g_softmax = by_bucket @ vectors + 1e-4 * softmax
         g_vectors = by_bucket[:, None].astype(np.float32) * softmax.astype(np.float32) + 2e-6 * vectors
         # momentum with one step size for all: a rare n-gram moves as little as its gradient says, unlike under Adam
         for k, (value, g, rate) in enumerate(((vectors, g_vectors, RATE), (softmax, g_softmax, 0.05))):
@@ -225,23 +211,17 @@ def credible(texts: list[bytes], toxic: np.ndarray, rounds: int = ROUNDS) -> np.
     return keep if toxic[keep].any() else np.ones(len(texts), bool)
 
 
-def spread(text: bytes, most: int = SAMPLE_BYTES, pieces: int = 10) -> bytes:
-    if len(text) <= most:
-        return text
-    step, own = len(text) // pieces, most // pieces
-    return b" ".join(text[k * step : k * step + own] for k in range(pieces))
-
-
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Trains on a bounded sample of the labelled documents outside the held-out fold."""
+    """Trains on at most sample_rows whole documents of each label, outside the held-out fold."""
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).filter(crc_mod(F.col("doc_id"), FOLDS) != 0)
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if not share.get(0) or not share.get(1):
         return Model(np.zeros(1 << BUCKET_BITS), -1e9)
     chosen = [labels.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for t in (0, 1)]
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").dropDuplicates(["doc_id"])
-    found = sorted((r["doc_id"], spread(bytes(r["text"])), r["toxic"]) for r in rows.withColumn("text", F.col("text").cast("binary")).toLocalIterator())
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.col("text").cast("binary")).alias("text"))
+    found = sorted((r["doc_id"], bytes(r["text"]), r["toxic"]) for r in rows.collect())
     if len({t for _, _, t in found}) < 2:
         return Model(np.zeros(1 << BUCKET_BITS), -1e9)
     texts, toxic = [t for _, t, _ in found], np.array([t for _, _, t in found])
@@ -272,7 +252,7 @@ def detect(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(rows, labels))
     held = F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out")
-    return rows.select("doc_id", held, "text").mapInArrow(_score(shared), RESULT)
+    return in_arrow(rows.select("doc_id", held, "text"), _score(shared), RESULT)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
