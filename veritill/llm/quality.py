@@ -3,7 +3,8 @@
 Every line is normalised (A-Z lowered, words joined by one blank) and hashed. Per host (`source`) the
 distinct documents that hold a line are counted: texts of equal words (A-Z lowered) count once, so that
 copies of a document don't turn its own lines into boilerplate; near copies count one by one.
-Lines above the limit are removed; a document that keeps too few of its words is rejected.
+Lines above the limit are removed; a document that keeps too few of its words is rejected. A host has at most
+distinct lines per document / MAX_SHARE frequent lines; they are broadcast if there are at most BROADCAST_LINES.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null source is a host of its
 own; repeated rows each get the verdict of their text, and rows of one doc_id with other texts are judged
@@ -19,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import LOWER, Words, documents, mix, powers, row_key, span_hashes, stored, windows, word_slices
+from .textops import LOWER, ROW_KEY, Words, documents, in_arrow, mix, powers, row_key, span_hashes, stored, unused, windows, word_slices
 
 #: A line is boilerplate above both of these: documents of its host, and share of the host's documents.
 MIN_DOCS = 20
 MAX_SHARE = 0.01
 #: A document is depleted if it keeps a smaller share of its words.
 MIN_LEFT = 0.3
+#: Most frequent lines (16 bytes each) that are broadcast; more are joined by shuffles, hot ones split by the adaptive plan.
+BROADCAST_LINES = 1_000_000
 #: The fixed rules: fewest words, and most percent of words in repeated three-word windows.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -34,7 +37,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 STATS = (
-    "doc_id bigint, row_key bigint, host bigint, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
+    f"doc_id bigint, row_key {ROW_KEY}, host bigint, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
     "n_dup_lines bigint, n_repeat_words bigint, lines array<bigint>, line_words array<bigint>"
 )
 
@@ -102,7 +105,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_statistics(docs: DataFrame) -> DataFrame:
     """One row per document with its base figures and its distinct lines, in a stored table."""
     rows = docs.select(F.col("doc_id").cast("bigint"), row_key(docs).alias("row_key"), F.xxhash64("source").alias("host"), F.col("text").cast("string"))
-    return stored(rows.mapInArrow(_measure, STATS))
+    return stored(in_arrow(rows, _measure, STATS))
 
 
 def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -113,12 +116,13 @@ def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float
     return held.filter(F.col("held") > min_docs).join(hosts, "host").filter(F.col("held") > max_share * F.col("docs")).select("host", "line")
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """Per row of docs: the base figures, removed_words, base_failed, depleted and kept; row_key joins it back (see textops)."""
     stats = line_statistics(docs)
-    flagged = frequent_lines(stats, min_docs, max_share)
+    flagged = stored(frequent_lines(stats, min_docs, max_share))
+    few = flagged.limit(broadcast_lines + 1).count() <= broadcast_lines
     own = stats.select("row_key", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_key", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    removed = own.join(flagged, ["host", "line"]).groupBy("row_key", "line").agg(F.max("words").alias("words")).groupBy("row_key").agg(F.sum("words").alias("removed_words"))
+    removed = own.join(F.broadcast(flagged) if few else flagged, ["host", "line"]).groupBy("row_key", "line").agg(F.max("words").alias("words")).groupBy("row_key").agg(F.sum("words").alias("removed_words"))
     out = stats.drop("lines", "line_words").join(removed, "row_key", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     out = out.withColumn("depleted", F.col("n_words") - F.col("removed_words") < min_left * F.col("n_words"))
@@ -133,10 +137,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of docs whose verdict is kept, with or without a doc_id."""
-    columns = docs.columns
-    good = judge(docs).filter("kept").select(F.col("row_key").alias("veritill_key")).distinct()
-    return docs.withColumn("veritill_key", row_key(docs)).join(good, "veritill_key", "left_semi").select(*columns)
+    """Pipeline stage: the rows of docs whose verdict is kept, with or without a doc_id; rows that share an id are judged apart.
+
+    Rows without text go; repeated rows stay or go together; extra columns pass through, whatever their names.
+    """
+    columns, (key,) = docs.columns, unused(docs, "key")
+    good = judge(docs).filter("kept").select(F.col("row_key").alias(key)).distinct()
+    return docs.withColumn(key, row_key(docs)).join(good, key, "left_semi").select(*columns)
 
 
 SQL_STATS = r"""
@@ -156,12 +163,11 @@ stats_lines AS (
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS p FROM stats_docs)
   WHERE len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) > 0),
 stats_dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM stats_lines GROUP BY doc_id),
-stats_around AS (
-  SELECT *, coalesce(lag(line) OVER o, '') || chr(10) || coalesce(lead(line) OVER o, '') AS context FROM stats_lines WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
-stats_own AS (SELECT doc_id, source, line, arg_min(context, p) AS context, sum(words) AS words FROM stats_around GROUP BY doc_id, source, line),
+stats_own AS (SELECT doc_id, source, line, sum(words) AS words FROM stats_lines GROUP BY doc_id, source, line),
+stats_keys AS (SELECT doc_id, md5(translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS key FROM stats_words),
 stats_hosts AS (SELECT source, count(*) AS docs FROM stats_docs GROUP BY source),
 stats_frequent AS (
-  SELECT o.source, line FROM (SELECT source, line, count(DISTINCT context) AS held FROM stats_own GROUP BY source, line) o
+  SELECT o.source, line FROM (SELECT source, line, count(DISTINCT key) AS held FROM stats_own JOIN stats_keys USING (doc_id) GROUP BY source, line) o
   JOIN stats_hosts h ON o.source IS NOT DISTINCT FROM h.source WHERE held > 20 AND held > 0.01 * docs),
 stats_removed AS (
   SELECT doc_id, sum(words) AS n FROM stats_own o JOIN stats_frequent f ON o.line = f.line AND o.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
