@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .textops import documents
+from .textops import documents, in_arrow
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces remembered by a worker in each of two generations; when the younger is full it replaces the older.
@@ -182,13 +182,13 @@ def _vocabulary(spark: SparkSession, path: str | None, pattern: str | None):
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids) per row: the token ids of each text by the rank file at `path`."""
     shared = _vocabulary(docs.sparkSession, path, pattern)
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(_ids(*shared), "doc_id bigint, ids array<int>")
+    return in_arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), _ids(*shared), "doc_id bigint, ids array<int>")
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row: each text is encoded, and decoded from its ids."""
     shared = _vocabulary(docs.sparkSession, path, pattern)
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(_digest(*shared), RESULT)
+    return in_arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), _digest(*shared), RESULT)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ stays in the tree if it was seen LEAST times and its next-symbol distribution di
 suffix by DIVERGENCE nats per log of its count, or if a longer context that stays ends in it. A retained
 context's distribution is smoothed by its suffix's, p = (n + kinds * p_suffix) / (total + kinds), down to even
 odds of all symbols, and each symbol of a text is scored in the state of the longest retained suffix. The tree
-grows with the corpus. Up to MOST_CELLS cells it is broadcast as tables; beyond, the distinct n-grams of the
-documents are joined with it, with the same scores.
+grows with the corpus. Up to MOST_CELLS cells and MOST_ENTRIES counts it is broadcast as tables of 32-bit
+logarithms; beyond, the distinct n-grams of the documents are joined with it in 64 bits, so that scores of the
+two ways agree to about 1e-5 of their size.
 
 The base needs the count of every word. Words above the share HEAVY of all tokens, of which there can be
-1/HEAVY at most, are broadcast; the others are joined, and being rare, none of them is a hot key.
+1/HEAVY at most (64 MB), are broadcast; the others are joined, and being rare, none of them is a hot key.
 
 Edge cases: a null or empty text has one token, its end; a row without a doc_id trains and isn't held out;
 repeated rows give equal rows; without training documents every count is 0, and symbols have even odds; an
@@ -28,14 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contexts as C
-from .textops import Words, buffers, crc_mod, documents, slices, stored
+from .textops import ROW_KEY, Words, buffers, crc_mod, documents, in_arrow, slices, stored
 
 DEPTH = 5
 LEAST = 48
 DIVERGENCE = 2.0
 FOLDS = 10
 HEAVY = 2.5e-7
-MOST_CELLS = 24_000_000
+MOST_CELLS, MOST_ENTRIES = 24_000_000, 6_000_000
 SYMBOLS = 257
 #: Keys a task gathers before it sums them up, and passes them on if that leaves more than half.
 GATHER = 1_000_000
@@ -110,7 +111,7 @@ def _counts(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def statistics(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(kind, key, n) over all training rows, stored: 0 word hashes, 1 n-grams, 2 the number of texts."""
     training = rows.filter(~F.col("held_out")).select("text")
-    found = training.mapInArrow(_counts(depth), "kind int, key bigint, n bigint")
+    found = in_arrow(training, _counts(depth), "kind int, key bigint, n bigint")
     return stored(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
@@ -182,7 +183,7 @@ def _columns(df: DataFrame, *names: str) -> tuple[np.ndarray, ...]:
     return tuple(t[c].to_numpy().view(np.uint64) if c in ("ctx", "key") else t[c].to_numpy() for c in names)
 
 
-ROUGH = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, heavy_known bigint, heavy_score double, score double, rare array<bigint>"
+ROUGH = f"row bigint, text_key {ROW_KEY}, doc_id bigint, held_out boolean, n_tokens bigint, heavy_known bigint, heavy_score double, score double, rare array<bigint>"
 
 
 def _rough(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -203,7 +204,7 @@ def _rough(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 rare = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h[~heavy].view(np.int64)))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [part["row"], part["doc_id"], part["held_out"], pa.array(w.counts + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), rare],
+                    [part["row"], part["text_key"], part["doc_id"], part["held_out"], pa.array(w.counts + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), rare],
                     [x.split()[0] for x in ROUGH.split(", ")],
                 )
 
@@ -221,28 +222,28 @@ def _document_grams(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 ends = new - np.arange(len(new))  # START has no n-gram
                 for k in range(len(w.counts)):
                     own, n = np.unique(keys[ends[k] : ends[k + 1]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([batch["row"].slice(i + k, 1).take(pa.array(np.zeros(len(own), np.int64))), pa.array(own.view(np.int64)), pa.array(n)], ["row", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([batch["text_key"].slice(i + k, 1).take(pa.array(np.zeros(len(own), np.int64))), pa.array(own.view(np.int64)), pa.array(n)], ["text_key", "key", "n"])
 
     return run
 
 
 def joined_scores(rows: DataFrame, nodes: DataFrame, entries: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(row, score) by joins, for a tree that is too large to be broadcast."""
-    own = stored(rows.select("row", "text").mapInArrow(_document_grams(depth), "row bigint, key bigint, n bigint"))
+    """(text_key, every) by joins, for a tree that is too large to be broadcast: the scores of all rows of a text together."""
+    own = stored(in_arrow(rows.select("text_key", "text"), _document_grams(depth), f"text_key {ROW_KEY}, key bigint, n bigint"))
     keys = own.select("key").distinct().withColumn("p", F.lit(1 / SYMBOLS))
     for d in range(depth + 1):
         at = keys.withColumns({"ctx": F.when(_upper("key", d), _context(_cut("key", d))), "own": _cut("key", d)}) if d else keys.withColumns({"ctx": F.lit(0).cast("bigint"), "own": _cut("key", 0)})
         at = at.join(nodes, "ctx", "left").join(entries.select(F.col("key").alias("own"), F.col("n").alias("seen")), "own", "left")
         p = F.when(F.col("total").isNotNull(), (F.coalesce("seen", F.lit(0)) + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))).otherwise(F.col("p"))
         keys = at.select("key", p.alias("p"))
-    return own.join(keys, "key").groupBy("row").agg(F.sum(F.col("n") * F.log10("p")).alias("score"))
+    return own.join(keys, "key").groupBy("text_key").agg(F.sum(F.col("n") * F.log10("p")).alias("every"))
 
 
 def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, heavy: float = HEAVY, most_cells: int = MOST_CELLS) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     held = F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", held, "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select(F.monotonically_increasing_id().alias("row"), F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).alias("text_key"), "doc_id", held, "text")
     counted = statistics(rows, depth)
     words = counted.filter("kind = 0").select("key", "n")
     size = counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
@@ -254,18 +255,20 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: f
 
     nodes, entries = suffix_tree(counted.filter("kind = 1").select("key", "n"), depth, least, divergence)
     alphabet = 2 + entries.select(_cut("key", 0)).distinct().count()
-    small = nodes.count() * alphabet <= most_cells
+    small = nodes.count() * alphabet <= most_cells and entries.count() <= MOST_ENTRIES
     table = Table(_columns(nodes, "ctx", "total", "kinds"), _columns(entries, "key", "n")) if small else None
     often, counts = _columns(words.filter(F.col("n") >= heavy * max(tokens, 1)), "key", "n")
     order = np.argsort(often)
     shared = spark.sparkContext.broadcast((table, often[order], np.log10(counts[order] + 0.1) - scale))
-    rough = stored(rows.mapInArrow(_rough(shared), ROUGH))
+    rough = stored(in_arrow(rows, _rough(shared), ROUGH))
 
     log_of = lambda n: F.log10(n + F.lit(0.1)) - F.lit(scale)
     rare = rough.select("row", F.explode("rare").alias("key")).join(words, "key", "left").groupBy("row").agg(F.count("n").alias("rare_known"), F.sum(log_of(F.coalesce("n", F.lit(0)))).alias("rare_score"))
     out = rough.drop("rare").join(rare, "row", "left")
     if not small:
-        out = out.drop("score").join(joined_scores(rows, nodes, entries, depth), "row")
+        copies = rough.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
+        of_texts = joined_scores(rows, nodes, entries, depth).join(copies, "text_key").select("text_key", (F.col("every") / F.col("copies")).alias("score"))
+        out = out.drop("score").join(of_texts, "text_key")
     known = F.col("heavy_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(1 if texts else 0)
     base = F.col("heavy_score") + F.coalesce("rare_score", F.lit(0.0)) + log_of(F.lit(texts))
     return out.select("doc_id", "held_out", "n_tokens", known.cast("bigint").alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
