@@ -1,15 +1,19 @@
 """Operator 7: main text of web pages by a recurrent block labeller.
 
-A page becomes the sequence of its leaf blocks: runs of text between block-level tags, inline tags being part
-of them. Each block is a vector of its hashed tag path (tags, classes, ids and roles of all open elements, and
+A page becomes the sequence of its leaf blocks: runs of text between block-level tags, inline tags (formulas
+and drawings among them) being part of them. Only what a browser never shows as text is left out by rule: the
+contents of script, style, template, title, textarea and iframe elements, if they end, and comments; all else
+is judged by the network. Each block is a vector of its hashed tag path (tags, classes, ids and roles of all open elements, and
 of the nearest one again), its hashed words and a few measures (length, share of links, digits, sentence
 ends). A bidirectional LSTM in numpy reads the blocks of a whole page in both directions, so a block is judged
 by all of the page, and those labelled main are joined in page order. The network is trained on the driver,
 on TRAINING_PAGES generated pages of many layouts whose blocks are labelled; no row of the corpus is used.
 
-Edge cases: a null or empty page, or one without text, gives an empty text; broken markup is read as far as
-it goes (open elements end with the page, ends without a start are skipped); repeated rows give equal rows; an
-empty table gives an empty result; columns other than page_id, url and html are ignored.
+Edge cases: a null or empty page, or one without text, gives an empty text; pages of any length are read whole;
+broken markup is read as far as it goes (open elements end with the page, ends without a start are skipped, and
+a script or another raw element without an end hides nothing behind its start tag); a block at a probability
+of exactly one half is main text; repeated rows give equal rows, also under one page_id; an empty table gives
+an empty result; columns other than page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from veritill.sources.shipping import ship
-
-from .textops import Words, span_hashes
+from .textops import Words, in_arrow, span_hashes
 
 TRAINING_PAGES = 700
 EPOCHS = 8
@@ -41,11 +43,15 @@ TOGETHER, TOGETHER_BLOCKS = 64, 20_000
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 TOKEN = re.compile(r"[a-z]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mtable mtr mtd semantics annotation "
+    "svg g path circle rect line polyline polygon ellipse text tspan defs use lineargradient stop".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math textarea title select object canvas audio video".split())
+RAW = frozenset("script style template iframe textarea title".split())
 #: A start tag of the key ends an open element of these, if it is the innermost.
-ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
+ENDS = {"li": ("li", "p"), "option": ("option",), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 _ids: dict[str, int] = {}
@@ -111,9 +117,9 @@ def blocks(html: str) -> list[Block]:
                 parts.append(" ")
             continue
         if tag in RAW and not closing:
-            if not rest.endswith("/"):
-                over = _RAW_END[tag].search(html, at)
-                at = over.end() if over else n
+            over = None if rest.endswith("/") else _RAW_END[tag].search(html, at)
+            if over:
+                at = over.end()
             if tag != "title":
                 parts.append(" ")
             continue
@@ -330,13 +336,34 @@ def sample_page(r: random.Random) -> tuple[str, list[int]]:
         out.append(r.choice(["<form>", '<form class="newsletter">', '<form id="search">']))
         block("<label>", short(), 0)
         out.append('<input type="text">')
+        if r.random() < 0.3:
+            choices()
         block("<button>", short(), 0)
         out.append("</form>")
 
+    def fallback(label: int) -> None:
+        """What stands in for something that a browser may not show."""
+        tag = r.choice(["noscript", "object", "video", "audio", "canvas"])
+        out.append(f"<{tag}>")
+        if label:
+            block("<p>", text(8, 60), 1)
+        else:
+            labels.append(0)
+            out.append(r.choice(["Please enable JavaScript to view this page.", "Your browser does not support this.", short(), text(3, 12)]))
+        out.append(f"</{tag}>")
+
+    def choices() -> None:
+        out.append('<select name="x">')
+        for _ in range(r.randint(2, 6)):
+            block("<option>", text(1, 3), 0)
+        out.append("</select>")
+
     def paragraph(tag: str = "<p>") -> None:
         body = text(1, 3) if r.random() < 0.12 else text(5, 80)
         if r.random() < 0.3:
             body = f"<{(t := r.choice(['b', 'em', 'a']))}>{text(1, 6)}</{t}> {body}" if r.random() < 0.7 else f"<b>{body}<br>"
+        if r.random() < 0.03:
+            body += " <math><mi>x</mi><mo>=</mo><mn>2</mn></math> " + text(2, 9) if r.random() < 0.6 else " <svg><text>" + text(1, 3) + "</text></svg> " + text(2, 9)
         block(tag, body, 1)
 
     out.append(f"<!DOCTYPE html><html><head><title>{text(2, 8)}</title><script>var x='<p>';</script></head><body>")
@@ -357,6 +384,10 @@ def sample_page(r: random.Random) -> tuple[str, list[int]]:
             form()
         else:
             aside(_NOTICE if part == "notice" else _AD, 3, 25)
+    if r.random() < 0.08:
+        fallback(0)
+    if r.random() < 0.05:
+        choices()
     if r.random() < 0.15:
         aside(_SIDE, 5, 50)
     out.append(opening := r.choice(_MAIN))
@@ -380,6 +411,22 @@ def sample_page(r: random.Random) -> tuple[str, list[int]]:
             aside(_AD, 3, 25)
         elif x < 0.14:
             block(r.choice(['<div class="share">', '<div class="social">']), short(), 0)
+        elif x < 0.15:
+            fallback(int(r.random() < 0.5))
+        elif x < 0.165:
+            block("<pre>", text(5, 40), 1)
+        elif x < 0.18:
+            out.append("<figure><img>")
+            block("<figcaption>", text(2, 15), 1)
+            out.append("</figure>")
+        elif x < 0.195:
+            out.append("<table>")
+            for _ in range(r.randint(2, 4)):
+                out.append("<tr>")
+                for _ in range(r.randint(2, 3)):
+                    block("<td>", text(1, 6), 1)
+                out.append("</tr>")
+            out.append("</table>")
         else:
             paragraph(style)
     out.append(close(opening))
@@ -490,16 +537,14 @@ def _blocks(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 def extract(pages: DataFrame, net: Network | None = None) -> DataFrame:
     """Per row of pages: page_id, url, the main text, its length, and how many blocks the page has and kept."""
-    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(net or train())
-    return pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(_extract(shared), RESULT)
+    return in_arrow(pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html"), _extract(shared), RESULT)
 
 
 def labelled_blocks(pages: DataFrame, net: Network | None = None) -> DataFrame:
     """Every block of every page, with the probability that it is main text."""
-    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(net or train())
-    return pages.selectExpr("cast(page_id as bigint) page_id", "cast(html as string) html").mapInArrow(_blocks(shared), BLOCKS)
+    return in_arrow(pages.selectExpr("cast(page_id as bigint) page_id", "cast(html as string) html"), _blocks(shared), BLOCKS)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
