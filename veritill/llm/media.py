@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import webp
-from .textops import documents
+from .textops import documents, in_arrow
 
 ROW = 576
 TAIL = 32
@@ -93,13 +93,13 @@ def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(df: DataFrame, id_column: str, payload_column: str) -> DataFrame:
     """(id, media) per row: each binary payload, padded to whole rows, as lossless WebP; null stays null."""
-    return df.selectExpr(f"cast(`{id_column}` as bigint) id", f"cast(`{payload_column}` as binary) payload").mapInArrow(_store, "id bigint, media binary")
+    return in_arrow(df.selectExpr(f"cast(`{id_column}` as bigint) id", f"cast(`{payload_column}` as binary) payload"), _store, "id bigint, media binary")
 
 
 def pixels(df: DataFrame, id_column: str, media_column: str) -> DataFrame:
     """(id, image, height, width, argb) per image of each row: pixels as little-endian 32-bit ARGB."""
-    return df.selectExpr(f"cast(`{id_column}` as bigint) id", f"`{media_column}` media").mapInArrow(_pixels, "id bigint, image int, height int, width int, argb binary")
+    return in_arrow(df.selectExpr(f"cast(`{id_column}` as bigint) id", f"`{media_column}` media"), _pixels, "id bigint, image int, height int, width int, argb binary")
 
 
 def op8_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(_round_trip, RESULT)
+    return in_arrow(documents(spark, sf_dir).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), _round_trip, RESULT)

@@ -1,15 +1,21 @@
 """Lossless WebP in numpy: a reader of the whole lossless format and a writer that can use each of its tools.
 
 The reader decodes prefix codes (simple and normal, one or many groups), back-references and the colour
-cache, and inverts the predictor, cross-colour, subtract-green and palette transforms. Images whose only
-varying channel is green and that hold literals only, as the writer makes for 8-bit samples, are decoded
-from a table of the code at every bit position; all others symbol by symbol.
+cache, and inverts the predictor, cross-colour, subtract-green and palette transforms. Images in which green
+alone varies, as the writer makes of 8-bit samples, are decoded in stretches: the symbol, reference and length
+that would begin at every bit are tabled at once, the bits at which one really begins follow by hops of
+eight, and only copies run one by one. All other images are decoded symbol by symbol.
+
+The writer picks its tools per image. Samples go through a palette or, where that leaves less entropy, the
+predictor, and take back-references where they cost fewer bits than literals; a colour cache and the
+cross-colour transform gain nothing in one channel, and are weighed by `encode_smallest` for whole pixels.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -62,14 +68,11 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
 def codes_of(lengths: np.ndarray) -> np.ndarray:
     """The canonical code of each symbol with its bits reversed, as they stand in the stream."""
     codes = np.zeros(len(lengths), np.int64)
-    order = np.lexsort((np.arange(len(lengths)), lengths))
-    order = order[lengths[order] > 0]
-    code = last = 0
-    for k, n in zip(order.tolist(), lengths[order].tolist(), strict=True):
-        code <<= n - last
-        last = n
-        codes[k] = int(format(code, f"0{n}b")[::-1], 2)
-        code += 1
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    spans = 1 << (15 - lengths[order])
+    # a code, filled up to 15 bits, is the space of the codes before it
+    codes[order] = _reversed(15)[(np.cumsum(spans) - spans) & 0x7FFF]
     return codes
 
 
@@ -82,21 +85,26 @@ class Code:
         if len(used) == 0:
             self.only = 0
         if self.only >= 0:
-            self.bits, self.symbol, self.length = 0, np.array([self.only]), np.zeros(1, np.int64)
+            self.bits, self.symbol, self.length = 0, np.array([self.only], np.int32), np.zeros(1, np.int32)
             return
         if int((1 << (15 - lengths[used])).sum()) != 1 << 15:
             raise ValueError("a prefix code is not complete")
         self.bits = int(lengths[used].max())
         size = 1 << self.bits
         # canonical codes in order fill the table of unreversed bits from the left
-        order = used[np.lexsort((used, lengths[used]))]
+        order = used[np.argsort(lengths[used], kind="stable")]
         spans = 1 << (self.bits - lengths[order])
         back = _reversed(self.bits)
-        self.symbol, self.length = np.empty(size, np.int64), np.empty(size, np.int64)
+        self.symbol, self.length = np.empty(size, np.int32), np.empty(size, np.int32)
         self.symbol[back] = np.repeat(order, spans)
         self.length[back] = np.repeat(lengths[order], spans)
 
 
+@lru_cache(256)
+def _single(symbol: int) -> Code:
+    return Code(np.bincount([symbol], minlength=symbol + 1))
+
+
 _reversals: dict[int, np.ndarray] = {}
 
 
@@ -159,7 +167,7 @@ def packed(values: np.ndarray, sizes: np.ndarray) -> bytes:
     at = at[:-1]
     spread = values.astype(np.int64) << (at & 7)
     k = at >> 3
-    out = np.bincount(k, spread & 255, n + 2) + np.bincount(k + 1, (spread >> 8) & 255, n + 2) + np.bincount(k + 2, spread >> 16, n + 2)
+    out = np.bincount(k, spread & 255, n + 3) + np.bincount(k + 1, (spread >> 8) & 255, n + 3) + np.bincount(k + 2, spread >> 16, n + 3)
     return out[:n].astype(np.uint8).tobytes()
 
 
@@ -170,9 +178,11 @@ def read_code(r: Reader, alphabet: int) -> Code:
     lengths = np.zeros(alphabet, np.int64)
     if r.read(1):
         two = r.read(1)
-        lengths[r.read(8 if r.read(1) else 1)] = 1
-        if two:
-            lengths[r.read(8)] = 1
+        symbol = r.read(8 if r.read(1) else 1)
+        lengths[symbol] = 1
+        if not two:
+            return _single(symbol)
+        lengths[r.read(8)] = 1
         return Code(lengths)
     own = np.zeros(19, np.int64)
     for k in LENGTH_ORDER[: 4 + r.read(4)]:
@@ -181,20 +191,31 @@ def read_code(r: Reader, alphabet: int) -> Code:
     left = alphabet
     if r.read(1):
         left = 2 + r.read(2 + 2 * r.read(3))
-    k, before = 0, 8
-    while k < alphabet and left:
+    # at most 14 bits a length: the whole list from one number
+    first, symbols, sizes = r.at, code.symbol.tolist(), code.length.tolist()
+    bits = int.from_bytes(r.data[first >> 3 : (first + 14 * alphabet + 15) >> 3], "little") >> (first & 7)
+    mask = (1 << code.bits) - 1
+    out, before, used = [], 8, 0
+    while len(out) < alphabet and left:
         left -= 1
-        s = r.symbol(code)
+        v = bits & mask
+        s, n = symbols[v], sizes[v]
+        bits >>= n
+        used += n
         if s < 16:
-            lengths[k] = s
-            k += 1
+            out.append(s)
             before = s or before
             continue
-        n, v = (3 + r.read(2), before) if s == 16 else (3 + r.read(3), 0) if s == 17 else (11 + r.read(7), 0)
-        if k + n > alphabet:
-            raise ValueError("too many code lengths")
-        lengths[k : k + n] = v
-        k += n
+        n, least, fill = ((2, 3, before), (3, 3, 0), (7, 11, 0))[s - 16]
+        out += [fill] * (least + (bits & ((1 << n) - 1)))
+        bits >>= n
+        used += n
+    r.at += used
+    if len(out) > alphabet:
+        raise ValueError("too many code lengths")
+    if r.at > r.end:
+        raise ValueError("the image ends too early")
+    lengths[: len(out)] = out
     return Code(lengths)
 
 
@@ -212,37 +233,106 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-def _literals(r: Reader, codes: list[Code], n: int) -> np.ndarray | None:
-    """Pixels of an image in which green literals alone vary; None if it holds anything else."""
-    green, *rest = codes
-    if any(c.only < 0 for c in rest[:3]):
+@lru_cache(64)
+def _near(width: int) -> np.ndarray:
+    """The distance of each short code, from code 1."""
+    return np.array([max(1, x + y * width) for x, y in NEIGHBOURS])
+
+
+def _extra(prefix: np.ndarray) -> np.ndarray:
+    """How many bits follow a prefix."""
+    return np.where(prefix < 4, 0, (prefix - 2) >> 1)
+
+
+def _values(prefix: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The lengths or distance codes of prefixes and the bits behind them."""
+    n = _extra(prefix)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + (bits & ((1 << n) - 1)) + 1)
+
+
+#: Bytes decoded together, and how many more one token may reach into.
+STRETCH, MARGIN = 1 << 17, 16
+
+
+def _green_pixels(r: Reader, codes: list[Code], n: int, width: int) -> np.ndarray | None:
+    """Pixels of an image in which green alone varies, without a colour cache; None if it isn't one."""
+    green, *rest, far = codes
+    if any(c.only < 0 for c in rest):
         return None
     base = (rest[2].only << 24) | (rest[0].only << 16) | rest[1].only
     if green.only >= 0:
         return np.full(n, base | (green.only << 8), np.uint32) if green.only < 256 else None
-    first = r.at >> 3
-    data = np.frombuffer(r.data, np.uint8)[first : first + ((r.at & 7) + 15 * n + 7 >> 3)].astype(np.uint32)
-    wide = np.zeros(len(data) + 2, np.uint32)
-    wide[: len(data)] = data
-    words = wide[:-2] | (wide[1:-1] << 8) | (wide[2:] << 16)
-    ahead = ((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.bits) - 1)).reshape(-1)
-    step = green.length.astype(np.uint8)[ahead].tobytes()
-    at = r.at - 8 * first
-    stops = []
-    add = stops.append
-    try:
-        for _ in range(n):
-            add(at)
-            at += step[at]
-    except IndexError:
-        raise ValueError("the image ends too early") from None
-    symbols = green.symbol[ahead[stops]]
-    if at + 8 * first > r.end:
+    every = np.frombuffer(r.data + bytes(MARGIN), np.uint8)
+    out = np.zeros(n, np.uint8)
+    done, at = 0, r.at
+    references = bool((green.symbol >= 256).any())
+    while done < n:
+        first = at >> 3
+        data = every[first : first + min(STRETCH, 8 * (n - done) + 8) + MARGIN].astype(np.uint32)
+        if len(data) <= MARGIN:
+            raise ValueError("the image ends too early")
+        words = data[:-3] | (data[1:-2] << 8) | (data[2:-1] << 16) | (data[3:] << 24)
+        ahead = (words[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)  # 25 bits from every bit
+        peek = ahead & np.uint32((1 << green.bits) - 1)
+        symbol, length = green.symbol[peek], green.length[peek]
+        top, limit = len(ahead) - 1, 8 * (len(data) - MARGIN)
+        after = np.arange(top + 1, dtype=np.int32) + length
+        if references:
+            begins = np.flatnonzero(symbol >= 256)
+            bits = np.minimum(after[begins], top)
+            behind = np.minimum(bits + _extra(symbol[begins] - 256), top)
+            peek = ahead[behind] & np.uint32((1 << far.bits) - 1)
+            after[begins] = behind + far.length[peek] + _extra(far.symbol[peek])
+        hop = np.minimum(after, top)
+        two = hop[hop]
+        four = two[two]
+        eight = memoryview(four[four])
+        p, heads = at - 8 * first, []
+        add = heads.append
+        left = n - done
+        while p < limit and len(heads) * 8 < left:
+            add(p)
+            p = eight[p]
+        tokens = np.empty((len(heads), 8), np.int32)
+        tokens[:, 0] = heads
+        tokens[:, 1] = hop[tokens[:, 0]]
+        tokens[:, 2:4] = two[tokens[:, :2]]
+        tokens[:, 4:] = four[tokens[:, :4]]
+        tokens = tokens.reshape(-1)
+        tokens = tokens[: np.searchsorted(tokens, limit)]
+        kind = symbol[tokens]
+        copies = np.flatnonzero(kind >= 256)
+        run = np.ones(len(tokens), np.int64)
+        if len(copies):
+            prefix, bits = kind[copies] - 256, tokens[copies] + length[tokens[copies]]
+            run[copies] = _values(prefix, ahead[bits].astype(np.int64))
+        ends = done + np.cumsum(run)
+        many = int(np.searchsorted(ends, n)) + 1
+        tokens, kind, run, ends = tokens[:many], kind[:many], run[:many], ends[:many]
+        begin = ends - run
+        if int(ends[-1]) > n:
+            raise ValueError("a reference leaves the image")
+        plain = kind < 256
+        out[begin[plain]] = kind[plain]
+        copies = copies[: np.searchsorted(copies, many)]
+        if len(copies):
+            prefix = kind[copies] - 256
+            behind = np.minimum(tokens[copies] + length[tokens[copies]] + _extra(prefix), top)
+            peek = ahead[behind] & np.uint32((1 << far.bits) - 1)
+            bits = np.minimum(behind + far.length[peek], top)
+            back = _values(far.symbol[peek], ahead[bits].astype(np.int64))
+            near = _near(width)
+            back = np.where(back > len(near), back - len(near), near[np.minimum(back, len(near)) - 1])
+            if (back > begin[copies]).any():
+                raise ValueError("a reference leaves the image")
+            pixels = memoryview(out)
+            for k, m, d in zip(begin[copies].tolist(), run[copies].tolist(), back.tolist(), strict=True):
+                pixels[k : k + m] = pixels[k - d : k - d + m] if d >= m else (bytes(pixels[k - d : k]) * (m // d + 1))[:m]
+        done, at = int(ends[-1]), 8 * first + int(after[tokens[-1]])
+    if at > r.end:
         raise ValueError("the image ends too early")
-    if symbols.max(initial=0) > 255:
-        return None
-    r.at = at + 8 * first
-    return (symbols << 8).astype(np.uint32) | np.uint32(base)
+    r.at = at
+    return (out.astype(np.uint32) << 8) | np.uint32(base)
 
 
 def read_pixels(r: Reader, width: int, height: int, outer: bool) -> np.ndarray:
@@ -256,7 +346,7 @@ def read_pixels(r: Reader, width: int, height: int, outer: bool) -> np.ndarray:
         groups = int(entropy.max()) + 1
     sets = [[read_code(r, k) for k in (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(groups)]
     n = width * height
-    if groups == 1 and not cache_bits and (plain := _literals(r, sets[0], n)) is not None:
+    if groups == 1 and not cache_bits and (plain := _green_pixels(r, sets[0], n, width)) is not None:
         return plain
     out, cache, done = [0] * n, [0] * (1 << cache_bits), 0
     k = x = y = 0
@@ -320,33 +410,56 @@ def joined(c: np.ndarray) -> np.ndarray:
     return (c[..., 0] << 24) | (c[..., 1] << 16) | (c[..., 2] << 8) | c[..., 3]
 
 
-def _prediction(out: np.ndarray, y: int, x: int, width: int, mode: int) -> np.ndarray:
-    """out: pixels by position, channels last."""
-    k = y * width + x
-    if k == 0:
-        return np.array([255, 0, 0, 0])
-    if y == 0:
-        return out[k - 1]
-    if x == 0:
-        return out[k - width]
-    return predicted(mode, out[k - 1], out[k - width], out[k - width + 1], out[k - width - 1])
+def _take_predictions(c: np.ndarray, width: int, height: int, bits: int, modes: np.ndarray) -> np.ndarray:
+    """Residuals of the pixels (channels last): all neighbours are known, so each mode is one step."""
+    across = (width + (1 << bits) - 1) >> bits
+    own = modes[((np.arange(height) >> bits)[:, None] * across + (np.arange(width) >> bits)[None]).reshape(-1)]
+    before = lambda k: np.concatenate([np.zeros((min(k, len(c)), 4), np.int64), c[: max(0, len(c) - k)]])
+    left, top, right, corner = before(1), before(width), before(max(1, width - 1)) if width > 1 else c, before(width + 1)
+    p = np.empty_like(c)
+    for mode in np.unique(own):
+        at = np.flatnonzero(own == mode)
+        p[at] = predicted(int(mode), left[at], top[at], right[at], corner[at])
+    x = np.arange(len(c)) % width
+    p[x == 0] = top[x == 0]
+    p[:width] = left[:width]
+    p[0] = (255, 0, 0, 0)
+    return c - p
+
+
+#: Modes whose prediction doesn't need the pixel on the left.
+_FREE = frozenset((0, 2, 3, 4, 8, 9))
+
+
+def _add_predictions(c: np.ndarray, width: int, height: int, bits: int, modes: np.ndarray) -> np.ndarray:
+    """Pixels from residuals, row by row: at once where the left pixel isn't needed or is all that is, else one by one."""
+    across = (width + (1 << bits) - 1) >> bits
+    out = np.zeros_like(c)
+    out[:width] = np.cumsum(c[:width], axis=0)
+    out[:width, 0] += 255
+    out[:width] &= 255
+    for y in range(1, height):
+        k = y * width
+        out[k] = (c[k] + out[k - width]) & 255
+        x = 1
+        while x < width:
+            mode = int(modes[(y >> bits) * across + (x >> bits)])
+            end = min(width, ((x >> bits) + 1) << bits)
+            a, b = k + x, k + end
+            if mode in _FREE or mode > 13:
+                out[a:b] = (c[a:b] + predicted(mode, out[a:b], out[a - width : b - width], out[a - width + 1 : b - width + 1], out[a - width - 1 : b - width - 1])) & 255
+            elif mode == 1:
+                out[a:b] = (out[a - 1] + np.cumsum(c[a:b], axis=0)) & 255
+            else:
+                for j in range(a, b):
+                    out[j] = (c[j] + predicted(mode, out[j - 1], out[j - width], out[j - width + 1], out[j - width - 1])) & 255
+            x = end
+    return out
 
 
 def _apply_predictor(pixels: np.ndarray, width: int, height: int, bits: int, modes: np.ndarray, back: bool) -> np.ndarray:
     """Adds predictions to residuals (back), or takes them from pixels."""
-    c = channels(pixels)
-    across = (width + (1 << bits) - 1) >> bits
-    out = c if not back else np.zeros_like(c)
-    residual = np.zeros_like(c)
-    for y in range(height):
-        for x in range(width):
-            k = y * width + x
-            p = _prediction(out, y, x, width, int(modes[(y >> bits) * across + (x >> bits)]))
-            if back:
-                out[k] = (c[k] + p) & 255
-            else:
-                residual[k] = c[k] - p
-    return joined(out if back else residual)
+    return joined((_add_predictions if back else _take_predictions)(channels(pixels), width, height, bits, modes))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -422,6 +535,12 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
 # ---- writing
 
 
+def write_single(w: Writer, symbol: int) -> None:
+    """The code of one symbol, which takes no bits."""
+    for value, n in ((1, 1), (0, 1), (int(symbol > 1), 1), (symbol, 8 if symbol > 1 else 1)):
+        w.put(value, n)
+
+
 def write_code(w: Writer, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths).tolist()
     if len(used) <= 2 and (not used or used[-1] < 256):
@@ -608,14 +727,159 @@ def encode(argb: np.ndarray, predictor: tuple[int, np.ndarray] | None = None, cr
     return _file(w)
 
 
+def _entropy(counts: np.ndarray) -> float:
+    """Bits that symbols of these counts take at least."""
+    counts = counts[counts > 0]
+    return float((counts * np.log2(counts.sum() / counts)).sum()) if len(counts) else 0.0
+
+
+#: The shortest copy worth a reference (as long as a 64-bit key), the longest that one reference holds, and the farthest it reaches.
+SHORTEST, LONGEST, FARTHEST = 8, 4096, (1 << 20) - 120
+
+
+def _repeats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose next SHORTEST samples stood before, in order, and the last place where they did."""
+    n = len(x) - SHORTEST + 1
+    keys = np.ndarray(n, np.uint64, np.ascontiguousarray(x), strides=(1,)).copy()
+    if n <= 1 << 20:
+        # one fast sort of hashes with their places in the low bits; what a hash confuses is dropped
+        place = np.sort((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20) << np.uint64(20) | np.arange(n, dtype=np.uint64))
+        order = (place & np.uint64((1 << 20) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
+    own = keys[order]
+    same = np.flatnonzero(own[1:] == own[:-1])
+    before = np.full(n, -1)
+    before[order[same + 1]] = order[same]
+    later = np.flatnonzero(before >= 0)
+    return later, before[later]
+
+
+def matches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where, how long and how far back: copies of at least SHORTEST samples, as long as they keep their distance."""
+    none = np.zeros(0, np.int64)
+    if len(x) <= SHORTEST:
+        return none, none, none
+    later, earlier = _repeats(x)
+    back = later - earlier
+    ok = back <= FARTHEST
+    later, back = later[ok], back[ok]
+    if not len(later):
+        return none, none, none
+    # places in a row with one distance are one copy, which from each of them reaches to its end
+    last = np.append(np.flatnonzero((np.diff(later) != 1) | (np.diff(back) != 0)), len(later) - 1)
+    run = np.minimum(later[last[np.searchsorted(last, np.arange(len(later)))]] - later + SHORTEST, LONGEST)
+    following = memoryview(np.searchsorted(later, later + run))
+    chosen, k = [], 0
+    while k < len(later):
+        chosen.append(k)
+        k = following[k]
+    return later[chosen], run[chosen], back[chosen]
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, extra bits' value, their number) of lengths or distance codes."""
+    v = np.maximum(values - 1, 1)
+    high = np.frexp(v.astype(float))[1] - 1
+    small = values <= 4
+    size = np.where(small, 0, high - 1)
+    return np.where(small, values - 1, 2 * high + ((v >> np.maximum(high - 1, 0)) & 1)), np.where(small, 0, v & ((1 << size) - 1)), size
+
+
+def _distance_codes(back: np.ndarray, width: int) -> np.ndarray:
+    near = _near(width)
+    own, first = np.unique(near, return_index=True)
+    k = np.minimum(np.searchsorted(own, back), len(own) - 1)
+    return np.where(own[k] == back, first[k] + 1, back + len(near))
+
+
+def write_greens(w: Writer, x: np.ndarray, width: int, alpha: int = 255) -> tuple[np.ndarray, np.ndarray]:
+    """The outer image, of green values alone: its codes into w, and its data, (values, sizes), to follow them."""
+    w.put(0, 1)  # no colour cache
+    w.put(0, 1)  # one group of codes
+    counts = np.bincount(x, minlength=280)
+    at, run, back = matches(x)
+    symbols = x.astype(np.int64)
+    lengths, far, begins = None, np.zeros(40, np.int64), np.zeros(0, np.int64)
+    if len(at):
+        edges = np.zeros(len(x) + 1, np.int64)
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + run, -1)
+        literal = np.cumsum(edges[:-1]) == 0
+        (size_code, size_bits, size_n), (far_code, far_bits, far_n) = _prefixes(run), _prefixes(_distance_codes(back, width))
+        symbols = symbols.copy()
+        symbols[at] = 256 + size_code
+        literal[at] = True
+        begins = np.flatnonzero(literal)
+        symbols = symbols[begins]
+        shorter = np.bincount(symbols, minlength=280)
+        far = np.bincount(far_code, minlength=40)
+        if _entropy(shorter) + _entropy(far) + float(size_n.sum() + far_n.sum()) + 200 < _entropy(counts):
+            counts = shorter
+        else:
+            symbols, far, at = x.astype(np.int64), np.zeros(40, np.int64), at[:0]
+    lengths, far_lengths = code_lengths(counts, 15), code_lengths(far, 15)
+    write_code(w, lengths)
+    for only in (0, 0, alpha):
+        write_single(w, only)
+    if len(at):
+        write_code(w, far_lengths)
+    else:
+        write_single(w, 0)
+    several = np.count_nonzero(lengths) > 1
+    values = codes_of(lengths)[symbols] if several else np.zeros(len(symbols), np.int64)
+    sizes = lengths[symbols] if several else np.zeros(len(symbols), np.int64)
+    if not len(at):
+        return (values, sizes) if several else (values[:0], sizes[:0])
+    # behind each length symbol: its bits, the distance symbol and its bits
+    place = np.searchsorted(begins, at)
+    own = np.count_nonzero(far_lengths) > 1
+    columns = [(size_bits, size_n), (codes_of(far_lengths)[far_code], far_lengths[far_code] if own else np.zeros(len(at), np.int64)), (far_bits & 0xFFFF, np.minimum(far_n, 16)), (far_bits >> 16, np.maximum(far_n - 16, 0))]
+    where = np.repeat(place + 1, 4)
+    return np.insert(values, where, np.stack([c[0] for c in columns], 1).reshape(-1)), np.insert(sizes, where, np.stack([c[1] for c in columns], 1).reshape(-1))
+
+
+def _finished(w: Writer, values: np.ndarray, sizes: np.ndarray) -> bytes:
+    body = packed(np.concatenate([np.array(w.values, np.int64), values]), np.concatenate([np.array(w.sizes, np.int64), sizes]))
+    body += b"\0" * (len(body) & 1)
+    return b"RIFF" + struct.pack("<I", len(body) + 12) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
+
+
+#: Blocks of 2**5 pixels share a mode of the predictor, one of these for samples.
+MODE_BITS, MODES = 5, (1, 2, 3, 4, 8, 9)
+
+
+def best_modes(argb: np.ndarray, bits: int = MODE_BITS, modes: tuple[int, ...] = MODES) -> np.ndarray:
+    """The mode of each block that leaves the smallest residuals."""
+    height, width = argb.shape
+    across, down = (width + (1 << bits) - 1) >> bits, (height + (1 << bits) - 1) >> bits
+    block = ((np.arange(height) >> bits)[:, None] * across + (np.arange(width) >> bits)[None]).reshape(-1)
+    c = channels(argb.reshape(-1))
+    costs = [np.bincount(block, np.abs(_signed(_take_predictions(c, width, height, bits, np.full(across * down, m)))).sum(-1), across * down) for m in modes]
+    return np.array(modes)[np.argmin(costs, axis=0)].reshape(down, across)
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
-    """The file of 8-bit samples (height, width): green values through a palette of those that occur."""
+    """The file of 8-bit samples (height, width) as green values, by the palette of those that occur or by the predictor."""
     height, width = samples.shape
     flat = samples.reshape(-1)
     counts = np.bincount(flat, minlength=256)
-    table = np.flatnonzero(counts)
     w = _header(width, height)
     w.put(1, 1)
+    plain = _entropy(counts)
+    steps = [np.bincount(np.diff(samples, axis=k).reshape(-1), minlength=256) for k in (0, 1)]
+    if min(_entropy(steps[0]) + 8 * width, _entropy(steps[1]) + 8 * height) + 400 < 0.9 * plain:
+        argb = (samples.astype(np.uint32) << 8) | np.uint32(0xFF000000)
+        modes = best_modes(argb)
+        w.put(PREDICTOR, 2)
+        w.put(MODE_BITS - 2, 3)
+        write_pixels(w, modes.reshape(-1).astype(np.uint32) << 8, modes.shape[1], False)
+        residual = _apply_predictor(argb.reshape(-1), width, height, MODE_BITS, modes.reshape(-1), False)
+        w.put(0, 1)
+        # alpha is predicted in full: its residual is 0
+        greens = ((residual >> 8) & 255).astype(np.uint8)
+        return _finished(w, *write_greens(w, greens, width, alpha=0))
+    table = np.flatnonzero(counts)
     w.put(PALETTE, 2)
     w.put(len(table) - 1, 8)
     step = np.zeros(len(table), np.uint32)
@@ -623,26 +887,42 @@ def encode_samples(samples: np.ndarray) -> bytes:
     step[0] |= np.uint32(0xFF000000)
     write_pixels(w, step, len(table), False)
     bits = _bundle_bits(len(table))
-    place = np.zeros(256, np.int64)
+    place = np.zeros(256, np.uint8)
     place[table] = np.arange(len(table))
-    index = place[flat]
+    index, now = place[flat], width
     if bits:
         now = (width + (1 << bits) - 1) >> bits
         wide = np.zeros((height, now << bits), np.int64)
         wide[:, :width] = index.reshape(height, width)
-        index = (wide.reshape(height, now, 1 << bits) << ((8 >> bits) * np.arange(1 << bits))).sum(-1).reshape(-1)
+        index = (wide.reshape(height, now, 1 << bits) << ((8 >> bits) * np.arange(1 << bits))).sum(-1).reshape(-1).astype(np.uint8)
     w.put(0, 1)  # no more transforms
-    w.put(0, 1)  # no colour cache
-    w.put(0, 1)  # one group of codes
-    lengths = code_lengths(np.bincount(index, minlength=280), 15)
-    write_code(w, lengths)
-    for only in (0, 0, 255, 0):
-        alone = np.zeros(256, np.int64)
-        alone[only] = 1
-        write_code(w, alone)
-    values, sizes = np.array(w.values, np.int64), np.array(w.sizes, np.int64)
-    if np.count_nonzero(lengths) > 1:
-        values, sizes = np.concatenate([values, codes_of(lengths)[index]]), np.concatenate([sizes, lengths[index]])
-    body = packed(values, sizes)
-    body += b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", len(body) + 12) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
+    return _finished(w, *write_greens(w, index, now))
+
+
+def cross_elements(argb: np.ndarray, bits: int = MODE_BITS) -> np.ndarray:
+    """For each block the multipliers, by least squares, that take green out of red, and green and red out of blue."""
+    height, width = argb.shape
+    across, down = (width + (1 << bits) - 1) >> bits, (height + (1 << bits) - 1) >> bits
+    out = np.zeros((down, across, 4), np.int64)
+    out[..., 0] = 255
+    c = _signed(channels(argb))
+    for y in range(down):
+        for x in range(across):
+            red, green, blue = (c[y << bits : (y + 1) << bits, x << bits : (x + 1) << bits, k].reshape(-1).astype(float) for k in (1, 2, 3))
+            out[y, x, 3] = np.clip(round(32 * float(green @ red) / (float(green @ green) + 1)), -128, 127)
+            out[y, x, 2] = np.clip(round(32 * float(green @ blue) / (float(green @ green) + 1)), -128, 127)
+    return joined(out)
+
+
+def encode_smallest(argb: np.ndarray) -> bytes:
+    """The smallest of the files of an ARGB image that the writer's tools make, alone and together."""
+    tools: list[dict] = [{}, {"subtract_green": True}]
+    if len(np.unique(argb)) <= 256:
+        tools.append({"palette": True})
+    else:
+        modes = (MODE_BITS, best_modes(argb, modes=tuple(range(1, 14))))
+        tools += [{"predictor": modes}, {"predictor": modes, "subtract_green": True}]
+        residual = _apply_predictor(argb.reshape(-1).astype(np.uint32), argb.shape[1], argb.shape[0], MODE_BITS, modes[1].reshape(-1), False)
+        tools.append({"predictor": modes, "cross": (MODE_BITS, cross_elements(residual.reshape(argb.shape)))})
+    files = [encode(argb, **t, **coding) for t in tools for coding in ({}, {"references": True}, {"references": True, "cache_bits": 6})]
+    return min(files, key=len)
