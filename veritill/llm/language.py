@@ -1,15 +1,17 @@
 """Operator 10: language identification by prediction by partial matching.
 
 For each language a context tree of bytes up to order 4 is counted on a bounded sample of its documents
-(the TRAINING_DOCS of each language that come first by a hash of their ids). A text's code length under the
-frozen counts is exact: in the longest context that was seen, a byte that followed it costs -log2(c/(n+d)),
-any other byte the escape -log2(d/(n+d)) plus its cost one byte shorter, down to even odds of all bytes. The
-trees share one set of nodes, whose costs per byte and language are tabled once, so scoring is a walk to
-each byte's context and one table row. The language with the shortest code is predicted.
+(the TRAINING_DOCS of each language that come first by a hash of their ids), each of them read whole. A text's
+code length under the frozen counts is exact: in the longest context that was seen, a byte that followed it
+costs -log2(c/(n+d)), any other byte the escape -log2(d/(n+d)) plus its cost one byte shorter, down to even
+odds of all bytes. The trees share one set of nodes, whose costs per byte and language are tabled once, so
+scoring is a walk to each byte's context and one table row. The language with the shortest code is predicted.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; with no document to learn from,
-every text is `und`; repeated rows give equal rows; an empty table gives an empty result; columns other
-than doc_id, text and lang are ignored.
+every text is `und`; a text of any length is read whole, in slices; languages whose codes tie go by the order
+of their names; repeated rows give equal rows, and several texts under one id are scored apart (for training,
+the least of them per language); an empty table gives an empty result; columns other than doc_id, text and
+lang are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import contexts as C
-from .textops import LOWER, buffers, crc_mod, documents, slices
+from .textops import LOWER, buffers, crc_mod, documents, in_arrow, scratch, slices, stored
 
 ORDER = 4
 TRAINING_DOCS = 250
-#: Bytes of a training document that count, in pieces spread over the whole of it.
-TRAINING_BYTES = 20_000
-#: Contexts seen less often, over all languages, are not made into nodes.
-LEAST = 6
+#: Most chosen documents whose ids are broadcast; more (of over 4,000 languages) are joined by a shuffle.
+BROADCAST_DOCS = 1_000_000
 FOLDS = 5
 #: Bits of code length weigh this much in the score.
 TEMPER = 0.2
@@ -54,7 +54,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(texts: list[tuple[str, bytes]], order: int = ORDER, least: int = LEAST) -> Model:
+def train(texts: list[tuple[str, bytes]], order: int = ORDER) -> Model:
     names = sorted({lang for lang, _ in texts})
     counted = []
     for name in names:
@@ -63,13 +63,11 @@ def train(texts: list[tuple[str, bytes]], order: int = ORDER, least: int = LEAST
         symbols, _, start = C.sequence(data, np.concatenate([[0], np.cumsum([len(t) for t in own])]), end=False)
         counted.append(np.unique(C.grams(symbols, start, order), return_counts=True))
     every = np.concatenate([k for k, _ in counted]) if counted else np.zeros(0, np.uint64)
-    counts = np.concatenate([n for _, n in counted]) if counted else np.zeros(0, np.int64)
     shift = np.uint64(C.BITS)
     nodes = [np.zeros(0, np.uint64)]
     for d in range(1, order + 1):
-        keys, n = C.summed(C.cut(every, d) >> shift, counts)
-        full = (keys >> np.uint64(C.BITS * (d - 1))) > 0
-        nodes.append(keys[full & (n >= least)])
+        keys = np.unique(C.cut(every, d) >> shift)
+        nodes.append(keys[(keys >> np.uint64(C.BITS * (d - 1))) > 0])
     alphabet = np.unique((every & np.uint64((1 << C.BITS) - 1)).astype(np.int64)) - 1
     tree = C.Tree(np.concatenate(nodes), np.unique(np.append(alphabet, C.START)))
     size = tree.size
@@ -142,25 +140,19 @@ def _predict(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
-def spread(text: bytes, most: int = TRAINING_BYTES, pieces: int = 8) -> bytes:
-    """The text, or evenly spread pieces of it that make up `most` bytes."""
-    if len(text) <= most:
-        return text
-    step, own = len(text) // pieces, most // pieces
-    return b"\n".join(text[k * step : k * step + own] for k in range(pieces))
-
-
 def learn(docs: DataFrame, per_language: int = TRAINING_DOCS) -> Model:
-    """Trains on the documents outside the held-out fold; the sample is bounded per language."""
+    """Trains on whole documents outside the held-out fold, at most per_language of each language."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod(F.col("doc_id"), FOLDS), F.lit(0)) != 0))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     # the first by hash within each of 64 slices of a language, then of all, so that no task sorts a whole language
     h = F.xxhash64("doc_id")
-    part = rows.select("doc_id", "lang", h.alias("h"), F.pmod(h, F.lit(64)).alias("part"))
+    part = rows.select("doc_id", "lang", h.alias("h"), F.pmod(h, F.lit(64)).alias("part")).distinct()
     part = part.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))).filter(F.col("r") <= per_language)
-    chosen = part.withColumn("r", turn).filter(F.col("r") <= per_language).select("doc_id", "lang").distinct()
-    pieces = rows.join(F.broadcast(chosen.limit(1_000_000)), ["doc_id", "lang"], "left_semi").select("lang", F.col("text").cast("binary").alias("text"))
-    found = [(r["lang"], spread(bytes(r["text"]))) for r in pieces.toLocalIterator()]
+    with scratch():
+        chosen = stored(part.withColumn("r", turn).filter(F.col("r") <= per_language).select("doc_id", "lang"))
+        few = chosen.count() <= BROADCAST_DOCS
+        texts = rows.join(F.broadcast(chosen) if few else chosen, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min(F.col("text").cast("binary")).alias("text"))
+        found = [(r["lang"], bytes(r["text"])) for r in texts.select("lang", "text").collect()]
     return train(sorted(found))
 
 
@@ -169,7 +161,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *([F.col("lang").cast("string")] if model is None else []))
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(rows))
     held = F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out")
-    return rows.select("doc_id", held, "text").mapInArrow(_predict(shared), RESULT)
+    return in_arrow(rows.select("doc_id", held, "text"), _predict(shared), RESULT)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
