@@ -51,6 +51,12 @@ def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
     return F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
 
 
+def folded(vector: Column, parts: int) -> Column:
+    """The sums of every `parts`-th value of a vector, from the first, the second and so on."""
+    places = F.transform(vector, lambda v, k: F.struct(v.cast("double").alias("v"), (k % parts).alias("k")))
+    return F.array(*(F.aggregate(F.filter(places, lambda x: x["k"] == p), F.lit(0.0), lambda s, x: s + x["v"]) for p in range(parts)))
+
+
 def logit(p: Column, clamp: float = 1e-6) -> Column:
     held = F.least(F.greatest(p, F.lit(clamp)), F.lit(1 - clamp))
     return F.ln(held / (1 - held))

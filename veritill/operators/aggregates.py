@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritill.functions.scalars import ratio
+from veritill.operators.ordered import joined_on
 
 
 def histogram(df: DataFrame, column: str, missing: str = "UNREVIEWED") -> DataFrame:
@@ -112,12 +113,12 @@ def group_weights(df: DataFrame, group: str, low: float = 0.5, high: float = 2.5
     Group sizes and the means come from one aggregate over groups; rows only join it.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy()
-    raw = sizes.withColumn("_raw", F.sqrt(F.sum("_n").over(w) / (F.count(F.lit(1)).over(w) * F.col("_n"))))
-    mean = F.sum(F.col("_raw") * F.col("_n")).over(w) / F.sum("_n").over(w)
-    raw = raw.withColumn("_clipped", F.least(F.greatest(F.col("_raw") / mean, F.lit(low)), F.lit(high)))
-    mean = F.sum(F.col("_clipped") * F.col("_n")).over(w) / F.sum("_n").over(w)
-    return df.join(raw.withColumn("weight", F.col("_clipped") / mean).select(group, "weight"), group)
+    one = sizes.agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_groups"))
+    raw = joined_on(sizes, one, ()).withColumn("_raw", F.sqrt(F.col("_rows") / (F.col("_groups") * F.col("_n"))))
+    raw = joined_on(raw, raw.agg((F.sum(F.col("_raw") * F.col("_n")) / F.sum("_n")).alias("_mean")), ())
+    raw = raw.withColumn("_clipped", F.least(F.greatest(F.col("_raw") / F.col("_mean"), F.lit(low)), F.lit(high)))
+    raw = joined_on(raw, raw.agg((F.sum(F.col("_clipped") * F.col("_n")) / F.sum("_n")).alias("_level")), ())
+    return df.join(raw.withColumn("weight", F.col("_clipped") / F.col("_level")).select(group, "weight"), group)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -141,12 +142,14 @@ def token_cost(df: DataFrame, model: str, tokens_in: Column, tokens_out: Column,
 
 
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bucket): an 8-bit simhash of the [a-z0-9]+ tokens by count as two hex digits, `empty` without tokens.
+    """(key, bucket) per row: an 8-bit simhash of the [a-z0-9]+ tokens by count as two hex digits, `empty` without tokens.
 
-    Tokens are summed per text and word first; eight sums follow, so no text is held by Python.
+    Tokens are hashed and summed inside their row, so nothing is exploded or shuffled.
     """
-    words = df.select(key, F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w")).groupBy(key, "w").agg(F.count("w").alias("n"))
-    low = F.conv(F.substring(F.sha2("w", 256), 63, 2), 16, 10).cast("int")
-    bits = words.withColumn("b", low).groupBy(key).agg(F.sum("n").alias("tokens"), *(F.sum(F.when(F.shiftright("b", k).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"s{k}") for k in range(8)))
-    value = sum((F.when(F.col(f"s{k}") >= 0, 1 << k).otherwise(0) for k in range(1, 8)), F.when(F.col("s0") >= 0, 1).otherwise(0))
-    return bits.select(key, F.when(F.col("tokens") == 0, "empty").otherwise(F.lower(F.lpad(F.hex(value), 2, "0"))).alias("bucket"))
+    words = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), F.array().cast("array<string>"))
+    hashes = F.transform(words, lambda w: F.conv(F.substring(F.sha2(w, 256), 63, 2), 16, 10).cast("int"))
+    # one sum per bit: tokens that have it, less those that don't
+    sums = F.aggregate(hashes, F.array(*[F.lit(0)] * 8), lambda s, h: F.array(*(s[k] + F.when(F.shiftright(h, k).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1) for k in range(8))))
+    value = sum((F.when(F.col("_s")[k] >= 0, 1 << k).otherwise(0) for k in range(1, 8)), F.when(F.col("_s")[0] >= 0, 1).otherwise(0))
+    d = df.select(key, F.size(words).alias("_n"), sums.alias("_s"))
+    return d.select(key, F.when(F.col("_n") == 0, "empty").otherwise(F.lower(F.lpad(F.hex(value), 2, "0"))).alias("bucket"))

@@ -1,7 +1,7 @@
 """Evaluation: calibration, ranking and policy metrics, threshold selection and gates.
 
-Everything that needs an order first shrinks to one row per distinct score, so that the final running sums
-see as many rows as there are scores, not examples.
+Everything that needs an order first shrinks to one row per distinct score; running sums over those go in two
+steps (see ordered), so that continuous scores don't meet in one task. Grids multiply cells of equal rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritill.functions.scalars import CLASSES, ratio, top_class
+from veritill.operators.ordered import exact_percentiles, joined_on, running_totals
 from veritill.operators.rules import offline_policy
 
 DISABLED = math.nextafter(1.0, math.inf)
@@ -38,18 +39,14 @@ def by_score(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) ->
 
 def average_precision(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Step-wise area under precision and recall: ties enter together."""
-    d = by_score(df, label, score, by)
-    down = Window.partitionBy(*by).orderBy(F.col("score").desc())
-    d = d.withColumns({"tp": F.sum("positives").over(down), "seen": F.sum("n").over(down), "total": F.sum("positives").over(Window.partitionBy(*by))})
-    return d.groupBy(*by).agg(F.sum(ratio(F.col("positives").cast("double"), F.col("total")) * F.col("tp") / F.col("seen")).alias("average_precision"))
+    d = running_totals(by_score(df, label, score, by), "score", {"tp": "positives", "seen": "n"}, by, descending=True)
+    return d.groupBy(*by).agg(ratio(F.sum(F.col("positives") * F.col("tp") / F.col("seen")), F.sum("positives").cast("double")).alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve by mid-ranks."""
-    d = by_score(df, label, score, by)
-    up = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("below", F.coalesce(F.sum("n").over(up), F.lit(0)))
-    rank = F.col("below") + (F.col("n") + 1) / 2
+    d = running_totals(by_score(df, label, score, by), "score", {"seen": "n"}, by)
+    rank = F.col("seen") - F.col("n") + (F.col("n") + 1) / 2
     g = d.groupBy(*by).agg(F.sum(F.col("positives") * rank).alias("ranks"), F.sum("positives").alias("p"), F.sum("n").alias("n"))
     p, q = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
     return g.select(*by, ratio(F.col("ranks") - p * (p + 1) / 2, p * q).alias("roc_auc"))
@@ -93,35 +90,36 @@ def class_metrics(df: DataFrame, label: str) -> DataFrame:
 
 def operating_point(df: DataFrame, label: str, score: str, most_false: float) -> DataFrame:
     """The threshold of greatest recall whose false positive rate stays within bounds; infinity takes nothing."""
-    d = by_score(df, label, score)
-    down, every = Window.orderBy(F.col("score").desc()), Window.partitionBy()
-    d = d.withColumns({"tp": F.sum("positives").over(down), "seen": F.sum("n").over(down), "p": F.sum("positives").over(every), "all": F.sum("n").over(every)})
+    scores = by_score(df, label, score)
+    d = running_totals(scores, "score", {"tp": "positives", "seen": "n"}, descending=True)
+    d = joined_on(d, scores.agg(F.sum("positives").alias("p"), F.sum("n").alias("all")), ())
     none = d.groupBy().agg(F.lit(float("inf")).alias("score"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"), F.max("p").alias("p"), F.max("all").alias("all"))
     some = d.select("score", "tp", (F.col("seen") - F.col("tp")).alias("fp"), "p", "all")
     both = some.union(none.select("score", "tp", "fp", "p", "all")).withColumns({"recall": ratio(F.col("tp").cast("double"), F.col("p")), "fpr": ratio(F.col("fp").cast("double"), F.col("all") - F.col("p")), "precision": ratio(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))})
     return both.filter(F.col("fpr") <= most_false).orderBy(F.col("recall").desc(), F.col("score").desc()).limit(1).select(F.col("score").alias("threshold"), "tp", "fp", "recall", "fpr", "precision")
 
 
-def threshold_curve(df: DataFrame, expected: str, score: str, contradiction_at: Column, neutral_at: Column, by: tuple[str, ...] = ()) -> DataFrame:
+def threshold_curve(df: DataFrame, expected: str, score: str, contradiction_at: Column, neutral_at: Column, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Per candidate threshold: false step-ups, recalled violations and the totals under the whole policy.
 
-    Rows that rules or semantics decide give a constant; the others enter with their score.
+    Rows that rules or semantics decide give a constant; the others enter with their score. weight: rows that each
+    row stands for.
     """
     fixed = offline_policy(F.lit(0.0), F.lit(1.0), contradiction_at, neutral_at)
     legit = F.col(expected) == "APPROVE"
-    n = lambda c: F.count(F.when(c, 1))
+    many = F.col(weight) if weight else F.lit(1)
+    n = lambda c: F.coalesce(F.sum(F.when(c, many)), F.lit(0))
     free = F.col("_fixed") == "APPROVE"
     d = df.withColumn("_fixed", fixed)
     g = d.groupBy(*by, F.col(score).alias("threshold")).agg(
         n(free & legit).alias("free_legit"), n(free & ~legit).alias("free_bad"), n(legit).alias("legit"), n(~legit).alias("bad"),
-        n((F.col("_fixed") == "STEP_UP") & legit).alias("fixed_false"), n(~free & ~legit).alias("fixed_hit"), n((F.col("_fixed") == "HOLD") & legit).alias("declined"), F.count(F.lit(1)).alias("rows"),
+        n((F.col("_fixed") == "STEP_UP") & legit).alias("fixed_false"), n(~free & ~legit).alias("fixed_hit"), n((F.col("_fixed") == "HOLD") & legit).alias("declined"), F.sum(many).alias("rows"),
     )
-    every, down = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(F.col("threshold").desc())
-    totals = {k: F.sum(k).over(every) for k in ("legit", "bad", "fixed_false", "fixed_hit", "declined", "rows")}
-    run = g.withColumns({"false_step_up_count": F.sum("fixed_false").over(every) + F.sum("free_legit").over(down), "recalled": F.sum("fixed_hit").over(every) + F.sum("free_bad").over(down)} | {f"{k}_all": v for k, v in totals.items()})
-    off = run.groupBy(*by, *(f"{k}_all" for k in totals)).agg(F.lit(DISABLED).alias("threshold"))
-    off = off.withColumns({"false_step_up_count": F.col("fixed_false_all"), "recalled": F.col("fixed_hit_all")})
-    names = [*by, "threshold", "false_step_up_count", "recalled", *(f"{k}_all" for k in totals)]
+    totals = g.groupBy(*by).agg(*(F.sum(k).alias(f"{k}_all") for k in ("legit", "bad", "fixed_false", "fixed_hit", "declined", "rows")))
+    run = joined_on(running_totals(g, "threshold", {"stepped": "free_legit", "found": "free_bad"}, by, descending=True), totals, by)
+    run = run.withColumns({"false_step_up_count": F.col("fixed_false_all") + F.col("stepped"), "recalled": F.col("fixed_hit_all") + F.col("found")})
+    off = totals.withColumns({"threshold": F.lit(DISABLED), "false_step_up_count": F.col("fixed_false_all"), "recalled": F.col("fixed_hit_all")})
+    names = [*by, "threshold", "false_step_up_count", "recalled", *(c for c in totals.columns if c not in by)]
     return run.select(*names).union(off.select(*names))
 
 
@@ -141,28 +139,51 @@ def grid(df: DataFrame, contradictions: tuple[float | None, ...], neutrals: tupl
     return df.select("*", F.explode(points).alias("_g")).select("*", "_g.contradiction_at", "_g.neutral_at").drop("_g")
 
 
+def on_grid(value: Column, limits: tuple[float | None, ...]) -> Column:
+    """The highest of the limits that a value reaches, -1 below all: what it decides against any of them is the same."""
+    out = F.lit(-1.0)
+    for limit in sorted(x for x in limits if x is not None):
+        out = F.when(value >= limit, limit).otherwise(out)
+    return out
+
+
+def cells(df: DataFrame, columns: list[str], contradictions: tuple[float | None, ...], neutrals: tuple[float | None, ...]) -> DataFrame:
+    """Rows that no setting tells apart, counted once (`weight`): the columns, and the policy's inputs brought to the grid."""
+    d = df.withColumns(
+        {
+            "semantic_contradiction": on_grid(F.col("semantic_contradiction"), contradictions), "semantic_neutral": on_grid(F.col("semantic_neutral"), neutrals),
+            "hard_fail_count": F.least("hard_fail_count", F.lit(1)), "critical_hold_count": F.least("critical_hold_count", F.lit(1)),
+        }
+    )
+    return d.groupBy(*columns, "semantic_contradiction", "semantic_neutral", "hard_fail_count", "critical_hold_count").agg(F.count(F.lit(1)).alias("weight"))
+
+
 def select_configuration(df: DataFrame, expected: str, score: str, contradictions: tuple[float | None, ...] = (None, 0.95, 0.9, 0.85, 0.8), neutrals: tuple[float | None, ...] = (None, 0.9, 0.8, 0.7, 0.6), target: float = 0.10) -> DataFrame:
     """The best threshold over all override settings; ties prefer the override that is off, then the higher one."""
     key = ("contradiction_at", "neutral_at")
     off = lambda c: F.coalesce(F.col(c), F.lit(float("inf")))
-    slim = df.select(expected, score, "semantic_contradiction", "semantic_neutral", "hard_fail_count", "critical_hold_count")
-    # equal rows are counted once before the grid multiplies them
-    curve = threshold_curve(grid(slim, contradictions, neutrals), expected, score, off(key[0]), off(key[1]), key)
+    slim = cells(df, [expected, score], contradictions, neutrals)
+    curve = threshold_curve(grid(slim, contradictions, neutrals), expected, score, off(key[0]), off(key[1]), key, "weight")
     every = select_threshold(curve, target, key)
     rank = F.struct("violation_recall", -F.col("false_step_up_count"), "threshold", F.col(key[0]).isNull(), F.col(key[1]).isNull(), off(key[0]), off(key[1]))
     return every.agg(F.max_by(F.struct(*every.columns), rank).alias("b"), F.count(F.lit(1)).alias("configurations")).select("b.*", "configurations")
 
 
 def temperature_grid(df: DataFrame, logits: str, label: str, low: float = 0.5, high: float = 3.0, step: float = 0.05) -> DataFrame:
-    """(temperature, loss): mean negative log likelihood for each temperature of a fixed grid."""
+    """(temperature, loss): mean negative log likelihood for each temperature of a fixed grid, one sum each over one pass of the rows."""
     count = round((high - low) / step) + 1
-    temps = F.array(*(F.lit(round(low + step * k, 10)) for k in range(count)))
+    temps = [round(low + step * k, 10) for k in range(count)]
     x = F.col(logits)
-    d = df.select(logits, label, F.explode(temps).alias("temperature"))
-    scaled = F.transform(x, lambda v: v / F.col("temperature"))
-    top = F.array_max(scaled)
-    log_sum = top + F.ln(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
-    return d.groupBy("temperature").agg(F.avg(log_sum - F.get(scaled, F.col(label))).alias("loss"))
+    top = F.array_max(x)
+
+    def loss(t: float) -> Column:
+        log_sum = top / t + F.ln(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp((v - top) / t)))
+        return log_sum - F.get(x, F.col(label)) / t
+
+    d = df.select(F.array(*(loss(t) for t in temps)).alias("losses"))
+    sums = d.agg(*(F.avg(F.col("losses")[k]).alias(f"t{k}") for k in range(count)))
+    rows = F.array(*(F.struct(F.lit(t).alias("temperature"), F.col(f"t{k}").alias("loss")) for k, t in enumerate(temps)))
+    return sums.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def best_temperature(df: DataFrame, logits: str, label: str) -> DataFrame:
@@ -172,7 +193,8 @@ def best_temperature(df: DataFrame, logits: str, label: str) -> DataFrame:
 
 def percentiles(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact p50 and p95 by linear interpolation, and the largest."""
-    return df.groupBy(*by).agg(F.expr(f"percentile({column}, array(0.5, 0.95))").alias("p"), F.max(column).alias("max")).select(*by, F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), "max")
+    p = exact_percentiles(df, column, [0.5, 0.95], by)
+    return joined_on(p, df.groupBy(*by).agg(F.max(column).alias("max")), by).select(*by, F.col("p0").alias("p50"), F.col("p1").alias("p95"), "max")
 
 
 def sensitivity(df: DataFrame, before: str, after: str, threshold: float) -> DataFrame:
@@ -180,7 +202,8 @@ def sensitivity(df: DataFrame, before: str, after: str, threshold: float) -> Dat
     delta = F.abs(F.col(after) - F.col(before))
     flip = ((F.col(before) >= threshold) != (F.col(after) >= threshold)).cast("double")
     d = df.select(delta.alias("delta"), flip.alias("flip"))
-    return d.agg(F.avg("delta").alias("mean_delta"), F.expr("percentile(delta, 0.95)").alias("p95_delta"), F.max("delta").alias("max_delta"), F.avg("flip").alias("flip_rate"))
+    one = d.agg(F.avg("delta").alias("mean_delta"), F.max("delta").alias("max_delta"), F.avg("flip").alias("flip_rate"))
+    return joined_on(one, exact_percentiles(d, "delta", [0.95]), ()).select("mean_delta", F.col("p0").alias("p95_delta"), "max_delta", "flip_rate")
 
 
 def gates(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
@@ -201,8 +224,44 @@ def include_challenger(df: DataFrame, lift: float = 0.005, latency_ms: float = 2
     return df.withColumns({"lifted": lifted, "calibrated": calibrated, "fast": fast, "include": lifted & calibrated & fast})
 
 
-def policy_oracle(df: DataFrame, expected: str, score: str, steps: int = 14, target: float = 0.10) -> DataFrame:
-    """The best of a fixed grid of score, contradiction and neutral thresholds: per override pair one curve over the score grid."""
-    values = tuple(round(0.3 + 0.05 * k, 2) for k in range(steps))
-    slim = df.select(expected, F.floor(F.col(score) * 200).alias("_s"), "semantic_contradiction", "semantic_neutral", "hard_fail_count", "critical_hold_count").withColumn("grid_score", F.col("_s") / 200)
-    return select_configuration(slim, expected, "grid_score", values, values, target)
+#: The published grid of the routing diagnosis (fixed values): score steps, and override limits with none first.
+ORACLE_STEPS = 200
+ORACLE_LIMITS = (None, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
+
+
+def score_step(score: Column, steps: int = ORACLE_STEPS) -> Column:
+    """The highest k of k / steps that a score reaches, -1 below 0."""
+    k = F.floor(score * steps)
+    k = F.when((k + 1) / steps <= score, k + 1).when(k / steps > score, k - 1).otherwise(k)
+    return F.greatest(F.least(k, F.lit(steps)), F.lit(-1)).cast("int")
+
+
+def policy_oracle(df: DataFrame, expected: str, score: str, reviewed: Column, most_false: float = 0.10, least_recall: float = 0.90) -> DataFrame:
+    """The best of a fixed grid of score, contradiction and neutral limits on rows that were looked at already; no row if none is within bounds.
+
+    Best is the recall of reviewed violations, then that of all, then fewer false step-ups, then the higher score
+    limit, then the lower override limits, none being the lowest. Rows become at most steps x limits x limits cells
+    before the grid, so what the grid multiplies doesn't grow with them.
+    """
+    d = df.select(F.greatest(score_step(F.col(score)), F.lit(-1)).alias("step"), (F.col(expected) == "APPROVE").alias("legit"), reviewed.alias("reviewed"), "semantic_contradiction", "semantic_neutral", "hard_fail_count", "critical_hold_count")
+    slim = cells(d, ["step", "legit", "reviewed"], ORACLE_LIMITS, ORACLE_LIMITS)
+    every = grid(slim, ORACLE_LIMITS, ORACLE_LIMITS)
+    off = lambda c: F.coalesce(F.col(c), F.lit(float("inf")))
+    fixed = offline_policy(F.lit(0.0), F.lit(1.0), off("contradiction_at"), off("neutral_at")) != "APPROVE"
+    # a fixed row is stopped at every score limit
+    at = F.when(fixed, ORACLE_STEPS).otherwise(F.col("step"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0))
+    legit, seen = F.col("legit"), F.col("reviewed")
+    key = ("contradiction_at", "neutral_at")
+    by_step = every.groupBy(*key, at.alias("step")).agg(n(legit).alias("legit"), n(~legit).alias("bad"), n(~legit & seen).alias("seen"))
+    # every score limit takes the steps from it upwards: 201 limits per pair, whatever the rows
+    limits = every.select(*key).distinct().withColumn("limit", F.explode(F.sequence(F.lit(0), F.lit(ORACLE_STEPS))))
+    sums = joined_on(limits, by_step, key).groupBy(*key, "limit").agg(*(F.sum(F.when(F.col("step") >= F.col("limit"), F.col(c)).otherwise(0)).alias(c) for c in ("legit", "bad", "seen")))
+    total = slim.agg(n(legit).alias("_legit"), n(~legit).alias("_bad"), n(~legit & seen).alias("_seen"))
+    r = joined_on(sums, total, ()).select(
+        (F.col("limit") / ORACLE_STEPS).alias("score_threshold"), *key, (F.col("seen") / F.col("_seen")).alias("semantic_recall"), (F.col("bad") / F.col("_bad")).alias("operational_recall"), (F.col("legit") / F.col("_legit")).alias("false_step_up_rate")
+    )
+    low = lambda c: -F.coalesce(F.col(c), F.lit(-1.0))
+    rank = F.struct("semantic_recall", "operational_recall", -F.col("false_step_up_rate"), "score_threshold", low(key[0]), low(key[1]))
+    fit = r.filter((F.col("false_step_up_rate") <= most_false) & (F.col("operational_recall") >= least_recall))
+    return fit.agg(F.max_by(F.struct(*r.columns), rank).alias("b"), F.count(F.lit(1)).alias("feasible")).filter("feasible > 0").select("b.*", "feasible")

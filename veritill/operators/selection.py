@@ -101,22 +101,47 @@ def proportional_groups(df: DataFrame, group: str, stratum: str, target: int, li
     return df.join(df.sparkSession.createDataFrame(pd.DataFrame(picked, columns=[group])), group, "left_semi")
 
 
-def diverse_take(df: DataFrame, order: list, n: int, unique: tuple[str, ...] = ("group_id", "source_record_id"), fingerprint: str = "fingerprint", cap: int = 2, by: str | None = None, limit: int = MOST_GROUPS) -> DataFrame:
+def _from_heads(df: DataFrame, order: list, n: int, by: str | None, take, growth: int, exact: bool) -> DataFrame:
+    """Picks per stratum that depend on the rows before them only, from the first rows of each stratum.
+
+    take(rows in order, whether they are all of the stratum) gives the picks. As long as a stratum with fewer than n
+    of them has more rows, heads grow; tasks pass on no more rows than a head holds.
+    """
+    d = df.withColumn("_key", F.col(by) if by else F.lit(""))
+    sizes = d.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"))
+    ranked = d.withColumn("_order", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+    most, head = sizes.agg(F.max("_size")).first()[0] or 0, max(n, 1) * growth
+
+    def of_heads(rows: int):
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            return take(pdf.sort_values("_order"), bool(pdf["_size"].iloc[0] <= rows)).drop(columns=["_order", "_key", "_size"])
+
+        return one
+
+    while True:
+        heads = ranked.filter(F.col("_order") <= head).join(F.broadcast(sizes) if by is None else sizes, "_key")
+        picked = heads.groupBy("_key").applyInPandas(of_heads(head), df.schema)
+        got = picked.groupBy(F.col(by).alias("_key") if by else F.lit("").alias("_key")).agg(F.count(F.lit(1)).alias("_got"))
+        short = sizes.join(got, "_key", "left").filter(F.coalesce("_got", F.lit(0)) < n)
+        if head >= most or short.filter(F.col("_size") > head).isEmpty():
+            if exact and not short.isEmpty():
+                raise ValueError(f"a stratum has fewer than {n} rows that can be taken")
+            return picked
+        head *= growth
+
+
+def diverse_take(df: DataFrame, order: list, n: int, unique: tuple[str, ...] = ("group_id", "source_record_id"), fingerprint: str = "fingerprint", cap: int = 2, by: str | None = None, growth: int = 8, exact: bool = False) -> DataFrame:
     """The first n rows in order whose keys are all new, at most `cap` per fingerprint at first, without the cap after.
 
-    The general form, one sequential pass per stratum; a frame of more rows than `limit` is refused.
+    exact: fewer than n are an error.
     """
-    if df.count() > limit:
-        raise ValueError(f"more than {limit} candidates; select within strata or use diverse_take_unique")
-    stratum = F.col(by) if by else F.lit("")
-    flat = df.withColumn("_key", stratum).withColumn("_order", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
+    def take(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
         seen: list[set] = [set() for _ in unique]
         prints: dict = {}
         picked: list[int] = []
-        for capped in (True, False):
+        # the second pass begins behind the last row of the first
+        for capped in (True, False) if whole else (True,):
             for i, values, f in zip(pdf.index, zip(*(pdf[u] for u in unique), strict=True), pdf[fingerprint], strict=True):
                 if len(picked) >= n:
                     break
@@ -126,27 +151,29 @@ def diverse_take(df: DataFrame, order: list, n: int, unique: tuple[str, ...] = (
                     s.add(v)
                 prints[f] = prints.get(f, 0) + 1
                 picked.append(i)
-        return pdf.loc[picked].drop(columns=["_order", "_key"])
+        return pdf.loc[picked]
 
-    return flat.groupBy("_key").applyInPandas(take, df.schema)
+    return _from_heads(df, order, n, by, take, growth, exact)
 
 
-def diverse_take_unique(df: DataFrame, order: list, n: int, fingerprint: str = "fingerprint", cap: int = 2) -> DataFrame:
-    """diverse_take where every row has a group and a source of its own: two ranks and a limit, without a sequential pass."""
+def diverse_take_unique(df: DataFrame, order: list, n: int, fingerprint: str = "fingerprint", cap: int = 2, unique: tuple[str, ...] = ("group_id", "source_record_id")) -> DataFrame:
+    """diverse_take where every row has a group and a source of its own, which is checked: two ranks and a limit, without a sequential pass."""
+    for key in unique:
+        if not df.groupBy(key).count().filter("count > 1").isEmpty():
+            raise ValueError(f"{key} isn't unique; use diverse_take")
     w = Window.partitionBy(fingerprint).orderBy(*order)
     d = df.withColumn("_late", (F.row_number().over(w) > cap).cast("int"))
     return d.orderBy("_late", *order).limit(n).drop("_late")
 
 
-def choose_unblocked(df: DataFrame, order: list, n: int, blocked: DataFrame, by: str) -> DataFrame:
-    """Per stratum the first n rows unrelated to blocked ones and to every earlier pick, by example, group, source, parent and child."""
-    from veritill.operators.joins import unrelated
+def choose_unblocked(df: DataFrame, order: list, n: int, blocked: DataFrame, by: str, growth: int = 8, exact: bool = False) -> DataFrame:
+    """Per stratum the first n rows unrelated to blocked ones and to every earlier pick of the stratum, by example, group, source, parent and child.
 
-    free = unrelated(df, blocked)
-    free = free.withColumn("_order", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    exact: fewer than n are an error.
+    """
+    from veritill.operators.joins import unrelated
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
+    def take(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
         held: tuple[set, set, set] = (set(), set(), set())
         parents: set = set()
         picked = []
@@ -160,9 +187,9 @@ def choose_unblocked(df: DataFrame, order: list, n: int, blocked: DataFrame, by:
             if isinstance(p, str):
                 parents.add(p)
             picked.append(i)
-        return pdf.loc[picked].drop(columns=["_order"])
+        return pdf.loc[picked]
 
-    return free.groupBy(by).applyInPandas(take, df.schema)
+    return _from_heads(unrelated(df, blocked), order, n, by, take, growth, exact)
 
 
 def round_robin_unique(df: DataFrame, stratum: str, group: str, key: str, n: int) -> DataFrame:
@@ -189,5 +216,6 @@ def round_robin_unique(df: DataFrame, stratum: str, group: str, key: str, n: int
                     break
         yield pdf.loc[picked].drop(columns=["_turn"])
 
-    return ranked.coalesce(1).mapInPandas(take, df.schema)
+    # no more than 4 n rows of each stratum meet here, and a stratum has at most n - 1 groups that others used before its turn
+    return ranked.repartition(1).mapInPandas(take, df.schema)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritill.functions.hashing import order_key
+from veritill.operators.ordered import hashed_places, joined_on, named_places, scored_places
 
 
 def sample_per_stratum(df: DataFrame, stratum: list[str], key: str, n: int | Column, namespace: str = "sample") -> DataFrame:
@@ -16,21 +17,21 @@ def sample_per_stratum(df: DataFrame, stratum: list[str], key: str, n: int | Col
 
 def round_robin(df: DataFrame, bucket: str, key: str, namespace: str = "diverse") -> DataFrame:
     """Rows with (turn, bucket_order): first rows of all buckets in the buckets' hash order, then second rows, and so on."""
-    w = Window.partitionBy(bucket).orderBy(order_key(namespace, F.col(key)), key)
-    return df.withColumns({"turn": F.row_number().over(w), "bucket_order": order_key(namespace, F.col(bucket))})
+    d = hashed_places(df, order_key(namespace, F.col(key)), key, [bucket], "turn")
+    return d.withColumn("bucket_order", order_key(namespace, F.col(bucket)))
 
 
 def score_strata(df: DataFrame, score: str, key: str, shares: tuple[int, ...] = (35, 30, 35), names: tuple[str, ...] = ("low", "middle", "high"), by: tuple[str, ...] = ()) -> DataFrame:
     """Rows with their stratum by score: floor counts from below, the last stratum taking the rest."""
-    w = Window.partitionBy(*by)
-    rank, total = F.row_number().over(w.orderBy(score, order_key("strata", F.col(key)), key)), F.count(F.lit(1)).over(w)
+    d = scored_places(df, score, order_key("strata", F.col(key)), key, list(by), "_rank")
+    d = joined_on(d, df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")), list(by))
     out, bound, passed = F.lit(names[-1]), 0, []
     for s in shares[:-1]:
         bound += s
-        passed.append(F.floor(total * bound / 100))
+        passed.append(F.floor(F.col("_total") * bound / 100))
     for name, limit in reversed(list(zip(names, passed, strict=False))):
         out = F.when(F.col("_rank") <= limit, name).otherwise(out)
-    return df.withColumn("_rank", rank).withColumn("stratum", out).drop("_rank")
+    return d.withColumn("stratum", out).drop("_rank", "_total")
 
 
 def apportion(sizes: DataFrame, label: str, size: str, total: int) -> DataFrame:
@@ -43,29 +44,29 @@ def apportion(sizes: DataFrame, label: str, size: str, total: int) -> DataFrame:
     return d.select(label, (F.col("_floor") + F.when(rank <= left, 1).otherwise(0)).cast("bigint").alias("quota"))
 
 
-def cut(df: DataFrame, order: list[Column | str], parts: list[tuple[str, int, int]], by: list[str]) -> DataFrame:
-    """Rows with the part they fall into: each part takes total * numerator // denominator, the last one the rest."""
-    w = Window.partitionBy(*by)
-    rank, total = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
+def cut(df: DataFrame, digest: Column, key: str, parts: list[tuple[str, int, int]], by: list[str]) -> DataFrame:
+    """Rows with the part they fall into, by the order of a hex digest: each part takes total * numerator // denominator, the last one the rest."""
+    d = hashed_places(df, digest, key, by, "_rank")
+    d = joined_on(d, df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")), by)
     out, bounds, so_far = F.lit(parts[-1][0]), [], F.lit(0)
     for _, num, den in parts[:-1]:
-        so_far = so_far + F.floor(total * num / den)
+        so_far = so_far + F.floor(F.col("_total") * num / den)
         bounds.append(so_far)
     for (name, _, _), limit in reversed(list(zip(parts, bounds, strict=False))):
-        out = F.when(rank <= limit, name).otherwise(out)
-    return df.withColumn("part", out)
+        out = F.when(F.col("_rank") <= limit, name).otherwise(out)
+    return d.withColumn("part", out).drop("_rank", "_total")
 
 
-def cyclic(df: DataFrame, order: list[Column | str], names: tuple[str, ...], by: list[str], name: str = "part") -> DataFrame:
-    """Rows with names dealt in turn: names[(place - 1) % len(names)]."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn(name, F.element_at(F.array(*map(F.lit, names)), (place % len(names) + 1).cast("int")))
+def cyclic(df: DataFrame, key: str, names: tuple[str, ...], by: list[str], name: str = "part") -> DataFrame:
+    """Rows with names dealt in turn by the order of a key: names[(place - 1) % len(names)]."""
+    d = named_places(df, key, by, "_place")
+    return d.withColumn(name, F.element_at(F.array(*map(F.lit, names)), ((F.col("_place") - 1) % len(names) + 1).cast("int"))).drop("_place")
 
 
 def prioritised(df: DataFrame, priority: Column, bucket: str, key: str, limit: int) -> DataFrame:
-    """The first `limit` rows: by priority, then dealt in turn from the buckets."""
+    """The first `limit` rows: by priority, then dealt in turn from the buckets, of which only so many can give any row."""
     w = Window.partitionBy("_p", bucket).orderBy(order_key("queue", F.col(key)), key)
-    d = df.withColumn("_p", priority).withColumn("_turn", F.row_number().over(w))
+    d = df.withColumn("_p", priority).withColumn("_turn", F.row_number().over(w)).filter(F.col("_turn") <= limit)
     return d.orderBy("_p", "_turn", bucket).limit(limit).drop("_p", "_turn")
 
 
@@ -81,10 +82,12 @@ def best(df: DataFrame, by: list[str], rank: Column) -> DataFrame:
 
 def disjoint_slices(df: DataFrame, stratum: str, key: str, slices: list[tuple[str, int]]) -> DataFrame:
     """Slices of one hash order per stratum: as groups are unique, they share none."""
+    every = sum(n for _, n in slices)
     w = Window.partitionBy(stratum).orderBy(order_key("slices", F.col(key)), key)
-    d = df.withColumn("_r", F.row_number().over(w))
-    out, done = F.lit(None).cast("string"), sum(n for _, n in slices)
+    # the filter on the rank lets every task pass on no more rows of a stratum than all slices hold
+    d = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= every)
+    out, done = F.lit(None).cast("string"), every
     for name, n in reversed(slices):
         out = F.when(F.col("_r") <= done, name).otherwise(out)
         done -= n
-    return d.withColumn("slice", out).filter(F.col("slice").isNotNull()).drop("_r")
+    return d.withColumn("slice", out).drop("_r")

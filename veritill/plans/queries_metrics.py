@@ -29,13 +29,15 @@ def m4_roc_auc(spark, sf_dir):
     return rounded(metrics.roc_auc(views.feature_rows(spark, sf_dir), "label", "probability"), "roc_auc")
 
 
-_SOFT3 = "SELECT vec_id, ['contradiction', 'neutral', 'entailment'][label % 3 + 1] AS label, exp(embedding[1]::DOUBLE) / s AS c, exp(embedding[2]::DOUBLE) / s AS n, exp(embedding[3]::DOUBLE) / s AS e FROM (SELECT *, exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE) + exp(embedding[3]::DOUBLE) AS s FROM embeddings)"
+# three class scores from the whole vector: every third value, added up
+_FOLDED = "SELECT vec_id, label, " + ", ".join(f"list_sum(list_transform(embedding[{k + 1}:64:3], lambda x: x::DOUBLE)) AS z{k}" for k in range(3)) + " FROM embeddings"
+_SOFT3 = f"SELECT vec_id, ['contradiction', 'neutral', 'entailment'][label % 3 + 1] AS label, exp(z0) / s AS c, exp(z1) / s AS n, exp(z2) / s AS e FROM (SELECT *, exp(z0) + exp(z1) + exp(z2) AS s FROM ({_FOLDED}))"
 _F1 = "coalesce(2.0 * count(*) FILTER (t = '{0}' AND label = '{0}') / nullif(count(*) FILTER (t = '{0}') + count(*) FILTER (label = '{0}'), 0), 0)"
 
 
 def class_scores(spark, sf_dir):
     e = views.table(spark, sf_dir, "embeddings")
-    p = scalars.softmax(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")))
+    p = scalars.softmax(scalars.folded(F.col("embedding"), 3))
     d = e.select("vec_id", views.pick(scalars.CLASSES, F.col("label") % 3).alias("label"), p.alias("p"))
     return d.select("vec_id", "label", *(F.col("p")[k].alias(n) for k, n in enumerate(scalars.CLASSES)))
 
@@ -103,16 +105,30 @@ def t2_configuration(spark, sf_dir):
     return best.select("contradiction_at", "neutral_at", F.round("threshold", 9).alias("threshold"), F.round("violation_recall", 9).alias("violation_recall"), "false_step_up_count")
 
 
-@query("t3_policy_oracle")
+_LIMITS = ", ".join(f"({k}, {'NULL::DOUBLE' if v is None else f'{v}::DOUBLE'})" for k, v in enumerate(metrics.ORACLE_LIMITS))
+
+
+@query(
+    "t3_policy_oracle",
+    sql(
+        """SELECT score_threshold, c AS contradiction_at, n AS neutral_at, round(seen / t_seen, 9) AS semantic_recall, round(bad / t_bad, 9) AS operational_recall, round(legit / t_legit, 9) AS false_step_up_rate, count(*) OVER () AS feasible FROM v_points
+        WHERE legit / t_legit <= 0.25 AND bad / t_bad >= 0.2 ORDER BY seen DESC, bad DESC, legit, score_threshold DESC, ci, ni LIMIT 1""",
+        v_pairs=f"SELECT x.k AS ci, x.v AS c, y.k AS ni, y.v AS n FROM (VALUES {_LIMITS}) x(k, v), (VALUES {_LIMITS}) y(k, v)",
+        v_cells="""SELECT ci, c, ni, n, CASE WHEN critical_hold_count > 0 OR hard_fail_count > 0 OR coalesce(semantic_contradiction >= c, false) OR coalesce(semantic_neutral >= n, false) THEN 9.0 ELSE probability END AS p,
+          count(*) FILTER (expected_treatment = 'APPROVE') AS legit, count(*) FILTER (expected_treatment <> 'APPROVE') AS bad, count(*) FILTER (expected_treatment <> 'APPROVE' AND label_source = 'llm_assisted') AS seen FROM v_features, v_pairs GROUP BY ALL""",
+        v_points="""SELECT ci, c, ni, n, k / 200 AS score_threshold, sum(legit) FILTER (p >= k / 200) AS legit, sum(bad) FILTER (p >= k / 200) AS bad, sum(seen) FILTER (p >= k / 200) AS seen, sum(legit) AS t_legit, sum(bad) AS t_bad, sum(seen) AS t_seen FROM v_cells, (SELECT k::DOUBLE AS k FROM range(201) t(k)) GROUP BY ci, c, ni, n, k""",
+    ),
+)
 def t3_policy_oracle(spark, sf_dir):
-    best = metrics.policy_oracle(views.feature_rows(spark, sf_dir), "expected_treatment", "probability")
-    return best.select("threshold", "violation_recall", "false_step_up_count", "configurations")
+    """The published grid; the bounds are wider than the published ones, which no policy on generated scores meets."""
+    best = metrics.policy_oracle(views.feature_rows(spark, sf_dir), "expected_treatment", "probability", F.col("label_source") == "llm_assisted", 0.25, 0.2)
+    return rounded(best, "semantic_recall", "operational_recall", "false_step_up_rate")
 
 
-@query("t4_temperature", """SELECT temperature, round(loss, 9) AS loss FROM (SELECT round(0.5 + 0.05 * k, 10) AS temperature, avg(ln(exp(embedding[1]::DOUBLE / (0.5 + 0.05 * k)) + exp(embedding[2]::DOUBLE / (0.5 + 0.05 * k)) + exp(embedding[3]::DOUBLE / (0.5 + 0.05 * k))) - embedding[CAST(label % 3 + 1 AS INTEGER)]::DOUBLE / (0.5 + 0.05 * k)) AS loss
-    FROM embeddings, (SELECT k::DOUBLE AS k FROM range(51) t(k)) GROUP BY k) ORDER BY loss, temperature LIMIT 1""".replace("0.5 + 0.05 * k", "0.5::DOUBLE + 0.05::DOUBLE * k"))
+@query("t4_temperature", """SELECT temperature, round(loss, 9) AS loss FROM (SELECT round(0.5 + 0.05 * k, 10) AS temperature, avg(ln(exp(z0 / (0.5 + 0.05 * k)) + exp(z1 / (0.5 + 0.05 * k)) + exp(z2 / (0.5 + 0.05 * k))) - [z0, z1, z2][CAST(label % 3 + 1 AS INTEGER)] / (0.5 + 0.05 * k)) AS loss
+    FROM (FOLDED), (SELECT k::DOUBLE AS k FROM range(51) t(k)) GROUP BY k) ORDER BY loss, temperature LIMIT 1""".replace("FOLDED", _FOLDED).replace("0.5 + 0.05 * k", "0.5::DOUBLE + 0.05::DOUBLE * k"))
 def t4_temperature(spark, sf_dir):
-    e = views.table(spark, sf_dir, "embeddings").select(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("logits"), (F.col("label") % 3).cast("int").alias("label"))
+    e = views.table(spark, sf_dir, "embeddings").select(scalars.folded(F.col("embedding"), 3).alias("logits"), (F.col("label") % 3).cast("int").alias("label"))
     return rounded(metrics.best_temperature(e, "logits", "label"), "temperature", "loss")
 
 

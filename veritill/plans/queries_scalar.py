@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritill.functions import hashing, scalars
-from veritill.operators import aggregates, transforms
+from veritill.operators import aggregates, ordered, transforms
 from veritill.sources import files, views
 
 from .oracle import h, h8, split, sql
@@ -68,13 +68,14 @@ def x7_text_buckets(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").groupBy(scalars.count_bucket(F.length("text"), (256, 1024, 4096)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_SOFT = "list_transform([embedding[1], embedding[2], embedding[3]], lambda x: exp(x::DOUBLE / 1.5))"
+# three class scores from the whole vector: every third value, added up
+_SOFT = f"list_transform([{', '.join(f'list_sum(list_transform(embedding[{k}:64:3], lambda x: x::DOUBLE))' for k in (1, 2, 3))}], lambda x: exp(x / 1.5))"
 
 
 @query("x10_softmax", f"SELECT vec_id, round(p[1] / list_sum(p), 9) AS contradiction, round(p[2] / list_sum(p), 9) AS neutral, round(p[3] / list_sum(p), 9) AS entailment FROM (SELECT vec_id, {_SOFT} AS p FROM embeddings)")
 def x10_softmax(spark, sf_dir):
     e = views.table(spark, sf_dir, "embeddings")
-    p = scalars.softmax(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")), 1.5)
+    p = scalars.softmax(scalars.folded(F.col("embedding"), 3), 1.5)
     return e.select("vec_id", p.alias("p")).select("vec_id", *(F.round(F.col("p")[k], 9).alias(n) for k, n in enumerate(scalars.CLASSES)))
 
 
@@ -121,10 +122,8 @@ def x19_x20_labels(spark, sf_dir):
 
 @query("x22_stable_order", "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('2026:queue:' || c_custkey), c_custkey) AS place FROM customer")
 def x22_stable_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("c_mktsegment").orderBy(hashing.order_key("queue", F.col("c_custkey")), "c_custkey")
-    return views.table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(w).cast("bigint").alias("place"))
+    c = views.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return ordered.hashed_places(c, hashing.order_key("queue", F.col("c_custkey")), "c_custkey", ["c_mktsegment"], "place").select("c_custkey", "place")
 
 
 def search_records(spark, sf_dir):
@@ -154,7 +153,7 @@ def p1_p3_search_examples(spark, sf_dir):
 @query(
     "p4_session_examples",
     """SELECT 'ex_' || substr(sha256('session:' || conv_id), 1, 20) AS example_id, array_to_string(titles[greatest(len(titles) - 4, 1):], '; ') AS objective, amount AS amount_minor, greatest(amount + 1, CAST(round_even(amount * 1.2::DOUBLE, 0) AS BIGINT)) AS budget_minor, trim(next_title, ' ') AS evidence_text FROM (
-    SELECT conv_id, list(substr(text, 1, 20) ORDER BY turn) FILTER (turn < last) AS titles, any_value(substr(text, 1, 30)) FILTER (turn = last) AS next_title, CASE WHEN conv_id % 4 = 0 THEN 5000 ELSE greatest(1, CAST(round_even((conv_id % 90) * 1.01::DOUBLE * 100, 0) AS BIGINT)) END AS amount
+    SELECT conv_id, list(text ORDER BY turn) FILTER (turn < last) AS titles, any_value(text) FILTER (turn = last) AS next_title, CASE WHEN conv_id % 4 = 0 THEN 5000 ELSE greatest(1, CAST(round_even((conv_id % 90) * 1.01::DOUBLE * 100, 0) AS BIGINT)) END AS amount
     FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL)) GROUP BY conv_id HAVING max(turn) > 0) WHERE titles IS NOT NULL""",
 )
 def p4_session_examples(spark, sf_dir):
@@ -162,7 +161,7 @@ def p4_session_examples(spark, sf_dir):
 
     c = views.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
     g = c.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("turn") < F.col("last"), F.struct("turn", F.substring("text", 1, 20).alias("t"))))).alias("p"), F.min(F.when(F.col("turn") == F.col("last"), F.substring("text", 1, 30))).alias("next_title"),
+        F.array_sort(F.collect_list(F.when(F.col("turn") < F.col("last"), F.struct("turn", F.col("text").alias("t"))))).alias("p"), F.min(F.when(F.col("turn") == F.col("last"), F.col("text"))).alias("next_title"),
     ).filter(F.size("p") > 0)
     sessions = g.select(F.col("conv_id").alias("session_id"), F.lit("UK").alias("locale"), F.transform("p", lambda x: x["t"]).alias("previous_titles"), F.when(F.col("conv_id") % 4 != 0, (F.col("conv_id") % 90) * 1.01).alias("next_price"), "next_title", F.lit(None).cast("string").alias("next_description"))
     return transforms.session_examples(sessions)
@@ -207,7 +206,7 @@ def f3_clean_invoices(spark, sf_dir):
 
 @query("s15_shards", sql("SELECT domain, shard, count(*) AS n, min(example_id) AS first FROM (SELECT domain, example_id, CAST(floor((row_number() OVER (PARTITION BY domain ORDER BY example_id) - 1) / 500) AS INTEGER) AS shard FROM v_headers) GROUP BY ALL"))
 def s15_shards(spark, sf_dir):
-    return files.with_shard(views.headers(spark, sf_dir), ["example_id"], 500, ["domain"]).groupBy("domain", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("example_id").alias("first"))
+    return files.with_shard(views.headers(spark, sf_dir), "example_id", 500, ["domain"]).groupBy("domain", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("example_id").alias("first"))
 
 
 @query("v10_unknown_keys", "SELECT event_type, count(*) AS n FROM events WHERE len(list_filter(json_keys(props), lambda k: k NOT IN ('z'))) > 0 GROUP BY event_type")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritill.functions.hashing import order_key
-from veritill.operators import selection, windows
+from veritill.operators import aggregates, selection, windows
 from veritill.sources import views
 
 from .oracle import sql
@@ -37,14 +37,14 @@ def w4_apportionment(spark, sf_dir):
 
 @query("w5_proportional_cut", sql("SELECT locale, part, count(*) AS n, min(example_id) AS first FROM (SELECT *, CASE WHEN r <= floor(t / 2) THEN 'base' WHEN r <= floor(t / 2) + floor(t / 6) THEN 'near' WHEN r <= floor(t / 2) + 2 * floor(t / 6) THEN 'evidence' ELSE 'rest' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY locale ORDER BY sha256('2026:cut:' || example_id), example_id) AS r, count(*) OVER (PARTITION BY locale) AS t FROM v_headers)) GROUP BY ALL"))
 def w5_proportional_cut(spark, sf_dir):
-    d = windows.cut(views.headers(spark, sf_dir).select("example_id", "locale"), [order_key("cut", F.col("example_id")), "example_id"], [("base", 1, 2), ("near", 1, 6), ("evidence", 1, 6), ("rest", 1, 6)], ["locale"])
+    d = windows.cut(views.headers(spark, sf_dir).select("example_id", "locale"), order_key("cut", F.col("example_id")), "example_id", [("base", 1, 2), ("near", 1, 6), ("evidence", 1, 6), ("rest", 1, 6)], ["locale"])
     return d.groupBy("locale", "part").agg(F.count(F.lit(1)).alias("n"), F.min("example_id").alias("first"))
 
 
 @query("w6_cyclic_roles", sql("SELECT domain, part, count(*) AS n FROM (SELECT domain, ['train', 'train', 'train', 'train', 'train', 'train', 'train', 'validation', 'test', 'golden'][CAST((row_number() OVER (PARTITION BY domain ORDER BY example_id) - 1) % 10 + 1 AS INTEGER)] AS part FROM v_headers) GROUP BY ALL"))
 def w6_cyclic_roles(spark, sf_dir):
     roles = ("train",) * 7 + ("validation", "test", "golden")
-    return windows.cyclic(views.headers(spark, sf_dir).select("example_id", "domain"), ["example_id"], roles, ["domain"]).groupBy("domain", "part").agg(F.count(F.lit(1)).alias("n"))
+    return windows.cyclic(views.headers(spark, sf_dir).select("example_id", "domain"), "example_id", roles, ["domain"]).groupBy("domain", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("w7_review_queue", sql("SELECT example_id, split FROM (SELECT example_id, split, p, row_number() OVER (PARTITION BY p, split ORDER BY sha256('2026:queue:' || example_id), example_id) AS turn FROM (SELECT *, CASE WHEN split = 'golden' AND relevance = 'S' THEN 0 ELSE 1 END AS p FROM v_headers)) ORDER BY p, turn, split LIMIT 900"))
@@ -72,13 +72,13 @@ def l3_hardest_rows(spark, sf_dir):
     return windows.top_k(d, 200, F.col("hard").desc(), order_key("hard", F.col("example_id")))
 
 
-@query("l4_next_items", sql("""SELECT reviewer, example_id FROM (SELECT v.reviewer, e.example_id, row_number() OVER (PARTITION BY v.reviewer ORDER BY e.n, e.example_id) AS r FROM (SELECT h.example_id, coalesce(c.n, 0) AS n FROM v_headers h LEFT JOIN (SELECT example_id, count(*) AS n FROM v_latest GROUP BY 1) c USING (example_id) WHERE h.example_id NOT IN (SELECT example_id FROM v_adjudications) AND coalesce(c.n, 0) < 2 AND c.n IS NOT NULL) e,
+@query("l4_next_items", sql("""SELECT reviewer, example_id FROM (SELECT v.reviewer, e.example_id, row_number() OVER (PARTITION BY v.reviewer ORDER BY e.n, e.example_id) AS r FROM (SELECT h.example_id, coalesce(c.n, 0) AS n FROM v_headers h LEFT JOIN (SELECT example_id, count(*) AS n FROM v_latest GROUP BY 1) c USING (example_id) WHERE h.example_id NOT IN (SELECT example_id FROM v_adjudications) AND coalesce(c.n, 0) < 2) e,
     (VALUES ('rev_0'), ('rev_1'), ('rev_2')) v(reviewer) WHERE NOT EXISTS (SELECT 1 FROM v_latest l WHERE l.example_id = e.example_id AND l.reviewer_id = v.reviewer)) WHERE r = 1"""))
 def l4_next_items(spark, sf_dir):
     from veritill.operators import reviews
 
     r = reviews.accepted(views.reviews(spark, sf_dir))
-    state = reviews.queue_state(views.headers(spark, sf_dir), r, views.adjudications(spark, sf_dir)).filter("reviews > 0")
+    state = reviews.queue_state(views.headers(spark, sf_dir), r, views.adjudications(spark, sf_dir))
     parts = [reviews.next_item(state, r, f"rev_{k}").select(F.lit(f"rev_{k}").alias("reviewer"), "example_id") for k in range(3)]
     return parts[0].union(parts[1]).union(parts[2])
 
@@ -95,9 +95,15 @@ def g9_disjoint_slices(spark, sf_dir):
     return windows.disjoint_slices(g, "locale", "group_id", [("match", 30), ("overspend", 20), ("add_on", 10)]).groupBy("locale", "slice").agg(F.count(F.lit(1)).alias("n"), F.min("group_id").alias("first"))
 
 
-@query("g4_diverse_take_unique", sql("SELECT example_id FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY fp ORDER BY k, example_id) > 2 THEN 1 ELSE 0 END AS late FROM (SELECT example_id, attack_family || ':' || domain AS fp, sha256('2026:take:' || example_id) AS k FROM v_headers)) ORDER BY late, k, example_id LIMIT 60"))
+_UNIQUE = "SELECT *, sha256('2026:take:' || example_id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY source_record_id ORDER BY example_id) AS s FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY example_id) AS g FROM v_headers) WHERE g = 1) WHERE s = 1"
+
+
+@query("g4_diverse_take_unique", sql("SELECT example_id FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY attack_family, domain ORDER BY k, example_id) > 2 THEN 1 ELSE 0 END AS late FROM v_unique) ORDER BY late, k, example_id LIMIT 60", v_unique=_UNIQUE))
 def g4_diverse_take_unique(spark, sf_dir):
-    d = views.headers(spark, sf_dir).select("example_id", F.concat_ws(":", "attack_family", "domain").alias("fingerprint"), order_key("take", F.col("example_id")).alias("k"))
+    h = small_examples(spark, sf_dir)
+    for key in ("group_id", "source_record_id"):
+        h = aggregates.first_seen(h, [key], ["example_id"])
+    d = h.select("example_id", "group_id", "source_record_id", F.concat_ws(":", "attack_family", "domain").alias("fingerprint"), order_key("take", F.col("example_id")).alias("k"))
     return selection.diverse_take_unique(d, ["k", "example_id"], 60).select("example_id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -74,9 +74,11 @@ def write_once(df: DataFrame, path: str) -> str:
     return "written"
 
 
-def with_shard(df: DataFrame, order: list[Column | str], size: int, by: list[str]) -> DataFrame:
-    """The shard of fixed size that each row of a queue falls into, in the queue's order."""
-    return df.withColumn("shard", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size).cast("int"))
+def with_shard(df: DataFrame, key: str, size: int, by: list[str]) -> DataFrame:
+    """The shard of fixed size that each row of a queue falls into, in the order of the key."""
+    from veritill.operators.ordered import named_places
+
+    return named_places(df, key, by, "shard").withColumn("shard", F.floor((F.col("shard") - 1) / size).cast("int"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:
