@@ -167,3 +167,66 @@ def test_writes_refuse_to_overwrite(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):
         files.write_sorted(d, str(tmp_path / "o"))
     assert files.write_once(d, str(tmp_path / "p")) == "written" and files.write_once(d, str(tmp_path / "p")) == "skipped"
+
+
+def test_checksums_of_all_tables(spark):
+    import hashlib
+    from pathlib import Path
+
+    from veritill.plans import registry
+
+    got = {r.name: (r.length, r.sha256) for r in registry.QUERIES["v1_checksums"](spark, "/root/testdata/sf0.001").collect()}
+    want = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in Path("/root/testdata/sf0.001").glob("*.parquet") if p.name in got}
+    assert len(want) == 8 and {k: v for k, (_, v) in got.items() if k != "."} == want
+    assert got["."][1] == hashlib.sha256("".join(f"{k} {v}\n" for k, v in sorted(want.items())).encode()).hexdigest()
+
+
+def test_picks_from_heads_equal_one_pass(spark):
+    """Groups and sources that repeat so much that heads have to grow."""
+    import random
+
+    from veritill.operators import selection
+
+    r = random.Random(4)
+    rows = [(f"e{k:03}", f"g{r.randrange(40)}", f"s{r.randrange(50)}", f"f{r.randrange(3)}", f"e{r.randrange(300):03}" if k % 3 == 0 else None, "ab"[k % 2]) for k in range(300)]
+    df = spark.createDataFrame(rows, "example_id string, group_id string, source_record_id string, fingerprint string, parent_example_id string, stratum string")
+    for n in (3, 8, 60):
+        want = set()
+        for s in "ab":
+            seen, count, picked = (set(), set()), {}, []
+            for capped in (True, False):
+                for e, g, c, f, _, own in rows:
+                    if own != s or len(picked) >= n or g in seen[0] or c in seen[1] or capped and count.get(f, 0) >= 2:
+                        continue
+                    seen[0].add(g), seen[1].add(c), picked.append(e)
+                    count[f] = count.get(f, 0) + 1
+            want |= set(picked)
+        got = selection.diverse_take(df, ["example_id"], n, by="stratum", growth=2)
+        assert {x.example_id for x in got.collect()} == want
+    with pytest.raises(ValueError, match="fewer"):
+        selection.diverse_take(df, ["example_id"], 299, by="stratum", exact=True)
+    with pytest.raises(ValueError, match="unique"):
+        selection.diverse_take_unique(df, ["example_id"], 5)
+
+
+def test_places_and_totals_against_plain_sorting(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from veritill.operators import ordered
+
+    r = random.Random(9)
+    rows = [(k, r.choice(["x", "y", None]), r.random() if k % 3 else 0.5, f"name {r.randrange(10**6)}-{k}") for k in range(700)]
+    df = spark.createDataFrame(rows, "k bigint, g string, v double, name string")
+    groups = {g: [x for x in rows if x[1] == g] for g in ("x", "y", None)}
+    named = {x.k: x.place for x in ordered.named_places(df, "name", ["g"], "place").collect()}
+    assert named == {x[0]: n for own in groups.values() for n, x in enumerate(sorted(own, key=lambda x: x[3]), 1)}
+    import hashlib
+
+    digest = lambda x: hashlib.sha256(str(x[0]).encode()).hexdigest()
+    scored = {x.k: x.place for x in ordered.scored_places(df, "v", F.sha2(F.col("k").cast("string"), 256), "k", ["g"], "place").collect()}
+    assert scored == {x[0]: n for own in groups.values() for n, x in enumerate(sorted(own, key=lambda x: (x[2], digest(x))), 1)}
+    single = df.filter("v <> 0.5")
+    total = {x.k: x.t for x in ordered.running_totals(single, "v", {"t": "k"}, ("g",), descending=True).collect()}
+    assert total == {x[0]: sum(y[0] for y in own if y[2] >= x[2] and y[2] != 0.5) for own in groups.values() for x in own if x[2] != 0.5}

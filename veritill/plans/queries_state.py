@@ -11,7 +11,7 @@ from veritill.operators import aggregates, ml, reviews, rules, stateful, transfo
 from veritill.sources import files, views
 from veritill.streaming import decisions
 
-from .oracle import h8, sql
+from .oracle import CTES, h8, sql
 from .registry import query
 
 
@@ -159,7 +159,32 @@ def r9_counterfactuals(spark, sf_dir):
     return transforms.counterfactuals(views.examples(spark, sf_dir)).groupBy("attack_family").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount_minor").alias("total_amount_minor"), F.sum("fulfilled_amount_minor").alias("fulfilled_amount_minor"))
 
 
-@query("v6_counterfactual_contract")
+def _contract_sql() -> str:
+    """The children of each family once more, with the rules of v_signals on each, and what they fail for."""
+    keep = {"total_amount_minor": "total_amount_minor", "fulfilled_amount_minor": "fulfilled_amount_minor", "max_fulfillments": "max_fulfillments", "fulfillment_count": "fulfillment_count"}
+    rest = "(SELECT order_key, sum(amount_minor * quantity) AS rest FROM (SELECT *, row_number() OVER (PARTITION BY order_key ORDER BY line_number, part_key, merchant_key, quantity, amount_minor) AS r FROM v_lines) WHERE r > 1 GROUP BY 1 UNION ALL SELECT order_key, 0 FROM v_carts WHERE line_item_count = 1)"
+    families = {
+        "cumulative_overspend": ({"fulfilled_amount_minor": "budget - total_amount_minor + greatest(1, floor(budget / 100))::BIGINT", "max_fulfillments": "greatest(max_fulfillments, greatest(fulfillment_count, 1) + 1)", "fulfillment_count": "greatest(fulfillment_count, 1)"}, "v_examples WHERE budget > total_amount_minor", "['CUMULATIVE_BUDGET_EXCEEDED']"),
+        "near_budget_match": ({"total_amount_minor": "budget - 1", "fulfilled_amount_minor": "0"}, f"v_examples JOIN {rest} USING (order_key) WHERE rest < budget - 1", "[]"),
+        "missing_required_evidence": ({}, "v_examples", "[]"),
+        "unrelated_add_on": ({"total_amount_minor": "total_amount_minor + 1500"}, "v_examples", "[]"),
+    }
+    extra, parts = {}, []
+    for k, (name, (changes, source, expected)) in enumerate(families.items()):
+        columns = ", ".join(f"{v} AS {c}" for c, v in (keep | changes).items())
+        extra[f"v_child{k}"] = f"SELECT * REPLACE ({columns}, budget_currency AS currency) FROM {source}"
+        signals = CTES["v_signals"].replace("v_examples", f"v_child{k}")
+        if name == "missing_required_evidence":  # no item has attributes left
+            signals = signals.replace("order_key % 7 = 0", "true").replace("order_key % 11 = 0", "true")
+        extra[f"v_signals{k}"] = signals
+        parts.append(
+            f"""SELECT '{name}' AS attack_family, CASE WHEN codes <> {expected}::VARCHAR[] THEN 'unexpected_failures' WHEN unexplained THEN 'unattributed_failures' ELSE 'none' END AS problem FROM (
+            SELECT order_key, coalesce(list_sort(list(DISTINCT reason) FILTER (status = 'FAIL' AND reason IS NOT NULL)), []) AS codes, coalesce(bool_or(status = 'FAIL' AND reason IS NULL), false) AS unexplained FROM v_child{k} LEFT JOIN v_signals{k} USING (order_key) GROUP BY order_key)"""
+        )
+    return sql("SELECT attack_family, problem, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") GROUP BY ALL", **extra)
+
+
+@query("v6_counterfactual_contract", _contract_sql())
 def v6_counterfactual_contract(spark, sf_dir):
     children = transforms.counterfactuals(views.examples(spark, sf_dir).withColumn("currency", F.filter("constraints", lambda c: c["type"] == "total_budget")[0]["currency"]))
     return transforms.counterfactual_problems(children).groupBy("attack_family", F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
@@ -197,17 +222,19 @@ def s12_manifest(spark, sf_dir):
 
 @query("v1_checksums")
 def v1_checksums(spark, sf_dir):
-    return files.checksums(spark, f"{sf_dir}/region.parquet").select("length", "sha256")
+    """(name, length, sha256) of the file of every table of the commerce schema, and the digest of the whole tree."""
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+    return files.tree_checksums(spark, sf_dir, [f"{sf_dir}/{n}.parquet" for n in names])
 
 
 @query("ml_stacked_scores")
 def ml_stacked_scores(spark, sf_dir):
-    """Out-of-fold tree scores, a stacked logistic and its calibration, by split."""
+    """Tree scores across five folds, a stacked logistic fitted on the training split and its calibration on the validation split, by split."""
     f = views.feature_rows(spark, sf_dir).withColumn("weight", ml.source_weight(F.col("label_source"), F.lit(1.0)))
     f = ml.assembled(f, ["semantic_contradiction", "semantic_neutral", "probability", "hard_fail_count"], ["domain"])
-    scored = ml.out_of_fold(ml.with_fold(f, "group_id", 2), lambda train, rows: ml.tree_scores(train, rows, weight="weight", trees=3, depth=3), 2)
-    stacked = ml.stacked(scored, scored, ["tree_score", "semantic_contradiction"])
-    out = ml.calibrated(stacked, stacked)
+    scored = ml.out_of_fold(ml.with_fold(f, "group_id"), lambda train, rows: ml.tree_scores(train, rows, weight="weight"))
+    stacked = ml.stacked(scored.filter("split = 'train'"), scored, ["tree_score", "semantic_contradiction"])
+    out = ml.calibrated(stacked.filter("split = 'validation'"), stacked)
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calibrated"), 4).alias("mean_score"))
 
 

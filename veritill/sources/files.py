@@ -96,9 +96,19 @@ def manifest(df: DataFrame, name: str, dimensions: list[str], key: str = "exampl
     return out
 
 
-def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def checksums(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, length, sha256) of files; a file is one value, so it can't be longer than 2 GB."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def tree_checksums(spark: SparkSession, top: str, paths: list[str]) -> DataFrame:
+    """(name, length, sha256) per file by its name below `top`, and the digest of all names and checksums in order, as `.`."""
+    at = F.concat(F.lit(top.removeprefix("file://").rstrip("/")), F.lit("/"))
+    d = checksums(spark, *paths).withColumn("name", F.element_at(F.split("path", at), -1)).select("name", "length", "sha256")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda x: F.concat(x["name"], F.lit(" "), x["sha256"], F.lit("\n")))
+    whole = d.agg(F.lit(".").alias("name"), F.sum("length").alias("length"), F.sha2(F.array_join(lines, ""), 256).alias("sha256"))
+    return d.unionByName(whole)
+
 
 
 def generated_rows(spark: SparkSession, seeds: int = 50) -> DataFrame:
