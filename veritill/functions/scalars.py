@@ -85,6 +85,20 @@ def text_route(text: Column) -> Column:
     return F.struct(code(1).alias("origin"), code(2).alias("destination"))
 
 
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def text_dates(text: Column, year: int = 2026) -> Column:
+    """(outbound, back) of "departing 3 may ... returning 9 june"; a way back before the way out is in the year after; null where a month isn't one."""
+    months = F.create_map(*(F.lit(x) for k, name in enumerate(MONTHS, 1) for x in (name, k)))
+    part = lambda k: F.regexp_extract(F.lower(text), r"departing\s+(\d{1,2})\s+([a-z]+).*?returning\s+(\d{1,2})\s+([a-z]+)", k)
+    day = lambda k: F.try_element_at(F.array(F.nullif(part(k), F.lit(""))), F.lit(1)).cast("int")
+    at = lambda y, d, m: F.try_to_date(F.concat_ws("-", F.lit(y).cast("string"), F.lpad(F.try_element_at(months, part(m)).cast("string"), 2, "0"), F.lpad(day(d).cast("string"), 2, "0")))
+    known = F.try_element_at(months, part(2)).isNotNull() & F.try_element_at(months, part(4)).isNotNull()
+    out, back = F.when(known, at(year, 1, 2)), F.when(known, at(year, 3, 4))
+    return F.struct(out.alias("outbound"), F.when(back < out, F.when(known, at(year + 1, 3, 4))).otherwise(back).alias("back"))
+
+
 def hard_score(disagrees: Column, probability: Column, c: Column, n: Column, e: Column) -> Column:
     """How much a row would teach: disagreement, uncertainty, semantic entropy and the stronger warning."""
     return 2 * disagrees.cast("double") + (1 - 2 * F.abs(probability - 0.5)) + entropy(c, n, e) + F.greatest(c, n)

@@ -2,36 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STATE = "struct<spent:bigint,fulfilled:int,version:int,status:string,done:array<struct<event_id:bigint,outcome:string,spent:bigint>>>"
+from veritill.sources.shipping import ship
+
+DECISIONS = "mandate string, event_id bigint, outcome string, spent bigint"
+
+
+def decide(spent: int, fulfilled: int, active: bool, kind: str, amount: int, budget: int, most: int) -> tuple[str, int, int, bool]:
+    """The outcome of one event, and the state after it: only an approval adds to what is spent."""
+    after = spent + amount
+    if kind == "revoke":
+        return "REVOKED", spent, fulfilled, False
+    if not active or fulfilled >= most or (after > budget and spent > 0):
+        return "HOLD", spent, fulfilled, active
+    if kind == "evaluate" and after > budget:
+        return "STEP_UP", spent, fulfilled, active
+    return "APPROVE", after, fulfilled + 1, active
+
+
+def _fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    mandate, state = None, (0, 0, True)
+    for part in parts:
+        rows = []
+        for m, event, kind, amount, budget, most in zip(*(part[c] for c in ("mandate", "event_id", "kind", "amount", "budget", "max_fulfillments")), strict=True):
+            if m != mandate:
+                mandate, state = m, (0, 0, True)
+            outcome, *after = decide(*state, kind, int(amount), int(budget), int(most))
+            state = tuple(after)
+            rows.append((m, int(event), outcome, state[0]))
+        yield pd.DataFrame(rows, columns=["mandate", "event_id", "outcome", "spent"])
 
 
 def fold_decisions(events: DataFrame) -> DataFrame:
-    """(mandate, event_id, outcome, spent) per event in order of time.
+    """(mandate, event_id, outcome, spent) per event in order of time and id.
 
-    events: mandate, ts, event_id, kind (evaluate, revoke, resolve), amount, budget, max_fulfillments. Only an
-    approval, or a resolution of a held question, adds to what is spent. Each mandate is folded inside one
-    expression; its history is bounded by what one customer buys.
+    events: mandate, ts, event_id, kind (evaluate, revoke, resolve), amount, budget, max_fulfillments, none of them
+    null. Each task reads its mandates one after the other in order, with one state at a time, so a long history
+    takes time but no memory.
     """
-    step = F.struct("ts", "event_id", "kind", "amount", "budget", "max_fulfillments")
-    ordered = events.groupBy("mandate").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    start = F.struct(F.lit(0).cast("bigint").alias("spent"), F.lit(0).alias("fulfilled"), F.lit(0).alias("version"), F.lit("active").alias("status"), F.array().cast("array<struct<event_id:bigint,outcome:string,spent:bigint>>").alias("done"))
-
-    def apply(s: Column, e: Column) -> Column:
-        after = s["spent"] + e["amount"]
-        hold = (s["status"] != "active") | (s["fulfilled"] >= e["max_fulfillments"]) | ((after > e["budget"]) & (s["spent"] > 0))
-        outcome = F.when(e["kind"] == "revoke", "REVOKED").when(hold, "HOLD").when((e["kind"] == "evaluate") & (after > e["budget"]), "STEP_UP").otherwise("APPROVE")
-        took = outcome == "APPROVE"
-        spent = F.when(took, after).otherwise(s["spent"])
-        return F.struct(
-            spent.alias("spent"), (s["fulfilled"] + took.cast("int")).alias("fulfilled"), (s["version"] + took.cast("int")).alias("version"), F.when(e["kind"] == "revoke", "revoked").otherwise(s["status"]).alias("status"),
-            F.concat(s["done"], F.array(F.struct(e["event_id"].alias("event_id"), outcome.alias("outcome"), spent.alias("spent")))).alias("done"),
-        )
-
-    folded = ordered.select("mandate", F.aggregate("steps", start, apply, lambda s: s["done"]).alias("done"))
-    return folded.select("mandate", F.explode("done").alias("d")).select("mandate", "d.event_id", "d.outcome", "d.spent")
+    ship(events.sparkSession)
+    ordered = events.select("mandate", "ts", "event_id", "kind", "amount", "budget", "max_fulfillments").repartition("mandate").sortWithinPartitions("mandate", "ts", "event_id")
+    return ordered.mapInPandas(_fold, DECISIONS)
+
+
+def resolved_once(decisions: DataFrame, resolutions: DataFrame, order: list[str]) -> DataFrame:
+    """Resolutions with their result: only a question can be resolved, and only once; approving and modifying move the mandate's version on.
+
+    decisions: decision_id, outcome. resolutions: decision_id, action (approve_once, decline, modify) and the columns of order.
+    """
+    turn = F.row_number().over(Window.partitionBy("decision_id").orderBy(*order))
+    d = resolutions.withColumn("_turn", turn).join(decisions.select("decision_id", "outcome"), "decision_id", "left")
+    result = (
+        F.when(F.col("outcome").isNull(), "DECISION_NOT_FOUND").when(F.col("outcome") != "STEP_UP", "NOT_ESCALATED").when(F.col("_turn") > 1, "ALREADY_RESOLVED")
+        .when(F.col("action") == "approve_once", "fulfilled").when(F.col("action") == "modify", "superseded").otherwise("declined")
+    )
+    return d.withColumn("result", result).withColumn("version_bump", F.col("result").isin("fulfilled", "superseded").cast("int")).drop("_turn", "outcome")
+
+
+def fulfilled_carts(carts: DataFrame, order: list[str]) -> DataFrame:
+    """Fulfilments of mandates: the first of each cart moves the state's version on, the same cart again is no change."""
+    first = F.row_number().over(Window.partitionBy("mandate", "cart").orderBy(*order)) == 1
+    d = carts.withColumn("changed", first)
+    version = F.sum(F.col("changed").cast("int")).over(Window.partitionBy("mandate").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("row_version", version)
 
 
 def idempotent(requests: DataFrame, scope: str, key: str, payload: Column, order: list[str]) -> DataFrame:

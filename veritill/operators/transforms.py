@@ -71,6 +71,22 @@ def priced_examples(df: DataFrame, kind: str, key: list[str], amount: Column, fa
     return df.withColumns({"example_id": stable_id("ex", F.lit(kind), *map(F.col, key)), "amount_minor": cents, "budget_minor": F.greatest(cents + 1, F.bround(cents * factor).cast("bigint"))})
 
 
+def itinerary_examples(df: DataFrame, key: list[str], amount: Column, origin: str, destination: str) -> DataFrame:
+    """Itineraries: priced, with the route that was asked for as a constraint."""
+    route = F.create_map(F.lit("origin"), F.col(origin), F.lit("destination"), F.col(destination))
+    return priced_examples(df, "itinerary", key, amount, 1.15).withColumn("route", route)
+
+
+def award_examples(df: DataFrame, key: list[str], amount: Column, recipient: str) -> DataFrame:
+    """Awards: priced, with their recipient as the only merchant that is allowed."""
+    return priced_examples(df, "award", key, amount, 1.05).withColumn("allowed_merchants", F.array(F.col(recipient)))
+
+
+def invoice_examples(df: DataFrame, key: list[str], quantity: str, price: str) -> DataFrame:
+    """Invoice lines of positive quantity and price."""
+    return priced_examples(df.filter((F.col(quantity) > 0) & (F.col(price) > 0)), "invoice", key, F.col(quantity) * F.col(price), 1.1)
+
+
 def nli_pairs(df: DataFrame) -> DataFrame:
     """One row per semantic constraint: premise from the items, hypothesis from the constraint."""
     wanted = F.filter("constraints", lambda c: c["type"] == "semantic_attribute")

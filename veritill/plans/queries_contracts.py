@@ -371,3 +371,72 @@ def j15_alignment(spark, sf_dir):
     scored = f.filter(F.substring("example_id", 4, 18).cast("bigint") % 11 != 4)
     return validate.coverage(f, scored, "example_id")
 
+
+
+@query("p5_p6_p7_constraints", f"""SELECT kind, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount_minor, CAST(sum(greatest(amount + 1, CAST(round_even(amount * factor::DOUBLE, 0) AS BIGINT))) AS BIGINT) AS budget_minor, count(DISTINCT detail) AS details FROM (
+    SELECT *, greatest(1, CAST(round_even(price * 100, 0) AS BIGINT)) AS amount FROM (SELECT DISTINCT 'invoice' AS kind, 1.1 AS factor, p_partkey, (p_size - 10) * p_retailprice::DOUBLE AS price, '' AS detail FROM part WHERE p_size > 10
+    UNION ALL SELECT 'itinerary', 1.15, p_partkey, p_retailprice::DOUBLE, 'A' || p_partkey % 3 || '>B' || p_partkey % 5 FROM part UNION ALL SELECT 'award', 1.05, p_partkey, p_retailprice::DOUBLE, 'r' || p_partkey % 7 FROM part)) GROUP BY kind""")
+def p5_p6_p7_constraints(spark, sf_dir):
+    from veritill.operators import transforms
+
+    k = F.col("p_partkey")
+    text = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
+    part = views.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 10).alias("quantity"), F.col("p_retailprice").cast("double").alias("price"), text("A", 3).alias("origin"), text("B", 5).alias("destination"), text("r", 7).alias("recipient"))
+    names = ["kind", "amount_minor", "budget_minor", "detail"]
+    invoices = transforms.invoice_examples(part, ["p_partkey"], "quantity", "price").withColumns({"kind": F.lit("invoice"), "detail": F.lit("")}).select(*names)
+    trips = transforms.itinerary_examples(part, ["p_partkey"], F.col("price"), "origin", "destination").withColumns({"kind": F.lit("itinerary"), "detail": F.concat_ws(">", F.col("route")["origin"], F.col("route")["destination"])}).select(*names)
+    awards = transforms.award_examples(part, ["p_partkey"], F.col("price"), "recipient").withColumns({"kind": F.lit("award"), "detail": F.col("allowed_merchants")[0]}).select(*names)
+    every = invoices.unionByName(trips).unionByName(awards)
+    return every.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_minor").alias("amount_minor"), F.sum("budget_minor").alias("budget_minor"), F.count_distinct("detail").alias("details"))
+
+
+_MONTHS = "['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december']"
+
+
+@query("x13_text_dates", f"""SELECT order_key, make_date(2026, m1, d1) AS outbound, CASE WHEN m2 = 0 OR m1 = 0 THEN NULL WHEN make_date(2026, m2, d2) < make_date(2026, m1, d1) THEN make_date(2027, m2, d2) ELSE make_date(2026, m2, d2) END AS back FROM (
+    SELECT o_orderkey AS order_key, o_orderkey % 28 + 1 AS d1, o_orderkey % 12 + 1 AS m1, o_orderkey % 25 + 1 AS d2, o_orderkey % 7 + 4 AS m2 FROM orders WHERE o_orderkey % 10 <> 3) UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 10 = 3""")
+def x13_text_dates(spark, sf_dir):
+    from veritill.functions import scalars
+
+    k = F.col("o_orderkey")
+    month = lambda n: F.element_at(F.array(*map(F.lit, scalars.MONTHS)), n.cast("int"))
+    text = F.concat(F.lit("A trip Departing "), (k % 28 + 1).cast("string"), F.lit(" "), F.when(k % 10 == 3, "someday").otherwise(month(k % 12 + 1)), F.lit(" with a stay, returning "), (k % 25 + 1).cast("string"), F.lit(" "), F.initcap(month(k % 7 + 4)), F.lit("."))
+    d = scalars.text_dates(text)
+    return views.table(spark, sf_dir, "orders").select(k.alias("order_key"), d["outbound"].alias("outbound"), d["back"].alias("back"))
+
+
+_DECISIONS = "SELECT event_id AS decision_id, CASE event_type WHEN 'view' THEN 'STEP_UP' WHEN 'click' THEN 'APPROVE' END AS outcome FROM events WHERE event_type IN ('view', 'click')"
+_RESOLUTIONS = "SELECT CAST(floor(event_id / 4) * 2 AS BIGINT) AS decision_id, ts, event_id, CASE event_id % 3 WHEN 0 THEN 'approve_once' WHEN 1 THEN 'decline' ELSE 'modify' END AS action FROM events WHERE event_type IN ('purchase', 'error')"
+
+
+@query("z4_resolutions", sql("""SELECT result, count(*) AS n, CAST(sum(CASE WHEN result IN ('fulfilled', 'superseded') THEN 1 ELSE 0 END) AS BIGINT) AS bumps FROM (SELECT CASE WHEN d.outcome IS NULL THEN 'DECISION_NOT_FOUND' WHEN d.outcome <> 'STEP_UP' THEN 'NOT_ESCALATED' WHEN row_number() OVER (PARTITION BY r.decision_id ORDER BY ts, event_id) > 1 THEN 'ALREADY_RESOLVED'
+    WHEN action = 'approve_once' THEN 'fulfilled' WHEN action = 'modify' THEN 'superseded' ELSE 'declined' END AS result FROM v_resolutions r LEFT JOIN v_decisions d ON r.decision_id = d.decision_id) GROUP BY result""", v_decisions=_DECISIONS, v_resolutions=_RESOLUTIONS))
+def z4_resolutions(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    decisions = e.filter("event_type in ('view', 'click')").select(F.col("event_id").alias("decision_id"), F.when(F.col("event_type") == "view", "STEP_UP").otherwise("APPROVE").alias("outcome"))
+    k = F.col("event_id")
+    acts = e.filter("event_type in ('purchase', 'error')").select((F.floor(k / 4) * 2).alias("decision_id"), "ts", "event_id", F.when(k % 3 == 0, "approve_once").when(k % 3 == 1, "decline").otherwise("modify").alias("action"))
+    return stateful.resolved_once(decisions, acts, ["ts", "event_id"]).groupBy("result").agg(F.count(F.lit(1)).alias("n"), F.sum("version_bump").alias("bumps"))
+
+
+@query("z2_fulfilled_carts", "SELECT event_id, changed, CAST(sum(CAST(changed AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS row_version FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 6 ORDER BY ts, event_id) = 1 AS changed FROM events WHERE event_type = 'purchase')")
+def z2_fulfilled_carts(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("mandate"), (F.col("event_id") % 6).alias("cart"), "ts", "event_id")
+    return stateful.fulfilled_carts(e, ["ts", "event_id"]).select("event_id", "changed", "row_version")
+
+
+@query("f2_candidate_pool", sql("SELECT example_id FROM v_headers WHERE split <> 'golden' AND label_source <> 'weak_policy' AND example_id NOT IN (SELECT example_id FROM v_used) AND group_id NOT IN (SELECT group_id FROM v_used) AND source_record_id NOT IN (SELECT source_record_id FROM v_used) AND coalesce(parent_example_id, '') NOT IN (SELECT example_id FROM v_used)", v_used="SELECT example_id, group_id, source_record_id FROM v_headers WHERE order_key % 400 = 7"))
+def f2_candidate_pool(spark, sf_dir):
+    from veritill.operators.joins import unrelated
+
+    h = views.headers(spark, sf_dir).select("order_key", "example_id", "group_id", "source_record_id", "parent_example_id", "split", "label_source")
+    pool = h.filter("split <> 'golden' and label_source <> 'weak_policy'")
+    return unrelated(pool, h.filter("order_key % 400 = 7")).select("example_id")
+
+
+@query("p15_role_rows", sql("SELECT 'policy_tuning' AS split, group_id || '+' || source_record_id AS keys, count(*) AS n FROM v_headers GROUP BY ALL"))
+def p15_role_rows(spark, sf_dir):
+    from veritill.operators.transforms import role_rows
+
+    r = role_rows(views.headers(spark, sf_dir).withColumn("role", F.lit("policy_tuning")), "role")
+    return r.groupBy("split", F.array_join("grouping_keys", "+").alias("keys")).agg(F.count(F.lit(1)).alias("n"))

@@ -17,7 +17,10 @@ from .registry import query
 
 def shared_folder(spark) -> str:
     """The folder that the cluster shares; a local one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="veritill-")
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return there or "file://" + tempfile.mkdtemp(prefix="veritill-")
 
 
 def purchase_events(spark, sf_dir):

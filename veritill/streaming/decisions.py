@@ -9,24 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from veritill.operators import stateful
+from veritill.sources.shipping import ship
+
 OUTPUT = "mandate string, event_id bigint, outcome string, spent bigint"
 STATE = "spent bigint, fulfilled int, active boolean"
 
 
 def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Events of one mandate in a micro-batch, in order of time and id."""
+    """Events of one mandate in a micro-batch, in order of time and id; an event that comes in a later batch is decided after all of this one."""
     spent, fulfilled, active = state.get if state.exists else (0, 0, True)
     rows = []
     for e in pd.concat(list(parts)).sort_values(["ts", "event_id"]).itertuples(index=False):
-        after = spent + e.amount
-        if e.kind == "revoke":
-            outcome, active = "REVOKED", False
-        elif not active or fulfilled >= e.max_fulfillments or (after > e.budget and spent > 0):
-            outcome = "HOLD"
-        elif e.kind == "evaluate" and after > e.budget:
-            outcome = "STEP_UP"
-        else:
-            outcome, spent, fulfilled = "APPROVE", after, fulfilled + 1
+        outcome, spent, fulfilled, active = stateful.decide(spent, fulfilled, active, e.kind, int(e.amount), int(e.budget), int(e.max_fulfillments))
         rows.append((key[0], int(e.event_id), outcome, int(spent)))
     state.update((int(spent), int(fulfilled), bool(active)))
     yield pd.DataFrame(rows, columns=["mandate", "event_id", "outcome", "spent"])
@@ -34,6 +29,7 @@ def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
 
 def decisions(events: DataFrame) -> DataFrame:
     """A stream of decisions from a stream of events (see operators.stateful.fold_decisions for the columns)."""
+    ship(events.sparkSession)
     return events.groupBy("mandate").applyInPandasWithState(decide, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
