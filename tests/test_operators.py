@@ -230,3 +230,59 @@ def test_places_and_totals_against_plain_sorting(spark):
     single = df.filter("v <> 0.5")
     total = {x.k: x.t for x in ordered.running_totals(single, "v", {"t": "k"}, ("g",), descending=True).collect()}
     assert total == {x[0]: sum(y[0] for y in own if y[2] >= x[2] and y[2] != 0.5) for own in groups.values() for x in own if x[2] != 0.5}
+
+
+def test_broken_contracts_fail(spark):
+    from veritill.operators import contracts
+
+    bad = spark.createDataFrame([("train", "MAYBE", 1)], "split string, expected_treatment string, label int")
+    with pytest.raises(Exception, match="no such treatment"):
+        contracts.target_rows(bad, "train", "policy_intervention").collect()
+    with pytest.raises(ValueError, match="no such target"):
+        contracts.target_rows(bad, "train", "other")
+    with pytest.raises(Exception, match="elements instead of one"):
+        contracts.with_only(spark.createDataFrame([(["a", "b"],)], "x array<string>"), "x", "y").collect()
+    original = spark.createDataFrame([("a", 2, "old"), ("b", 1, "old")], "id string, place int, verdict string")
+    again = spark.createDataFrame([("a", "new")], "id string, verdict string")
+    assert [(r.id, r.verdict, r.retried) for r in contracts.retry_overlay(original, again, "id", "place", ["verdict"]).collect()] == [("b", "old", False), ("a", "new", True)]
+    with pytest.raises(Exception, match="a retry of nothing"):
+        contracts.retry_overlay(original, spark.createDataFrame([("z", "new")], "id string, verdict string"), "id", "place", ["verdict"]).collect()
+    with pytest.raises(Exception, match="two folds hold"):
+        contracts.out_of_fold_union([original, original.limit(1)], "id").collect()
+    with pytest.raises(Exception, match="mean isn't 1"):
+        contracts.weight_table(spark.createDataFrame([("a", "c", 2.0)], "example_id string, constraint_id string, w double"), "w").collect()
+    with pytest.raises(ValueError, match="lacks the classes"):
+        contracts.canonical_order(F.col("x"), ["neutral", "entailment"])
+    with pytest.raises(Exception, match="can't be shared"):
+        contracts.shares(spark.createDataFrame([(25,)], "size int"), "size", {"a": 50}).collect()
+
+
+def test_gates_by_hand(spark):
+    from veritill.operators import contracts
+
+    row = {"violation_recall": 0.9, "false_step_up_rate": 0.1, "false_decline_rate": 0.02, "ece": 0.08, "family_recall": 0.8, "reviewed_none_recall": 0.8, "pr_auc": 0.7, "baseline_pr_auc": 0.705}
+    d = spark.createDataFrame([("edge", *row.values()), ("low", *(row | {"family_recall": 0.79}).values()), ("null", *(row | {"ece": None}).values())], "name string, " + ", ".join(f"{k} double" for k in row))
+    assert {r.name: r.all_passed for r in contracts.development_gate(d, ["name"]).collect()} == {"edge": True, "low": False, "null": False}
+    none = spark.createDataFrame([], "name string, eligible boolean, violation_recall double, false_step_up_rate double, false_decline_rate double, g string")
+    assert contracts.choose_candidate(none, ["g"]).count() == 0
+    families = spark.createDataFrame([("a", 60, 0.5), ("b", 10, 0.1)], "family string, violation_rows int, violation_recall double")
+    assert tuple(contracts.worst_family(families, 50, 1.0).first()) == (0.5, 1) and contracts.worst_family(families, 100, 1.0).first().family_recall == 1.0
+
+
+def test_an_error_inside_the_subpackage_is_not_hidden(tmp_path):
+    """The entry tells a subpackage that isn't there from one that is broken."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parents[1]
+    for name in ("veritill", "__spark_entry__.py"):
+        (shutil.copytree if (top / name).is_dir() else shutil.copy)(top / name, tmp_path / name)
+    shutil.rmtree(tmp_path / "veritill" / "llm", ignore_errors=True)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
+    assert int(run().stdout) > 150
+    (tmp_path / "veritill" / "llm").mkdir()
+    for name in ("veritill/llm/__init__.py", "veritill/llm/queries.py", "corpus_pipeline.py"):
+        (tmp_path / name).write_text("import nowhere\n" if name.endswith("queries.py") else "")
+    assert "nowhere" in run().stderr

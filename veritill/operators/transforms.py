@@ -103,63 +103,75 @@ def role_rows(df: DataFrame, role: str, group: str = "group_id", source: str = "
     return df.withColumns({"split": F.col(role), "grouping_keys": F.array(group, source)})
 
 
-def child_id(example_id: Column, kind: str) -> Column:
-    return F.concat(F.lit("cf_"), F.substring(sha(example_id, F.lit(kind), F.lit(GENERATOR)), 1, 16))
-
-
-def _child(df: DataFrame, kind: str) -> DataFrame:
-    return df.withColumns({"parent_example_id": F.col("example_id"), "example_id": child_id(F.col("example_id"), kind), "attack_family": F.lit(kind), "label_source": F.lit("deterministic_counterfactual"), "confidence": F.lit(1.0)})
-
-
-def _labelled(df: DataFrame, deviation: str, treatment: str, violation: str | None) -> DataFrame:
-    return df.withColumns({"deviation": F.lit(deviation), "expected_treatment": F.lit(treatment), "violation_types": F.array(F.lit(violation)) if violation else F.array().cast("array<string>")})
+def child_id(example_id: Column, kind: Column) -> Column:
+    return F.concat(F.lit("cf_"), F.substring(sha(example_id, kind, F.lit(GENERATOR)), 1, 16))
 
 
 def budget_minor() -> Column:
     return F.try_element_at(F.filter("constraints", lambda c: c["type"] == "total_budget"), F.lit(1))["amount_minor"]
 
 
-def cumulative_overspend(df: DataFrame) -> DataFrame:
+def _overspend(df: DataFrame) -> tuple[Column, dict[str, Column], tuple[str, str, str | None]]:
     """Parents below their budget, with prior spend that takes them just over it."""
     b = budget_minor()
     count = F.greatest("fulfillment_count", F.lit(1))
-    child = _child(df.filter(b > F.col("total_amount_minor")), "cumulative_overspend")
-    return _labelled(child.withColumns({"fulfilled_amount_minor": b - F.col("total_amount_minor") + F.greatest(F.lit(1).cast("bigint"), F.floor(b / 100)), "max_fulfillments": F.greatest("max_fulfillments", count + 1), "fulfillment_count": count}), "VIOLATION", "HOLD", "CUMULATIVE_BUDGET_EXCEEDED")
+    spent = b - F.col("total_amount_minor") + F.greatest(F.lit(1).cast("bigint"), F.floor(b / 100))
+    return b > F.col("total_amount_minor"), {"fulfilled_amount_minor": spent, "max_fulfillments": F.greatest("max_fulfillments", count + 1), "fulfillment_count": count}, ("VIOLATION", "HOLD", "CUMULATIVE_BUDGET_EXCEEDED")
 
 
-def near_budget_match(df: DataFrame) -> DataFrame:
+def _near_budget(df: DataFrame) -> tuple[Column, dict[str, Column], tuple[str, str, str | None]]:
     """Parents with one dominant item, its amount set so that the cart is one unit below the budget."""
     amount = F.greatest(F.lit(1).cast("bigint"), budget_minor() - 1)
     rest = F.aggregate(F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0))), F.lit(0).cast("bigint"), lambda s, i: s + i["amount_minor"] * i["quantity"])
     first = F.col("items")[0].withField("quantity", F.lit(1)).withField("amount_minor", amount - rest)
-    child = _child(df.filter((budget_minor() >= 1) & (rest < amount)), "near_budget_match")
     items = F.transform("items", lambda i, k: F.when(k == 0, first).otherwise(i))
-    return _labelled(child.withColumns({"items": items, "total_amount_minor": amount, "fulfilled_amount_minor": F.lit(0).cast("bigint")}), "MATCH", "APPROVE", None)
+    return (budget_minor() >= 1) & (rest < amount), {"items": items, "total_amount_minor": amount, "fulfilled_amount_minor": F.lit(0)}, ("MATCH", "APPROVE", None)
 
 
-def evidence_removal(df: DataFrame) -> DataFrame:
+def _no_evidence(df: DataFrame) -> tuple[Column, dict[str, Column], tuple[str, str, str | None]]:
     none = F.create_map().cast("map<string,string>")
-    child = _child(df, "missing_required_evidence")
-    return _labelled(child.withColumns({"items": F.transform("items", lambda i: i.withField("attributes", none)), "evidence_sufficiency": F.lit("ambiguous")}), "AMBIGUOUS", "STEP_UP", "REQUIRED_ATTRIBUTE_EVIDENCE_MISSING")
+    return F.lit(True), {"items": F.transform("items", lambda i: i.withField("attributes", none)), "evidence_sufficiency": F.lit("ambiguous")}, ("AMBIGUOUS", "STEP_UP", "REQUIRED_ATTRIBUTE_EVIDENCE_MISSING")
 
 
-def unrelated_add_on(df: DataFrame, description: str = "gift card subscription", amount: int = 1500) -> DataFrame:
+def _add_on(df: DataFrame, description: str = "gift card subscription", amount: int = 1500) -> tuple[Column, dict[str, Column], tuple[str, str, str | None]]:
     extra = F.struct(F.lit(99).alias("line_number"), F.lit(-1).cast("bigint").alias("part_key"), F.lit(1).alias("quantity"), F.lit(amount).cast("bigint").alias("amount_minor"), F.lit(description).alias("description"), F.lit("ADD_ON").alias("category"), F.create_map().cast("map<string,string>").alias("attributes"))
-    child = _child(df, "unrelated_add_on")
-    kind = df.schema["items"].dataType
-    return _labelled(child.withColumns({"items": F.concat("items", F.array(extra).cast(kind)), "total_amount_minor": F.col("total_amount_minor") + amount, "line_item_count": F.col("line_item_count") + 1}), "VIOLATION", "STEP_UP", "SEMANTIC_UNRELATED_ITEM")
+    items = F.concat("items", F.array(extra).cast(df.schema["items"].dataType))
+    return F.lit(True), {"items": items, "total_amount_minor": F.col("total_amount_minor") + amount, "line_item_count": F.col("line_item_count") + 1}, ("VIOLATION", "STEP_UP", "SEMANTIC_UNRELATED_ITEM")
+
+
+COUNTERFACTUALS = {"cumulative_overspend": _overspend, "near_budget_match": _near_budget, "missing_required_evidence": _no_evidence, "unrelated_add_on": _add_on}
 
 
-COUNTERFACTUALS = {"cumulative_overspend": cumulative_overspend, "near_budget_match": near_budget_match, "missing_required_evidence": evidence_removal, "unrelated_add_on": unrelated_add_on}
+def counterfactuals(df: DataFrame, kinds: tuple[str, ...] = tuple(COUNTERFACTUALS)) -> DataFrame:
+    """The children of the given kinds of every parent that allows them: an array of what changes, exploded, so that parents are read once."""
+    made = {k: COUNTERFACTUALS[k](df) for k in kinds}
+    changed = sorted({c for _, columns, _ in made.values() for c in columns})
+    variants = []
+    for kind, (possible, columns, (deviation, treatment, violation)) in made.items():
+        labels = {"attack_family": F.lit(kind), "deviation": F.lit(deviation), "expected_treatment": F.lit(treatment), "violation_types": F.array(F.lit(violation)) if violation else F.array().cast("array<string>")}
+        # numbers are brought to one type; items differ in nothing but what may be null
+        every = {c: v if c == "items" else v.cast(df.schema[c].dataType) for c, v in ((c, columns.get(c, F.col(c))) for c in changed)} | labels
+        variants.append(F.when(possible, F.struct(*(v.alias(c) for c, v in every.items()))))
+    names = [*changed, "attack_family", "deviation", "expected_treatment", "violation_types"]
+    d = df.withColumn("_v", F.explode(F.array_compact(F.array(*variants)))).withColumn("parent_example_id", F.col("example_id"))
+    d = d.withColumns({c: F.col(f"_v.{c}") for c in names}).drop("_v")
+    return d.withColumns({"example_id": child_id(F.col("example_id"), F.col("attack_family")), "label_source": F.lit("deterministic_counterfactual"), "confidence": F.lit(1.0)})
+
+
+def cumulative_overspend(df: DataFrame) -> DataFrame:
+    return counterfactuals(df, ("cumulative_overspend",))
+
+
+def near_budget_match(df: DataFrame) -> DataFrame:
+    return counterfactuals(df, ("near_budget_match",))
+
+
+def evidence_removal(df: DataFrame) -> DataFrame:
+    return counterfactuals(df, ("missing_required_evidence",))
 
 
-def counterfactuals(df: DataFrame) -> DataFrame:
-    """All four children of every parent that allows them."""
-    parts = [make(df) for make in COUNTERFACTUALS.values()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def unrelated_add_on(df: DataFrame) -> DataFrame:
+    return counterfactuals(df, ("unrelated_add_on",))
 
 
 def counterfactual_problems(df: DataFrame) -> DataFrame:
