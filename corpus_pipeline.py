@@ -18,10 +18,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents of sf_dir."""
-    docs = textops.documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = textops.stored(docs)
-    return docs
+    """All stages over the table documents of sf_dir; what a stage wrote on the way is deleted once its rows are stored."""
+    docs = before = textops.documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        with textops.scratch():
+            docs = textops.stored(stage(spark, docs, sf_dir), lasting=True)
+        textops.release(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -74,7 +74,7 @@ def test_prefix_pairs_lose_no_pair(spark):
     base = list(range(40))
     sets = {k: sorted({x if r.random() > 0.06 else 1000 + r.randrange(400) for x in base}) for k in range(40)}
     s = spark.createDataFrame(list(sets.items()), "doc_id bigint, shingles array<bigint>")
-    c = spark.createDataFrame([(k, k) for k in sets], "doc_id bigint, component bigint")
+    c = spark.createDataFrame([(k, k, k % 7) for k in sets], "doc_id bigint, component bigint, low bigint")
     found = {(x.a, x.b) for x in neardups._prefix_pairs(c, s, 85).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
     assert want <= found and want

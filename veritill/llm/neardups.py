@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import Words, documents, mix, row_key, stored, windows, word_slices
+from .textops import ROW_KEY, Words, documents, in_arrow, mix, row_key, scratch, stored, unused, windows, word_slices
 
 WIDTH = 5
 PERCENT = 85
@@ -36,8 +36,6 @@ SKETCH_SLACK = 5.2
 #: Bands of up to this many classes are paired at once; larger ones go through pivots first.
 SMALL_BAND = 48
 PIVOT_ROUNDS = 3
-#: Rounds in which sets that can't be linked leave before prefixes are compared.
-PEELS = 2
 
 _K = BANDS * ROWS
 _rng = np.random.default_rng(77)
@@ -46,7 +44,7 @@ _FLIP = _rng.integers(0, 2**32, _K, dtype=np.uint32)
 _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 _SAMPLE_SALT = mix(np.arange(1001, 1001 + _K, dtype=np.uint64))
 
-SIGNATURE = "doc_id bigint, row_key bigint, text_key bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>"
+SIGNATURE = f"doc_id bigint, row_key {ROW_KEY}, text_key bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>"
 SETS = "doc_id bigint, shingles array<bigint>"
 
 
@@ -127,7 +125,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame) -> DataFrame:
     """One row per document: keys of row and text, set size, set fingerprint, band keys and odd sketch, in a stored table."""
     text = F.col("text").cast("string")
-    return stored(docs.select(F.col("doc_id").cast("bigint"), row_key(docs).alias("row_key"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(_sign, SIGNATURE))
+    rows = docs.select(F.col("doc_id").cast("bigint"), row_key(docs).alias("row_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return stored(in_arrow(rows, _sign, SIGNATURE))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,28 +173,37 @@ def _pair(x: Column | str, y: Column | str) -> list[Column]:
 
 
 def _prefix_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs across components among classes (doc_id, component) that may reach the threshold; none that does is missing.
+    """The pairs across components among classes (doc_id, component, low) that may reach the threshold; none that does is missing.
 
-    Shingles are ordered from the rarest. Two sets that reach the threshold share one of the first
-    n - ceil(n * percent / 100) + 1 of either, and at the first that they share, what is left of both is enough.
+    Shingles are ordered from the rarest: two sets that reach the threshold share one of the first
+    n - ceil(n * percent / 100) + 1 of either, and at the first that they share, what is left of both is enough. Near
+    copies share most shingles with their pivot (low), so a set is told by what it has beyond the pivot and what it
+    lacks of it, and only these are counted; a pivot's set is counted once, times the sets that go by it. A set with
+    more shingles of its own than the threshold allows is linked with nothing and leaves first.
     """
-    own = classes.join(sets, "doc_id").withColumn("n", F.size("shingles"))
-    spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    # a set with more shingles of its own than the threshold allows is linked with nothing, and leaving it out frees others
-    for _ in range(PEELS):
-        own = stored(own)
-        counted = own.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("doc_id"))
-        single = counted.filter("held = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("single"))
-        own = own.join(single, "doc_id", "left").filter(spare > F.coalesce("single", F.lit(0))).drop("single")
-    own = stored(own)
-    flat = own.select("doc_id", F.explode("shingles").alias("s"))
-    held = flat.groupBy("s").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    # a shingle that no other set holds comes first and joins nothing: only how many there are counts
-    common = flat.join(held, "s").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("held", "s"))).alias("common"))
-    ranked = own.drop("shingles").join(common, "doc_id").withColumn("alone", F.col("n") - F.size("common"))
-    length = spare - F.col("alone")
-    ranked = ranked.filter(length > 0).select("doc_id", "component", "n", "alone", F.posexplode(F.slice("common", F.lit(1), length.cast("int"))).alias("k", "x"))
-    heads = stored(ranked.select(F.col("x.s").alias("s"), "doc_id", "component", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("left")))
+    spare = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    pivots = stored(sets.join(classes.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("low"), F.col("shingles").alias("base")))
+    own = classes.join(sets, "doc_id").join(pivots, "low")
+    own = stored(own.select("doc_id", "component", "low", F.size("shingles").alias("n"), F.array_except("shingles", "base").alias("beyond"), F.array_except("base", "shingles").alias("lacking")))
+    one, of = F.lit(1).cast("bigint"), lambda name, n: own.select(F.explode(name).alias("s"), n.alias("held"))
+    base = pivots.select("low", F.explode("base").alias("s"))
+    # a shingle that only one set has beyond its pivot, and no pivot has, is its own
+    counted = own.select("doc_id", F.explode("beyond").alias("s")).unionByName(base.select(F.lit(None).cast("bigint").alias("doc_id"), "s")).groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("doc_id"))
+    single = counted.filter("held = 1 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("single"))
+    own = stored(own.join(single, "doc_id", "left").filter(spare > F.coalesce("single", F.lit(0))).drop("single"))
+    base = base.join(own.groupBy("low").agg(F.count(F.lit(1)).alias("members")), "low")
+    held = of("beyond", one).unionByName(of("lacking", -one)).unionByName(base.select("s", F.col("members").alias("held"))).groupBy("s").agg(F.sum("held").alias("held")).filter("held > 0")
+    entry = F.sort_array(F.collect_list(F.struct("held", "s")))
+    held = stored(held)
+    base = base.join(held, "s").groupBy("low").agg(entry.alias("base"))
+    more = own.select("doc_id", F.explode("beyond").alias("s")).join(held, "s").groupBy("doc_id").agg(entry.alias("more"))
+    ranked = own.join(base, "low", "left").join(more, "doc_id", "left")
+    none = F.array().cast("array<struct<held:bigint,s:bigint>>")
+    # the rarest of the pivot's shingles that the set has are among so many
+    shared = F.filter(F.slice(F.coalesce("base", none), F.lit(1), spare + F.size("lacking")), lambda x: ~F.array_contains("lacking", x["s"]))
+    prefix = F.slice(F.sort_array(F.concat(F.coalesce("more", none), shared)), F.lit(1), spare)
+    ranked = ranked.select("doc_id", "component", "n", F.posexplode(prefix).alias("k", "x")).filter("x.held > 1")
+    heads = stored(ranked.select(F.col("x.s").alias("s"), "doc_id", "component", "n", (F.col("n") - F.col("k")).alias("left")))
     x, y = (heads.select("s", F.col("doc_id").alias(d), F.col("component").alias(f"c{d}"), F.col("n").alias(f"n{d}"), F.col("left").alias(f"left{d}")) for d in "ab")
     enough = (100 + percent) * F.least("lefta", "leftb") >= percent * (F.col("na") + F.col("nb"))
     return x.join(y, "s").filter(F.col("a") < F.col("b")).filter(F.col("ca") != F.col("cb")).filter(enough).select("a", "b")
@@ -207,11 +215,17 @@ def link(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFra
     What is called doc_id from here on names one text each, as rows may share an id or have none.
     """
     keys = classes.select("doc_id", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("low")).filter("members > 1")
+    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = stored(keys.join(shared, "band"))
+    # the first pivot of a band is the class that shares most bands with others, as the source of many near copies does
+    popular = members.groupBy("doc_id").agg(F.sum("members").alias("popularity"))
+    pivots = members.join(popular, "doc_id").groupBy("band").agg(F.min_by("doc_id", F.struct(-F.col("popularity"), "doc_id")).alias("low"))
+    members = stored(members.join(pivots, "band"))
     first = members.filter("doc_id <> low").select(*_pair("doc_id", "low")).distinct()
     asked = members.select("doc_id").distinct()
-    sets = stored(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(asked, "doc_id", "left_semi").mapInArrow(_sets, SETS).dropDuplicates(["doc_id"]))
+    # a sort-merge join at every size: asked grows with the documents, and so the plan is the same on small tables
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(asked.hint("merge"), "doc_id", "left_semi")
+    sets = stored(in_arrow(texts, _sets, SETS).dropDuplicates(["doc_id"]))
     edges = _confirmed(first, classes, sets, percent)
     for turn in range(PIVOT_ROUNDS + 1):
         found = components(edges)
@@ -220,10 +234,8 @@ def link(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFra
         at = stored(at.join(split, "band", "left_semi"))
         large = at.filter(F.col("members") > SMALL_BAND)
         if turn < PIVOT_ROUNDS and not large.isEmpty():
-            # first the class that shares most bands with others, as the source of many near copies does, then any
-            popular = large.groupBy("doc_id").agg(F.sum("members").alias("popularity"))
-            rank = F.struct(-F.col("popularity") if turn == 0 else F.lit(0), F.xxhash64("doc_id", F.lit(turn)))
-            pivots = large.join(popular, "doc_id").groupBy("band").agg(F.min_by(F.struct("doc_id", "component"), rank).alias("pivot"))
+            rank = F.xxhash64("doc_id", F.lit(turn))
+            pivots = large.groupBy("band").agg(F.min_by(F.struct("doc_id", "component"), rank).alias("pivot"))
             pairs = large.join(pivots, "band").filter("component <> pivot.component").select(*_pair("doc_id", "pivot.doc_id"))
         else:
             # what is left: pairs across components of one small band but those tried with the first pivot, and large bands by prefixes
@@ -231,7 +243,7 @@ def link(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFra
             x, y = (small.select("band", "low", F.col("doc_id").alias(d), F.col("component").alias(c)) for d, c in (("a", "ca"), ("b", "cb")))
             pairs = x.join(y.drop("low"), "band").filter("a < b and ca <> cb and a <> low").select("a", "b")
             if not large.isEmpty():
-                pairs = pairs.union(_prefix_pairs(large.select("doc_id", "component").distinct(), sets, percent))
+                pairs = pairs.union(_prefix_pairs(large.groupBy("doc_id", "component").agg(F.max_by("low", F.struct("members", "low")).alias("low")), sets, percent))
         more = _confirmed(pairs.distinct(), classes, sets, percent)
         edges = stored(edges.union(more).union(found.filter("node <> component").select(*_pair("node", "component"))).distinct())
         if turn == PIVOT_ROUNDS or large.isEmpty():
@@ -245,15 +257,17 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     some = signed.filter("n_shingles > 0")
     same = ["set_a", "set_b", "n_shingles"]
     groups = stored(some.groupBy(*same).agg(F.min("text_key").alias("class_id"), F.min("doc_id").alias("low_id")))
-    classes = some.join(groups.select(*same, F.col("class_id").alias("text_key")), [*same, "text_key"]).dropDuplicates(["text_key"])
-    classes = stored(classes.select(F.col("text_key").alias("doc_id"), "n_shingles", "bands", "sketch"))
-    linked = link(docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text"), classes, percent)
+    with scratch():
+        classes = some.join(groups.select(*same, F.col("class_id").alias("text_key")), [*same, "text_key"]).dropDuplicates(["text_key"])
+        classes = stored(classes.select(F.col("text_key").alias("doc_id"), "n_shingles", "bands", "sketch"))
+        linked = stored(link(docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text"), classes, percent), lasting=True)
     groups = groups.join(linked, F.col("class_id") == F.col("node"), "left").select(*same, "low_id", F.coalesce("component", "class_id").alias("component"))
     # a component is named by its smallest id
     named = groups.groupBy("component").agg(F.min("low_id").alias("component_id"))
     out = signed.select("doc_id", "row_key", *same).join(groups.drop("low_id").join(named, "component"), same, "left")
     alone = F.col("n_shingles") == 0
-    out = out.withColumns({"component": F.when(alone, F.col("row_key")).otherwise(F.col("component")), "component_id": F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))})
+    key = F.struct(F.col("component").alias("a"), F.lit(None).cast("bigint").alias("b"))
+    out = out.withColumns({"component": F.when(alone, F.col("row_key")).otherwise(key), "component_id": F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))})
     return out.select("doc_id", "row_key", "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -267,10 +281,13 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays (one row, also where several have that id or none has one)."""
-    columns = docs.columns
-    kept = _placed(docs, PERCENT).filter("kept").groupBy("component").agg(F.min("row_key").alias("veritill_key")).select("veritill_key")
-    return docs.withColumn("veritill_key", row_key(docs)).join(kept, "veritill_key", "left_semi").dropDuplicates(["veritill_key"]).select(*columns)
+    """Pipeline stage: of each component the row with the smallest doc_id stays (one row, also where several have that id or none has one).
+
+    Rows without words stay, one of each repeated row; extra columns pass through, whatever their names.
+    """
+    columns, (key,) = docs.columns, unused(docs, "key")
+    kept = _placed(docs, PERCENT).filter("kept").groupBy("component").agg(F.min("row_key").alias(key)).select(key)
+    return docs.withColumn(key, row_key(docs)).join(kept, key, "left_semi").dropDuplicates([key]).select(*columns)
 
 
 SQL_LINKS = r"""
