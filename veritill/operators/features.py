@@ -52,8 +52,8 @@ def category_mismatch() -> Column:
     return F.array_contains(banned, F.upper("merchant_category"))
 
 
-def canonical_rows(df: DataFrame) -> DataFrame:
-    """The flat feature row of examples with signals, contradiction and neutral."""
+def canonical_rows(df: DataFrame, *more: Column) -> DataFrame:
+    """The flat feature row of examples with signals, contradiction and neutral, and more columns of theirs."""
     missing = (F.col("evidence_sufficiency") != "sufficient").cast("int")
     fails = failed(F.col("signals"))
     return df.select(
@@ -64,7 +64,7 @@ def canonical_rows(df: DataFrame) -> DataFrame:
         F.size(fails).alias("hard_fail_count"), F.size(F.filter(fails, lambda s: s["severity"] == "critical")).alias("critical_hold_count"), missing.alias("soft_warning_count"),
         F.coalesce(first_budget("currency"), F.col("currency")).alias("currency"), F.col("currency").alias("cart_currency"), category_mismatch().alias("category_mismatch"),
         "merchant_category", "evidence_sufficiency",
-        F.when(F.col("relevance") == "E", 0).when(F.col("relevance").isin("C", "I"), 1).alias("label"), F.col("attack_family"), "label_source",
+        F.when(F.col("relevance") == "E", 0).when(F.col("relevance").isin("C", "I"), 1).alias("label"), F.col("attack_family"), "label_source", *more,
     )
 
 
@@ -99,9 +99,7 @@ def runtime_rows(df: DataFrame) -> DataFrame:
     """The same feature row from a decision's signals: missing evidence is the number of signals that can't be evaluated."""
     missing = F.size(F.filter("signals", lambda s: s["status"] == "NOT_EVALUABLE"))
     domain = F.when(F.col("merchant_category").isin("AIRLINE", "HOTEL"), "travel").when(F.col("merchant_category") == "RESTAURANT", "dining").otherwise("retail")
-    rows = canonical_rows(df)
-    extra = df.select("example_id", missing.alias("missing"), domain.alias("runtime_domain"))
-    rows = rows.drop("missing_evidence_count", "soft_warning_count", "domain", "evidence_sufficiency").join(extra, "example_id")
+    rows = canonical_rows(df, missing.alias("missing"), domain.alias("runtime_domain"))
     return rows.withColumns({"missing_evidence_count": F.col("missing"), "soft_warning_count": F.col("missing"), "domain": F.col("runtime_domain"), "evidence_sufficiency": F.when(F.col("missing") > 0, "ambiguous").otherwise("sufficient")}).drop("missing", "runtime_domain")
 
 
