@@ -13,7 +13,6 @@ cross-colour transform gain nothing in one channel, and are weighed by `encode_s
 
 from __future__ import annotations
 
-import heapq
 import struct
 from functools import lru_cache
 
@@ -46,21 +45,29 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     if len(used) <= 1:
         out[used] = 1
         return out
-    weights = counts[used].tolist()
+    order = np.argsort(counts[used], kind="stable")
+    weights = counts[used][order].tolist()
     while True:
+        # the lightest two of the leaves left and the nodes made so far, both of which come in order
         n = len(weights)
-        heap = [(w, k) for k, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * n - 1)
+        nodes, parent, leaf, inner = weights + [1 << 62], [0] * (2 * n - 1), 0, n + 1
         for k in range(n, 2 * n - 1):
-            (a, i), (b, j) = heapq.heappop(heap), heap[0]
-            parent[i] = parent[j] = k
-            heapq.heapreplace(heap, (a + b, k))
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (inner > k or nodes[leaf] <= nodes[inner]):
+                    total += nodes[leaf]
+                    parent[leaf] = k
+                    leaf += 1
+                else:
+                    total += nodes[inner]
+                    parent[inner - 1] = k
+                    inner += 1
+            nodes.append(total)
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
-        if max(depth[:n]) <= most:
-            out[used] = depth[:n]
+        if depth[0] <= most:
+            out[used[order]] = depth[:n]
             return out
         weights = [(w + 1) // 2 for w in weights]
 
@@ -85,21 +92,45 @@ class Code:
         if len(used) == 0:
             self.only = 0
         if self.only >= 0:
-            self.bits, self.symbol, self.length = 0, np.array([self.only], np.int32), np.zeros(1, np.int32)
+            self.bits, self.symbol, self.length = 0, np.array([self.only]), np.zeros(1, np.int64)
             return
         if int((1 << (15 - lengths[used])).sum()) != 1 << 15:
             raise ValueError("a prefix code is not complete")
         self.bits = int(lengths[used].max())
         size = 1 << self.bits
+        if self.bits <= 7:
+            own = lengths[used].tolist()
+            symbol, length, at = [0] * size, [0] * size, 0
+            back = _reversed_list(self.bits)
+            for n, k in sorted(zip(own, used.tolist(), strict=True)):
+                begin, step = back[at], 1 << n
+                symbol[begin::step] = [k] * (size >> n)
+                length[begin::step] = [n] * (size >> n)
+                at += size >> n
+            self.symbol, self.length = np.array(symbol), np.array(length)
+            return
         # canonical codes in order fill the table of unreversed bits from the left
         order = used[np.argsort(lengths[used], kind="stable")]
         spans = 1 << (self.bits - lengths[order])
         back = _reversed(self.bits)
-        self.symbol, self.length = np.empty(size, np.int32), np.empty(size, np.int32)
+        self.symbol, self.length = np.empty(size, np.int64), np.empty(size, np.int64)
         self.symbol[back] = np.repeat(order, spans)
         self.length[back] = np.repeat(lengths[order], spans)
 
 
+@lru_cache(4096)
+def _length_code(lengths: tuple[int, ...]) -> tuple[int, list[int], list[int]]:
+    """Mask, symbols and sizes of a code of code lengths."""
+    code = Code(np.array(lengths))
+    return (1 << code.bits) - 1, code.symbol.tolist(), code.length.tolist()
+
+
+@lru_cache(1)
+def _flat8() -> Code:
+    """The code of 8 bits for each of 256 symbols, which palettes are written with."""
+    return Code(np.concatenate([np.full(256, 8), np.zeros(24, np.int64)]))
+
+
 @lru_cache(256)
 def _single(symbol: int) -> Code:
     return Code(np.bincount([symbol], minlength=symbol + 1))
@@ -117,6 +148,11 @@ def _reversed(bits: int) -> np.ndarray:
     return _reversals[bits]
 
 
+@lru_cache(16)
+def _reversed_list(bits: int) -> list[int]:
+    return _reversed(bits).tolist()
+
+
 # ---- bits
 
 
@@ -126,7 +162,7 @@ class Reader:
 
     def peek(self, n: int) -> int:
         k = self.at >> 3
-        return (int.from_bytes(self.data[k : k + 8], "little") >> (self.at & 7)) & ((1 << n) - 1)
+        return (int.from_bytes(self.data[k : k + 9], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
     def read(self, n: int) -> int:
         v = self.peek(n)
@@ -184,17 +220,19 @@ def read_code(r: Reader, alphabet: int) -> Code:
             return _single(symbol)
         lengths[r.read(8)] = 1
         return Code(lengths)
-    own = np.zeros(19, np.int64)
-    for k in LENGTH_ORDER[: 4 + r.read(4)]:
-        own[k] = r.read(3)
-    code = Code(own)
+    own = [0] * 19
+    count = 4 + r.read(4)
+    packed_ = r.peek(3 * count)
+    r.read(3 * count)
+    for i, k in enumerate(LENGTH_ORDER[:count]):
+        own[k] = (packed_ >> (3 * i)) & 7
+    mask, symbols, sizes = _length_code(tuple(own))
     left = alphabet
     if r.read(1):
         left = 2 + r.read(2 + 2 * r.read(3))
     # at most 14 bits a length: the whole list from one number
-    first, symbols, sizes = r.at, code.symbol.tolist(), code.length.tolist()
+    first = r.at
     bits = int.from_bytes(r.data[first >> 3 : (first + 14 * alphabet + 15) >> 3], "little") >> (first & 7)
-    mask = (1 << code.bits) - 1
     out, before, used = [], 8, 0
     while len(out) < alphabet and left:
         left -= 1
@@ -216,7 +254,8 @@ def read_code(r: Reader, alphabet: int) -> Code:
     if r.at > r.end:
         raise ValueError("the image ends too early")
     lengths[: len(out)] = out
-    return Code(lengths)
+    flat = alphabet == 280 and (lengths[:256] == 8).all() and not lengths[256:].any()
+    return _flat8() if flat else Code(lengths)
 
 
 def _value(r: Reader, prefix: int) -> int:
@@ -239,6 +278,12 @@ def _near(width: int) -> np.ndarray:
     return np.array([max(1, x + y * width) for x, y in NEIGHBOURS])
 
 
+@lru_cache(64)
+def _near_codes(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distances that short codes can say, in order, and the first code of each from 0."""
+    return np.unique(_near(width), return_index=True)
+
+
 def _extra(prefix: np.ndarray) -> np.ndarray:
     """How many bits follow a prefix."""
     return np.where(prefix < 4, 0, (prefix - 2) >> 1)
@@ -250,8 +295,8 @@ def _values(prefix: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + (bits & ((1 << n) - 1)) + 1)
 
 
-#: Bytes decoded together, and how many more one token may reach into.
-STRETCH, MARGIN = 1 << 17, 16
+#: Bytes decoded together, so few that the tables over their bits stay in cache, and how many more one token may reach into.
+STRETCH, MARGIN = 1 << 11, 16
 
 
 def _green_pixels(r: Reader, codes: list[Code], n: int, width: int) -> np.ndarray | None:
@@ -268,32 +313,32 @@ def _green_pixels(r: Reader, codes: list[Code], n: int, width: int) -> np.ndarra
     references = bool((green.symbol >= 256).any())
     while done < n:
         first = at >> 3
-        data = every[first : first + min(STRETCH, 8 * (n - done) + 8) + MARGIN].astype(np.uint32)
+        data = every[first : first + min(STRETCH, 8 * (n - done) + 8) + MARGIN].astype(np.int64)
         if len(data) <= MARGIN:
             raise ValueError("the image ends too early")
         words = data[:-3] | (data[1:-2] << 8) | (data[2:-1] << 16) | (data[3:] << 24)
-        ahead = (words[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)  # 25 bits from every bit
-        peek = ahead & np.uint32((1 << green.bits) - 1)
-        symbol, length = green.symbol[peek], green.length[peek]
+        ahead = (words[:, None] >> np.arange(8)).reshape(-1)  # 25 bits from every bit
+        peek = ahead & ((1 << green.bits) - 1)
+        symbol, length = green.symbol.take(peek), green.length.take(peek)
         top, limit = len(ahead) - 1, 8 * (len(data) - MARGIN)
-        after = np.arange(top + 1, dtype=np.int32) + length
+        after = np.arange(top + 1) + length
         if references:
             begins = np.flatnonzero(symbol >= 256)
             bits = np.minimum(after[begins], top)
             behind = np.minimum(bits + _extra(symbol[begins] - 256), top)
-            peek = ahead[behind] & np.uint32((1 << far.bits) - 1)
+            peek = ahead[behind] & ((1 << far.bits) - 1)
             after[begins] = behind + far.length[peek] + _extra(far.symbol[peek])
         hop = np.minimum(after, top)
-        two = hop[hop]
-        four = two[two]
-        eight = memoryview(four[four])
+        two = hop.take(hop)
+        four = two.take(two)
+        eight = memoryview(four.take(four))
         p, heads = at - 8 * first, []
         add = heads.append
         left = n - done
         while p < limit and len(heads) * 8 < left:
             add(p)
             p = eight[p]
-        tokens = np.empty((len(heads), 8), np.int32)
+        tokens = np.empty((len(heads), 8), np.int64)
         tokens[:, 0] = heads
         tokens[:, 1] = hop[tokens[:, 0]]
         tokens[:, 2:4] = two[tokens[:, :2]]
@@ -305,7 +350,7 @@ def _green_pixels(r: Reader, codes: list[Code], n: int, width: int) -> np.ndarra
         run = np.ones(len(tokens), np.int64)
         if len(copies):
             prefix, bits = kind[copies] - 256, tokens[copies] + length[tokens[copies]]
-            run[copies] = _values(prefix, ahead[bits].astype(np.int64))
+            run[copies] = _values(prefix, ahead[bits])
         ends = done + np.cumsum(run)
         many = int(np.searchsorted(ends, n)) + 1
         tokens, kind, run, ends = tokens[:many], kind[:many], run[:many], ends[:many]
@@ -318,9 +363,9 @@ def _green_pixels(r: Reader, codes: list[Code], n: int, width: int) -> np.ndarra
         if len(copies):
             prefix = kind[copies] - 256
             behind = np.minimum(tokens[copies] + length[tokens[copies]] + _extra(prefix), top)
-            peek = ahead[behind] & np.uint32((1 << far.bits) - 1)
+            peek = ahead[behind] & ((1 << far.bits) - 1)
             bits = np.minimum(behind + far.length[peek], top)
-            back = _values(far.symbol[peek], ahead[bits].astype(np.int64))
+            back = _values(far.symbol[peek], ahead[bits])
             near = _near(width)
             back = np.where(back > len(near), back - len(near), near[np.minimum(back, len(near)) - 1])
             if (back > begin[copies]).any():
@@ -335,6 +380,28 @@ def _green_pixels(r: Reader, codes: list[Code], n: int, width: int) -> np.ndarra
     return (out.astype(np.uint32) << 8) | np.uint32(base)
 
 
+def _small_pixels(r: Reader, codes: list[Code], n: int) -> np.ndarray:
+    """Pixels of a small image of literals, from one number."""
+    bits = int.from_bytes(r.data[r.at >> 3 : (r.at + 60 * n + 15) >> 3], "little") >> (r.at & 7)
+    tables = [((1 << c.bits) - 1, c.symbol.tolist(), c.length.tolist(), shift) for c, shift in zip(codes[:4], (8, 16, 0, 24), strict=True)]
+    fixed = sum(symbol[0] << shift for mask, symbol, _, shift in tables if not mask)
+    tables = [t for t in tables if t[0]]
+    out, used = [], 0
+    for _ in range(n):
+        pixel = fixed
+        for mask, symbol, length, shift in tables:
+            v = bits & mask
+            pixel |= symbol[v] << shift
+            size = length[v]
+            bits >>= size
+            used += size
+        out.append(pixel)
+    r.at += used
+    if r.at > r.end:
+        raise ValueError("the image ends too early")
+    return np.array(out, np.uint32)
+
+
 def read_pixels(r: Reader, width: int, height: int, outer: bool) -> np.ndarray:
     """The ARGB values of an entropy-coded image; only the outer one may have several groups of codes."""
     cache_bits = r.read(4) if r.read(1) else 0
@@ -348,6 +415,8 @@ def read_pixels(r: Reader, width: int, height: int, outer: bool) -> np.ndarray:
     n = width * height
     if groups == 1 and not cache_bits and (plain := _green_pixels(r, sets[0], n, width)) is not None:
         return plain
+    if n <= 512 and groups == 1 and not cache_bits and not (sets[0][0].symbol >= 256).any():
+        return _small_pixels(r, sets[0], n)
     out, cache, done = [0] * n, [0] * (1 << cache_bits), 0
     k = x = y = 0
     while k < n:
@@ -727,10 +796,17 @@ def encode(argb: np.ndarray, predictor: tuple[int, np.ndarray] | None = None, cr
     return _file(w)
 
 
+_COUNTS = np.arange(1 << 14)
+_COUNT_BITS = _COUNTS * np.log2(np.maximum(_COUNTS, 1))
+
+
 def _entropy(counts: np.ndarray) -> float:
     """Bits that symbols of these counts take at least."""
-    counts = counts[counts > 0]
-    return float((counts * np.log2(counts.sum() / counts)).sum()) if len(counts) else 0.0
+    total = int(counts.sum())
+    if not total:
+        return 0.0
+    own = _COUNT_BITS[counts] if total < len(_COUNTS) else counts * np.log2(np.maximum(counts, 1))
+    return float(total * np.log2(total) - own.sum())
 
 
 #: The shortest copy worth a reference (as long as a 64-bit key), the longest that one reference holds, and the farthest it reaches.
@@ -787,24 +863,24 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _distance_codes(back: np.ndarray, width: int) -> np.ndarray:
-    near = _near(width)
-    own, first = np.unique(near, return_index=True)
+    own, first = _near_codes(width)
     k = np.minimum(np.searchsorted(own, back), len(own) - 1)
-    return np.where(own[k] == back, first[k] + 1, back + len(near))
+    return np.where(own[k] == back, first[k] + 1, back + len(NEIGHBOURS))
 
 
-def write_greens(w: Writer, x: np.ndarray, width: int, alpha: int = 255) -> tuple[np.ndarray, np.ndarray]:
-    """The outer image, of green values alone: its codes into w, and its data, (values, sizes), to follow them."""
+def write_greens(w: Writer, x: np.ndarray, width: int, alpha: int = 255) -> tuple[np.ndarray, np.ndarray, float]:
+    """The outer image, of green values alone: its codes into w, and its data, (values, sizes), to follow them, with about how many bits that takes."""
     w.put(0, 1)  # no colour cache
     w.put(0, 1)  # one group of codes
     counts = np.bincount(x, minlength=280)
+    cost = _entropy(counts)
     at, run, back = matches(x)
     symbols = x.astype(np.int64)
     lengths, far, begins = None, np.zeros(40, np.int64), np.zeros(0, np.int64)
     if len(at):
         edges = np.zeros(len(x) + 1, np.int64)
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + run, -1)
+        edges[at] += 1
+        edges[at + run] -= 1
         literal = np.cumsum(edges[:-1]) == 0
         (size_code, size_bits, size_n), (far_code, far_bits, far_n) = _prefixes(run), _prefixes(_distance_codes(back, width))
         symbols = symbols.copy()
@@ -814,8 +890,9 @@ def write_greens(w: Writer, x: np.ndarray, width: int, alpha: int = 255) -> tupl
         symbols = symbols[begins]
         shorter = np.bincount(symbols, minlength=280)
         far = np.bincount(far_code, minlength=40)
-        if _entropy(shorter) + _entropy(far) + float(size_n.sum() + far_n.sum()) + 200 < _entropy(counts):
-            counts = shorter
+        copied = _entropy(shorter) + _entropy(far) + float(size_n.sum() + far_n.sum()) + 200
+        if copied < cost:
+            counts, cost = shorter, copied
         else:
             symbols, far, at = x.astype(np.int64), np.zeros(40, np.int64), at[:0]
     lengths, far_lengths = code_lengths(counts, 15), code_lengths(far, 15)
@@ -830,13 +907,20 @@ def write_greens(w: Writer, x: np.ndarray, width: int, alpha: int = 255) -> tupl
     values = codes_of(lengths)[symbols] if several else np.zeros(len(symbols), np.int64)
     sizes = lengths[symbols] if several else np.zeros(len(symbols), np.int64)
     if not len(at):
-        return (values, sizes) if several else (values[:0], sizes[:0])
+        return (values, sizes, cost) if several else (values[:0], sizes[:0], cost)
     # behind each length symbol: its bits, the distance symbol and its bits
     place = np.searchsorted(begins, at)
     own = np.count_nonzero(far_lengths) > 1
     columns = [(size_bits, size_n), (codes_of(far_lengths)[far_code], far_lengths[far_code] if own else np.zeros(len(at), np.int64)), (far_bits & 0xFFFF, np.minimum(far_n, 16)), (far_bits >> 16, np.maximum(far_n - 16, 0))]
-    where = np.repeat(place + 1, 4)
-    return np.insert(values, where, np.stack([c[0] for c in columns], 1).reshape(-1)), np.insert(sizes, where, np.stack([c[1] for c in columns], 1).reshape(-1))
+    later = np.zeros(len(values), np.int64)
+    later[place[place + 1 < len(values)] + 1] = len(columns)
+    put = np.arange(len(values)) + np.cumsum(later)
+    both = np.empty((2, len(values) + len(columns) * len(at)), np.int64)
+    both[0, put], both[1, put] = values, sizes
+    behind = put[place] + 1
+    for k, (v, n) in enumerate(columns):
+        both[0, behind + k], both[1, behind + k] = v, n
+    return both[0], both[1], cost
 
 
 def _finished(w: Writer, values: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -859,33 +943,54 @@ def best_modes(argb: np.ndarray, bits: int = MODE_BITS, modes: tuple[int, ...] =
     return np.array(modes)[np.argmin(costs, axis=0)].reshape(down, across)
 
 
+@lru_cache(1)
+def _flat_codes() -> tuple[list[int], list[int]]:
+    """The bits of the codes of a palette image: every green step takes 8 bits, and the first alpha may differ from the others."""
+    w = Writer()
+    w.put(0, 1)  # no colour cache
+    write_code(w, np.concatenate([np.full(256, 8), np.zeros(24, np.int64)]))
+    write_single(w, 0)
+    write_single(w, 0)
+    for value, n in ((0b11, 2), (0, 1), (0, 1), (255, 8)):  # a code of two symbols, 0 and 255
+        w.put(value, n)
+    write_single(w, 0)
+    return w.values, w.sizes
+
+
+def _write_palette(w: Writer, steps: np.ndarray) -> None:
+    """A palette of opaque greens by its steps."""
+    values, sizes = _flat_codes()
+    w.values += values
+    w.sizes += sizes
+    for k, code in enumerate(_reversed(8)[steps].tolist()):
+        w.values += (code, int(k == 0))
+        w.sizes += (8, 1)
+
+
+def _predicted_samples(samples: np.ndarray) -> bytes:
+    height, width = samples.shape
+    w = _header(width, height)
+    argb = (samples.astype(np.uint32) << 8) | np.uint32(0xFF000000)
+    modes = best_modes(argb)
+    for value, n in ((1, 1), (PREDICTOR, 2), (MODE_BITS - 2, 3)):
+        w.put(value, n)
+    write_pixels(w, modes.reshape(-1).astype(np.uint32) << 8, modes.shape[1], False)
+    residual = _apply_predictor(argb.reshape(-1), width, height, MODE_BITS, modes.reshape(-1), False)
+    w.put(0, 1)
+    # alpha is predicted in full: its residual is 0
+    return _finished(w, *write_greens(w, ((residual >> 8) & 255).astype(np.uint8), width, alpha=0)[:2])
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
-    """The file of 8-bit samples (height, width) as green values, by the palette of those that occur or by the predictor."""
+    """The file of 8-bit samples (height, width) as green values: by the palette of those that occur or, where that leaves less, by the predictor."""
     height, width = samples.shape
     flat = samples.reshape(-1)
-    counts = np.bincount(flat, minlength=256)
     w = _header(width, height)
     w.put(1, 1)
-    plain = _entropy(counts)
-    steps = [np.bincount(np.diff(samples, axis=k).reshape(-1), minlength=256) for k in (0, 1)]
-    if min(_entropy(steps[0]) + 8 * width, _entropy(steps[1]) + 8 * height) + 400 < 0.9 * plain:
-        argb = (samples.astype(np.uint32) << 8) | np.uint32(0xFF000000)
-        modes = best_modes(argb)
-        w.put(PREDICTOR, 2)
-        w.put(MODE_BITS - 2, 3)
-        write_pixels(w, modes.reshape(-1).astype(np.uint32) << 8, modes.shape[1], False)
-        residual = _apply_predictor(argb.reshape(-1), width, height, MODE_BITS, modes.reshape(-1), False)
-        w.put(0, 1)
-        # alpha is predicted in full: its residual is 0
-        greens = ((residual >> 8) & 255).astype(np.uint8)
-        return _finished(w, *write_greens(w, greens, width, alpha=0))
-    table = np.flatnonzero(counts)
+    table = np.flatnonzero(np.bincount(flat, minlength=256))
     w.put(PALETTE, 2)
     w.put(len(table) - 1, 8)
-    step = np.zeros(len(table), np.uint32)
-    step[:] = np.diff(table, prepend=0) << 8
-    step[0] |= np.uint32(0xFF000000)
-    write_pixels(w, step, len(table), False)
+    _write_palette(w, np.diff(table, prepend=0))
     bits = _bundle_bits(len(table))
     place = np.zeros(256, np.uint8)
     place[table] = np.arange(len(table))
@@ -896,7 +1001,11 @@ def encode_samples(samples: np.ndarray) -> bytes:
         wide[:, :width] = index.reshape(height, width)
         index = (wide.reshape(height, now, 1 << bits) << ((8 >> bits) * np.arange(1 << bits))).sum(-1).reshape(-1).astype(np.uint8)
     w.put(0, 1)  # no more transforms
-    return _finished(w, *write_greens(w, index, now))
+    values, sizes, cost = write_greens(w, index, now)
+    steps = min(_entropy(np.bincount(np.diff(samples, axis=k).reshape(-1), minlength=256)) + 8 * n for k, n in ((0, width), (1, height)))
+    if steps + 400 < 0.9 * cost:
+        return _predicted_samples(samples)
+    return _finished(w, values, sizes)
 
 
 def cross_elements(argb: np.ndarray, bits: int = MODE_BITS) -> np.ndarray:
