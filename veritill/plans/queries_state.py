@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from veritill.operators import aggregates, ml, reviews, rules, stateful, transforms, validate
-from veritill.sources import files, views
+from veritill.sources import files, storage, views
 from veritill.streaming import decisions
 
 from .oracle import CTES, h8, sql
 from .registry import query
 
 
-def shared_folder(spark) -> str:
-    """The folder that the cluster shares; a local one only where the session names none."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return there or "file://" + tempfile.mkdtemp(prefix="veritill-")
-
-
 def purchase_events(spark, sf_dir):
     """Purchases and errors of users as decisions on a mandate each, in order of time."""
     e = views.table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error', 'click')")
@@ -51,7 +42,7 @@ def z1_decision_state(spark, sf_dir):
 @query("z1_decision_stream", _Z1)
 def z1_decision_stream(spark, sf_dir):
     """The same through Structured Streaming: the events are written once as a source, read as a stream and folded in its state."""
-    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    top = f"{storage.checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = purchase_events(spark, sf_dir)
     events.write.parquet(f"{top}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{top}/in")
@@ -209,7 +200,7 @@ def r10_relabelled(spark, sf_dir):
 @query("s11_s14_round_trip", sql("SELECT count(*) AS rows, count(DISTINCT example_id) AS ids, 'written' AS first, 'skipped' AS second FROM v_headers"))
 def s11_s14_round_trip(spark, sf_dir):
     """Writes a table once, is told that it is there the second time, writes it as JSON lines and reads those by their schema."""
-    top = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    top = f"{storage.checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
     h = views.headers(spark, sf_dir).select("example_id", "domain", "split")
     first, second = files.write_once(h, f"{top}/table"), files.write_once(h, f"{top}/table")
     files.write_sorted(files.read_parquet(spark, f"{top}/table", ["example_id", "domain"]), f"{top}/lines")
