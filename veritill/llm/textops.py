@@ -6,12 +6,7 @@ object is made per word and a task's memory does not follow the size of its part
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritill.sources.shipping import ship
+from veritill.sources.storage import checkpoint_dir, release, scratch, stored  # noqa: F401  the operators and the pipeline take them from here
 
 SLICE_BYTES = 2 << 20
 
@@ -136,58 +132,6 @@ def in_arrow(df: DataFrame, function: Callable, schema: str | T.StructType) -> D
     return df.mapInArrow(function, schema)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only in local mode without such a setting, as in tests."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("veritill.checkpoint.dir", None)
-    if not there:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        there = "file://" + tempfile.mkdtemp(prefix="veritill-")
-        spark.conf.set("veritill.checkpoint.dir", there)
-    return there
-
-
-_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_scratch: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
-
-
-def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
-    """The same rows from a table written to the shared folder: cuts lineage, outlives executors, is computed once.
-
-    Inside `scratch` the table is deleted at the end of the block, a lasting one at the end of the block around it, if any.
-    """
-    path = f"{checkpoint_dir(df.sparkSession)}/veritill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    blocks = _scratch.get()
-    if len(blocks) > lasting:
-        blocks[-1 - lasting].append(out)
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes stored tables; nothing that still has to be computed may read them."""
-    for table in tables:
-        if path := _paths.pop(table, None):
-            context = table.sparkSession.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Deletes the tables that were stored inside the block; what leaves it must be stored as lasting."""
-    tables: list[DataFrame] = []
-    token = _scratch.set((*_scratch.get(), tables))
-    try:
-        yield
-    finally:
-        _scratch.reset(token)
-        release(*tables)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
