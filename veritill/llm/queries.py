@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, language, media, mixing, neardups, pages, quality, scoring, secrets, toxicity
+from . import bpe, language, media, mixing, neardups, pages, quality, resampling, scoring, secrets, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": neardups.op1_minhash_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_media_webp": media.op8_media_webp,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language_id": language.op10_language_id,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +25,5 @@ SQL = {
     "op1_minhash_dedup": neardups.SQL,
     "op3_quality_rules": quality.SQL,
     "op4_mixing": mixing.SQL,
+    "op11_importance_resampling": resampling.SQL,
 }
