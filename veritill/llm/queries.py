@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, language, media, mixing, neardups, pages, quality, resampling, scoring, secrets, toxicity
+from . import bpe, clustering, language, media, mixing, neardups, pages, quality, resampling, scoring, secrets, topk, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": neardups.op1_minhash_dedup,
@@ -18,6 +18,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language_id": language.op10_language_id,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_topk_search": topk.op12_topk_search,
+    "op13_elkan_clusters": clustering.op13_elkan_clusters,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +28,6 @@ SQL = {
     "op3_quality_rules": quality.SQL,
     "op4_mixing": mixing.SQL,
     "op11_importance_resampling": resampling.SQL,
+    "op12_topk_search": topk.SQL,
+    "op13_elkan_clusters": clustering.SQL,
 }
