@@ -9,6 +9,7 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -81,11 +82,19 @@ def test_frequent_lines_with_and_without_a_broadcast(spark):
     assert ways[0] == ways[1] == {(k, 3, True) for k in range(90)}
 
 
-def test_mix_is_the_truncated_queue(spark):
-    """Weighted fair queueing once more in plain Python."""
+def _mixtures():
     r = random.Random(5)
     data = [(r.choice([None, k, k, k]), " ".join(["w"] * r.choice([0, 1, 7, 30, 400])), r.choice(["a", "b", "b", "b", "c", None])) for k in range(200)]
-    data += [data[0]] * 3
+    yield data + [data[0]] * 3
+    yield [(1, "a", "x"), (2, "b", "y"), (3, "c", "z")]  # targets below a word
+    yield [(1, "a", "x"), (2, "b c", "y"), (3, "d e f", "z"), (4, "", "w")]
+    yield [(k, " ".join("w" * n), f"s{n}{k}") for k in range(6) for n in (1, 2, 3)]
+    yield [(1, None, "x"), (2, "", None)]
+
+
+@pytest.mark.parametrize("data", list(_mixtures()))
+def test_mix_is_the_truncated_queue(spark, data):
+    """Weighted fair queueing once more in plain Python, and as SQL."""
     docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
     got = mixing._queue(docs, (3, 1, 2), 1.5, 2).join(mixing.sized(docs).select("row_key", "place", "source").distinct(), "row_key").collect()
     assert len(got) == len(data)
@@ -98,7 +107,7 @@ def test_mix_is_the_truncated_queue(spark):
             for row, (place, doc, size) in enumerate(rows):
                 cut = min(max(limit - at, 0), size)
                 for words, end in ((cut, at + cut), (size - cut, at + size)):
-                    if words:
+                    if words and limit:
                         queue.append((end / limit, source or "~", row, place, doc, size, words))
                 at += size
     budget, want = sum(limit for limit, _ in goal.values()), Counter()
@@ -110,6 +119,14 @@ def test_mix_is_the_truncated_queue(spark):
         have[(x.source or "~", x.place, -1 if x.doc_id is None else x.doc_id, x.size)] += x.taken
         assert 0 <= x.taken <= 2 * x.size
     assert +have == +want and budget == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE tiny (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO tiny VALUES (?, ?, ?)", data)
+    if len({d[0] for d in data}) == len(data):  # the SQL tells rows by their ids
+        rows = con.execute(f"WITH {mixing.SQL_MIX.format(docs='tiny')} SELECT doc_id, size, source_size, target, taken FROM mixed ORDER BY doc_id").fetchall()
+        assert rows == sorted((x.doc_id, x.size, x.source_size, x.target, x.taken) for x in got)
+    sizes = {(None if d < 0 else d): 0 for _, _, d, _ in have}
+    assert set(sizes) >= {x.doc_id for x in mixing.mixed(spark, docs, SMALL).collect()}
 
 
 def test_secret_thresholds_keep_the_recall_of_every_shape():

@@ -11,7 +11,7 @@ bucket, so that a source that holds a third of all rows is spread over many task
 virtual time, in which each source is served at an even rate, so that equal slices hold about equal numbers of
 words whatever the sources' sizes; their totals are summed over blocks of slices, then inside a block.
 
-Edge cases: a null or empty text has size 0 and is taken 0 words; a null source is a source of its own, the
+Edge cases: a null or empty text has size 0 and is taken 0 words; so is all of a source whose target is below one word; a null source is a source of its own, the
 last; rows that share an id, or have none, are shuffled by their texts; repeated rows are shuffled side by side
 and served one after the other, and which of them a tie serves first makes no difference; an empty table gives
 an empty result; columns other than doc_id, source and text are ignored. The window that ranks sources runs
@@ -80,7 +80,11 @@ def ordered(rows: DataFrame) -> DataFrame:
 
 
 def queued(rows: DataFrame, most: int = MOST_PASSES) -> DataFrame:
-    """The queue: (words, finish) per entry beside the columns of rows (start, size, source_size, limit), limit being the target in whole words."""
+    """The queue: (words, finish) per entry beside the columns of rows (start, size, source_size, limit), limit being the target in whole words.
+
+    A source whose target is below a word has no entries.
+    """
+    rows = rows.filter("limit > 0")
     passes = F.explode(F.transform(F.array(*map(F.lit, range(most))), lambda k: F.col("start") + k * F.col("source_size"))).alias("from")
     entry = rows.select("*", passes).withColumn("cut", F.least(F.greatest(F.col("limit") - F.col("from"), F.lit(0)), "size"))
     # the part up to the target, then the part beyond it; most documents have only one of them
@@ -160,7 +164,7 @@ mix_queue AS (
     CAST(sum(r.size) OVER (PARTITION BY r.source ORDER BY place, r.doc_id, r.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS finish
   FROM mix_rows r JOIN mix_targets t ON r.source IS NOT DISTINCT FROM t.source),
 mix_passes AS (
-  SELECT *, finish - size + k * source_size AS begin, least(greatest(lim - (finish - size + k * source_size), 0), size) AS cut FROM mix_queue, (VALUES (0), (1)) p(k)),
+  SELECT *, finish - size + k * source_size AS begin, least(greatest(lim - (finish - size + k * source_size), 0), size) AS cut FROM mix_queue, (VALUES (0), (1)) p(k) WHERE lim > 0),
 mix_parts AS (
   SELECT doc_id, source, place, size, cut AS words, (begin + cut) / lim AS time FROM mix_passes WHERE cut > 0
   UNION ALL SELECT doc_id, source, place, size, size - cut, (begin + size) / lim FROM mix_passes WHERE size > cut),
