@@ -48,7 +48,9 @@ def z1_decision_stream(spark, sf_dir):
     stream = spark.readStream.schema(events.schema).parquet(f"{top}/in")
     job = decisions.decisions(stream).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.read.schema(decisions.OUTPUT).parquet(f"{top}/out")
+    out = storage.stored(spark.read.schema(decisions.OUTPUT).parquet(f"{top}/out"))
+    storage.delete(spark, top)
+    return out
 
 
 @query("z3_idempotency", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER w = 1 THEN 'first' WHEN p = first_value(p) OVER w THEN 'replay' ELSE 'conflict' END AS status FROM (SELECT *, event_type || ':' || (event_id % 2) AS p, user_id % 5 AS scope, event_id % 1500 AS k FROM events) WINDOW w AS (PARTITION BY scope, k ORDER BY ts, event_id)) GROUP BY status""")
@@ -205,7 +207,9 @@ def s11_s14_round_trip(spark, sf_dir):
     first, second = files.write_once(h, f"{top}/table"), files.write_once(h, f"{top}/table")
     files.write_sorted(files.read_parquet(spark, f"{top}/table", ["example_id", "domain"]), f"{top}/lines")
     back = files.read_lines(spark, f"{top}/lines", "example_id string, domain string")
-    return back.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("example_id").alias("ids")).withColumns({"first": F.lit(first), "second": F.lit(second)})
+    out = storage.stored(back.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("example_id").alias("ids")).withColumns({"first": F.lit(first), "second": F.lit(second)}))
+    storage.delete(spark, top)
+    return out
 
 
 @query("s12_manifest", sql("SELECT 'examples' AS artifact, count(*) AS rows, array_to_string((SELECT list(domain || '=' || n ORDER BY domain) FROM (SELECT domain, count(*) AS n FROM v_headers GROUP BY 1)), ',') AS domains FROM v_headers"))

@@ -47,9 +47,14 @@ def release(*tables: DataFrame) -> None:
     """Deletes stored tables; nothing that still has to be computed may read them."""
     for table in tables:
         if path := _paths.pop(table, None):
-            context = table.sparkSession.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+            delete(table.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager

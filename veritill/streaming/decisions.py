@@ -33,11 +33,6 @@ def decisions(events: DataFrame) -> DataFrame:
     return events.groupBy("mandate").applyInPandasWithState(decide, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def first_of_key(requests: DataFrame, scope: str, key: str) -> DataFrame:
-    """A stream of requests, each key once and for good: keys are kept as long as the checkpoint."""
-    return requests.dropDuplicates([scope, key])
-
-
 def hourly_outcomes(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     """Outcomes per hour of event time, late rows within the watermark included."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
