@@ -218,13 +218,6 @@ def s12_manifest(spark, sf_dir):
     return m.select("artifact", "rows", F.array_join(F.transform(F.map_entries("domain"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("domains"))
 
 
-@query("v1_checksums")
-def v1_checksums(spark, sf_dir):
-    """(name, length, sha256) of the file of every table of the commerce schema, and the digest of the whole tree."""
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-    return files.tree_checksums(spark, sf_dir, [f"{sf_dir}/{n}.parquet" for n in names])
-
-
 @query("ml_stacked_scores")
 def ml_stacked_scores(spark, sf_dir):
     """Tree scores across five folds, a stacked logistic fitted on the training split and its calibration on the validation split, by split."""

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from veritill.sources import streams
+from veritill.sources.shipping import ship
+
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """The frame itself, or an error that names the columns it lacks."""
@@ -96,20 +105,79 @@ def manifest(df: DataFrame, name: str, dimensions: list[str], key: str = "exampl
     return out
 
 
+def _digests(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        out = []
+        for path in part["path"]:
+            digest = hashlib.sha256()
+            for piece in streams.chunks(path):
+                digest.update(piece)
+            out.append(digest.hexdigest())
+        yield part.assign(sha256=out)
+
+
+def listed(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, length) of files, also below folders and of those without content."""
+    context, out = spark.sparkContext, []
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        found = at.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(at, True)
+        while found.hasNext():
+            status = found.next()
+            out.append((status.getPath().toString(), status.getLen()))
+    return spark.createDataFrame(out, "path string, length bigint")
+
+
 def checksums(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, length, sha256) of files; a file is one value, so it can't be longer than 2 GB."""
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of files of any length, also below folders, read in pieces, one task per file."""
+    ship(spark)
+    files = listed(spark, *paths)
+    return files.repartitionByRange(max(1, files.count()), "path").mapInPandas(_digests, "path string, length bigint, sha256 string")
 
 
 def tree_checksums(spark: SparkSession, top: str, paths: list[str]) -> DataFrame:
     """(name, length, sha256) per file by its name below `top`, and the digest of all names and checksums in order, as `.`."""
-    at = F.concat(F.lit(top.removeprefix("file://").rstrip("/")), F.lit("/"))
-    d = checksums(spark, *paths).withColumn("name", F.element_at(F.split("path", at), -1)).select("name", "length", "sha256")
+    d = checksums(spark, *paths)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    at = len(re.sub("^file:/+", "/", top).rstrip("/")) + 2
+    d = d.withColumn("name", F.substring(plain(F.col("path")), at, 10_000)).select("name", "length", "sha256")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda x: F.concat(x["name"], F.lit(" "), x["sha256"], F.lit("\n")))
     whole = d.agg(F.lit(".").alias("name"), F.sum("length").alias("length"), F.sha2(F.array_join(lines, ""), 256).alias("sha256"))
     return d.unionByName(whole)
 
 
+#: Rows of a file that are counted together before the cut.
+STRIDE = 65_536
+
+
+def first_rows(spark: SparkSession, path: str, n: int, condition: str = "true") -> DataFrame:
+    """The first n rows for which a condition holds, in the order of file names and of rows in them, with their place.
+
+    Files are counted in growing groups until they hold n, so those behind aren't read; in the last file the rows are
+    counted by stretches, and only the one in which the n-th falls is numbered.
+    """
+    table = spark.read.parquet(path)
+    names, starts, held, step = sorted(table.inputFiles()), [], 0, 1
+    while names and held < n:
+        group, names = names[:step], names[step:]
+        counts = spark.read.schema(table.schema).parquet(*group).filter(condition).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
+        counts = {r["f"]: r["n"] for r in counts}
+        for f in group:
+            if held < n:
+                starts.append((f, held))
+                held += counts.get(f, 0)
+        step *= 2
+    if not starts:
+        return table.limit(0).withColumn("place", F.lit(0).cast("bigint"))
+    rows = spark.read.schema(table.schema).parquet(*(f for f, _ in starts)).select("*", F.input_file_name().alias("_file"), F.col("_metadata.row_index").alias("_row")).filter(condition)
+    rows = rows.withColumn("_stretch", F.floor(F.col("_row") / STRIDE))
+    earlier = Window.partitionBy("_file").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.groupBy("_file", "_stretch").agg(F.count(F.lit(1)).alias("_rows")).select("_file", "_stretch", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_inside"))
+    before = counted.join(spark.createDataFrame(starts, "_file string, _start bigint"), "_file").select("_file", "_stretch", (F.col("_start") + F.col("_inside")).alias("_before")).filter(F.col("_before") < n)
+    inside = F.row_number().over(Window.partitionBy("_file", "_stretch").orderBy("_row"))
+    d = rows.join(before, ["_file", "_stretch"]).withColumn("place", (F.col("_before") + inside).cast("bigint"))
+    return d.filter(F.col("place") <= n).select(*table.columns, "place")
+
 
 def generated_rows(spark: SparkSession, seeds: int = 50) -> DataFrame:
     """The small generated set: each seed in six families, with the change that its family makes."""
