@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritill.functions import scalars
+from veritill.functions.hashing import hex_number, sha
 from veritill.operators import metrics
 from veritill.sources import views
 
-from .oracle import sql
+from .oracle import h, sql
 from .queries_joins import RATE_COLUMNS, predicted, rounded
 from .registry import query
 
@@ -61,13 +62,38 @@ def m2_m7_policy_metrics(spark, sf_dir):
     return rounded(metrics.treatment_metrics(predicted(spark, sf_dir), "expected_treatment", "predicted_treatment").select(*names), *names[5:])
 
 
+_RISK = f"(({h(12, chr(39) + 'fine' + chr(39), 'example_id')}) + label * 70368744177664) / 351843720888320.0::DOUBLE"
+
+
+def fine_scores(spark, sf_dir):
+    """Labels with scores that hardly two rows share, higher for label 1."""
+    f = views.feature_rows(spark, sf_dir).select("example_id", "label")
+    return f.select("label", ((hex_number(sha("fine", F.col("example_id")), 12) + F.col("label") * 70368744177664) / 351843720888320.0).alias("score"))
+
+
+@query(
+    "m3_m4_m8_continuous",
+    sql(
+        """SELECT (SELECT round(sum(y / t * tp / seen), 9) FROM v_run) AS average_precision, (SELECT round((sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 9) FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM v_fine)) AS roc_auc, CAST(tp AS BIGINT) AS tp, CAST(seen - tp AS BIGINT) AS fp
+        FROM v_run WHERE (seen - tp) / (a - t) <= 0.1 ORDER BY tp DESC, score DESC LIMIT 1""",
+        v_fine=f"SELECT label, {_RISK} AS score FROM v_features",
+        v_run="SELECT score, y, sum(y) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS seen, sum(y) OVER () AS t, sum(n) OVER () AS a FROM (SELECT score, sum(label) AS y, count(*) AS n FROM v_fine GROUP BY score)",
+    ),
+)
+def m3_m4_m8_continuous(spark, sf_dir):
+    """Ranking metrics on scores of as many values as rows, so that ranges and totals before them are put to use."""
+    f = fine_scores(spark, sf_dir)
+    point = metrics.operating_point(f, "label", "score", 0.1).select("tp", "fp")
+    return rounded(metrics.average_precision(f, "label", "score").crossJoin(metrics.roc_auc(f, "label", "score")).crossJoin(point), "average_precision", "roc_auc")
+
+
 @query("m8_operating_point", sql("""SELECT s AS threshold, CAST(tp AS BIGINT) AS tp, CAST(seen - tp AS BIGINT) AS fp, round(tp / p, 9) AS recall, round((seen - tp) / (a - p), 9) AS fpr, round(tp / seen, 9) AS precision FROM (SELECT probability AS s, sum(sum(label)) OVER (ORDER BY probability DESC) AS tp, sum(count(*)) OVER (ORDER BY probability DESC) AS seen, sum(sum(label)) OVER () AS p, sum(count(*)) OVER () AS a FROM v_features GROUP BY probability) WHERE (seen - tp) / (a - p) <= 0.1 ORDER BY tp DESC, s DESC LIMIT 1"""))
 def m8_operating_point(spark, sf_dir):
     return rounded(metrics.operating_point(views.feature_rows(spark, sf_dir), "label", "probability", 0.1), "recall", "fpr", "precision")
 
 
-@query("m9_sensitivity", sql("SELECT round(avg(d), 9) AS mean_delta, round(quantile_cont(d, 0.95), 9) AS p95_delta, round(max(d), 9) AS max_delta, round(avg(CAST((probability >= 0.6) <> (semantic_neutral >= 0.6) AS INTEGER)), 9) AS flip_rate FROM (SELECT *, abs(semantic_neutral - probability) AS d FROM v_features)"))
-def m9_sensitivity(spark, sf_dir):
+@query("m9_score_deltas", sql("SELECT round(avg(d), 9) AS mean_delta, round(quantile_cont(d, 0.95), 9) AS p95_delta, round(max(d), 9) AS max_delta, round(avg(CAST((probability >= 0.6) <> (semantic_neutral >= 0.6) AS INTEGER)), 9) AS flip_rate FROM (SELECT *, abs(semantic_neutral - probability) AS d FROM v_features)"))
+def m9_score_deltas(spark, sf_dir):
     return rounded(metrics.sensitivity(views.feature_rows(spark, sf_dir), "probability", "semantic_neutral", 0.6), "mean_delta", "p95_delta", "max_delta", "flip_rate")
 
 

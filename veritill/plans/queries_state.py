@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from veritill.operators import aggregates, ml, reviews, rules, stateful, transforms, validate
+from veritill.operators import aggregates, ml, models, reviews, rules, stateful, transforms, validate
 from veritill.sources import files, storage, views
 from veritill.streaming import decisions
 
@@ -229,6 +229,45 @@ def ml_stacked_scores(spark, sf_dir):
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calibrated"), 4).alias("mean_score"))
 
 
+SCORED = ["semantic_contradiction", "semantic_neutral", "hard_fail_count", "line_item_count"]
+
+
+def cart_features(spark, sf_dir):
+    """Labelled features with the number of lines of each order's cart."""
+    lines = views.table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("ex_"), F.col("l_orderkey").cast("string")).alias("example_id")).agg(F.count(F.lit(1)).alias("line_item_count"))
+    f = views.feature_rows(spark, sf_dir).join(lines, "example_id")
+    # carts of many lines are looked at more often, so that a fit has something to find
+    seen = (F.col("label") == 1) | (F.col("line_item_count") + F.col("hard_fail_count") * 4 + F.col("semantic_contradiction") * 3 > 7)
+    return f.withColumns({"label": seen.cast("int"), "weight": ml.source_weight(F.col("label_source"), F.lit(1.0))})
+
+
+def stored_scorer(spark, sf_dir, top: str) -> models.Scorer:
+    """A scorer fitted on the training split, written to a folder and loaded from there."""
+    scorer, facts = models.fit(cart_features(spark, sf_dir).filter("split = 'train'"), SCORED, ["domain"], "group_id", weight="weight", trees=20)
+    models.save(spark, scorer, f"{top}/scorer", facts)
+    return models.load(spark, f"{top}/scorer", SCORED, ["domain"])
+
+
+@query("c31_stored_model")
+def c31_stored_model(spark, sf_dir):
+    """Scores by split of a model that was stored with its manifest and loaded again."""
+    top = f"{storage.checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    scored = stored_scorer(spark, sf_dir, top).score(cart_features(spark, sf_dir))
+    out = storage.stored(scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.avg("label"), 4).alias("mean_label")))
+    storage.delete(spark, top)
+    return out
+
+
+@query("m9_sensitivity")
+def m9_sensitivity(spark, sf_dir):
+    """What the held-out rows' scores and decisions change by if every cart had one line."""
+    top = f"{storage.checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    held_out = cart_features(spark, sf_dir).filter("split <> 'train'")
+    out = storage.stored(models.perturbed(stored_scorer(spark, sf_dir, top), held_out, {"line_item_count": F.lit(1).cast("bigint")}, 0.5))
+    storage.delete(spark, top)
+    return out
+
+
 @query("ml5_fold_weights", sql("SELECT fold, count(*) AS n, sum(weight) AS weight FROM (SELECT CAST(('0x' || substr(sha256('2026:' || group_id), 1, 16))::UBIGINT % 5 AS INTEGER) AS fold, CASE WHEN label_source LIKE 'weak%' THEN 0.5::DOUBLE ELSE 1 END AS weight FROM v_headers) GROUP BY fold"))
 def ml5_fold_weights(spark, sf_dir):
     d = ml.with_fold(views.headers(spark, sf_dir), "group_id")
