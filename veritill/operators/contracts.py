@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritill.functions.scalars import CLASSES, worst_label
+from veritill.operators.features import PROFILES
 from veritill.operators.ordered import joined_on
 
 TREATMENTS = ("APPROVE", "STEP_UP", "HOLD")
@@ -15,6 +16,7 @@ GOLDEN_LIMITS = {
     "violation_recall": (">=", 0.90), "false_step_up_rate": ("<=", 0.10), "false_decline_rate": ("<=", 0.02), "pr_auc": (">=", 0.80), "ece": ("<=", 0.08), "family_recall": (">=", 0.80), "pr_auc_delta": (">=", -0.005), "fixed_rate_recall_delta": (">=", -0.02),
 }
 GOLDEN_FAMILY_ROWS = 25
+#: Profiles without the shortcut feature, and the versions that a promotion asks for (fixed values).
 SAFE_PROFILES = ("shortcut-safe-v2", "shortcut-safe-no-semantic-v2")
 
 
@@ -133,10 +135,32 @@ def promotable(manifests: DataFrame, reports: DataFrame, key: str = "artifact")
         "report_profile": same("report_feature_profile", "feature_profile"), "target_mode": is_("target_mode", "policy_intervention"), "threshold_method": is_("threshold_method", "complete-policy-validation-v1"), "model_hold": ~F.coalesce(F.col("model_hold_enabled"), F.lit(False)),
         "synthetic": ~F.coalesce(F.col("dataset_version").startswith("synthetic"), F.lit(False)), "semantic_versions": (F.coalesce(F.size("semantic_versions"), F.lit(0)) > 0) & ~F.coalesce(F.array_contains("semantic_versions", "unknown"), F.lit(False)),
     }
+    if "report_gate_status" in d.columns:
+        rules["gate"] = is_("report_gate_status", "passed")
+    if "feature_names" in d.columns:
+        rules["feature_names"] = F.coalesce(profile_by_names(F.col("feature_names")) == F.col("feature_profile"), F.lit(False))
     found = F.array_compact(F.array(*(F.when(~ok, F.lit(k)) for k, ok in rules.items())))
     return d.select(key, found.alias("problems"), (F.size(found) == 0).alias("serving_approved"))
 
 
+def profile_by_names(names: Column) -> Column:
+    """The declared profile that has just these feature names in this order, null if none has or two do."""
+    out = F.lit(None).cast("string")
+    for name, own in PROFILES.items():
+        if list(PROFILES.values()).count(own) > 1:
+            continue
+        out = F.when(names == F.array(*map(F.lit, own)), name).otherwise(out)
+    return out
+
+
+def promoted(manifests: DataFrame, reports: DataFrame, at: Column, key: str = "artifact") -> DataFrame:
+    """The manifests that may serve, each with its promotion record: the digest of the report that it rests on, and the time."""
+    passed = promotable(manifests, reports, key).filter("serving_approved").select(key, "serving_approved")
+    digest = reports.select(key, F.sha2(F.to_json(F.struct(*sorted(c for c in reports.columns if c != key)), {"ignoreNullFields": "false"}), 256).alias("_report"))
+    d = manifests.join(passed, key).join(digest, key)
+    return d.withColumn("promotion", F.struct(F.col("_report").alias("evaluation_report_sha256"), at.alias("promoted_at"))).drop("_report")
+
+
 def eligible_candidates(df: DataFrame, most_false: float, most_declined: float = 0.02, slack: float = 1e-12) -> DataFrame:
     return df.withColumn("eligible", (F.col("false_step_up_rate") <= most_false + slack) & (F.col("false_decline_rate") <= most_declined + slack))
 

@@ -212,10 +212,13 @@ def s11_s14_round_trip(spark, sf_dir):
     return out
 
 
-@query("s12_manifest", sql("SELECT 'examples' AS artifact, count(*) AS rows, array_to_string((SELECT list(domain || '=' || n ORDER BY domain) FROM (SELECT domain, count(*) AS n FROM v_headers GROUP BY 1)), ',') AS domains FROM v_headers"))
+_LEAVES = "SELECT sha256(string_agg(d, chr(10) ORDER BY leaf)) AS digest FROM (SELECT substr(sha256(example_id), 1, 3) AS leaf, sha256(string_agg(example_id, chr(10) ORDER BY example_id)) AS d FROM v_headers GROUP BY 1)"
+
+
+@query("s12_manifest", sql(f"SELECT 'examples' AS artifact, count(*) AS rows, array_to_string((SELECT list(domain || '=' || n ORDER BY domain) FROM (SELECT domain, count(*) AS n FROM v_headers GROUP BY 1)), ',') AS domains, ({_LEAVES}) AS digest FROM v_headers"))
 def s12_manifest(spark, sf_dir):
     m = files.manifest(views.headers(spark, sf_dir).select("example_id", "domain"), "examples", ["domain"])
-    return m.select("artifact", "rows", F.array_join(F.transform(F.map_entries("domain"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("domains"))
+    return m.select("artifact", "rows", F.array_join(F.transform(F.map_entries("domain"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("domains"), "digest")
 
 
 @query("ml_stacked_scores")

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
     return take
 
 
-from . import queries_contracts, queries_joins, queries_metrics, queries_rules, queries_scalar, queries_sources, queries_state, queries_streams, queries_windows  # noqa: E402,F401
+from . import queries_audits, queries_contracts, queries_joins, queries_metrics, queries_rules, queries_scalar, queries_sources, queries_state, queries_streams, queries_windows  # noqa: E402,F401
