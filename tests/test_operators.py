@@ -177,7 +177,7 @@ def test_checksums_of_all_tables(spark):
 
     got = {r.name: (r.length, r.sha256) for r in registry.QUERIES["v1_checksums"](spark, "/root/testdata/sf0.001").collect()}
     want = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in Path("/root/testdata/sf0.001").glob("*.parquet") if p.name in got}
-    assert len(want) == 8 and {k: v for k, (_, v) in got.items() if k != "."} == want
+    assert len(want) == 14 and {k: v for k, (_, v) in got.items() if k != "."} == want
     assert got["."][1] == hashlib.sha256("".join(f"{k} {v}\n" for k, v in sorted(want.items())).encode()).hexdigest()
 
 

@@ -11,8 +11,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges per group of a numeric order, and of a hex digest by its first two digits.
-RANGES = 256
+from veritill.sources import storage
+
+#: Rows that a range should hold, and the most ranges of a numeric order; a range is sorted by one task, which spills.
+RANGE_ROWS = 500_000
+MOST_RANGES = 4_096
+#: Rows up to which Spark itself passes on only the first rows of a window's groups.
+GROUP_LIMIT = 1_000
+
+
+def ranges_of(df: DataFrame, rows: int | None = None) -> int:
+    """How many ranges the rows of a frame are dealt into, by their number; at least 16."""
+    return max(16, min(MOST_RANGES, -(-df.count() // (rows or RANGE_ROWS))))
 
 
 def joined_on(left: DataFrame, right: DataFrame, keys: tuple[str, ...] | list[str], how: str = "inner") -> DataFrame:
@@ -24,9 +34,10 @@ def joined_on(left: DataFrame, right: DataFrame, keys: tuple[str, ...] | list[st
     return left.join(renamed, same, how).drop(*(f"_on_{k}" for k in keys))
 
 
-def with_range(df: DataFrame, order: str, by: tuple[str, ...] | list[str] = (), ranges: int = RANGES) -> DataFrame:
+def with_range(df: DataFrame, order: str, by: tuple[str, ...] | list[str] = (), ranges: int | None = None) -> DataFrame:
     """df with `_range`: how many of the approximate quantiles of its group are below the row's number."""
-    cuts = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*(F.lit(k / ranges) for k in range(1, ranges))), 10_000).alias("_cuts"))
+    ranges = ranges or ranges_of(df)
+    cuts = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*(F.lit(k / ranges) for k in range(1, ranges))), 20_000).alias("_cuts"))
     return joined_on(df, cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
 
 
@@ -51,8 +62,9 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, str], by: tuple[st
 
 
 def hashed_places(df: DataFrame, digest: Column, key: str, by: list[str], name: str) -> DataFrame:
-    """df with the place, from 1, of each row of its group in the order of a hex digest and then the key."""
-    d = df.withColumns({"_digest": digest, "_range": F.conv(F.substring(digest, 1, 2), 16, 10).cast("int")})
+    """df with the place, from 1, of each row of its group in the order of a hex digest and then the key; ranges are told by the first digits, as many as the number of rows asks for."""
+    digits = next(k for k in range(1, 8) if 16**k >= ranges_of(df) or k == 7)
+    d = df.withColumns({"_digest": digest, "_range": F.conv(F.substring(digest, 1, digits), 16, 10).cast("int")})
     before = _before(d, {"rows": F.lit(1)}, by, F.col("_range"))
     inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_digest", key))
     return joined_on(d.withColumn(name, inside), before, [*by, "_range"]).withColumn(name, (F.col(name) + F.col("_before_rows")).cast("bigint")).drop("_digest", "_range", "_before_rows")
@@ -66,13 +78,45 @@ def scored_places(df: DataFrame, score: str, digest: Column, key: str, by: list[
     return joined_on(d, below, [*by, score]).withColumn(name, F.col(name) + F.col("_below")).drop("_below")
 
 
+def _below(key: Column, bounds: list[str]) -> Column:
+    """How many of the sorted bounds are below a name, found in two steps."""
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    count = lambda names: F.size(F.filter(names, lambda b: b < key))
+    # the group that a name falls in is the last one whose first bound is below it
+    group = count(F.array(*(F.lit(g[0]) for g in groups)))
+    inside = F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), F.greatest(group, F.lit(1)))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + count(inside))
+
+
 def named_places(df: DataFrame, key: str, by: list[str], name: str) -> DataFrame:
-    """df with the place, from 1, of each row of its group in the order of a name; ranges are told apart by its first seven bytes."""
-    number = F.conv(F.rpad(F.substring(F.hex(F.col(key).cast("string").cast("binary")), 1, 14), 14, "0"), 16, 10).cast("bigint")
-    d = with_range(df.withColumn("_number", number), "_number", by)
+    """df with the place, from 1, of each row of its group in the order of a name; ranges are cut by quantiles of a sample of the names."""
+    ranges, n = ranges_of(df), max(1, df.count())
+    text = F.col(key).cast("string")
+    # the sample settles how even the ranges are, not what comes out
+    seen = sorted(r[0] for r in df.select(text).filter(text.isNotNull()).sample(False, min(1.0, 64 * ranges / n), 7).collect())
+    bounds = sorted({seen[k * len(seen) // ranges] for k in range(1, ranges)}, key=lambda t: t.encode()) if seen else []
+    d = df.withColumn("_range", F.coalesce(_below(text, bounds), F.lit(0)) if bounds else F.lit(0))
     before = _before(d, {"rows": F.lit(1)}, by, F.col("_range"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(key))
-    return joined_on(d.withColumn(name, inside), before, [*by, "_range"]).withColumn(name, (F.col(name) + F.col("_before_rows")).cast("bigint")).drop("_number", "_range", "_before_rows")
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(text))
+    return joined_on(d.withColumn(name, inside), before, [*by, "_range"]).withColumn(name, (F.col(name) + F.col("_before_rows")).cast("bigint")).drop("_range", "_before_rows")
+
+
+def places(df: DataFrame, order: list, by: list[str], name: str) -> DataFrame:
+    """df with the place, from 1, of each row of its group in any order, from a stored table that was dealt into ranges of that order."""
+    ranged = storage.stored(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    before = _before(ranged, {"rows": F.lit(1)}, by, F.col("_range"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    return joined_on(ranged.withColumn(name, inside), before, [*by, "_range"]).withColumn(name, (F.col(name) + F.col("_before_rows")).cast("bigint")).drop("_range", "_before_rows")
+
+
+def first_by_hash(df: DataFrame, digest: Column, key: str, by: list[str], n: int | Column, name: str) -> DataFrame:
+    """The rows of each group whose place in hash order is at most n, with their place: by a window that passes on n rows, or above its limit in two steps."""
+    if isinstance(n, int) and n <= GROUP_LIMIT:
+        d = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(digest, key)).cast("bigint"))
+    else:
+        d = hashed_places(df, digest, key, by, name)
+    return d.filter(F.col(name) <= n)
 
 
 def exact_percentiles(df: DataFrame, column: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:

@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritill.functions.hashing import order_key, sha
+from veritill.functions.hashing import SEED, order_key, sha
+from veritill.operators.ordered import first_by_hash, places
+from veritill.sources import storage
 
 #: Most groups that a sequential pass may see; larger candidate sets are cut into independent strata first.
 MOST_GROUPS = 5_000_000
@@ -29,9 +31,12 @@ def pack_groups(df: DataFrame, group: str, targets: dict[str, int], fixed: DataF
     """Rows with a split that meets exact row targets without dividing a group.
 
     Groups go by falling size, then hash; each takes the split with the greatest share of its target left that
-    it fits into, equal shares being settled by hash. Groups of `fixed` (group, split) are placed first.
+    it fits into, equal shares going to the lowest hash of group and split. Groups of `fixed` (group, split) are
+    placed first; one that is unknown, or more than its split takes, is refused.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("h", order_key("split", F.col(group)))
+    if fixed is not None and (unknown := fixed.join(df.select(group).distinct(), group, "left_anti").first()) is not None:
+        raise ValueError(f"fixed group {unknown[group]} is unknown")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("h", sha(SEED, F.col(group)))
     if fixed is not None:
         sizes = sizes.join(fixed.select(group, F.col("split").alias("fixed")), group, "left")
     rows = _bounded(sizes, limit).sort_values(["size", "h"], ascending=[False, True])
@@ -41,6 +46,8 @@ def pack_groups(df: DataFrame, group: str, targets: dict[str, int], fixed: DataF
     pinned = rows["fixed"] if "fixed" in rows else pd.Series([None] * len(rows), index=rows.index)
     for name, size, own in zip(rows[group], rows["size"], pinned, strict=True):
         if isinstance(own, str):
+            if left.get(own, -1) < size:
+                raise ValueError(f"fixed group {name} of {size} rows is more than {own} takes")
             left[own] -= size
             placed.append((name, own))
     for name, size, own in zip(rows[group], rows["size"], pinned, strict=True):
@@ -49,7 +56,7 @@ def pack_groups(df: DataFrame, group: str, targets: dict[str, int], fixed: DataF
         fits = [s for s in targets if left[s] >= size]
         if not fits:
             raise ValueError(f"group {name} fits no split")
-        pick = max(fits, key=lambda s: (left[s] / targets[s] if targets[s] else 0, sha256(f"2026:{name}:{s}".encode()).hexdigest()))
+        pick = min(fits, key=lambda s: (-left[s] / max(targets[s], 1), sha256(f"{SEED}:{name}:{s}".encode()).hexdigest()))
         left[pick] -= size
         placed.append((name, pick))
     if any(left.values()):
@@ -101,59 +108,94 @@ def proportional_groups(df: DataFrame, group: str, stratum: str, target: int, li
     return df.join(df.sparkSession.createDataFrame(pd.DataFrame(picked, columns=[group])), group, "left_semi")
 
 
-def _from_heads(df: DataFrame, order: list, n: int, by: str | None, take, growth: int, exact: bool) -> DataFrame:
-    """Picks per stratum that depend on the rows before them only, from the first rows of each stratum.
+def _in_rounds(df: DataFrame, order: list, n: int, by: str | None, growth: int, exact: bool, passes: int, open_rows, take) -> DataFrame:
+    """The picks of each stratum, n at most, each depending on the ones before it; made in rounds over the rows in order.
 
-    take(rows in order, whether they are all of the stratum) gives the picks. As long as a stratum with fewer than n
-    of them has more rows, heads grow; tasks pass on no more rows than a head holds.
+    The rows are stored once with their place in the stratum. A round looks at the next stretch of places, growing from round
+    to round, and leaves out by joins what earlier picks rule out: open_rows(rows, picks, turn) gives the rows of a stretch
+    that may still be picked, take(rows in order, how many are wanted, turn) picks among those of one stratum. So a task
+    holds what is still open in a stretch, and picks are all that is carried on. `passes` turns begin at the first row.
     """
-    d = df.withColumn("_key", F.col(by) if by else F.lit(""))
-    sizes = d.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"))
-    ranked = d.withColumn("_order", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
-    most, head = sizes.agg(F.max("_size")).first()[0] or 0, max(n, 1) * growth
+    placed = storage.stored(places(df.withColumn("_key", F.col(by) if by else F.lit("")), order, ["_key"], "_place"))
+    sizes = placed.groupBy("_key").agg(F.max("_place").alias("_size"))
+    most = sizes.agg(F.max("_size")).first()[0] or 0
+    picks = storage.stored(placed.withColumn("_turn", F.lit(0)).limit(0))
 
-    def of_heads(rows: int):
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            return take(pdf.sort_values("_order"), bool(pdf["_size"].iloc[0] <= rows)).drop(columns=["_order", "_key", "_size"])
+    def wanted() -> DataFrame:
+        got = picks.groupBy("_key").agg(F.count(F.lit(1)).alias("_got"))
+        return sizes.join(got, "_key", "left").select("_key", "_size", (F.lit(n) - F.coalesce("_got", F.lit(0))).alias("_wanted")).filter("_wanted > 0")
 
-        return one
+    for turn in range(passes):
+        low, high = 0, max(n, 1) * growth
+        while low < most and not wanted().filter(F.col("_size") > low).isEmpty():
+            stretch = placed.filter((F.col("_place") > low) & (F.col("_place") <= high)).join(wanted().drop("_size"), "_key")
+            rows = open_rows(stretch, picks, turn)
 
-    while True:
-        heads = ranked.filter(F.col("_order") <= head).join(F.broadcast(sizes) if by is None else sizes, "_key")
-        picked = heads.groupBy("_key").applyInPandas(of_heads(head), df.schema)
-        got = picked.groupBy(F.col(by).alias("_key") if by else F.lit("").alias("_key")).agg(F.count(F.lit(1)).alias("_got"))
-        short = sizes.join(got, "_key", "left").filter(F.coalesce("_got", F.lit(0)) < n)
-        if head >= most or short.filter(F.col("_size") > head).isEmpty():
-            if exact and not short.isEmpty():
-                raise ValueError(f"a stratum has fewer than {n} rows that can be taken")
-            return picked
-        head *= growth
+            new = rows.groupBy("_key").applyInPandas(_picker(take, turn, picks.columns), picks.schema)
+            before, picks = picks, storage.stored(picks.unionByName(new))
+            storage.release(before)
+            low, high = high, high * growth
+    if exact and not wanted().isEmpty():
+        raise ValueError(f"a stratum has fewer than {n} rows that can be taken")
+    return picks.select(*df.columns)
+
+
+def _picker(take, turn: int, columns: list[str]):
+    """What a task does with the open rows of a stratum."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_place").reset_index(drop=True)
+        return pdf.loc[take(pdf, int(pdf["_wanted"].iloc[0]), turn)].assign(_turn=turn)[columns]
+
+    return one
+
+
+def _without(rows: DataFrame, picks: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The rows of a stratum that share no value with its picks, for pairs of a column of rows and one of picks."""
+    for own, theirs in pairs:
+        used = picks.select("_key", F.col(theirs).alias(own)).filter(F.col(own).isNotNull()).distinct()
+        rows = rows.join(used, ["_key", own], "left_anti")
+    return rows
 
 
 def diverse_take(df: DataFrame, order: list, n: int, unique: tuple[str, ...] = ("group_id", "source_record_id"), fingerprint: str = "fingerprint", cap: int = 2, by: str | None = None, growth: int = 8, exact: bool = False) -> DataFrame:
     """The first n rows in order whose keys are all new, at most `cap` per fingerprint at first, without the cap after.
 
-    exact: fewer than n are an error.
+    A null key is a value as any other. exact: fewer than n are an error.
     """
-
-    def take(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
-        seen: list[set] = [set() for _ in unique]
+    # keys and fingerprints are compared as texts, a null as one of its own
+    keys = {u: f"_u{k}" for k, u in enumerate(unique)}
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    d = df.withColumns({k: text(u) for u, k in keys.items()} | {"_print": text(fingerprint)})
+
+    def open_rows(rows: DataFrame, picks: DataFrame, turn: int) -> DataFrame:
+        rows = _without(rows, picks, [(k, k) for k in keys.values()])
+        same = ["_key", *keys.values()]
+        if turn == 0:
+            held = picks.groupBy("_key", "_print").agg(F.count(F.lit(1)).alias("_held"))
+            rows = rows.join(held, ["_key", "_print"], "left").fillna({"_held": 0}).filter(F.col("_held") < cap)
+            same.append("_print")
+        else:
+            rows = rows.withColumn("_held", F.lit(0).cast("bigint"))
+        # of rows that are ruled out by the same picks only the first can be one
+        return rows.groupBy(*same).agg(F.min_by(F.struct(*(c for c in rows.columns if c not in same)), "_place").alias("_row")).select(*same, "_row.*")
+
+    def take(pdf: pd.DataFrame, wanted: int, turn: int) -> list:
+        seen: list[set] = [set() for _ in keys]
         prints: dict = {}
-        picked: list[int] = []
-        # the second pass begins behind the last row of the first
-        for capped in (True, False) if whole else (True,):
-            for i, values, f in zip(pdf.index, zip(*(pdf[u] for u in unique), strict=True), pdf[fingerprint], strict=True):
-                if len(picked) >= n:
-                    break
-                if any(v in s for v, s in zip(values, seen, strict=True)) or capped and prints.get(f, 0) >= cap:
-                    continue
-                for v, s in zip(values, seen, strict=True):
-                    s.add(v)
-                prints[f] = prints.get(f, 0) + 1
-                picked.append(i)
-        return pdf.loc[picked]
+        picked: list = []
+        for i, values, f, held in zip(pdf.index, zip(*(pdf[k] for k in keys.values()), strict=True), pdf["_print"], pdf["_held"], strict=True):
+            if len(picked) >= wanted:
+                break
+            if any(v in s for v, s in zip(values, seen, strict=True)) or turn == 0 and held + prints.get(f, 0) >= cap:
+                continue
+            for v, s in zip(values, seen, strict=True):
+                s.add(v)
+            prints[f] = prints.get(f, 0) + 1
+            picked.append(i)
+        return picked
 
-    return _from_heads(df, order, n, by, take, growth, exact)
+    return _in_rounds(d, order, n, by, growth, exact, 2, open_rows, take).select(*df.columns)
 
 
 def diverse_take_unique(df: DataFrame, order: list, n: int, fingerprint: str = "fingerprint", cap: int = 2, unique: tuple[str, ...] = ("group_id", "source_record_id")) -> DataFrame:
@@ -173,31 +215,35 @@ def choose_unblocked(df: DataFrame, order: list, n: int, blocked: DataFrame, by:
     """
     from veritill.operators.joins import unrelated
 
-    def take(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
+    keys = ["example_id", "group_id", "source_record_id"]
+
+    def open_rows(rows: DataFrame, picks: DataFrame, turn: int) -> DataFrame:
+        return _without(rows, picks, [*((k, k) for k in keys), ("parent_example_id", "example_id"), ("example_id", "parent_example_id")])
+
+    def take(pdf: pd.DataFrame, wanted: int, turn: int) -> list:
         held: tuple[set, set, set] = (set(), set(), set())
         parents: set = set()
-        picked = []
-        for i, e, g, s, p in zip(pdf.index, pdf["example_id"], pdf["group_id"], pdf["source_record_id"], pdf["parent_example_id"], strict=True):
-            if len(picked) >= n:
+        picked: list = []
+        for i, values, p in zip(pdf.index, zip(*(pdf[k] for k in keys), strict=True), pdf["parent_example_id"], strict=True):
+            if len(picked) >= wanted:
                 break
-            if e in held[0] or g in held[1] or s in held[2] or (isinstance(p, str) and p in held[0]) or e in parents:
+            if any(v in k for v, k in zip(values, held, strict=True)) or (isinstance(p, str) and p in held[0]) or values[0] in parents:
                 continue
-            for v, k in zip((e, g, s), held, strict=True):
+            for v, k in zip(values, held, strict=True):
                 k.add(v)
             if isinstance(p, str):
                 parents.add(p)
             picked.append(i)
-        return pdf.loc[picked]
+        return picked
 
-    return _from_heads(unrelated(df, blocked), order, n, by, take, growth, exact)
+    return _in_rounds(unrelated(df, blocked), order, n, by, growth, exact, 1, open_rows, take)
 
 
 def round_robin_unique(df: DataFrame, stratum: str, group: str, key: str, n: int) -> DataFrame:
     """n rows dealt in turn from the strata, no two of one group: groups are reduced to their first row per stratum before the pass."""
     first = Window.partitionBy(stratum, group).orderBy(sha("audit", F.col(key)), key)
     d = df.withColumn("_f", F.row_number().over(first)).filter("_f = 1").drop("_f")
-    turn = Window.partitionBy(stratum).orderBy(sha("audit", F.col(key)), key)
-    ranked = d.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= 4 * n)
+    ranked = first_by_hash(d, sha("audit", F.col(key)), key, [stratum], 2 * n, "_turn")
 
     def take(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(parts)).sort_values([stratum, "_turn"])
@@ -216,6 +262,6 @@ def round_robin_unique(df: DataFrame, stratum: str, group: str, key: str, n: int
                     break
         yield pdf.loc[picked].drop(columns=["_turn"])
 
-    # no more than 4 n rows of each stratum meet here, and a stratum has at most n - 1 groups that others used before its turn
+    # no more than 2 n rows of each stratum meet here, and a stratum has at most n - 1 groups that others used before its turn
     return ranked.repartition(1).mapInPandas(take, df.schema)
 

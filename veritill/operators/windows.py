@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritill.functions.hashing import order_key
-from veritill.operators.ordered import hashed_places, joined_on, named_places, scored_places
+from veritill.operators.ordered import first_by_hash, hashed_places, joined_on, named_places, scored_places
 
 
 def sample_per_stratum(df: DataFrame, stratum: list[str], key: str, n: int | Column, namespace: str = "sample") -> DataFrame:
     """The first n of each stratum in hash order."""
-    w = Window.partitionBy(*stratum).orderBy(order_key(namespace, F.col(key)), key)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    return first_by_hash(df, order_key(namespace, F.col(key)), key, stratum, n, "_r").drop("_r")
 
 
 def round_robin(df: DataFrame, bucket: str, key: str, namespace: str = "diverse") -> DataFrame:
@@ -65,8 +64,7 @@ def cyclic(df: DataFrame, key: str, names: tuple[str, ...], by: list[str], name:
 
 def prioritised(df: DataFrame, priority: Column, bucket: str, key: str, limit: int) -> DataFrame:
     """The first `limit` rows: by priority, then dealt in turn from the buckets, of which only so many can give any row."""
-    w = Window.partitionBy("_p", bucket).orderBy(order_key("queue", F.col(key)), key)
-    d = df.withColumn("_p", priority).withColumn("_turn", F.row_number().over(w)).filter(F.col("_turn") <= limit)
+    d = first_by_hash(df.withColumn("_p", priority), order_key("queue", F.col(key)), key, ["_p", bucket], limit, "_turn")
     return d.orderBy("_p", "_turn", bucket).limit(limit).drop("_p", "_turn")
 
 
@@ -83,9 +81,7 @@ def best(df: DataFrame, by: list[str], rank: Column) -> DataFrame:
 def disjoint_slices(df: DataFrame, stratum: str, key: str, slices: list[tuple[str, int]]) -> DataFrame:
     """Slices of one hash order per stratum: as groups are unique, they share none."""
     every = sum(n for _, n in slices)
-    w = Window.partitionBy(stratum).orderBy(order_key("slices", F.col(key)), key)
-    # the filter on the rank lets every task pass on no more rows of a stratum than all slices hold
-    d = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= every)
+    d = first_by_hash(df, order_key("slices", F.col(key)), key, [stratum], every, "_r")
     out, done = F.lit(None).cast("string"), every
     for name, n in reversed(slices):
         out = F.when(F.col("_r") <= done, name).otherwise(out)
