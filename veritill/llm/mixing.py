@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textops import ROW_KEY, documents, in_arrow, row_key, stored, unused, word_slices
+from .textops import ROW_KEY, documents, in_arrow, row_key, scratch, stored, unused, word_slices
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -108,10 +108,11 @@ def served(queue: DataFrame, budget: Column) -> DataFrame:
 
 def _queue(docs: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
     """Per row of docs: doc_id, row_key, size, source_size, target, taken and virtual_finish (of the first pass)."""
-    sizes = sized(docs)
-    goals = stored(targets(sizes, weights, share, most).withColumn("limit", F.floor("target")))
-    budget = F.lit(goals.agg(F.sum("limit")).first()[0] or 0)
-    rows = stored(ordered(sizes).join(goals, "source_key"))
+    with scratch():
+        sizes = sized(docs)
+        goals = stored(targets(sizes, weights, share, most).withColumn("limit", F.floor("target")))
+        budget = F.lit(goals.agg(F.sum("limit")).first()[0] or 0)
+        rows = stored(ordered(sizes).join(goals, "source_key"), lasting=True)
     keys = ["source_key", "bucket", "turn"]
     got = served(queued(rows.select(*keys, "start", "size", "source_size", "limit"), most), budget).groupBy(*keys).agg(F.sum("got").alias("taken"))
     finish = F.when(F.col("limit") > 0, (F.col("start") + F.col("size")) / F.col("limit"))
