@@ -125,7 +125,7 @@ def test_suffix_tree_scores_against_brute_force(spark):
     docs = spark.createDataFrame(data, "doc_id bigint, text string")
     for extra in ({}, {"most_cells": 0, "heavy": 0.01}):  # tables, and joins
         for r in scoring.score(docs, least=6, **extra).collect():
-            assert (r.score, r.base_score) == (pytest.approx(want[r.doc_id][0], rel=1e-5), pytest.approx(want[r.doc_id][1], rel=1e-9))
+            assert (r.score, r.base_score) == (pytest.approx(want[r.doc_id][0], rel=1e-12), pytest.approx(want[r.doc_id][1], rel=1e-9))
             assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tok[r.doc_id]) + 1, sum(c[w] > 0 for w in [*tok[r.doc_id], None]), total, held[r.doc_id])
 
 

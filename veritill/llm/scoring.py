@@ -29,14 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contexts as C
-from .textops import ROW_KEY, Words, buffers, crc_mod, documents, in_arrow, slices, stored
+from .textops import ROW_KEY, Words, buffers, crc_mod, documents, in_arrow, scratch, slices, stored
 
 DEPTH = 5
 LEAST = 48
 DIVERGENCE = 2.0
 FOLDS = 10
 HEAVY = 2.5e-7
-MOST_CELLS, MOST_ENTRIES = 24_000_000, 6_000_000
+#: Bounds of a tree that is broadcast as tables of 64-bit numbers (96 MB); a larger one scores by joins, to the same logarithms.
+MOST_CELLS, MOST_ENTRIES = 12_000_000, 6_000_000
 SYMBOLS = 257
 #: Keys a task gathers before it sums them up, and passes them on if that leaves more than half.
 GATHER = 1_000_000
@@ -112,7 +113,7 @@ def statistics(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(kind, key, n) over all training rows, stored: 0 word hashes, 1 n-grams, 2 the number of texts."""
     training = rows.filter(~F.col("held_out")).select("text")
     found = in_arrow(training, _counts(depth), "kind int, key bigint, n bigint")
-    return stored(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    return stored(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), lasting=True)
 
 
 def _cut(key: Column | str, depth: int) -> Column:
@@ -160,16 +161,16 @@ class Table:
         size, many = np.zeros(len(self.tree.keys)), np.zeros(len(self.tree.keys))
         size[at], many[at] = total, kinds
         node, code = self.tree.find(key >> np.uint64(C.BITS)), self.tree.code[own]
-        p = np.empty((len(self.tree.keys), self.tree.size), np.float32)
+        p = np.empty((len(self.tree.keys), self.tree.size))
         for d in range(self.tree.most + 1):
             level = self.tree.depths == d
             rows = np.flatnonzero(level)
-            up = p[self.tree.parent[rows]] if d else np.full((1, self.tree.size), 1 / SYMBOLS, np.float32)
+            up = p[self.tree.parent[rows]] if d else np.full((1, self.tree.size), 1 / SYMBOLS)
             share = many[rows] / np.maximum(size[rows] + many[rows], 1)
             p[rows] = np.where(size[rows] > 0, share, 1.0)[:, None] * up
             e = np.flatnonzero(level[node])
             p[node[e], code[e]] += n[e] / (size[node[e]] + many[node[e]])
-        self.logs = np.log10(p).reshape(-1)
+        self.logs = np.log10(p, out=p).reshape(-1)
 
     def score(self, s: np.ndarray, offsets: np.ndarray, start: np.ndarray) -> np.ndarray:
         codes = self.tree.code[s + 1]
@@ -244,30 +245,33 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: f
     spark = docs.sparkSession
     held = F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select(F.monotonically_increasing_id().alias("row"), F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).alias("text_key"), "doc_id", held, "text")
-    counted = statistics(rows, depth)
-    words = counted.filter("kind = 0").select("key", "n")
-    size = counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
-    total = {r["kind"]: r for r in size}
-    texts = total[2]["n"] if 2 in total else 0
-    tokens = texts + (total[0]["n"] if 0 in total else 0)
-    distinct = (texts > 0) + (total[0]["kinds"] if 0 in total else 0)
-    scale = log10(tokens + 0.1 * (distinct + 1))
-
-    nodes, entries = suffix_tree(counted.filter("kind = 1").select("key", "n"), depth, least, divergence)
-    alphabet = 2 + entries.select(_cut("key", 0)).distinct().count()
-    small = nodes.count() * alphabet <= most_cells and entries.count() <= MOST_ENTRIES
-    table = Table(_columns(nodes, "ctx", "total", "kinds"), _columns(entries, "key", "n")) if small else None
-    often, counts = _columns(words.filter(F.col("n") >= heavy * max(tokens, 1)), "key", "n")
-    order = np.argsort(often)
-    shared = spark.sparkContext.broadcast((table, often[order], np.log10(counts[order] + 0.1) - scale))
-    rough = stored(in_arrow(rows, _rough(shared), ROUGH))
+    with scratch():  # what the result reads is lasting
+        counted = statistics(rows, depth)
+        words = counted.filter("kind = 0").select("key", "n")
+        size = counted.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
+        total = {r["kind"]: r for r in size}
+        texts = total[2]["n"] if 2 in total else 0
+        tokens = texts + (total[0]["n"] if 0 in total else 0)
+        distinct = (texts > 0) + (total[0]["kinds"] if 0 in total else 0)
+        scale = log10(tokens + 0.1 * (distinct + 1))
+
+        nodes, entries = suffix_tree(counted.filter("kind = 1").select("key", "n"), depth, least, divergence)
+        alphabet = 2 + entries.select(_cut("key", 0)).distinct().count()
+        small = nodes.count() * alphabet <= most_cells and entries.count() <= MOST_ENTRIES
+        table = Table(_columns(nodes, "ctx", "total", "kinds"), _columns(entries, "key", "n")) if small else None
+        often, counts = _columns(words.filter(F.col("n") >= heavy * max(tokens, 1)), "key", "n")
+        order = np.argsort(often)
+        shared = spark.sparkContext.broadcast((table, often[order], np.log10(counts[order] + 0.1) - scale))
+        rough = stored(in_arrow(rows, _rough(shared), ROUGH), lasting=True)
+        if not small:
+            copies = rough.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
+            of_texts = joined_scores(rows, nodes, entries, depth).join(copies, "text_key")
+            of_texts = stored(of_texts.select("text_key", (F.col("every") / F.col("copies")).alias("score")), lasting=True)
 
     log_of = lambda n: F.log10(n + F.lit(0.1)) - F.lit(scale)
     rare = rough.select("row", F.explode("rare").alias("key")).join(words, "key", "left").groupBy("row").agg(F.count("n").alias("rare_known"), F.sum(log_of(F.coalesce("n", F.lit(0)))).alias("rare_score"))
     out = rough.drop("rare").join(rare, "row", "left")
     if not small:
-        copies = rough.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
-        of_texts = joined_scores(rows, nodes, entries, depth).join(copies, "text_key").select("text_key", (F.col("every") / F.col("copies")).alias("score"))
         out = out.drop("score").join(of_texts, "text_key")
     known = F.col("heavy_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(1 if texts else 0)
     base = F.col("heavy_score") + F.coalesce("rare_score", F.lit(0.0)) + log_of(F.lit(texts))
