@@ -21,6 +21,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 from html import unescape
 from zlib import crc32
 
@@ -459,6 +460,7 @@ def sample_page(r: random.Random) -> tuple[str, list[int]]:
     return "".join(out), labels
 
 
+@cache
 def train(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = 11) -> Network:
     """Fits the network by Adam on generated pages, in batches of pages of like length."""
     r, rng = random.Random(seed), np.random.default_rng(seed)

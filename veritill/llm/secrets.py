@@ -24,6 +24,7 @@ import string
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -216,6 +217,7 @@ def probabilities(net: Network, found: list[tuple[str, int, int, int]]) -> np.nd
     return out
 
 
+@cache
 def train(rows: int = TRAINING_ROWS, epochs: int = EPOCHS, recall: float = RECALL, seed: int = 5) -> Network:
     """Fits the network by Adam, calibrates it and sets its thresholds on a third of the findings, kept apart."""
     rng = np.random.default_rng(seed)
