@@ -13,7 +13,7 @@ def test_query_equals_sql(spark, name):
     same(spark, SMALL, registry.QUERIES[name], registry.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL) - {"ml_stacked_scores", "g2_role_fill", "g3_proportional_groups"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, SMALL).count() > 0
 

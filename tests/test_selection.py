@@ -142,7 +142,48 @@ def test_groups_of_one_size_are_packed_by_hash(spark):
         want[g] = s
     got = {r.g: r.split for r in selection.pack_groups(df, "g", targets).collect()}
     assert got == want
+    pinned = spark.createDataFrame([("g1", "z"), ("g3", "z"), ("g2", "x")], "g string, split string")
+    got = {r.g: r.split for r in selection.pack_groups(df, "g", targets, pinned).collect()}
+    assert (got["g1"], got["g3"], got["g2"]) == ("z", "z", "x") and sum(2 if int(g[1:]) % 2 else 1 for g, s in got.items() if s == "z") == 10
     with pytest.raises(ValueError, match="fixed group q is unknown"):
         selection.pack_groups(df, "g", targets, spark.createDataFrame([("q", "x")], "g string, split string"))
     with pytest.raises(ValueError, match="more than z takes"):
         selection.pack_groups(df, "g", {"x": 44, "z": 1}, spark.createDataFrame([("g1", "z")], "g string, split string"))
+
+
+def test_walks_go_on_from_chunk_to_chunk(spark, monkeypatch):
+    r = random.Random(7)
+    sizes = {f"g{k}": r.choice([1, 1, 2, 3, 7]) for k in range(160)}
+    strata = {g: r.choice("aaabbc") for g in sizes}
+    df = spark.createDataFrame([(g, strata[g]) for g, n in sizes.items() for _ in range(n)], "g string, s string")
+    order = sorted(sizes, key=lambda g: (sha(2026, g), g))
+    total = sum(sizes.values())
+    # roles: the first one looks at known groups first
+    known = [g for g in order if g[-1] == "7"]
+    targets, used, want = [("x", 41), ("y", 60), ("z", 77)], {}, {}
+    for turn, (role, left) in enumerate(targets):
+        for g in ([*known, *order] if turn == 0 else order):
+            if g not in used and sizes[g] <= left:
+                used[g] = role
+                left -= sizes[g]
+        assert left == 0
+    # proportions: the stratum furthest behind gives its next group that fits
+    queues = {s: [g for g in order if strata[g] == s] for s in "abc"}
+    ideal = {s: 150 * sum(sizes[g] for g in q) / total for s, q in queues.items()}
+    taken, left = dict.fromkeys(queues, 0), 150
+    while left:
+        heads = {s: next(g for g in q if sizes[g] <= left) for s, q in queues.items() if any(sizes[g] <= left for g in q)}
+        s = min(heads, key=lambda s: (taken[s] / ideal[s], sha(2026, s)))
+        queues[s].remove(heads[s])
+        want[heads[s]] = s
+        taken[s] += sizes[heads[s]]
+        left -= sizes[heads[s]]
+    packs = {"m": total // 2, "n": total - total // 2}
+    once = {x.g: x.split for x in selection.pack_groups(df, "g", packs).collect()}
+    monkeypatch.setattr(selection, "WALK", 37)
+    assert {x.g: x.split for x in selection.pack_groups(df, "g", packs).collect()} == once
+    first = spark.createDataFrame([(g,) for g in known], "g string")
+    assert {x.g: x.role for x in selection.fill_roles(df, "g", targets, first).collect()} == used
+    assert {x.g for x in selection.proportional_groups(df, "g", "s", 150).collect()} == set(want)
+    with pytest.raises(ValueError, match="lacks"):
+        selection.fill_roles(df, "g", [("x", total + 1)])

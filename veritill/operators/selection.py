@@ -1,111 +1,172 @@
 """Greedy selections that carry state from pick to pick.
 
-They work on groups, not rows: the rows are first reduced to one line per group, and what a pick changes is
-what all later ones see. The order of picks is a hash order, so the outcome doesn't depend on partitions.
+What a pick changes is what all later ones see, so picks come one after the other; but tasks see a stretch of the
+order at a time, and what goes on from stretch to stretch is small: what is left of targets, or the picks themselves.
+The order of picks is a hash order, so the outcome doesn't depend on partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritill.functions.hashing import SEED, order_key, sha
+from veritill.functions.hashing import SEED, sha
 from veritill.operators.ordered import first_by_hash, places
 from veritill.sources import storage
 
-#: Most groups that a sequential pass may see; larger candidate sets are cut into independent strata first.
-MOST_GROUPS = 5_000_000
+#: Groups that a task walks through at a time; the walk goes on from what is left of the targets, a few numbers.
+WALK = 200_000
 
 
-def _bounded(groups: DataFrame, limit: int) -> pd.DataFrame:
-    n = groups.count()
-    if n > limit:
-        raise ValueError(f"{n} groups are more than the {limit} that one sequential pass takes; select within strata")
-    return groups.toPandas()
+def _walked(chunk: DataFrame, step, schema: str) -> DataFrame:
+    """The rows that step(groups in order) makes of a chunk of at most WALK groups, stored."""
 
+    def one(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield step(pd.concat(list(parts)).sort_values("_place"))
 
-def pack_groups(df: DataFrame, group: str, targets: dict[str, int], fixed: DataFrame | None = None, limit: int = MOST_GROUPS) -> DataFrame:
+    return storage.stored(chunk.repartition(1).mapInPandas(one, schema))
+
+
+def pack_groups(df: DataFrame, group: str, targets: dict[str, int], fixed: DataFrame | None = None) -> DataFrame:
     """Rows with a split that meets exact row targets without dividing a group.
 
     Groups go by falling size, then hash; each takes the split with the greatest share of its target left that
     it fits into, equal shares going to the lowest hash of group and split. Groups of `fixed` (group, split) are
-    placed first; one that is unknown, or more than its split takes, is refused.
+    placed first; one that is unknown, or more than its split takes, is refused. The groups are walked through in order,
+    WALK at a time, each stretch by one task.
     """
-    if fixed is not None and (unknown := fixed.join(df.select(group).distinct(), group, "left_anti").first()) is not None:
-        raise ValueError(f"fixed group {unknown[group]} is unknown")
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("h", sha(SEED, F.col(group)))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    left, parts = dict(targets), []
     if fixed is not None:
-        sizes = sizes.join(fixed.select(group, F.col("split").alias("fixed")), group, "left")
-    rows = _bounded(sizes, limit).sort_values(["size", "h"], ascending=[False, True])
-    from hashlib import sha256
-
-    left, placed = dict(targets), []
-    pinned = rows["fixed"] if "fixed" in rows else pd.Series([None] * len(rows), index=rows.index)
-    for name, size, own in zip(rows[group], rows["size"], pinned, strict=True):
-        if isinstance(own, str):
-            if left.get(own, -1) < size:
-                raise ValueError(f"fixed group {name} of {size} rows is more than {own} takes")
-            left[own] -= size
-            placed.append((name, own))
-    for name, size, own in zip(rows[group], rows["size"], pinned, strict=True):
-        if isinstance(own, str):
-            continue
-        fits = [s for s in targets if left[s] >= size]
-        if not fits:
-            raise ValueError(f"group {name} fits no split")
-        pick = min(fits, key=lambda s: (-left[s] / max(targets[s], 1), sha256(f"{SEED}:{name}:{s}".encode()).hexdigest()))
-        left[pick] -= size
-        placed.append((name, pick))
+        pinned = storage.stored(fixed.select(group, "split").join(sizes, group, "left"))
+        if (unknown := pinned.filter("size is null").first()) is not None:
+            raise ValueError(f"fixed group {unknown[group]} is unknown")
+        for r in pinned.groupBy("split").agg(F.sum("size").alias("n")).collect():
+            left[r["split"]] = left.get(r["split"], -1) - r["n"]
+            if left[r["split"]] < 0:
+                raise ValueError(f"fixed groups are more than {r['split']} takes")
+        parts.append(pinned.select(group, "split"))
+        sizes = sizes.join(pinned, group, "left_anti")
+    placed = storage.stored(places(sizes.withColumn("h", sha(SEED, F.col(group))), [F.desc("size"), "h", group], [], "_place"))
+    seed, many = SEED, placed.count()
+    for at in range(0, many, WALK):
+        now = dict(left)
+
+        def step(rows: pd.DataFrame, now: dict = now) -> pd.DataFrame:
+            splits = []
+            for name, size in zip(rows[group], rows["size"], strict=True):
+                fits = [s for s in targets if now[s] >= size]
+                pick = min(fits, key=lambda s: (-now[s] / max(targets[s], 1), sha256(f"{seed}:{name}:{s}".encode()).hexdigest()), default=None)
+                if pick is not None:
+                    now[pick] -= size
+                splits.append(pick)
+            return rows.assign(split=splits)[[group, "size", "split"]]
+
+        part = _walked(placed.filter((F.col("_place") > at) & (F.col("_place") <= at + WALK)), step, f"`{group}` {df.schema[group].dataType.simpleString()}, size bigint, split string")
+        if (none := part.filter("split is null").first()) is not None:
+            raise ValueError(f"group {none[group]} fits no split")
+        for r in part.groupBy("split").agg(F.sum("size").alias("n")).collect():
+            left[r["split"]] -= r["n"]
+        parts.append(part.select(group, "split"))
     if any(left.values()):
         raise ValueError(f"targets not met: {left}")
-    return df.join(df.sparkSession.createDataFrame(pd.DataFrame(placed, columns=[group, "split"])), group)
+    return df.join(reduce(DataFrame.unionByName, parts), group) if parts else df.withColumn("split", F.lit(None).cast("string"))
 
 
-def fill_roles(df: DataFrame, group: str, targets: list[tuple[str, int]], first: DataFrame | None = None, limit: int = MOST_GROUPS) -> DataFrame:
-    """Rows of the groups that fill roles in a fixed order, each role taking groups in hash order as they fit."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("h", order_key("role", F.col(group)))
-    known = first.select(group, F.lit(0).alias("late")).distinct() if first is not None else None
-    sizes = sizes.join(known, group, "left").withColumn("late", F.coalesce("late", F.lit(1))) if known is not None else sizes.withColumn("late", F.lit(1))
-    rows = _bounded(sizes, limit).sort_values(["late", "h"])
-    used, placed = set(), []
-    for role, target in targets:
+def fill_roles(df: DataFrame, group: str, targets: list[tuple[str, int]], first: DataFrame | None = None) -> DataFrame:
+    """Rows of the groups that fill roles in a fixed order, each role taking groups in hash order as they fit.
+
+    The first role looks at the groups of `first` before the others. Each role walks through the groups that are not taken
+    and still fit, WALK at a time, until it is full.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("h", sha(SEED, F.col(group)))
+    known = first.select(group, F.lit(True).alias("known")).distinct() if first is not None else sizes.select(group, F.lit(True).alias("known")).limit(0)
+    placed = storage.stored(places(sizes.join(known, group, "left"), ["h", group], [], "_place"))
+    schema = f"`{group}` {df.schema[group].dataType.simpleString()}, size bigint, role string"
+    taken, many = storage.stored(df.sparkSession.createDataFrame([], schema)), placed.count()
+    for turn, (role, target) in enumerate(targets):
         left = target
-        for name, size in zip(rows[group], rows["size"], strict=True):
-            if name not in used and size <= left:
-                used.add(name)
-                placed.append((name, role))
-                left -= size
+        for part in ([F.col("known")] if turn == 0 and first is not None else []) + [F.lit(True)]:
+            for at in range(0, many, WALK):
                 if not left:
                     break
+
+                def step(rows: pd.DataFrame, left: int = left, role: str = role) -> pd.DataFrame:
+                    picked = []
+                    for i, size in zip(rows.index, rows["size"], strict=True):
+                        if size <= left:
+                            picked.append(i)
+                            left -= size
+                    return rows.loc[picked].assign(role=role)[[group, "size", "role"]]
+
+                chunk = placed.filter(part & (F.col("_place") > at) & (F.col("_place") <= at + WALK) & (F.col("size") <= left)).join(taken.select(group), group, "left_anti")
+                if chunk.isEmpty():
+                    continue
+                new = _walked(chunk, step, schema)
+                left -= new.agg(F.sum("size")).first()[0] or 0
+                before, taken = taken, storage.stored(taken.unionByName(new))
+                storage.release(before, new)
         if left:
             raise ValueError(f"role {role} lacks {left} rows")
-    return df.join(df.sparkSession.createDataFrame(pd.DataFrame(placed, columns=[group, "role"])), group)
-
-
-def proportional_groups(df: DataFrame, group: str, stratum: str, target: int, limit: int = MOST_GROUPS) -> DataFrame:
-    """Rows of groups drawn so that strata keep their shares: the stratum furthest behind its ideal gives the next group that fits."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.min(stratum).alias("stratum")).withColumn("h", order_key("select", F.col(group)))
-    rows = _bounded(sizes, limit).sort_values("h")
-    total = int(rows["size"].sum())
-    queues = {s: list(zip(g[group], g["size"], strict=True)) for s, g in rows.groupby("stratum", sort=True)}
-    ideal = {s: sum(n for _, n in q) * target / total for s, q in queues.items()}
-    taken, left, picked = dict.fromkeys(queues, 0), target, []
-    while left and any(queues.values()):
-        s = min((s for s, q in queues.items() if q), key=lambda s: (taken[s] / ideal[s], s))
-        k = next((k for k, (_, n) in enumerate(queues[s]) if n <= left), None)
-        if k is None:
-            queues[s] = []
-            continue
-        name, n = queues[s].pop(k)
-        picked.append((name,))
-        taken[s] += n
-        left -= n
+    return df.join(taken.select(group, "role"), group)
+
+
+def proportional_groups(df: DataFrame, group: str, stratum: str, target: int) -> DataFrame:
+    """Rows of groups drawn so that strata keep their shares: the stratum furthest behind its ideal gives the next group that fits.
+
+    Equal shares go to the lowest hash of the stratum, groups in hash order. A task gets the next groups of every stratum,
+    WALK in all, and goes on until one of them runs out; what is carried on is a place and a number per stratum.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.min(stratum).cast("string").alias("stratum")).withColumn("stratum", F.coalesce("stratum", F.lit("")))
+    placed = storage.stored(places(sizes.withColumn("h", sha(SEED, F.col(group))), ["h", group], ["stratum"], "_place"))
+    strata = placed.groupBy("stratum").agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("groups"))
+    # a row per stratum; there are as many as kinds of groups
+    state = {r["stratum"]: [r["rows"], r["groups"], 0, 0] for r in strata.collect()}
+    total = sum(r[0] for r in state.values())
+    ideal = {s: max(target * r[0] / total, 1e-9) for s, r in state.items()}
+    mark = {s: sha256(f"{SEED}:{s}".encode()).hexdigest() for s in state}
+    left, parts, schema = target, [], f"`{group}` {df.schema[group].dataType.simpleString()}, size bigint, stratum string, `_end` bigint"
+    while left and any(r[2] < r[1] for r in state.values()):
+        each = max(1, WALK // max(1, len(state)))
+        cursors = df.sparkSession.createDataFrame([(s, r[2]) for s, r in state.items() if r[2] < r[1]], "stratum string, _from bigint")
+        chunk = placed.join(cursors, "stratum").filter((F.col("_place") > F.col("_from")) & (F.col("_place") <= F.col("_from") + each))
+        now = {s: tuple(r) for s, r in state.items()}
+
+        def step(rows: pd.DataFrame, now: dict = now, left: int = left) -> pd.DataFrame:
+            queues = {s: list(zip(q[group], q["size"], q["_place"], strict=True)) for s, q in rows.groupby("stratum")}
+            heads, taken, picked, ends = dict.fromkeys(queues, 0), {s: r[3] for s, r in now.items()}, [], {}
+            heap = [(taken[s] / ideal[s], mark[s], s) for s in queues]
+            heapify(heap)
+            while heap and left:
+                _, _, s = heappop(heap)
+                queue, k = queues[s], heads[s]
+                while k < len(queue) and queue[k][1] > left:
+                    k += 1
+                heads[s] = k
+                if k == len(queue):
+                    if now[s][2] + len(queue) < now[s][1]:
+                        break  # its next groups are in the next chunk
+                    continue
+                name, size, _ = queue[k]
+                picked.append((name, size, s, None))
+                heads[s], left, taken[s] = k + 1, left - size, taken[s] + size
+                heappush(heap, (taken[s] / ideal[s], mark[s], s))
+            ends = [(None, 0, s, now[s][2] + k) for s, k in heads.items()]
+            return pd.DataFrame(picked + ends, columns=[group, "size", "stratum", "_end"])
+
+        part = _walked(chunk, step, schema)
+        for r in part.groupBy("stratum").agg(F.sum("size").alias("n"), F.max("_end").alias("end")).collect():
+            state[r["stratum"]][2], state[r["stratum"]][3], left = r["end"], state[r["stratum"]][3] + r["n"], left - r["n"]
+        parts.append(part.filter("_end is null").select(group))
     if left:
         raise ValueError(f"{left} rows of the target can't be met")
-    return df.join(df.sparkSession.createDataFrame(pd.DataFrame(picked, columns=[group])), group, "left_semi")
+    return df.join(reduce(DataFrame.unionByName, parts), group, "left_semi") if parts else df.limit(0)
 
 
 def _in_rounds(df: DataFrame, order: list, n: int, by: str | None, growth: int, exact: bool, passes: int, open_rows, take) -> DataFrame:

@@ -123,13 +123,14 @@ def g1_group_packing(spark, sf_dir):
 @query("g2_role_fill")
 def g2_role_fill(spark, sf_dir):
     h = small_examples(spark, sf_dir)
-    return selection.fill_roles(h, "group_id", [("policy_tuning", 200), ("candidate_selection", 150), ("holdout", 100)], h.filter("split = 'golden'")).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("group_id").alias("groups"))
+    n = h.count()
+    return selection.fill_roles(h, "source_record_id", [("candidate_selection", n // 7), ("calibration", n // 10), ("policy_tuning", n // 10), ("train_fit", n // 2)], h.filter("split = 'golden'")).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_record_id").alias("groups"))
 
 
 @query("g3_proportional_groups")
 def g3_proportional_groups(spark, sf_dir):
     h = small_examples(spark, sf_dir)
-    return selection.proportional_groups(h, "group_id", "domain", 500).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    return selection.proportional_groups(h, "source_record_id", "domain", h.count() // 3).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("g5_diverse_take")
