@@ -141,15 +141,39 @@ def token_cost(df: DataFrame, model: str, tokens_in: Column, tokens_out: Column,
     return df.groupBy(model).agg(F.sum((tokens_in * price["i"] + tokens_out * price["o"]) / 1e6).alias("cost"))
 
 
+#: Tokens of a text up to which three packed counters of 21 bits hold their sums.
+PACKED_TOKENS = 1 << 20
+
+
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, bucket) per row: an 8-bit simhash of the [a-z0-9]+ tokens by count as two hex digits, `empty` without tokens.
 
-    Tokens are hashed and summed inside their row, so nothing is exploded or shuffled.
+    Tokens are hashed and summed inside their row, so nothing is exploded or shuffled. A byte's bits are added as three packed
+    numbers, looked up in literal arrays; texts of more than a million tokens add them one bit at a time.
     """
     words = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), F.array().cast("array<string>"))
     hashes = F.transform(words, lambda w: F.conv(F.substring(F.sha2(w, 256), 63, 2), 16, 10).cast("int"))
-    # one sum per bit: tokens that have it, less those that don't
-    sums = F.aggregate(hashes, F.array(*[F.lit(0)] * 8), lambda s, h: F.array(*(s[k] + F.when(F.shiftright(h, k).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1) for k in range(8))))
-    value = sum((F.when(F.col("_s")[k] >= 0, 1 << k).otherwise(0) for k in range(1, 8)), F.when(F.col("_s")[0] >= 0, 1).otherwise(0))
-    d = df.select(key, F.size(words).alias("_n"), sums.alias("_s"))
-    return d.select(key, F.when(F.col("_n") == 0, "empty").otherwise(F.lower(F.lpad(F.hex(value), 2, "0"))).alias("bucket"))
+    groups = [range(0, 3), range(3, 6), range(6, 8)]
+    packed = [F.split(F.lit(",".join(str(sum(((h >> b) & 1) << (21 * (b - g[0])) for b in g)) for h in range(256))), ",").cast("array<bigint>") for g in groups]
+
+    def bucket(h: Column) -> Column:
+        n = F.size(h)
+        sums = [_added(h, p) for p in packed]
+        fast = [F.shiftright(sums[k], 21 * (b - g[0])).bitwiseAND(F.lit((1 << 21) - 1)) for k, g in enumerate(groups) for b in g]
+        slow = [_added(F.transform(h, _bit(b)), None) for b in range(8)]
+        # a bit is set if at least half of the tokens have it
+        value = lambda counts: sum((F.when(2 * c >= n, 1 << b).otherwise(0) for b, c in enumerate(counts)), F.lit(0))
+        code = F.when(n <= PACKED_TOKENS, value(fast)).otherwise(value(slow))
+        return F.when(n == 0, "empty").otherwise(F.lower(F.lpad(F.hex(code), 2, "0")))
+
+    # an array of one binds the hashes to a name, so that tokens are found once
+    return df.select(key, F.element_at(F.transform(F.array(hashes), bucket), 1).alias("bucket"))
+
+
+def _added(values: Column, table: Column | None) -> Column:
+    """The sum of an array of numbers, or of what a table of 256 holds for them."""
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda s, x: s + (x if table is None else F.element_at(table, x + 1)))
+
+
+def _bit(b: int):
+    return lambda x: F.shiftright(x, b).bitwiseAND(F.lit(1))

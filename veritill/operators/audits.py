@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritill.sources import storage
+
 
 def settled(reviews: DataFrame, adjudications: DataFrame) -> DataFrame:
     """(example_id, raters, agreed, adjudicated, deviation, semantic_label, expected_treatment): what two independent reviews of an example come to.
@@ -125,3 +127,24 @@ def binding_problems(recorded: DataFrame, current: DataFrame, key: str = "artifa
     both = F.col("_was").isNotNull() & F.col("_there").isNotNull()
     changed = F.array_compact(F.array(*(F.when(~both | ~F.col(c).eqNullSafe(F.col(f"_now_{c}")), F.lit(c)) for c in fields)))
     return d.select(key, changed.alias("changed")).filter(F.size("changed") > 0)
+
+
+def prepared_audit(sample: DataFrame, deterministic: Column, shown: list[str], hidden: list[str], dimensions: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An audit's queue, ledger and histograms from one sample of examples, which is evaluated and stored once.
+
+    The queue (example_id, payload) holds what reviewers see and the rules' results, the ledger (example_id, deterministic,
+    the hidden columns) what they must not see, and (dimension, category, n) counts the sample along each dimension.
+    """
+    stored = storage.stored(sample.select("example_id", deterministic.alias("deterministic"), *dict.fromkeys([*shown, *hidden, *dimensions])))
+    payload = F.to_json(F.struct(*sorted(shown), F.struct(F.col("deterministic").alias("treatment")).alias("rules")), {"ignoreNullFields": "false"})
+    flat = F.array(*(F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("UNREVIEWED")).alias("category")) for d in dimensions))
+    counts = stored.select(F.explode(flat).alias("x")).groupBy("x.dimension", "x.category").agg(F.count(F.lit(1)).alias("n"))
+    return stored.select("example_id", payload.alias("payload")), stored.select("example_id", "deterministic", *hidden), counts
+
+
+def blinding_gaps(queue: DataFrame, ledger: DataFrame, hidden: list[str]) -> DataFrame:
+    """(example_id, gap): queue rows without a ledger row, ledger rows without a queue row, and payloads that name a hidden column."""
+    d = queue.withColumn("_q", F.lit(True)).join(ledger.select("example_id", F.lit(True).alias("_l")), "example_id", "full")
+    told = F.size(F.array_intersect(F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>")), F.array(*map(F.lit, hidden)))) > 0
+    gap = F.when(F.col("_l").isNull(), "no_ledger").when(F.col("_q").isNull(), "no_queue").when(told, "hidden_shown")
+    return d.select("example_id", gap.alias("gap")).filter(F.col("gap").isNotNull())

@@ -30,14 +30,14 @@ PROFILES = {
 def profile(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """The vector of a profile, in contract order, behind the key columns."""
     if name not in PROFILES:
-        raise ValueError(f"unknown feature profile: {name}")
+        raise ValueError(f"no profile is called {name}")
     return df.select(*keys, *PROFILES[name])
 
 
 def profile_of(names: list[str]) -> str:
     found = [p for p, own in PROFILES.items() if list(own) == names]
     if len(found) != 1:
-        raise ValueError("feature names do not match a declared feature profile")
+        raise ValueError(f"{len(found)} profiles have these features in this order, not one")
     return found[0]
 
 

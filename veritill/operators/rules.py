@@ -126,11 +126,11 @@ def pre_signals(now: Column) -> Column:
     trusted = (F.col("evidence_trust") == "trusted") & F.col("evidence_source").isin(*TRUSTED_SOURCES)
     replayed = F.array_contains("prior_transaction_ids", F.col("cart_id"))
     return F.array(
-        signal("mandate_signature", F.col("signature_valid"), "critical", F.when(F.col("signature_valid"), "valid").otherwise("invalid"), F.lit("valid simulated signature"), "MANDATE_AUTHORIZATION_INVALID"),
+        signal("mandate_signature", F.col("signature_valid"), "critical", F.when(F.col("signature_valid"), "valid").otherwise("invalid"), F.lit("a signature that verifies"), "MANDATE_AUTHORIZATION_INVALID"),
         signal("mandate_status", active, "critical", F.col("state_status"), F.lit("active"), "MANDATE_NOT_ACTIVE"),
         signal("mandate_window", window, "critical", now, F.col("expires_at"), "MANDATE_EXPIRED_OR_NOT_YET_VALID"),
         signal("trusted_evidence", trusted, "high", F.col("evidence_source"), F.lit(", ".join(TRUSTED_SOURCES)), "TRUSTED_CART_EVIDENCE_MISSING", ~trusted, "TRUSTED_CART_EVIDENCE_MISSING"),
-        signal("cart_replay", ~replayed, "critical", F.col("cart_id"), F.lit("previously unseen cart ID"), "CART_REPLAY_DETECTED"),
+        signal("cart_replay", ~replayed, "critical", F.col("cart_id"), F.lit("a cart without an earlier transaction"), "CART_REPLAY_DETECTED"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veritill.operators import audits, contracts, features, ordered, reviews
+from veritill.operators import audits, contracts, features, ordered, reviews, rules, windows
 from veritill.sources import views
 
 from .oracle import sql
@@ -38,6 +38,26 @@ def a26_audit_report(spark, sf_dir):
     return rounded(report, "agreement_rate", "policy_rate")
 
 
+@query(
+    "c8_audit_preparation",
+    sql(
+        """SELECT 'queue' AS part, example_id AS key, '{"domain":"' || domain || '","locale":"' || locale || '","rules":{"treatment":"' || treatment || '"}}' AS value FROM v_sample UNION ALL SELECT 'ledger', example_id, treatment || ':' || attack_family || ':' || label_source FROM v_sample
+        UNION ALL SELECT 'attack_family', attack_family, CAST(count(*) AS VARCHAR) FROM v_sample GROUP BY attack_family UNION ALL SELECT 'treatment', treatment, CAST(count(*) AS VARCHAR) FROM v_sample GROUP BY treatment UNION ALL SELECT 'gaps', 'all', '0'""",
+        v_sample="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY attack_family ORDER BY sha256('2026:audit:' || example_id), example_id) AS r FROM v_treated) WHERE r <= 40",
+    ),
+)
+def c8_audit_preparation(spark, sf_dir):
+    """Queue, ledger and histograms of one stratified sample with its rules' treatment, and what leaks from one to the other."""
+    e = rules.with_signals(views.examples(spark, sf_dir))
+    sample = windows.sample_per_stratum(e, ["attack_family"], "example_id", 40, "audit").withColumn("treatment", rules.signal_treatment("signals"))
+    hidden = ["attack_family", "label_source"]
+    queue, ledger, counts = audits.prepared_audit(sample, F.col("treatment"), ["domain", "locale"], hidden, ["attack_family", "treatment"])
+    part = lambda df, name, key, value: df.select(name.alias("part"), key.alias("key"), value.cast("string").alias("value"))
+    gaps = audits.blinding_gaps(queue, ledger, hidden).agg(F.count(F.lit(1)).alias("n"))
+    out = part(queue, F.lit("queue"), F.col("example_id"), F.col("payload")).unionByName(part(ledger, F.lit("ledger"), F.col("example_id"), F.concat_ws(":", "deterministic", *hidden)))
+    return out.unionByName(part(counts, F.col("dimension"), F.col("category"), F.col("n"))).unionByName(part(gaps, F.lit("gaps"), F.lit("all"), F.col("n")))
+
+
 SHARD = 64
 
 

@@ -18,9 +18,16 @@ def predicted(spark, sf_dir):
     return f.withColumn("predicted_treatment", offline_policy(F.col("probability"), 0.9))
 
 
-@query("j1_product_join", sql("SELECT category, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(amount_minor) AS BIGINT) AS amount_minor FROM v_lines GROUP BY category"))
+@query(
+    "j1_product_join",
+    """SELECT product_locale, p_type AS category, count(*) AS n, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS quantity FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'us' ELSE 'jp' END AS product_locale FROM lineitem) JOIN part ON l_partkey = p_partkey WHERE product_locale = 'us' OR p_partkey % 3 <> 0 GROUP BY ALL""",
+)
 def j1_product_join(spark, sf_dir):
-    return views.line_items(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"), F.sum("amount_minor").alias("amount_minor"))
+    """Judgements and products by id and locale; some products are sold in one of two locales only."""
+    judged = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("product_id"), F.when(F.col("l_suppkey") % 2 == 0, "us").otherwise("jp").alias("product_locale"), F.col("l_quantity").cast("int").alias("quantity"))
+    part = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"), F.explode(F.array(F.lit("us"), F.lit("jp"))).alias("product_locale"))
+    sold = part.filter("product_locale = 'us' or product_id % 3 <> 0")
+    return joins.products_of(judged, sold).groupBy("product_locale", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
 
 
 @query("j2_complete_sessions", """WITH s AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber, l_partkey) AS p FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)

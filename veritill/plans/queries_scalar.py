@@ -189,9 +189,11 @@ def p12_blinded_rows(spark, sf_dir):
     return transforms.blinded(views.headers(spark, sf_dir)).select("example_id", "relevance", "attack_family", "split", "audit_context")
 
 
-@query("s17_generated_rows", """SELECT family, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM (SELECT f.family, CASE WHEN f.family = 'amount_overspend' THEN floor((10000 + i * 137) * 1.2) ELSE floor((10000 + i * 137) * 0.8) END AS amount FROM range(50) t(i), (VALUES ('control'), ('amount_overspend'), ('currency_mismatch'), ('cumulative_overspend'), ('category_mismatch'), ('evidence_missing')) f(family)) GROUP BY family""")
+@query("s17_generated_rows", """SELECT family, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM (SELECT f.family, CASE WHEN f.family = 'amount_overspend' THEN floor((10000 + i * 137) * 1.2) ELSE floor((10000 + i * 137) * 0.8) END AS amount FROM (SELECT c_custkey AS i FROM customer), (VALUES ('control'), ('amount_overspend'), ('currency_mismatch'), ('cumulative_overspend'), ('category_mismatch'), ('evidence_missing')) f(family)) GROUP BY family""")
 def s17_generated_rows(spark, sf_dir):
-    return files.generated_rows(spark).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_minor").alias("amount"))
+    """Six families of every customer's number as a seed."""
+    seeds = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seed"))
+    return files.generated_rows(seeds).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_minor").alias("amount"))
 
 
 @query("f3_clean_invoices", """SELECT count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM (SELECT CASE WHEN l_orderkey % 10 = 3 THEN 'C' ELSE '' END || l_orderkey AS invoice, CAST(l_quantity AS INTEGER) - CASE WHEN l_partkey % 10 = 1 THEN 30 ELSE 0 END AS quantity FROM lineitem WHERE l_suppkey % 8 <> 1) WHERE invoice NOT LIKE 'C%' AND quantity > 0""")

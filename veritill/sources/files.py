@@ -179,10 +179,10 @@ def first_rows(spark: SparkSession, path: str, n: int, condition: str = "true")
     return d.filter(F.col("place") <= n).select(*table.columns, "place")
 
 
-def generated_rows(spark: SparkSession, seeds: int = 50) -> DataFrame:
-    """The small generated set: each seed in six families, with the change that its family makes."""
+def generated_rows(seeds: DataFrame) -> DataFrame:
+    """Each seed (a number) in six families, with the change that its family makes."""
     families = ("control", "amount_overspend", "currency_mismatch", "cumulative_overspend", "category_mismatch", "evidence_missing")
-    df = spark.range(seeds).select(F.col("id").alias("seed"), F.posexplode(F.array(*map(F.lit, families))).alias("place", "family"))
+    df = seeds.select("seed", F.posexplode(F.array(*map(F.lit, families))).alias("place", "family"))
     budget = 10_000 + F.col("seed") * 137
     return df.select(
         F.format_string("seed_%03d", "seed").alias("seed_id"), F.format_string("seed_%03d_%d", "seed", "place").alias("example_id"), "family", budget.alias("budget_minor"),
