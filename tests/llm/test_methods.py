@@ -352,3 +352,27 @@ print("ROWS", {call}.count())
 def test_calls_from_another_folder(tmp_path, module, call):
     done = subprocess.run([sys.executable, "-c", FROM_ELSEWHERE.format(root=ROOT, module=module, call=call)], cwd=tmp_path, capture_output=True, text=True, timeout=240)
     assert "ROWS 8" in done.stdout, done.stderr[-3000:]
+
+
+@pytest.mark.parametrize("spread", [3, 512])
+def test_near_copies_of_one_text_are_spread(spark, monkeypatch, spread):
+    """A group of near copies whose pivot has many pairs, beside exact copies and other texts."""
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    data = [(0, " ".join(base))]
+    for k in range(1, 90):
+        words = list(base)
+        for _ in range(k % 3):
+            words[r.randrange(120)] = f"x{k}"
+        data.append((k, " ".join(words)))
+    data += [(200 + k, " ".join(f"y{k}_{i}" for i in range(40))) for k in range(30)]
+    shingles = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in data}
+    low = {k: k for k, _ in data}
+    for _ in range(4):
+        for a in low:
+            for b in low:
+                if 100 * len(shingles[a] & shingles[b]) >= 85 * len(shingles[a] | shingles[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    monkeypatch.setattr(neardups, "SPREAD", spread)
+    got = neardups.classify(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == low

@@ -36,6 +36,9 @@ SKETCH_SLACK = 5.2
 #: Bands of up to this many classes are paired at once; larger ones go through pivots first.
 SMALL_BAND = 48
 PIVOT_ROUNDS = 3
+#: Pairs of one class that one task gets, and most such classes (of 12 bytes each) whose counts are broadcast.
+SPREAD = 512
+BROADCAST_KEYS = 1_000_000
 
 _K = BANDS * ROWS
 _rng = np.random.default_rng(77)
@@ -156,14 +159,33 @@ def _flips(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def _spreads(pairs: DataFrame, side: str) -> DataFrame | None:
+    """(side, spreads): into how many tasks the pairs go of each class that more than SPREAD of them name, as a pivot is; None without one."""
+    many = stored(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPREAD).select(side, F.ceil(F.col("n") / SPREAD).cast("int").alias("spreads")))
+    n = many.count()
+    return None if not n else F.broadcast(many) if n <= BROADCAST_KEYS else many
+
+
+def _with_facts(pairs: DataFrame, facts: DataFrame, side: str, many: DataFrame | None) -> DataFrame:
+    """pairs with the facts of the class on one side; those of a class with many pairs are sent to as many tasks as it has spreads."""
+    if many is None:
+        return pairs.join(facts, side)
+    one, other = F.coalesce("spreads", F.lit(1)), "b" if side == "a" else "a"
+    left = pairs.join(many, side, "left").withColumn("spread", F.pmod(F.xxhash64(other), one).cast("int")).drop("spreads")
+    right = facts.join(many, side, "left").withColumn("spread", F.explode(F.sequence(F.lit(0), one - 1))).drop("spreads")
+    return left.join(right, [side, "spread"]).drop("spread")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold: by size, then by sketch, then exactly."""
+    pairs = stored(pairs)
+    many = {side: _spreads(pairs, side) for side in ("a", "b")}
     for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        pairs = _with_facts(pairs, classes.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side, many[side])
     pairs = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     pairs = pairs.filter(_flips("sketch_a", "sketch_b") <= most_flips(percent)).drop("sketch_a", "sketch_b")
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+        pairs = _with_facts(pairs, sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side, many[side])
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return stored(pairs.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
 
@@ -224,8 +246,9 @@ def link(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFra
     first = members.filter("doc_id <> low").select(*_pair("doc_id", "low")).distinct()
     asked = members.select("doc_id").distinct()
     # a sort-merge join at every size: asked grows with the documents, and so the plan is the same on small tables
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(asked.hint("merge"), "doc_id", "left_semi")
-    sets = stored(in_arrow(texts, _sets, SETS).dropDuplicates(["doc_id"]))
+    # copies of a text are reduced before they are shuffled, so that a text of many rows is sent once by each task
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).groupBy("doc_id").agg(F.first("text").alias("text")).join(asked.hint("merge"), "doc_id", "left_semi")
+    sets = stored(in_arrow(texts, _sets, SETS))
     edges = _confirmed(first, classes, sets, percent)
     for turn in range(PIVOT_ROUNDS + 1):
         found = components(edges)
