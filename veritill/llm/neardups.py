@@ -231,10 +231,11 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return x.join(y, "s").filter(F.col("a") < F.col("b")).filter(F.col("ca") != F.col("cb")).filter(enough).select("a", "b")
 
 
-def link(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def link(docs: DataFrame, copies: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) over the classes (doc_id, n_shingles, bands, sketch) that are linked with another one.
 
-    What is called doc_id from here on names one text each, as rows may share an id or have none.
+    What is called doc_id from here on names one text each, as rows may share an id or have none. docs: doc_id, row_key, text;
+    copies: doc_id and the row_key of the row that stands for the text.
     """
     keys = classes.select("doc_id", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -246,9 +247,10 @@ def link(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFra
     first = members.filter("doc_id <> low").select(*_pair("doc_id", "low")).distinct()
     asked = members.select("doc_id").distinct()
     # a sort-merge join at every size: asked grows with the documents, and so the plan is the same on small tables
-    # copies of a text are reduced before they are shuffled, so that a text of many rows is sent once by each task
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).groupBy("doc_id").agg(F.first("text").alias("text")).join(asked.hint("merge"), "doc_id", "left_semi")
-    sets = stored(in_arrow(texts, _sets, SETS))
+    # one row stands for all copies of its text, and rows are dealt by keys of their own, so that a text of many rows isn't one task
+    rows = asked.join(copies, "doc_id").select("row_key")
+    texts = docs.join(rows.hint("merge"), "row_key", "left_semi").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    sets = stored(in_arrow(texts, _sets, SETS).dropDuplicates(["doc_id"]))
     edges = _confirmed(first, classes, sets, percent)
     for turn in range(PIVOT_ROUNDS + 1):
         found = components(edges)
@@ -283,7 +285,9 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     with scratch():
         classes = some.join(groups.select(*same, F.col("class_id").alias("text_key")), [*same, "text_key"]).dropDuplicates(["text_key"])
         classes = stored(classes.select(F.col("text_key").alias("doc_id"), "n_shingles", "bands", "sketch"))
-        linked = stored(link(docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text"), classes, percent), lasting=True)
+        texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), row_key(docs).alias("row_key"), "text")
+        copies = some.groupBy(F.col("text_key").alias("doc_id")).agg(F.min("row_key").alias("row_key"))
+        linked = stored(link(texts, copies, classes, percent), lasting=True)
     groups = groups.join(linked, F.col("class_id") == F.col("node"), "left").select(*same, "low_id", F.coalesce("component", "class_id").alias("component"))
     # a component is named by its smallest id
     named = groups.groupBy("component").agg(F.min("low_id").alias("component_id"))
