@@ -141,6 +141,16 @@ def token_cost(df: DataFrame, model: str, tokens_in: Column, tokens_out: Column,
     return df.groupBy(model).agg(F.sum((tokens_in * price["i"] + tokens_out * price["o"]) / 1e6).alias("cost"))
 
 
+def trigger_rates(df: DataFrame, triggers: dict[str, Column]) -> DataFrame:
+    """One row: the share of rows that each trigger fires on."""
+    return df.agg(*(F.avg(c.cast("int")).alias(n) for n, c in triggers.items()))
+
+
+def target_coverage(df: DataFrame, by: list[str], targets: dict[str, Column]) -> DataFrame:
+    """(by, rows, ...): how many rows of each group have each kind of target."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *(F.count(F.when(c, 1)).alias(n) for n, c in targets.items()))
+
+
 #: Tokens of a text up to which three packed counters of 21 bits hold their sums.
 PACKED_TOKENS = 1 << 20
 

@@ -70,6 +70,21 @@ def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, "key", "full").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def all_keys(df: DataFrame, *columns: str) -> DataFrame:
+    """(key): the distinct values of some columns together."""
+    return df.select(F.explode(F.array(*(F.col(c).cast("string") for c in columns))).alias("key")).distinct()
+
+
+def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key): the distinct keys that both sides have; roles that must be apart share none."""
+    return a.select(F.col(key).alias("key")).intersect(b.select(F.col(key).alias("key")))
+
+
+def missing_keys(required: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """(key): the distinct required keys that aren't there."""
+    return required.select(F.col(key).alias("key")).subtract(present.select(F.col(key).alias("key")))
+
+
 def overlay(base: DataFrame, better: DataFrame, key: str, columns: list[str], where: Column | None = None) -> DataFrame:
     """The rows of base, with the columns of `better` where it has the key and `where` holds."""
     fresh = better.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_has"))

@@ -96,6 +96,12 @@ def rater_agreement(reviews: DataFrame) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("pairs"), F.sum(same).alias("agreed"), F.avg(same.cast("double")).alias("rate"))
 
 
+def backed_adjudications(reviews: DataFrame, adjudications: DataFrame) -> DataFrame:
+    """(adjudications, backed): how many final verdicts there are, and how many settle a disagreement of reviewers."""
+    verdicts = reviews.groupBy("example_id").agg(F.count_distinct("deviation").alias("_v"))
+    return adjudications.join(verdicts, "example_id", "left").agg(F.count(F.lit(1)).alias("adjudications"), F.count(F.when(F.col("_v") > 1, 1)).alias("backed"))
+
+
 def ordered_audit(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The timeline of each key, ties settled by the last order column."""
     return events.withColumn("step", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

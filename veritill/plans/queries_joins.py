@@ -118,10 +118,10 @@ def j16_cyclic_pairs(spark, sf_dir):
     UNION ALL SELECT 'keys', count(*) FROM (SELECT group_id FROM v_headers UNION SELECT source_record_id FROM v_headers)"""))
 def u_set_operations(spark, sf_dir):
     h = views.headers(spark, sf_dir)
-    of = lambda where: h.filter(where).select("source_record_id")
+    of, key = h.filter, "source_record_id"
     one = lambda name, df: df.agg(F.count(F.lit(1)).alias("shared")).select(F.lit(name).alias("pair"), "shared")
-    keys = h.select(F.col("group_id").alias("k")).union(h.select("source_record_id")).distinct()
-    return one("train_validation", of("split = 'train'").intersect(of("split = 'validation'"))).union(one("train_minus_rest", of("split = 'train'").subtract(of("split <> 'train'")))).union(one("keys", keys))
+    shared, rest = joins.shared_keys(of("split = 'train'"), of("split = 'validation'"), key), joins.missing_keys(of("split = 'train'"), of("split <> 'train'"), key)
+    return one("train_validation", shared).union(one("train_minus_rest", rest)).union(one("keys", joins.all_keys(h, "group_id", key)))
 
 
 @query("a1_a2_histograms", sql("SELECT 'split' AS dimension, split AS category, count(*) AS n FROM v_headers GROUP BY ALL UNION ALL SELECT 'locale', locale, count(*) FROM v_headers GROUP BY ALL UNION ALL SELECT 'parent', coalesce(CASE WHEN parent_example_id IS NOT NULL THEN 'child' END, 'UNREVIEWED'), count(*) FROM v_headers GROUP BY ALL"))
@@ -205,8 +205,8 @@ def a15_agreement(spark, sf_dir):
 
 @query("a16_trigger_rates", sql("SELECT round(avg(CAST(hard_fail_count > 0 AS INTEGER)), 9) AS rules, round(avg(CAST(semantic_contradiction >= 0.8 OR semantic_neutral >= 0.6 AS INTEGER)), 9) AS semantic, round(avg(CAST(probability >= 0.9 AS INTEGER)), 9) AS model FROM v_features"))
 def a16_trigger_rates(spark, sf_dir):
-    rate = lambda c: F.round(F.avg(c.cast("int")), 9)
-    return views.feature_rows(spark, sf_dir).agg(rate(F.col("hard_fail_count") > 0).alias("rules"), rate((F.col("semantic_contradiction") >= 0.8) | (F.col("semantic_neutral") >= 0.6)).alias("semantic"), rate(F.col("probability") >= 0.9).alias("model"))
+    triggers = {"rules": F.col("hard_fail_count") > 0, "semantic": (F.col("semantic_contradiction") >= 0.8) | (F.col("semantic_neutral") >= 0.6), "model": F.col("probability") >= 0.9}
+    return rounded(aggregates.trigger_rates(views.feature_rows(spark, sf_dir), triggers), *triggers)
 
 
 @query("a17_shortcuts", sql("""SELECT line_item_count, CAST(sum(n) AS BIGINT) AS rows, round(sum(y) / sum(n), 9) AS rate, array_to_string(list(attack_family || '=' || n ORDER BY attack_family), ',') AS families FROM (SELECT line_item_count, attack_family, count(*) AS n, count(*) FILTER (relevance IN ('C', 'I')) AS y FROM v_examples GROUP BY ALL) GROUP BY 1"""))
@@ -218,8 +218,7 @@ def a17_shortcuts(spark, sf_dir):
 
 @query("a18_target_coverage", sql("SELECT split, count(*) AS rows, count(*) FILTER (relevance <> 'S') AS binary_rows, count(*) FILTER (label = 1) AS interventions FROM v_features GROUP BY split"))
 def a18_target_coverage(spark, sf_dir):
-    n = lambda c: F.count(F.when(c, 1))
-    return views.feature_rows(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), n(F.col("relevance") != "S").alias("binary_rows"), n(F.col("label") == 1).alias("interventions"))
+    return aggregates.target_coverage(views.feature_rows(spark, sf_dir), ["split"], {"binary_rows": F.col("relevance") != "S", "interventions": F.col("label") == 1})
 
 
 @query("a19_resolved_reviews", sql("""SELECT coalesce(r.example_id, a.example_id) AS example_id, coalesce(reviews, 0) AS reviews, CASE WHEN a.example_id IS NOT NULL THEN 'adjudicated' WHEN reviews >= 2 AND verdicts = 1 THEN 'resolved' ELSE 'unresolved' END AS state,

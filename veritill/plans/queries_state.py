@@ -120,8 +120,7 @@ def c16_import_outcomes(spark, sf_dir):
 
 @query("c17_backed_adjudications", sql("SELECT count(*) AS adjudications, count(*) FILTER (v > 1) AS backed FROM v_adjudications LEFT JOIN (SELECT example_id, count(DISTINCT deviation) AS v FROM v_latest GROUP BY 1) USING (example_id)"))
 def c17_backed_adjudications(spark, sf_dir):
-    r = reviews.accepted(views.reviews(spark, sf_dir)).groupBy("example_id").agg(F.count_distinct("deviation").alias("v"))
-    return views.adjudications(spark, sf_dir).join(r, "example_id", "left").agg(F.count(F.lit(1)).alias("adjudications"), F.count(F.when(F.col("v") > 1, 1)).alias("backed"))
+    return reviews.backed_adjudications(reviews.accepted(views.reviews(spark, sf_dir)), views.adjudications(spark, sf_dir))
 
 
 @query("c18_lineage", sql("SELECT 'split:' || split AS artifact FROM v_headers GROUP BY split HAVING count(*) % 2 = 1"))
