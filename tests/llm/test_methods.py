@@ -354,8 +354,7 @@ def test_calls_from_another_folder(tmp_path, module, call):
     assert "ROWS 8" in done.stdout, done.stderr[-3000:]
 
 
-@pytest.mark.parametrize("spread", [3, 512])
-def test_near_copies_of_one_text_are_spread(spark, monkeypatch, spread):
+def test_a_large_group_of_near_copies(spark):
     """A group of near copies whose pivot has many pairs, beside exact copies and other texts."""
     r = random.Random(12)
     base = [f"w{k}" for k in range(120)]
@@ -373,6 +372,5 @@ def test_near_copies_of_one_text_are_spread(spark, monkeypatch, spread):
             for b in low:
                 if 100 * len(shingles[a] & shingles[b]) >= 85 * len(shingles[a] | shingles[b]):
                     low[a] = low[b] = min(low[a], low[b])
-    monkeypatch.setattr(neardups, "SPREAD", spread)
     got = neardups.classify(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
     assert {x.doc_id: x.component_id for x in got} == low
