@@ -6,9 +6,9 @@ stays in the tree if it was seen LEAST times and its next-symbol distribution di
 suffix by DIVERGENCE nats per log of its count, or if a longer context that stays ends in it. A retained
 context's distribution is smoothed by its suffix's, p = (n + kinds * p_suffix) / (total + kinds), down to even
 odds of all symbols, and each symbol of a text is scored in the state of the longest retained suffix. The tree
-grows with the corpus. Up to MOST_CELLS cells and MOST_ENTRIES counts it is broadcast as tables of 32-bit
+grows with the corpus. Up to MOST_CELLS cells and MOST_ENTRIES counts it is broadcast as tables of 64-bit
 logarithms; beyond, the distinct n-grams of the documents are joined with it in 64 bits, so that scores of the
-two ways agree to about 1e-5 of their size.
+two ways agree to 1e-12 of their size.
 
 The base needs the count of every word. Words above the share HEAVY of all tokens, of which there can be
 1/HEAVY at most (64 MB), are broadcast; the others are joined, and being rare, none of them is a hot key.
