@@ -187,3 +187,12 @@ def test_walks_go_on_from_chunk_to_chunk(spark, monkeypatch):
     assert {x.g for x in selection.proportional_groups(df, "g", "s", 150).collect()} == set(want)
     with pytest.raises(ValueError, match="lacks"):
         selection.fill_roles(df, "g", [("x", total + 1)])
+
+
+def test_roles_of_many_groups_are_met_to_the_row(spark):
+    # more groups than a batch of rows that a task gets at a time, of one or two rows
+    df = spark.range(60_000).select(F.concat(F.lit("g"), F.when(F.col("id") < 40_000, F.col("id") % 25_000).otherwise(F.col("id")).cast("string")).alias("g"), "id")
+    targets = [("a", 17_001), ("b", 20_003), ("c", 9_000)]
+    out = selection.fill_roles(df, "g", targets, df.filter("id < 3"))
+    assert {r["role"]: r["n"] for r in out.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()} == dict(targets)
+    assert out.groupBy("g").agg(F.count_distinct("role").alias("roles")).filter("roles > 1").isEmpty() and out.count() == out.select("id").distinct().count()

@@ -28,7 +28,8 @@ def _walked(chunk: DataFrame, step, schema: str) -> DataFrame:
     """The rows that step(groups in order) makes of a chunk of at most WALK groups, stored."""
 
     def one(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield step(pd.concat(list(parts)).sort_values("_place"))
+        # rows come in batches, each numbered from 0; step tells rows by their index
+        yield step(pd.concat(list(parts), ignore_index=True).sort_values("_place"))
 
     return storage.stored(chunk.repartition(1).mapInPandas(one, schema))
 
