@@ -1,7 +1,9 @@
 """Archives, canonical lines, digests of files and first rows, by small files made by hand."""
 
+import gzip
 import hashlib
 import io
+import json
 import zipfile
 
 import pytest
@@ -51,6 +53,26 @@ def test_canonical_values(spark, tmp_path):
         canonical.read(spark, f"file://{tmp_path}/bad.json").collect()
 
 
+def test_free_texts_are_what_the_parser_makes_of_them(spark):
+    texts = ["a1", "2026-10-00", "12", " 12 ", "-3.5e2", "1.", "01", "+1", ".5", "1 2", "1,2", "true", "truex", "true x", "nul", "null", "NaN", "", " ", "{", '{"a": 1}', "[1, ", "[1] x", '"x"', '"x', "economy", "\u00a012", "\ufeff12", "-", "12é", "\t[2]", "1/2", "0x1", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.coalesce(F.try_parse_json("t"), F.col("t").cast("variant"))
+    for r in df.select("t", *(f(c).alias(f"{n}{k}") for k, c in enumerate((canonical.free(F.col("t")), old)) for n, f in (("kind", F.schema_of_variant), ("text", F.to_json)))).collect():
+        assert (r.kind0, r.text0) == (r.kind1, r.text1), r.t
+
+
+def test_canonical_files_are_compressed_and_in_order(spark, tmp_path):
+    e = spark.createDataFrame([(f"e{k % 997:03}",) for k in range(4000)], "example_id string")
+    d = e.select(F.struct("example_id").alias("identity"), *(F.lit("x").alias(c) for c in canonical.SECTIONS if c != "identity"))
+    canonical.write(d, f"file://{tmp_path}/a")
+    canonical.write(d.orderBy("identity.example_id"), f"file://{tmp_path}/b", in_order=True)
+    for top in (tmp_path / "a", tmp_path / "b"):
+        names = sorted(p for p in top.iterdir() if p.name.startswith("part-"))
+        assert names and all(p.suffix == ".gz" for p in names)
+        ids = [json.loads(line)["identity"]["example_id"] for p in names for line in gzip.open(p, "rt")]
+        assert len(ids) == 4000 and ids == sorted(ids)
+
+
 def test_digests_of_files(spark, tmp_path):
     top = tmp_path / "odd+name [1]"
     (top / "sub").mkdir(parents=True)

@@ -24,7 +24,7 @@ _CONSTRAINTS = """SELECT example_id, 'total_budget_' || cust_key AS constraint_i
 
 def canonical_copy(spark, sf_dir, top: str):
     """The examples written as canonical lines and read again."""
-    canonical.write(canonical.of_examples(views.examples(spark, sf_dir)), f"{top}/lines")
+    canonical.write(canonical.of_examples(views.examples(spark, sf_dir, order="example_id")), f"{top}/lines", in_order=True)
     return canonical.read(spark, f"{top}/lines")
 
 

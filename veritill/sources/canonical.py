@@ -25,14 +25,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.read_lines(spark, path, SCHEMA)
 
 
-def write(df: DataFrame, path: str) -> None:
-    """One example a line, in order of their ids over all files; refuses to overwrite."""
-    df.select(*SECTIONS).orderBy("identity.example_id").write.mode("errorifexists").json(path)
+def write(df: DataFrame, path: str, in_order: bool = False) -> None:
+    """One example a line, in order of their ids over all files, which are compressed; refuses to overwrite. in_order: the rows are sorted already."""
+    d = df.select(*SECTIONS)
+    (d if in_order else d.orderBy("identity.example_id")).write.mode("errorifexists").option("compression", "gzip").json(path)
+
+
+#: How a JSON value begins, and for a number what follows it; any other text would cost the parser an exception.
+_JSON = r'^[^!-~]*($|[\[{"]|true|false|null|-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?([^!-~]|$))'
 
 
 def free(text: Column) -> Column:
     """A text as the JSON value it spells, else as a text."""
-    return F.coalesce(F.try_parse_json(text), text.cast("variant"))
+    return F.coalesce(F.when(text.rlike(_JSON), F.try_parse_json(text)), text.cast("variant"))
 
 
 def value_of(c: Column) -> Column:

@@ -162,11 +162,15 @@ def scores(example_id: Column) -> dict[str, Column]:
     return {n: p / total for n, p in zip(names, parts, strict=True)} | {"probability": (h8("risk", example_id) % 101) / 100}
 
 
-def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical examples: header, mandate, cart and state of each order that has lines."""
+def examples(spark: SparkSession, sf_dir: str, order: str | None = None) -> DataFrame:
+    """Canonical examples: header, mandate, cart and state of each order that has lines; sorted by a column, if one is named.
+
+    The sort comes before constraints and attributes, which are most of a row and need not be shuffled.
+    """
     df = headers(spark, sf_dir).join(carts(spark, sf_dir), "order_key")
     before = Window.partitionBy("cust_key").orderBy("occurred_at", "order_key")
     df = df.withColumns({"position": F.row_number().over(before), "previous_total": F.lag("total_amount_minor").over(before)})
+    df = df.orderBy(order) if order else df
     df = df.withColumns(mandate_columns(F.col("cust_key"), F.col("region"), F.col("domain")))
     spent = F.when(F.col("position") % 3 == 1, F.lit(0).cast("bigint")).otherwise(F.coalesce("previous_total", F.lit(0).cast("bigint")))
     return df.withColumns(
