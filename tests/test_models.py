@@ -101,3 +101,23 @@ def test_stacked_scores_query(spark):
 def test_model_queries(spark, name):
     rows = registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert rows and json.dumps([r.asDict() for r in rows])
+
+
+def test_features_of_a_stored_model_are_computed_once(spark, monkeypatch):
+    from pyspark.sql.functions import udf
+
+    from veritill.sources import views
+
+    seen, whole = spark.sparkContext.accumulator(0), views.feature_rows
+
+    def counted(*args):
+        def one(x):
+            seen.add(1)
+            return x
+
+        d = whole(*args)
+        return d.withColumn("hard_fail_count", udf(one, "int")("hard_fail_count"))
+
+    monkeypatch.setattr(views, "feature_rows", counted)
+    n = sum(r.n for r in registry.QUERIES["c31_stored_model"](spark, "/root/testdata/sf0.001").collect())
+    assert 0 < n <= seen.value <= spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()

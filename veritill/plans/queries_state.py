@@ -223,12 +223,15 @@ def s12_manifest(spark, sf_dir):
 @query("ml_stacked_scores")
 def ml_stacked_scores(spark, sf_dir):
     """Tree scores across five folds, a stacked logistic fitted on the training split and its calibration on the validation split, by split."""
+    numeric = ["semantic_contradiction", "semantic_neutral", "probability", "hard_fail_count"]
     f = views.feature_rows(spark, sf_dir).withColumn("weight", ml.source_weight(F.col("label_source"), F.lit(1.0)))
-    f = ml.assembled(f, ["semantic_contradiction", "semantic_neutral", "probability", "hard_fail_count"], ["domain"])
-    scored = ml.out_of_fold(ml.with_fold(f, "group_id"), lambda train, rows: ml.tree_scores(train, rows, weight="weight"))
-    stacked = ml.stacked(scored.filter("split = 'train'"), scored, ["tree_score", "semantic_contradiction"])
-    out = ml.calibrated(stacked.filter("split = 'validation'"), stacked)
-    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calibrated"), 4).alias("mean_score"))
+    # features and scores are read by every fit that follows, so each is computed once
+    with storage.scratch():
+        f = storage.stored(ml.with_fold(f, "group_id").select(*numeric, "domain", "split", "label", "weight", "fold"))
+        scored = storage.stored(ml.out_of_fold(ml.assembled(f, numeric, ["domain"]), lambda train, rows: ml.tree_scores(train, rows, weight="weight")).select("split", "label", "tree_score", "semantic_contradiction"))
+        stacked = ml.stacked(scored.filter("split = 'train'"), scored, ["tree_score", "semantic_contradiction"])
+        out = ml.calibrated(stacked.filter("split = 'validation'"), stacked)
+        return storage.stored(out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("calibrated"), 4).alias("mean_score")), lasting=True)
 
 
 SCORED = ["semantic_contradiction", "semantic_neutral", "hard_fail_count", "line_item_count"]
@@ -243,9 +246,14 @@ def cart_features(spark, sf_dir):
     return f.withColumns({"label": seen.cast("int"), "weight": ml.source_weight(F.col("label_source"), F.lit(1.0))})
 
 
-def stored_scorer(spark, sf_dir, top: str) -> models.Scorer:
-    """A scorer fitted on the training split, written to a folder and loaded from there."""
-    scorer, facts = models.fit(cart_features(spark, sf_dir).filter("split = 'train'"), SCORED, ["domain"], "group_id", weight="weight", trees=20)
+def scorer_rows(spark, sf_dir):
+    """cart_features as far as a scorer reads them, stored, as each of a fit's steps and the scoring read them."""
+    return storage.stored(cart_features(spark, sf_dir).select(*SCORED, "domain", "split", "group_id", "label", "weight"))
+
+
+def stored_scorer(spark, rows, top: str) -> models.Scorer:
+    """A scorer fitted on the training split of labelled features, written to a folder and loaded from there."""
+    scorer, facts = models.fit(rows.filter("split = 'train'"), SCORED, ["domain"], "group_id", weight="weight", trees=20)
     models.save(spark, scorer, f"{top}/scorer", facts)
     return models.load(spark, f"{top}/scorer", SCORED, ["domain"])
 
@@ -254,8 +262,10 @@ def stored_scorer(spark, sf_dir, top: str) -> models.Scorer:
 def c31_stored_model(spark, sf_dir):
     """Scores by split of a model that was stored with its manifest and loaded again."""
     top = f"{storage.checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
-    scored = stored_scorer(spark, sf_dir, top).score(cart_features(spark, sf_dir))
-    out = storage.stored(scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.avg("label"), 4).alias("mean_label")))
+    with storage.scratch():
+        rows = scorer_rows(spark, sf_dir)
+        scored = stored_scorer(spark, rows, top).score(rows)
+        out = storage.stored(scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.avg("label"), 4).alias("mean_label")), lasting=True)
     storage.delete(spark, top)
     return out
 
@@ -264,8 +274,10 @@ def c31_stored_model(spark, sf_dir):
 def m9_sensitivity(spark, sf_dir):
     """What the held-out rows' scores and decisions change by if every cart had one line."""
     top = f"{storage.checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
-    held_out = cart_features(spark, sf_dir).filter("split <> 'train'")
-    out = storage.stored(models.perturbed(stored_scorer(spark, sf_dir, top), held_out, {"line_item_count": F.lit(1).cast("bigint")}, 0.5))
+    with storage.scratch():
+        rows = scorer_rows(spark, sf_dir)
+        held_out = rows.filter("split <> 'train'")
+        out = storage.stored(models.perturbed(stored_scorer(spark, rows, top), held_out, {"line_item_count": F.lit(1).cast("bigint")}, 0.5), lasting=True)
     storage.delete(spark, top)
     return out
 
