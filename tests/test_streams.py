@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from veritill.operators import mandates
@@ -81,3 +82,54 @@ def test_batch_machine_ignores_repeats_and_rows_without_mandate(spark):
     df = spark.createDataFrame([row, row, (None, *row[1:])], mandates.EVENTS)
     assert [tuple(r) for r in mandates.decided(df).collect()] == [("m", 1, "APPROVE", 5, 1, 2, "active")]
     assert mandates.decided(df.filter("false")).count() == 0
+
+
+class Trips:
+    """A state of one key in a dict or list, whose reads and writes are counted."""
+
+    def __init__(self):
+        self.kept, self.n = {}, 0
+
+    def exists(self):
+        self.n += 1
+        return bool(self.kept)
+
+    def containsKey(self, key):
+        self.n += 1
+        return key in self.kept
+
+    def getValue(self, key):
+        self.n += 1
+        return self.kept[key]
+
+    def updateValue(self, key, value):
+        self.n += 1
+        self.kept[key] = value
+
+    def appendList(self, values):
+        self.n += 1
+        self.kept.setdefault("list", []).extend(values)
+
+
+def test_state_is_read_and_written_in_few_trips():
+    state = Trips()
+    kept, want = streams.Kept(state), {}
+    for turn in range(3):
+        before = state.n
+        for k in range(500):
+            assert kept.get(k) == want.get(k)
+            kept[k] = want[k] = (turn, k)
+        kept.keep()
+        assert state.n - before <= 1 + 3 * streams.BUCKETS
+    assert {row[0]: tuple(row[1:]) for (rows,) in state.kept.values() for row in rows} == want
+
+
+def test_waiting_rows_are_kept_many_at_once():
+    woken = []
+    requests = streams.Requests()
+    requests.waiting, requests.handle = Trips(), type("H", (), {"registerTimer": staticmethod(woken.append)})
+    begin = datetime(2026, 1, 1)
+    part = pd.DataFrame({"ts": [begin + timedelta(seconds=k) for k in range(2_500, 0, -1)], "event_id": range(2_500), "payload": ["p"] * 2_500})
+    assert list(requests.handleInputRows(("s", "k"), iter([part]), None)) == []
+    assert requests.waiting.n == 1 and sum(len(rows) for (rows,) in requests.waiting.kept["list"]) == 2_500
+    assert woken == [int((begin - datetime(1970, 1, 1)).total_seconds() * 1000) + 1001]
