@@ -86,3 +86,26 @@ def test_bad_semantic_probabilities_fail(spark):
     d = spark.createDataFrame([(0.5, 0.6, 0.1)], "semantic_contradiction double, semantic_neutral double, semantic_entailment double")
     with pytest.raises(Exception, match="sum to one"):
         features.semantic_values(d).select("semantic_entropy", "semantic_contradiction_entailment_margin").collect()
+
+
+def test_signals_are_worked_out_once(spark):
+    from veritill.plans import registry
+    from veritill.sources import views
+
+    small = "/root/testdata/sf0.001"
+    plan = registry.QUERIES["r1_commercial_signals"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("fulfillment_limit") == 1 and "size(" not in "".join(x for x in plan.splitlines() if "Filter" in x)
+    every, read = (rules.with_signals(views.examples(spark, small, for_rules=x), shown=not x) for x in (False, True))
+    strip = F.transform("signals", lambda s: s.dropFields("observed", "expected"))
+    assert every.select("example_id", strip).exceptAll(read.select("example_id", strip)).count() == 0
+    assert read.filter(F.exists("signals", lambda s: s["observed"].isNotNull() | s["expected"].isNotNull())).count() == 0
+
+
+def test_counterfactuals_leave_out_changes_that_arent_asked_for(spark):
+    from veritill.operators import transforms
+    from veritill.sources import views
+
+    parents = views.examples(spark, "/root/testdata/sf0.001").filter("order_key % 20 = 0")
+    children, few = transforms.counterfactuals(parents), transforms.counterfactuals(parents, changes=("total_amount_minor",))
+    assert "items" not in few.columns and "fulfilled_amount_minor" not in few.columns
+    assert few.select("example_id", "total_amount_minor").exceptAll(children.select("example_id", "total_amount_minor")).count() == 0 and few.count() == children.count()

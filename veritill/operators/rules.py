@@ -51,12 +51,13 @@ TEMPLATES = {
 }
 
 
-def signal(rule: Column | str, ok: Column, severity: Column | str, observed: Column, expected: Column, reason: Column | str, missing: Column | None = None, missing_reason: str | None = None) -> Column:
-    """One signal: PASS where ok, NOT_EVALUABLE where missing, else FAIL with its reason."""
+def signal(rule: Column | str, ok: Column, severity: Column | str, observed: Column, expected: Column, reason: Column | str, missing: Column | None = None, missing_reason: str | None = None, shown: bool = True) -> Column:
+    """One signal: PASS where ok, NOT_EVALUABLE where missing, else FAIL with its reason; what was observed and expected is null unless shown."""
     text = lambda x: F.lit(x) if isinstance(x, str) else x.cast("string")
     status, code = F.when(ok, "PASS").otherwise("FAIL"), F.when(~ok, text(reason))
     if missing is not None:
         status, code = F.when(missing, "NOT_EVALUABLE").otherwise(status), F.when(missing, missing_reason).otherwise(code)
+    observed, expected = (observed, expected) if shown else (F.lit(None), F.lit(None))
     parts = (("rule_id", text(rule)), ("status", status), ("severity", text(severity)), ("observed", text(observed)), ("expected", text(expected)), ("reason", code))
     return F.struct(*(v.cast("string").alias(k) for k, v in parts))
 
@@ -73,11 +74,12 @@ def _matching(attributes: Column, expected: Column, keys: tuple[str, str], fold:
     return missing, agree
 
 
-def commercial_signals() -> Column:
+def commercial_signals(shown: bool = True) -> Column:
     """The signals of every constraint in order, then the fulfilment limit.
 
     Reads constraints, max_fulfillments, items, currency, total_amount_minor, merchant_id, merchant_category,
     fulfilled_amount_minor and fulfillment_count. A currency mismatch skips both budget checks.
+    What signals observed and expected, which is most of their work, is made only if it is shown.
     """
     total, spent = F.col("total_amount_minor"), F.col("fulfilled_amount_minor")
     attributes = F.coalesce(F.try_element_at("items", F.lit(1))["attributes"], F.create_map().cast("map<string,string>"))
@@ -87,23 +89,23 @@ def commercial_signals() -> Column:
         after = spent + total
         breach = (after > budget) & (spent > 0)
         budgets = F.array(
-            signal("single_cart_budget", total <= budget, "medium", total, budget, "SINGLE_CART_BUDGET_EXCEEDED"),
-            signal("cumulative_budget", after <= budget, F.when(breach, "critical").otherwise("medium"), after, budget, F.when(breach, "CUMULATIVE_BUDGET_EXCEEDED")),
+            signal("single_cart_budget", total <= budget, "medium", total, budget, "SINGLE_CART_BUDGET_EXCEEDED", shown=shown),
+            signal("cumulative_budget", after <= budget, F.when(breach, "critical").otherwise("medium"), after, budget, F.when(breach, "CUMULATIVE_BUDGET_EXCEEDED"), shown=shown),
         )
-        currency = F.array(signal("currency_match", F.lit(False), "high", F.col("currency"), c["currency"], "CURRENCY_MISMATCH"))
+        currency = F.array(signal("currency_match", F.lit(False), "high", F.col("currency"), c["currency"], "CURRENCY_MISMATCH", shown=shown))
         terms = F.coalesce(c["value_list"], F.array().cast("array<string>"))
         found = F.filter(F.transform("items", lambda i: i["description"]), lambda d: mentions(d, terms))
-        item = F.array(signal(F.concat(F.lit("prohibited_item:"), c["constraint_id"]), F.size(found) == 0, "critical", F.to_json(found), F.to_json(F.transform(terms, F.lower)), "EXPLICIT_PROHIBITED_ITEM_OR_CATEGORY"))
+        item = F.array(signal(F.concat(F.lit("prohibited_item:"), c["constraint_id"]), F.size(found) == 0, "critical", F.to_json(found), F.to_json(F.transform(terms, F.lower)), "EXPLICIT_PROHIBITED_ITEM_OR_CATEGORY", shown=shown))
         category = F.col("merchant_category")
         banned = F.transform(terms, F.upper)
-        kind = F.array(signal(F.concat(F.lit("prohibited_category:"), c["constraint_id"]), ~F.array_contains(banned, F.upper(category)), "critical", category, F.to_json(F.array_sort(F.array_distinct(banned))), "EXPLICIT_PROHIBITED_ITEM_OR_CATEGORY"))
-        merchant = F.array(signal(F.concat(F.lit("allowed_merchant:"), c["constraint_id"]), F.array_contains(terms, F.col("merchant_id")), "critical", F.col("merchant_id"), F.to_json(F.array_sort(F.array_distinct(terms))), "MERCHANT_NOT_AUTHORIZED"))
+        kind = F.array(signal(F.concat(F.lit("prohibited_category:"), c["constraint_id"]), ~F.array_contains(banned, F.upper(category)), "critical", category, F.to_json(F.array_sort(F.array_distinct(banned))), "EXPLICIT_PROHIBITED_ITEM_OR_CATEGORY", shown=shown))
+        merchant = F.array(signal(F.concat(F.lit("allowed_merchant:"), c["constraint_id"]), F.array_contains(terms, F.col("merchant_id")), "critical", F.col("merchant_id"), F.to_json(F.array_sort(F.array_distinct(terms))), "MERCHANT_NOT_AUTHORIZED", shown=shown))
         wanted = F.coalesce(c["value_map"], F.create_map().cast("map<string,string>"))
         trips = []
         for rule, keys, fold, code in (("route_match", ("origin", "destination"), True, "ROUTE"), ("travel_date_match", ("outbound_date", "return_date"), False, "TRAVEL_DATE")):
             missing, agree = _matching(attributes, wanted, keys, fold)
             seen = F.to_json(F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.try_element_at(attributes, F.lit(k)) for k in keys))))
-            trips.append(F.array(signal(rule, agree, "high", seen, F.to_json(wanted), f"{code}_MISMATCH", missing, f"{code}_EVIDENCE_MISSING")))
+            trips.append(F.array(signal(rule, agree, "high", seen, F.to_json(wanted), f"{code}_MISMATCH", missing, f"{code}_EVIDENCE_MISSING", shown=shown)))
         t = c["type"]
         return (
             F.when((t == "total_budget") & ~F.col("currency").eqNullSafe(c["currency"]), currency).when(t == "total_budget", budgets).when(t == "prohibited_item", item).when(t == "prohibited_category", kind)
@@ -111,11 +113,11 @@ def commercial_signals() -> Column:
         )
 
     count, most = F.col("fulfillment_count"), F.col("max_fulfillments")
-    limit = F.array(signal("fulfillment_limit", count < most, "critical", count + 1, most, "FULFILLMENT_LIMIT_EXCEEDED"))
+    limit = F.array(signal("fulfillment_limit", count < most, "critical", count + 1, most, "FULFILLMENT_LIMIT_EXCEEDED", shown=shown))
     return F.concat(F.flatten(F.transform("constraints", of)), limit)
 
 
-def pre_signals(now: Column) -> Column:
+def pre_signals(now: Column, shown: bool = True) -> Column:
     """The online checks before the commercial ones: signature, status, window, evidence and replay.
 
     Reads signature_valid, mandate_status, state_status, valid_from, expires_at, evidence_trust,
@@ -126,16 +128,16 @@ def pre_signals(now: Column) -> Column:
     trusted = (F.col("evidence_trust") == "trusted") & F.col("evidence_source").isin(*TRUSTED_SOURCES)
     replayed = F.array_contains("prior_transaction_ids", F.col("cart_id"))
     return F.array(
-        signal("mandate_signature", F.col("signature_valid"), "critical", F.when(F.col("signature_valid"), "valid").otherwise("invalid"), F.lit("a signature that verifies"), "MANDATE_AUTHORIZATION_INVALID"),
-        signal("mandate_status", active, "critical", F.col("state_status"), F.lit("active"), "MANDATE_NOT_ACTIVE"),
-        signal("mandate_window", window, "critical", now, F.col("expires_at"), "MANDATE_EXPIRED_OR_NOT_YET_VALID"),
-        signal("trusted_evidence", trusted, "high", F.col("evidence_source"), F.lit(", ".join(TRUSTED_SOURCES)), "TRUSTED_CART_EVIDENCE_MISSING", ~trusted, "TRUSTED_CART_EVIDENCE_MISSING"),
-        signal("cart_replay", ~replayed, "critical", F.col("cart_id"), F.lit("a cart without an earlier transaction"), "CART_REPLAY_DETECTED"),
+        signal("mandate_signature", F.col("signature_valid"), "critical", F.when(F.col("signature_valid"), "valid").otherwise("invalid"), F.lit("a signature that verifies"), "MANDATE_AUTHORIZATION_INVALID", shown=shown),
+        signal("mandate_status", active, "critical", F.col("state_status"), F.lit("active"), "MANDATE_NOT_ACTIVE", shown=shown),
+        signal("mandate_window", window, "critical", now, F.col("expires_at"), "MANDATE_EXPIRED_OR_NOT_YET_VALID", shown=shown),
+        signal("trusted_evidence", trusted, "high", F.col("evidence_source"), F.lit(", ".join(TRUSTED_SOURCES)), "TRUSTED_CART_EVIDENCE_MISSING", ~trusted, "TRUSTED_CART_EVIDENCE_MISSING", shown=shown),
+        signal("cart_replay", ~replayed, "critical", F.col("cart_id"), F.lit("a cart without an earlier transaction"), "CART_REPLAY_DETECTED", shown=shown),
     )
 
 
-def with_signals(df: DataFrame) -> DataFrame:
-    return df.withColumn("signals", commercial_signals())
+def with_signals(df: DataFrame, shown: bool = True) -> DataFrame:
+    return df.withColumn("signals", commercial_signals(shown))
 
 
 def failed(signals: Column) -> Column:

@@ -142,10 +142,15 @@ def _add_on(df: DataFrame, description: str = "gift card subscription", amount:
 COUNTERFACTUALS = {"cumulative_overspend": _overspend, "near_budget_match": _near_budget, "missing_required_evidence": _no_evidence, "unrelated_add_on": _add_on}
 
 
-def counterfactuals(df: DataFrame, kinds: tuple[str, ...] = tuple(COUNTERFACTUALS)) -> DataFrame:
-    """The children of the given kinds of every parent that allows them: an array of what changes, exploded, so that parents are read once."""
+def counterfactuals(df: DataFrame, kinds: tuple[str, ...] = tuple(COUNTERFACTUALS), changes: tuple[str, ...] | None = None) -> DataFrame:
+    """The children of the given kinds of every parent that allows them: an array of what changes, exploded, so that parents are read once.
+
+    If `changes` names some of the columns that change, the others are left out of the result.
+    """
     made = {k: COUNTERFACTUALS[k](df) for k in kinds}
     changed = sorted({c for _, columns, _ in made.values() for c in columns})
+    left_out = [c for c in changed if changes is not None and c not in changes]
+    changed = [c for c in changed if c not in left_out]
     variants = []
     for kind, (possible, columns, (deviation, treatment, violation)) in made.items():
         labels = {"attack_family": F.lit(kind), "deviation": F.lit(deviation), "expected_treatment": F.lit(treatment), "violation_types": F.array(F.lit(violation)) if violation else F.array().cast("array<string>")}
@@ -153,7 +158,7 @@ def counterfactuals(df: DataFrame, kinds: tuple[str, ...] = tuple(COUNTERFACTUAL
         every = {c: v if c == "items" else v.cast(df.schema[c].dataType) for c, v in ((c, columns.get(c, F.col(c))) for c in changed)} | labels
         variants.append(F.when(possible, F.struct(*(v.alias(c) for c, v in every.items()))))
     names = [*changed, "attack_family", "deviation", "expected_treatment", "violation_types"]
-    d = df.withColumn("_v", F.explode(F.array_compact(F.array(*variants)))).withColumn("parent_example_id", F.col("example_id"))
+    d = df.withColumn("_v", F.explode(F.array_compact(F.array(*variants)))).drop(*left_out).withColumn("parent_example_id", F.col("example_id"))
     d = d.withColumns({c: F.col(f"_v.{c}") for c in names}).drop("_v")
     return d.withColumns({"example_id": child_id(F.col("example_id"), F.col("attack_family")), "label_source": F.lit("deterministic_counterfactual"), "confidence": F.lit(1.0)})
 
@@ -176,7 +181,7 @@ def unrelated_add_on(df: DataFrame) -> DataFrame:
 
 def counterfactual_problems(df: DataFrame) -> DataFrame:
     """Children with what breaks their contract: other failures than expected, or failures without a reason."""
-    d = rules.with_signals(df)
+    d = rules.with_signals(df, shown=False)
     fails = rules.failed(F.col("signals"))
     codes = F.array_sort(F.array_distinct(F.filter(F.transform(fails, lambda s: s["reason"]), lambda r: r.isNotNull())))
     table = F.create_map(*(x for k, v in EXPECTED_FAILURES.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))

@@ -48,7 +48,7 @@ def a26_audit_report(spark, sf_dir):
 )
 def c8_audit_preparation(spark, sf_dir):
     """Queue, ledger and histograms of one stratified sample with its rules' treatment, and what leaks from one to the other."""
-    e = rules.with_signals(views.examples(spark, sf_dir))
+    e = rules.with_signals(views.examples(spark, sf_dir, for_rules=True), shown=False)
     sample = windows.sample_per_stratum(e, ["attack_family"], "example_id", 40, "audit").withColumn("treatment", rules.signal_treatment("signals"))
     hidden = ["attack_family", "label_source"]
     queue, ledger, counts = audits.prepared_audit(sample, F.col("treatment"), ["domain", "locale"], hidden, ["attack_family", "treatment"])

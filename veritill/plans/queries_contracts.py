@@ -205,7 +205,7 @@ def r11_review_labels(spark, sf_dir):
 def r12_audit_treatment(spark, sf_dir):
     from veritill.operators.transforms import weak_labels
 
-    e = rules.with_signals(views.examples(spark, sf_dir)).withColumn("deterministic", rules.signal_treatment("signals"))
+    e = rules.with_signals(views.examples(spark, sf_dir, for_rules=True), shown=False).withColumn("deterministic", rules.signal_treatment("signals"))
     weak = weak_labels(F.col("relevance"))
     none = F.when(weak["violation"].isNull(), F.array().cast("array<string>")).otherwise(F.array(weak["violation"]))
     e = e.withColumns({"expected": contracts.audit_treatment(F.col("deterministic"), weak["semantic_label"], weak["deviation"], none), "reviewed": weak["expected_treatment"]})
@@ -273,7 +273,7 @@ def c7_row_profile(spark, sf_dir):
 @query("c8_audit_histograms", sql("""SELECT dimension, category, count(*) AS n FROM (SELECT unnest(['label_source', 'locale', 'domain', 'attack_family', 'treatment']) AS dimension, unnest([label_source, locale, domain, attack_family, treatment]) AS category FROM v_treated) GROUP BY ALL"""))
 def c8_audit_histograms(spark, sf_dir):
     """The five histograms of an audit, its deterministic treatment among them, in one shuffle."""
-    e = rules.with_signals(views.examples(spark, sf_dir)).withColumn("treatment", rules.signal_treatment("signals"))
+    e = rules.with_signals(views.examples(spark, sf_dir, for_rules=True), shown=False).withColumn("treatment", rules.signal_treatment("signals"))
     flat = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in ("label_source", "locale", "domain", "attack_family", "treatment")))
     return e.select(F.explode(flat).alias("x")).groupBy("x.dimension", "x.category").agg(F.count(F.lit(1)).alias("n"))
 

@@ -13,7 +13,7 @@ from .registry import query
 
 
 def treated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = rules.with_signals(views.examples(spark, sf_dir))
+    df = rules.with_signals(views.examples(spark, sf_dir, for_rules=True), shown=False)
     return df.withColumn("treatment", rules.signal_treatment(F.col("signals")))
 
 
@@ -24,13 +24,14 @@ def r2_treatment_by_domain(spark, sf_dir):
 
 @query("r1_commercial_signals", sql("SELECT 'ex_' || order_key AS example_id, rule_id, status, severity, reason FROM v_signals"))
 def r1_commercial_signals(spark, sf_dir):
-    s = F.explode("signals").alias("s")
-    return rules.with_signals(views.examples(spark, sf_dir)).select("example_id", s).select("example_id", "s.rule_id", "s.status", "s.severity", "s.reason")
+    # the expression and not a column of it: from a column Spark infers a filter on its size, which works out items and signals once more
+    s = F.explode(rules.commercial_signals(shown=False)).alias("s")
+    return views.examples(spark, sf_dir, for_rules=True).select("example_id", s).select("example_id", "s.rule_id", "s.status", "s.severity", "s.reason")
 
 
 @query("r1_outcome_codes", sql("SELECT example_id, fails AS failures, critical_fails AS critical, missing, array_to_string(reasons, ',') AS reasons FROM v_treated"))
 def r1_outcome_codes(spark, sf_dir):
-    df = rules.with_signals(views.examples(spark, sf_dir))
+    df = rules.with_signals(views.examples(spark, sf_dir, for_rules=True), shown=False)
     fails = rules.failed(F.col("signals"))
     return df.select(
         "example_id", F.size(fails).cast("bigint").alias("failures"), F.size(F.filter(fails, lambda s: s["severity"] == "critical")).cast("bigint").alias("critical"),
@@ -44,7 +45,7 @@ ONLINE = {"signature_valid": "order_key % 97 <> 0", "mandate_status": "CASE WHEN
 
 def online(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Examples as a decision request sees them."""
-    df = views.examples(spark, sf_dir).withColumns(views.scores(F.col("example_id")))
+    df = views.examples(spark, sf_dir, for_rules=True).withColumns(views.scores(F.col("example_id")))
     df = df.withColumns({k: F.expr(v) for k, v in ONLINE.items() if k not in ("replayed", "late")})
     df = df.withColumns(
         {
@@ -53,7 +54,7 @@ def online(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     df = df.withColumn("prior_transaction_ids", F.when(F.expr(ONLINE["replayed"]), F.array("cart_id")).otherwise(F.array(F.lit("other"))))
-    return df.withColumn("signals", F.concat(rules.pre_signals(F.col("occurred_at").cast("timestamp")), rules.commercial_signals()))
+    return df.withColumn("signals", F.concat(rules.pre_signals(F.col("occurred_at").cast("timestamp"), shown=False), rules.commercial_signals(shown=False)))
 
 
 _ONLINE = f"""SELECT *, ({ONLINE['signature_valid']}) AS signature_valid, {ONLINE['mandate_status']} AS mandate_status, {ONLINE['evidence_trust']} AS evidence_trust, ({ONLINE['replayed']}) AS replayed, ({ONLINE['late']}) AS late,
@@ -111,7 +112,7 @@ def r6_heuristic_nli(spark, sf_dir):
 
 @query("r7_heuristic_risk", sql("SELECT example_id, round(least(0.99::DOUBLE, 0.04::DOUBLE + 0.35::DOUBLE * least(fails, 2) + 0.45::DOUBLE * semantic_contradiction + 0.18::DOUBLE * semantic_neutral), 9) AS risk FROM v_treated JOIN (SELECT example_id, semantic_contradiction, semantic_neutral FROM v_features) USING (example_id)"))
 def r7_heuristic_risk(spark, sf_dir):
-    df = rules.with_signals(views.examples(spark, sf_dir)).withColumns(views.scores(F.col("example_id")))
+    df = rules.with_signals(views.examples(spark, sf_dir, for_rules=True), shown=False).withColumns(views.scores(F.col("example_id")))
     return df.select("example_id", F.round(rules.heuristic_risk(F.size(rules.failed(F.col("signals"))), F.col("semantic_contradiction"), F.col("semantic_neutral")), 9).alias("risk"))
 
 
@@ -140,12 +141,12 @@ _TEMPLATES = "MAP {" + ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" f
     FROM (SELECT example_id, list_filter(reasons, lambda x, i: list_position(reasons, x) = i) AS codes, {_TEMPLATES} AS t FROM v_treated)"""),
 )
 def x21_explanation(spark, sf_dir):
-    df = rules.with_signals(views.examples(spark, sf_dir))
+    df = rules.with_signals(views.examples(spark, sf_dir, for_rules=True), shown=False)
     return df.select("example_id", rules.explanation(rules.reason_codes(F.col("signals"))).alias("e")).select("example_id", "e.card_member", "e.reviewer")
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.canonical_rows(rules.with_signals(views.examples(spark, sf_dir)).withColumns(views.scores(F.col("example_id"))))
+    return features.canonical_rows(rules.with_signals(views.examples(spark, sf_dir, for_rules=True), shown=False).withColumns(views.scores(F.col("example_id"))))
 
 
 _CANONICAL = """SELECT example_id, group_id, parent_example_id, split, locale, domain, budget AS budget_minor, total_amount_minor AS cart_amount_minor, fulfilled_amount_minor, fulfillment_count, max_fulfillments, line_item_count,
@@ -208,7 +209,7 @@ def e4_shortcut_safe_profile(spark, sf_dir):
     ),
 )
 def e5_runtime_parity(spark, sf_dir):
-    df = rules.with_signals(views.examples(spark, sf_dir)).withColumns(views.scores(F.col("example_id")))
+    df = rules.with_signals(views.examples(spark, sf_dir, for_rules=True), shown=False).withColumns(views.scores(F.col("example_id")))
     rows = features.runtime_rows(df)
     rows = rows.join(df.select("example_id", F.col("evidence_sufficiency").alias("evidence")), "example_id")
     return rows.groupBy("evidence").agg(F.count(F.lit(1)).alias("n"), F.sum("missing_evidence_count").alias("missing"), F.avg((F.col("evidence_sufficiency") == "ambiguous").cast("double")).alias("ambiguous"))

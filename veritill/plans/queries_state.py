@@ -151,7 +151,7 @@ def s16_review_store(spark, sf_dir):
     UNION ALL SELECT 'near_budget_match', budget - 1, 0 FROM v_examples JOIN (SELECT order_key, sum(amount_minor * quantity) AS rest FROM (SELECT *, row_number() OVER (PARTITION BY order_key ORDER BY line_number, part_key, merchant_key, quantity, amount_minor) AS r FROM v_lines) WHERE r > 1 GROUP BY 1 UNION ALL SELECT order_key, 0 FROM v_carts WHERE line_item_count = 1) USING (order_key) WHERE rest < budget - 1
     UNION ALL SELECT 'missing_required_evidence', total_amount_minor, fulfilled_amount_minor FROM v_examples UNION ALL SELECT 'unrelated_add_on', total_amount_minor + 1500, fulfilled_amount_minor FROM v_examples) GROUP BY 1"""))
 def r9_counterfactuals(spark, sf_dir):
-    return transforms.counterfactuals(views.examples(spark, sf_dir)).groupBy("attack_family").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount_minor").alias("total_amount_minor"), F.sum("fulfilled_amount_minor").alias("fulfilled_amount_minor"))
+    return transforms.counterfactuals(views.examples(spark, sf_dir, for_rules=True), changes=("total_amount_minor", "fulfilled_amount_minor")).groupBy("attack_family").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount_minor").alias("total_amount_minor"), F.sum("fulfilled_amount_minor").alias("fulfilled_amount_minor"))
 
 
 def _contract_sql() -> str:
@@ -181,14 +181,14 @@ def _contract_sql() -> str:
 
 @query("v6_counterfactual_contract", _contract_sql())
 def v6_counterfactual_contract(spark, sf_dir):
-    children = transforms.counterfactuals(views.examples(spark, sf_dir).withColumn("currency", F.filter("constraints", lambda c: c["type"] == "total_budget")[0]["currency"]))
+    children = transforms.counterfactuals(views.examples(spark, sf_dir, for_rules=True).withColumn("currency", F.filter("constraints", lambda c: c["type"] == "total_budget")[0]["currency"]))
     return transforms.counterfactual_problems(children).groupBy("attack_family", F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("r10_relabelled", sql("""SELECT label_source, expected_treatment, count(*) AS n FROM (SELECT CASE WHEN audited THEN 'llm_assisted_v3' WHEN treatment <> 'APPROVE' OR attack_family <> 'none' THEN 'deterministic_policy_v3' ELSE 'weak_policy_v3' END AS label_source,
     CASE WHEN treatment = 'APPROVE' AND (relevance IN ('C', 'I', 'S') OR attack_family IN ('missing_required_evidence', 'unrelated_add_on')) THEN 'STEP_UP' ELSE treatment END AS expected_treatment FROM (SELECT *, order_key % 10 = 0 AS audited FROM v_treated)) GROUP BY ALL"""))
 def r10_relabelled(spark, sf_dir):
-    e = rules.with_signals(views.examples(spark, sf_dir))
+    e = rules.with_signals(views.examples(spark, sf_dir, for_rules=True), shown=False)
     e = e.withColumns(
         {
             "semantic_labels": F.array(views.pick({"E": "ENTAILMENT", "S": "NEUTRAL", "C": "CONTRADICTION", "I": "CONTRADICTION"}, F.col("relevance"))), "deviation": F.lit(None).cast("string"), "confidence": F.lit(0.7),

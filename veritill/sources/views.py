@@ -83,10 +83,10 @@ def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_attributes(items: Column, order: Column) -> Column:
-    """The items with a map of attributes derived from their keys."""
+def with_attributes(items: Column, order: Column, first: bool = False) -> Column:
+    """The items with a map of attributes derived from their keys; with first, that of all but the first item is null."""
 
-    def of(i: Column) -> Column:
+    def of(i: Column, n: Column) -> Column:
         p = i["part_key"]
         text = lambda prefix, k: F.concat(F.lit(prefix), (k % 3).cast("string"))
         pairs = (
@@ -99,7 +99,8 @@ def with_attributes(items: Column, order: Column) -> Column:
             ("stops", (p % 2).cast("string")),
         )
         entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs)), lambda e: e["value"].isNotNull())
-        return F.struct(*(i[k].alias(k) for k in ("line_number", "part_key", "quantity", "amount_minor", "description", "category")), F.map_from_entries(entries).alias("attributes"))
+        attributes = F.when(n == 0, F.map_from_entries(entries)) if first else F.map_from_entries(entries)
+        return F.struct(*(i[k].alias(k) for k in ("line_number", "part_key", "quantity", "amount_minor", "description", "category")), attributes.alias("attributes"))
 
     return F.transform(items, of)
 
@@ -162,9 +163,10 @@ def scores(example_id: Column) -> dict[str, Column]:
     return {n: p / total for n, p in zip(names, parts, strict=True)} | {"probability": (h8("risk", example_id) % 101) / 100}
 
 
-def examples(spark: SparkSession, sf_dir: str, order: str | None = None) -> DataFrame:
+def examples(spark: SparkSession, sf_dir: str, order: str | None = None, for_rules: bool = False) -> DataFrame:
     """Canonical examples: header, mandate, cart and state of each order that has lines; sorted by a column, if one is named.
 
+    For rules, which read the attributes of the first item alone, those of other items are null: making them costs as much as the rules.
     The sort comes before constraints and attributes, which are most of a row and need not be shuffled.
     """
     df = headers(spark, sf_dir).join(carts(spark, sf_dir), "order_key")
@@ -177,7 +179,7 @@ def examples(spark: SparkSession, sf_dir: str, order: str | None = None) -> Data
         {
             "fulfilled_amount_minor": spent,
             "fulfillment_count": ((F.col("position") - 1) % 4).cast("int"),
-            "items": with_attributes(F.col("items"), F.col("order_key")),
+            "items": with_attributes(F.col("items"), F.col("order_key"), for_rules),
         }
     ).drop("previous_total")
 
