@@ -310,24 +310,25 @@ def _green_pixels(r: Reader, codes: list[Code], n: int, width: int) -> np.ndarra
     every = np.frombuffer(r.data + bytes(MARGIN), np.uint8)
     out = np.zeros(n, np.uint8)
     done, at = 0, r.at
-    references = bool((green.symbol >= 256).any())
+    copying = green.symbol >= 256
+    references = bool(copying.any())
     while done < n:
         first = at >> 3
-        data = every[first : first + min(STRETCH, 8 * (n - done) + 8) + MARGIN].astype(np.int64)
+        data = every[first : first + min(STRETCH, 8 * (n - done) + 8) + MARGIN].astype(np.uint32)
         if len(data) <= MARGIN:
             raise ValueError("the image ends too early")
         words = data[:-3] | (data[1:-2] << 8) | (data[2:-1] << 16) | (data[3:] << 24)
-        ahead = (words[:, None] >> np.arange(8)).reshape(-1)  # 25 bits from every bit
-        peek = ahead & ((1 << green.bits) - 1)
-        symbol, length = green.symbol.take(peek), green.length.take(peek)
+        ahead = (words[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)  # 25 bits from every bit
+        peek = (ahead & ((1 << green.bits) - 1)).astype(np.intp)
+        length = green.length.take(peek)
         top, limit = len(ahead) - 1, 8 * (len(data) - MARGIN)
         after = np.arange(top + 1) + length
         if references:
-            begins = np.flatnonzero(symbol >= 256)
+            begins = copying.take(peek).nonzero()[0]
             bits = np.minimum(after[begins], top)
-            behind = np.minimum(bits + _extra(symbol[begins] - 256), top)
-            peek = ahead[behind] & ((1 << far.bits) - 1)
-            after[begins] = behind + far.length[peek] + _extra(far.symbol[peek])
+            behind = np.minimum(bits + _extra(green.symbol[peek[begins]] - 256), top)
+            way = ahead[behind] & ((1 << far.bits) - 1)
+            after[begins] = behind + far.length[way] + _extra(far.symbol[way])
         hop = np.minimum(after, top)
         two = hop.take(hop)
         four = two.take(two)
@@ -345,7 +346,7 @@ def _green_pixels(r: Reader, codes: list[Code], n: int, width: int) -> np.ndarra
         tokens[:, 4:] = four[tokens[:, :4]]
         tokens = tokens.reshape(-1)
         tokens = tokens[: np.searchsorted(tokens, limit)]
-        kind = symbol[tokens]
+        kind = green.symbol[peek[tokens]]
         copies = np.flatnonzero(kind >= 256)
         run = np.ones(len(tokens), np.int64)
         if len(copies):
@@ -363,9 +364,9 @@ def _green_pixels(r: Reader, codes: list[Code], n: int, width: int) -> np.ndarra
         if len(copies):
             prefix = kind[copies] - 256
             behind = np.minimum(tokens[copies] + length[tokens[copies]] + _extra(prefix), top)
-            peek = ahead[behind] & ((1 << far.bits) - 1)
-            bits = np.minimum(behind + far.length[peek], top)
-            back = _values(far.symbol[peek], ahead[bits])
+            way = ahead[behind] & ((1 << far.bits) - 1)
+            bits = np.minimum(behind + far.length[way], top)
+            back = _values(far.symbol[way], ahead[bits])
             near = _near(width)
             back = np.where(back > len(near), back - len(near), near[np.minimum(back, len(near)) - 1])
             if (back > begin[copies]).any():
@@ -843,8 +844,10 @@ def matches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(later):
         return none, none, none
     # places in a row with one distance are one copy, which from each of them reaches to its end
-    last = np.append(np.flatnonzero((np.diff(later) != 1) | (np.diff(back) != 0)), len(later) - 1)
-    run = np.minimum(later[last[np.searchsorted(last, np.arange(len(later)))]] - later + SHORTEST, LONGEST)
+    last = np.append(((later[1:] != later[:-1] + 1) | (back[1:] != back[:-1])).nonzero()[0], len(later) - 1)
+    many = last + 1
+    many[1:] -= last[:-1] + 1
+    run = np.minimum(later[last].repeat(many) - later + SHORTEST, LONGEST)
     following = memoryview(np.searchsorted(later, later + run))
     chosen, k = [], 0
     while k < len(later):
@@ -883,7 +886,6 @@ def write_greens(w: Writer, x: np.ndarray, width: int, alpha: int = 255) -> tupl
         edges[at + run] -= 1
         literal = np.cumsum(edges[:-1]) == 0
         (size_code, size_bits, size_n), (far_code, far_bits, far_n) = _prefixes(run), _prefixes(_distance_codes(back, width))
-        symbols = symbols.copy()
         symbols[at] = 256 + size_code
         literal[at] = True
         begins = np.flatnonzero(literal)
