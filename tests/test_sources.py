@@ -9,8 +9,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from veritill.plans import queries_sources
 from veritill.sources import archives, canonical, files, streams
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def zipped(path, members):
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
@@ -38,6 +41,23 @@ def test_written_archives_are_read_again(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(k, f"x{k}") for k in range(50)]
 
 
+def test_archives_of_sessions_grow_with_the_lines(spark, monkeypatch):
+    kept = {r.session_id: (r.previous_titles, r.next_title) for r in queries_sources.s7_s9_archived_sessions(spark, SMALL).collect()}
+    monkeypatch.setattr(archives, "MEMBER_ROWS", 500, raising=False)
+    members, write = [], archives.write
+    monkeypatch.setattr(archives, "write", lambda lines, path: (lambda d: members.append(d.collect()) or d)(write(lines, path)))
+    got = {r.session_id: (r.previous_titles, r.next_title) for r in queries_sources.s7_s9_archived_sessions(spark, SMALL).collect()}
+    assert got == kept and kept
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert len(members[1]) >= lines / 500 and len({m.archive for m in members[1]}) >= lines / 1500
+
+
+def test_cells_of_ragged_lines_and_repeated_names(spark, tmp_path):
+    zipped(tmp_path / "a.zip", {"plain.csv": b"A,B,C\n1\n2,x,y,z\n3,,\n", "twice.csv": b"k,v,K\n1,a\n2,b,9\n"})
+    got = {(r.member, r.line): r.fields for r in archives.read(spark, f"file://{tmp_path}").collect()}
+    assert got == {("plain.csv", 1): {"a": "1"}, ("plain.csv", 2): {"a": "2", "b": "x", "c": "y"}, ("plain.csv", 3): {"a": "3", "b": "", "c": ""}, ("twice.csv", 1): {"k": "1", "v": "a"}, ("twice.csv", 2): {"k": "9", "v": "b"}}
+
+
 def test_canonical_values(spark, tmp_path):
     row = '{"schema_version":"2.0","identity":{"example_id":"%s"},"mandate":{"constraints":[{"constraint_id":"a","type":"t","value":%s}]},"cart":{"line_items":[{"attributes":{"n":3,"f":true,"s":"x y","m":{"k":[1]}}}]}}'
     values = {"e1": '["x","y"]', "e2": '{"o":"A","d":"B"}', "e3": "12.5", "e4": "true", "e5": '"text"', "e6": "null", "e7": "[]"}

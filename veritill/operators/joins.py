@@ -15,13 +15,15 @@ def complete_sessions(sessions: DataFrame, products: DataFrame) -> DataFrame:
     """Sessions whose every listed product and next product are known, with the titles in order.
 
     sessions: session_id, previous (array), next. products: product_id, title. A session is exploded, joined
-    once and gathered again, so a product that many sessions name is joined in parts by the adaptive plan.
+    once and gathered again, so a product that many sessions name is joined in parts by the adaptive plan. Unknown
+    products leave with the join; a session that misses one is told by its count.
     """
     wanted = F.concat(F.transform("previous", lambda p: p), F.array("next"))
-    flat = sessions.select("session_id", F.size("previous").alias("length"), F.posexplode(wanted).alias("place", "product_id"))
-    found = flat.join(products.select("product_id", "title"), "product_id", "left")
-    g = found.groupBy("session_id", "length").agg(F.count("title").alias("known"), F.array_sort(F.collect_list(F.struct("place", "title"))).alias("all"))
-    titles = F.transform("all", lambda x: x["title"])
+    # a length that may be null would be asked for twice, and the array be parsed for it
+    flat = sessions.select("session_id", F.coalesce(F.size("previous"), F.lit(0)).alias("length"), F.posexplode(wanted).alias("place", "product_id"))
+    found = flat.join(products.select("product_id", "title"), "product_id")
+    g = found.groupBy("session_id", "length").agg(F.count("title").alias("known"), F.sort_array(F.collect_list(F.struct("place", "title"))).alias("all"))
+    titles = F.col("all.title")
     return g.filter(F.col("known") == F.col("length") + 1).select("session_id", F.slice(titles, 1, F.col("length")).alias("previous_titles"), F.element_at(titles, -1).alias("next_title"))
 
 

@@ -54,10 +54,13 @@ def s4_canonical_items(spark, sf_dir):
     return out
 
 
-def _lines(rows, archive, member, place, header: str, *columns):
-    """CSV lines of members, each with the header in a case of its own."""
-    own = rows.select(archive.alias("archive"), member.alias("member"), place.alias("place"), F.to_csv(F.struct(*columns), {"escape": '"'}).alias("line"))
-    heads = own.select("archive", "member").distinct().select("archive", "member", F.lit(-1).cast("bigint").alias("place"), F.when(F.col("member").rlike("[02468]$"), header.upper()).otherwise(header.title()).alias("line"))
+def _lines(rows, key, kind: str, layout: tuple[int, int], header: str, *columns):
+    """CSV lines of members, dealt by a key, each with the header in a case of its own."""
+    several, members = layout
+    placed = lambda k: (F.concat(F.lit(f"{kind}_"), F.pmod(k, F.lit(several)).cast("string")).alias("archive"), F.concat(F.lit("part_"), F.pmod(k, F.lit(members)).cast("string")).alias("member"))
+    key = F.coalesce(key.cast("bigint"), F.lit(0))
+    own = rows.select(*placed(key), key.alias("place"), F.to_csv(F.struct(*columns), {"escape": '"'}).alias("line"))
+    heads = rows.sparkSession.range(members).select(*placed(F.col("id")), F.lit(None).cast("bigint").alias("place"), F.when(F.col("id") % 2 == 0, header.upper()).otherwise(header.title()).alias("line"))
     return own.unionByName(heads)
 
 
@@ -70,13 +73,12 @@ _SESSIONS = """WITH f AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION B
 def s7_s9_archived_sessions(spark, sf_dir):
     """Products and sessions as CSV members of archives, read in parallel with columns in any case; sessions parsed and joined whole."""
     top = f"{storage.checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
-    part = views.table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0")
-    name = lambda kind, k, n: F.concat(F.lit(kind), F.pmod(k, F.lit(n)).cast("string"))
-    products = _lines(part, name("products_", F.col("p_partkey"), 2), name("part_", F.col("p_partkey"), 4), F.col("p_partkey").cast("bigint"), "id,title", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"))
-    line = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("'p"), x["l_partkey"].cast("string"), F.lit("'"))).alias("p")).filter(F.size("p") > 1)
+    part, line = views.table(spark, sf_dir, "part"), views.table(spark, sf_dir, "lineitem")
+    products = _lines(part.filter("p_partkey % 5 <> 0"), F.col("p_partkey"), "products", archives.layout(part.count(), 2, 2), "id,title", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"))
+    bought = line.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("'p"), x["l_partkey"].cast("string"), F.lit("'"))).alias("p")).filter(F.size("p") > 1)
     key = F.col("l_orderkey")
     previous = F.concat(F.lit("["), F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "\n "), F.lit("]"))
-    sessions = _lines(line, name("sessions_", key, 3), name("part_", key, 9), key.cast("bigint"), "session_id,prev_items,next_item", key.alias("session_id"), previous.alias("prev_items"), F.replace(F.element_at("p", -1), F.lit("'"), F.lit("")).alias("next_item"))
+    sessions = _lines(bought, key, "sessions", archives.layout(line.count(), 3, 3), "session_id,prev_items,next_item", key.alias("session_id"), previous.alias("prev_items"), F.replace(F.element_at("p", -1), F.lit("'"), F.lit("")).alias("next_item"))
     archives.write(products, f"{top}/products").count()
     archives.write(sessions, f"{top}/sessions").count()
     items = archives.read(spark, f"{top}/products").select(archives.field("id").alias("product_id"), archives.field("title").alias("title"))

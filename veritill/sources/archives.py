@@ -6,7 +6,8 @@
 
 A row is (archive, member, line, fields), fields being a map from the header's names, trimmed and in lower case, to
 texts; blank lines are skipped, missing cells are absent, undecodable bytes are replaced. A member is the unit of
-work, since a deflated stream can't be entered in the middle.
+reading, since a deflated stream can't be entered in the middle, and an archive that of writing, so a writer takes as
+many of both as `layout` tells from the number of rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import csv
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import accumulate, chain, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +30,14 @@ from veritill.sources.shipping import ship
 ROWS = "archive string, member string, line bigint, fields map<string,string>"
 _ARROW = pa.schema([("archive", pa.string()), ("member", pa.string()), ("line", pa.int64()), ("fields", pa.map_(pa.string(), pa.string()))])
 BATCH = 4_096
+#: Rows that a written member should hold.
+MEMBER_ROWS = 500_000
+
+
+def layout(rows: int, archives: int, each: int) -> tuple[int, int]:
+    """How many archives and members, `each` of them per archive, hold a number of rows; at least `archives`."""
+    archives = max(archives, -(-rows // (MEMBER_ROWS * each)))
+    return archives, archives * each
 
 
 class Member(InputPartition):
@@ -54,21 +64,22 @@ class ArchivedCsvReader(DataSourceReader):
         with fs.open_input_file(at) as file, zipfile.ZipFile(file) as z, z.open(partition.member) as raw:
             lines = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", errors="replace", newline=""))
             names = [n.strip().lower() for n in next(lines, [])]
-            held: list[list[tuple[str, str]]] = []
-            first = 1
-            for row in lines:
-                if row:
-                    held.append(list(dict(zip(names, row, strict=False)).items()))
-                if len(held) == BATCH:
-                    yield self._batch(partition, first, held)
-                    first, held = first + len(held), []
-            if held:
-                yield self._batch(partition, first, held)
+            filled, first = filter(None, lines), 1
+            while held := list(islice(filled, BATCH)):
+                yield self._batch(partition, first, names, held)
+                first += len(held)
 
     @staticmethod
-    def _batch(partition: Member, first: int, held: list) -> pa.RecordBatch:
+    def _batch(partition: Member, first: int, names: list[str], held: list[list[str]]) -> pa.RecordBatch:
         n = len(held)
-        return pa.RecordBatch.from_arrays([pa.array([partition.archive] * n), pa.array([partition.member] * n), pa.array(range(first, first + n), pa.int64()), pa.array(held, _ARROW.field("fields").type)], schema=_ARROW)
+        if len(set(names)) == len(names):
+            cells, own = [row[: len(names)] for row in held], [names[: len(row)] for row in held]
+        else:  # of columns with the same name the last one that the row has counts
+            found = [dict(zip(names, row, strict=False)) for row in held]
+            cells, own = [list(d.values()) for d in found], [list(d) for d in found]
+        ends = pa.array(accumulate(map(len, cells), initial=0), pa.int32())
+        fields = pa.MapArray.from_arrays(ends, pa.array(chain.from_iterable(own), pa.string()), pa.array(chain.from_iterable(cells), pa.string()))
+        return pa.RecordBatch.from_arrays([pa.repeat(partition.archive, n), pa.repeat(partition.member, n), pa.array(range(first, first + n), pa.int64()), fields], schema=_ARROW)
 
 
 class ArchivedCsv(DataSource):
@@ -99,7 +110,9 @@ def _zip(path: str):
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done, archive, member, out, file, into = [], None, None, None, None, None
         for part in parts:
-            for a, m, line in zip(part["archive"], part["member"], part["line"], strict=True):
+            begins = part["archive"].ne(part["archive"].shift()) | part["member"].ne(part["member"].shift())
+            for _, run in part.groupby(begins.cumsum(), sort=False):
+                a, m = run["archive"].iat[0], run["member"].iat[0]
                 if (a, m) != (archive, member):
                     into and into.close()
                     if a != archive:
@@ -111,7 +124,7 @@ def _zip(path: str):
                     archive, member = a, m
                     into = out.open(f"{m}.csv", "w", force_zip64=True)
                     done.append((a, m))
-                into.write(f"{line}\r\n".encode())
+                into.write("".join(f"{line}\r\n" for line in run["line"]).encode())
         into and (into.close(), out.close(), file.close())
         yield pd.DataFrame(done, columns=["archive", "member"])
 
