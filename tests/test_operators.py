@@ -232,6 +232,40 @@ def test_places_and_totals_against_plain_sorting(spark):
     assert total == {x[0]: sum(y[0] for y in own if y[2] >= x[2] and y[2] != 0.5) for own in groups.values() for x in own if x[2] != 0.5}
 
 
+def test_running_totals_work_their_frame_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from veritill.operators import ordered
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(v):
+        seen.add(1)
+        return v
+
+    d = spark.range(200).select(F.udf(look, "double")(F.col("id").cast("double")).alias("v"), F.lit(1).alias("n"))
+    assert {r.v: r.upto for r in ordered.running_totals(d, "v", {"upto": "n"}).collect()} == {float(k): k + 1 for k in range(200)}
+    assert seen.value == 200
+
+
+def test_gates_read_the_tables_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from veritill.plans import queries_contracts
+
+    small, seen, predicted = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0), queries_contracts.predicted
+
+    def look(v):
+        seen.add(1)
+        return v
+
+    # a UDF that isn't deterministic is neither pruned nor moved
+    counted = F.udf(look, "string").asNondeterministic()
+    monkeypatch.setattr(queries_contracts, "predicted", lambda s, d: predicted(s, d).withColumn("label_source", counted("label_source")))
+    assert len(queries_contracts.k2_development_gate(spark, small).collect()) == 4
+    assert seen.value == spark.read.parquet(f"{small}/orders.parquet").count()
+
+
 def test_broken_contracts_fail(spark):
     from veritill.operators import contracts
 

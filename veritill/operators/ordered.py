@@ -51,8 +51,9 @@ def _before(df: DataFrame, sums: dict[str, Column], by: list[str], order: Column
 def running_totals(df: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
     """df with the total of a column over all rows of the group up to each, for (name: column) of sums.
 
-    order is a number that no two rows of a group share.
+    order is a number that no two rows of a group share. The frame is stored, since ranges, totals and windows each read it.
     """
+    df = storage.stored(df)
     turn = (lambda c: F.col(c).desc()) if descending else F.col
     d = with_range(df, order, by)
     before = _before(d, {n: F.col(c) for n, c in sums.items()}, list(by), turn("_range"))

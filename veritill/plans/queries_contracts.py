@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritill.operators import contracts, metrics, rules, stateful, validate
-from veritill.sources import views
+from veritill.sources import storage, views
 
 from .oracle import sql
 from .queries_joins import predicted, rounded
@@ -70,9 +70,15 @@ _SPLIT_FAMILY = "SELECT split, coalesce(min(r) FILTER (v >= {rows}), {none}) AS
 _SPLIT_AP = "SELECT split, sum(y * tp / seen) / sum(y) AS {name} FROM (SELECT split, y, sum(y) OVER w AS tp, sum(n) OVER w AS seen FROM (SELECT split, {score} AS s, sum(label) AS y, count(*) AS n FROM v_features GROUP BY 1, 2) WINDOW w AS (PARTITION BY split ORDER BY s DESC)) GROUP BY split"
 
 
-def split_figures(spark, sf_dir):
-    """Policy rates, calibration and ranking of each split."""
-    p = predicted(spark, sf_dir)
+def gated(spark, sf_dir, of):
+    """What a function makes of the predicted rows, which all its figures read from one stored table; that is deleted again."""
+    read = ("split", "attack_family", "label_source", "expected_treatment", "predicted_treatment", "label", "probability", "semantic_contradiction")
+    with storage.scratch():
+        return storage.stored(of(storage.stored(predicted(spark, sf_dir).select(*read))), lasting=True)
+
+
+def split_figures(p):
+    """Policy rates, calibration and ranking of each split of predicted rows."""
     out = metrics.treatment_metrics(p, "expected_treatment", "predicted_treatment", ("split",)).select("split", "violation_recall", "false_step_up_rate", "false_decline_rate")
     out = out.join(metrics.calibration_error(p, "label", "probability", by=("split",)).select("split", "ece"), "split")
     ap = lambda score, name: metrics.average_precision(p, "label", score, ("split",)).withColumnRenamed("average_precision", name)
@@ -92,13 +98,15 @@ _FIGURES = {"v_rates": _SPLIT_FIGURES, "v_ece": _SPLIT_ECE, "v_ap": _SPLIT_AP.fo
     ),
 )
 def k2_development_gate(spark, sf_dir):
-    p = predicted(spark, sf_dir)
-    families = metrics.treatment_metrics(p, "expected_treatment", "predicted_treatment", ("split", "attack_family"))
-    none = metrics.treatment_metrics(p.filter("attack_family = 'none' and label_source = 'llm_assisted'"), "expected_treatment", "predicted_treatment", ("split",)).select("split", F.col("violation_recall").alias("reviewed_none_recall"))
-    f = split_figures(spark, sf_dir).join(contracts.worst_family(families, contracts.DEVELOPMENT_LIMITS["family_rows"], 1.0, ["split"]), "split").join(none, "split")
-    g = contracts.development_gate(f, ["split"])
     names = ("operational_recall", "false_step_up", "false_decline", "calibration", "supported_families", "reviewed_none", "pr_auc_regression")
-    return g.select("split", *(F.col("checks")[k]["passed"].alias(n) for k, n in enumerate(names)))
+
+    def of(p):
+        families = metrics.treatment_metrics(p, "expected_treatment", "predicted_treatment", ("split", "attack_family"))
+        none = metrics.treatment_metrics(p.filter("attack_family = 'none' and label_source = 'llm_assisted'"), "expected_treatment", "predicted_treatment", ("split",)).select("split", F.col("violation_recall").alias("reviewed_none_recall"))
+        f = split_figures(p).join(contracts.worst_family(families, contracts.DEVELOPMENT_LIMITS["family_rows"], 1.0, ["split"]), "split").join(none, "split")
+        return contracts.development_gate(f, ["split"]).select("split", *(F.col("checks")[k]["passed"].alias(n) for k, n in enumerate(names)))
+
+    return gated(spark, sf_dir, of)
 
 
 _GOLDEN = " UNION ALL ".join(f"SELECT split, '{k}' AS criterion, {k}::DOUBLE AS actual, '{op}' AS operator, {v}::DOUBLE AS \"limit\", {k} {op} {v} AS passed FROM v_all" for k, (op, v) in contracts.GOLDEN_LIMITS.items())
@@ -112,10 +120,13 @@ _GOLDEN = " UNION ALL ".join(f"SELECT split, '{k}' AS criterion, {k}::DOUBLE AS
     ),
 )
 def k3_golden_gate(spark, sf_dir):
-    families = metrics.treatment_metrics(predicted(spark, sf_dir), "expected_treatment", "predicted_treatment", ("split", "attack_family"))
-    f = split_figures(spark, sf_dir).join(contracts.worst_family(families, contracts.GOLDEN_FAMILY_ROWS, 1.0, ["split"]), "split")
-    f = f.withColumns({"pr_auc_delta": F.col("pr_auc") - F.col("baseline_pr_auc"), "fixed_rate_recall_delta": F.col("violation_recall") - F.col("family_recall")})
-    return rounded(contracts.golden_gate(f, ["split"]), "actual")
+    def of(p):
+        families = metrics.treatment_metrics(p, "expected_treatment", "predicted_treatment", ("split", "attack_family"))
+        f = split_figures(p).join(contracts.worst_family(families, contracts.GOLDEN_FAMILY_ROWS, 1.0, ["split"]), "split")
+        f = f.withColumns({"pr_auc_delta": F.col("pr_auc") - F.col("baseline_pr_auc"), "fixed_rate_recall_delta": F.col("violation_recall") - F.col("family_recall")})
+        return rounded(contracts.golden_gate(f, ["split"]), "actual")
+
+    return gated(spark, sf_dir, of)
 
 
 @query(
@@ -128,18 +139,21 @@ def k3_golden_gate(spark, sf_dir):
     ),
 )
 def k4_stage_gates(spark, sf_dir):
-    n = metrics.treatment_metrics(predicted(spark, sf_dir), "expected_treatment", "predicted_treatment", ("split",)).select("split", F.col("violation_rows").alias("reviewed_violations"))
-    f = split_figures(spark, sf_dir).join(n, "split")
-    c = F.col
-    f = f.withColumns(
-        {
-            "reviewed_recall": c("violation_recall"), "oracle_semantic_recall": c("pr_auc"), "oracle_recall": c("violation_recall"), "oracle_false_step_up": c("false_step_up_rate"), "baseline_recall": F.lit(0.25), "macro_f1": c("pr_auc"), "baseline_macro_f1": c("baseline_pr_auc"),
-            "minority_recall": c("pr_auc"), "baseline_minority_recall": c("baseline_pr_auc"),
-        }
-    )
-    first = contracts.diagnosis_gate(f, ["split"], 0.9, 40, 0.3, 0.2, 0.4).select("split", F.col("status").alias("diagnosis"))
-    second = contracts.regression_gate(f, ["split"], 0.2, 0.4, 0.05, 0.02, 0.5, 0.1, -0.05).select("split", F.col("status").alias("candidate"))
-    return first.join(second, "split")
+    def of(p):
+        n = metrics.treatment_metrics(p, "expected_treatment", "predicted_treatment", ("split",)).select("split", F.col("violation_rows").alias("reviewed_violations"))
+        f = split_figures(p).join(n, "split")
+        c = F.col
+        f = f.withColumns(
+            {
+                "reviewed_recall": c("violation_recall"), "oracle_semantic_recall": c("pr_auc"), "oracle_recall": c("violation_recall"), "oracle_false_step_up": c("false_step_up_rate"), "baseline_recall": F.lit(0.25), "macro_f1": c("pr_auc"), "baseline_macro_f1": c("baseline_pr_auc"),
+                "minority_recall": c("pr_auc"), "baseline_minority_recall": c("baseline_pr_auc"),
+            }
+        )
+        first = contracts.diagnosis_gate(f, ["split"], 0.9, 40, 0.3, 0.2, 0.4).select("split", F.col("status").alias("diagnosis"))
+        second = contracts.regression_gate(f, ["split"], 0.2, 0.4, 0.05, 0.02, 0.5, 0.1, -0.05).select("split", F.col("status").alias("candidate"))
+        return first.join(second, "split")
+
+    return gated(spark, sf_dir, of)
 
 
 @query(
