@@ -251,7 +251,7 @@ def test_running_totals_work_their_frame_out_once(spark):
 def test_gates_read_the_tables_once(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    from veritill.plans import queries_contracts
+    from veritill.plans.registry import queries_contracts
 
     small, seen, predicted = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0), queries_contracts.predicted
 
@@ -261,7 +261,7 @@ def test_gates_read_the_tables_once(spark, monkeypatch):
 
     # a UDF that isn't deterministic is neither pruned nor moved
     counted = F.udf(look, "string").asNondeterministic()
-    monkeypatch.setattr(queries_contracts, "predicted", lambda s, d: predicted(s, d).withColumn("label_source", counted("label_source")))
+    monkeypatch.setattr(queries_contracts, "predicted", lambda s, d: predicted(s, d).withColumn("split", counted("split")))
     assert len(queries_contracts.k2_development_gate(spark, small).collect()) == 4
     assert seen.value == spark.read.parquet(f"{small}/orders.parquet").count()
 
