@@ -129,6 +129,41 @@ def test_suffix_tree_scores_against_brute_force(spark):
             assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tok[r.doc_id]) + 1, sum(c[w] > 0 for w in [*tok[r.doc_id], None]), total, held[r.doc_id])
 
 
+def test_a_tree_beyond_the_bound_scores_by_slices_without_joins(spark, monkeypatch):
+    """Copies, texts of symbols that no training text has, and rows that begin alike or follow each other."""
+    data = corpus(11, 60) + [(500, None), (501, ""), (502, "\u3042 w1 \u3042\u3042"), (503, "w1"), (504, "w1"), (505, "1w 1w")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    rows = docs.selectExpr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 10 = 0, false) as held_out", "text")
+    nodes, entries = scoring.suffix_tree(scoring.statistics(rows).filter("kind = 1").select("key", "n"), least=6)
+    alphabet = 2 + entries.selectExpr("key & 511").distinct().count()
+    cells = nodes.count() * alphabet
+    most = cells // 3
+    parts = scoring.slices_of_tree(nodes, entries, alphabet, most, 10**6)
+    tables = [scoring._slice(nodes, entries, parts, k) for k in range(len(parts))]
+    assert len(parts) > 2 and all(len(t.logs) <= most for t in tables)
+    few = scoring.slices_of_tree(nodes, entries, alphabet, 10**9, entries.count() - 1)  # the number of entries alone asks for slices
+    assert len(few) > 1
+    want = {r.doc_id: r for r in scoring.score(docs, least=6).collect()}
+
+    def joined(*_):
+        raise AssertionError("joins store every n-gram of every document")
+
+    monkeypatch.setattr(scoring, "joined_scores", joined)
+    got = scoring.score(docs.repartition(5), least=6, most_cells=most).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id].score, rel=1e-12) and r.base_score == pytest.approx(want[r.doc_id].base_score, rel=1e-12)
+    assert len({r.score for r in got if r.doc_id in (503, 504)}) == 1
+
+
+def test_a_tree_of_large_counts(spark):
+    """Products of counts that a large table reaches are beyond 64 bits."""
+    docs = spark.createDataFrame(corpus(7, 40), "doc_id bigint, text string").selectExpr("false as held_out", "text")
+    grams = scoring.statistics(docs).filter("kind = 1").selectExpr("key", "n * 1000000000 as n")
+    nodes, entries = scoring.suffix_tree(grams)
+    assert nodes.count() > 1 and entries.agg({"n": "max"}).first()[0] > 2**39
+
+
 def test_mixing_meets_targets_and_bounds(spark):
     got = mixing.op4_mixing(spark, SMALL).collect()
     by = defaultdict(lambda: [0, 0.0])

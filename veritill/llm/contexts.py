@@ -94,11 +94,11 @@ class Tree:
         k = np.minimum(np.searchsorted(self.keys, contexts, sorter=order), len(self.keys) - 1)
         return np.where(self.keys[order[k]] == contexts, order[k], -1)
 
-    def walk(self, codes: np.ndarray) -> np.ndarray:
-        """The node of the longest context before each symbol, codes being self.code[symbols + 1]."""
+    def walk(self, codes: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """The node of the longest context before each symbol, codes being self.code[symbols + 1]; of those at the places `at`, in order, if given."""
         node = np.zeros(len(codes), np.int32)
-        at = np.arange(1, len(codes), dtype=np.int32)
-        own = node[1:]
+        at = np.arange(1, len(codes), dtype=np.int32) if at is None else at
+        own = node[at]
         for d in range(1, self.most + 1):
             step = self.child[own * np.int32(self.size) + codes[at - d]]
             keep = np.flatnonzero(step)
