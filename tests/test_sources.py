@@ -4,13 +4,15 @@ import gzip
 import hashlib
 import io
 import json
+import time
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from veritill.plans import queries_sources
-from veritill.sources import archives, canonical, files, streams
+from veritill.sources import archives, canonical, files, storage, streams, views
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -93,6 +95,43 @@ def test_canonical_files_are_compressed_and_in_order(spark, tmp_path):
         assert len(ids) == 4000 and ids == sorted(ids)
 
 
+def test_stretches_of_examples(spark, tmp_path):
+    """In order of ids over all stretches, each with one shuffle and nothing kept; repeated orders, lines without a product and null keys included."""
+    for name in ("nation", "customer", "part", "orders", "lineitem"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "orders":
+            df = df.unionByName(df.filter("o_orderkey % 97 = 1")).unionByName(df.limit(3).withColumn("o_orderkey", F.lit(None).cast("bigint")))
+        if name == "lineitem":
+            df = df.withColumns({"l_partkey": F.when(F.col("l_orderkey") % 50 != 3, F.col("l_partkey")), "l_orderkey": F.when(F.col("l_orderkey") % 89 != 5, F.col("l_orderkey"))})
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    whole, found, before = views.examples(spark, f"file://{tmp_path}"), [], dict(storage._paths)
+    for df in views.sorted_examples(spark, f"file://{tmp_path}", stretch=400):
+        assert df.columns and set(df.columns) == set(whole.columns) and df._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1
+        found.append([r.asDict(True) for r in df.select(*whole.columns).collect()])
+    assert not set(dict(storage._paths).values()) - set(before.values())  # what they read is deleted
+    ids = [r["example_id"] for rows in found for r in rows]
+    assert len(found) > 2 and min(map(len, found)) > 50 and ids == sorted(ids) and len(set(ids)) < len(ids)
+    text = lambda r: json.dumps(r, default=str, sort_keys=True)
+    assert sorted(text(r) for rows in found for r in rows) == sorted(text(r.asDict(True)) for r in whole.collect())
+
+
+def test_shuffles_go_with_their_job(spark, tmp_path):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    top = Path(spark.conf.get("spark.local.dir"))
+    shuffles = lambda: {p.name for p in top.rglob("shuffle_*")}
+    df = spark.range(5000).withColumn("k", F.col("id") % 7).groupBy("k").agg(F.collect_list("id").alias("x"))
+    before, setting = shuffles(), spark.conf.get(name, None)
+    with storage.brief_shuffles(spark):
+        df.write.parquet(f"{tmp_path}/a")
+        for _ in range(50):
+            if not shuffles() - before:
+                break
+            time.sleep(0.1)
+        assert not shuffles() - before
+    assert spark.conf.get(name, None) == setting
+    assert df.count() == 7 and spark.read.parquet(f"{tmp_path}/a").count() == 7
+
+
 def test_digests_of_files(spark, tmp_path):
     top = tmp_path / "odd+name [1]"
     (top / "sub").mkdir(parents=True)

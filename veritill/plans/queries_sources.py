@@ -23,9 +23,11 @@ _CONSTRAINTS = """SELECT example_id, 'total_budget_' || cust_key AS constraint_i
 
 
 def canonical_copy(spark, sf_dir, top: str):
-    """The examples written as canonical lines and read again."""
-    canonical.write(canonical.of_examples(views.examples(spark, sf_dir, order="example_id")), f"{top}/lines", in_order=True)
-    return canonical.read(spark, f"{top}/lines")
+    """The examples written as canonical lines, in a folder for each stretch, and read again."""
+    with storage.brief_shuffles(spark):
+        for k, examples in enumerate(views.sorted_examples(spark, sf_dir)):
+            canonical.write(canonical.of_examples(examples), f"{top}/lines/{k:05}", in_order=True)
+    return canonical.read(spark, f"{top}/lines/*")
 
 
 @query("s4_canonical_constraints", sql(_CONSTRAINTS))
@@ -44,10 +46,13 @@ def s4_canonical_items(spark, sf_dir):
     """Attributes of line items after the round trip: numbers, flags and texts, each read as what it is."""
     top = f"{storage.checkpoint_dir(spark)}/canonical-{uuid.uuid4().hex}"
     d = canonical_copy(spark, sf_dir, top).select("identity.*", "cart.*")
-    item = d.select("example_id", "total_amount_minor", "parent_example_id", F.explode("line_items.attributes").alias("a"))
-    read = lambda name, kind: F.try_variant_get(F.col("a").getItem(name), "$", kind)
-    out = item.groupBy("example_id", "total_amount_minor", "parent_example_id").agg(
-        F.count(F.lit(1)).alias("items"), F.sum(read("stops", "bigint")).alias("stops"), F.count(F.when(read("warranty", "boolean"), 1)).alias("warranted"), F.count(F.when(~read("warranty", "boolean"), 1)).alias("unwarranted"), F.count(F.when(read("cabin", "string") == "economy", 1)).alias("economy")
+    read = lambda name, kind: lambda i: F.try_variant_get(i["attributes"].getItem(name), "$", kind)
+    count = lambda found: F.size(F.filter("line_items", found)).cast("bigint")
+    warranty, cabin, stops = read("warranty", "boolean"), read("cabin", "string"), read("stops", "bigint")
+    out = d.select(
+        "example_id", "total_amount_minor", "parent_example_id", F.size("line_items").cast("bigint").alias("items"),
+        F.aggregate(F.transform("line_items", stops), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0).cast("bigint"))).alias("stops"),
+        count(warranty).alias("warranted"), count(lambda i: ~warranty(i)).alias("unwarranted"), count(lambda i: cabin(i) == "economy").alias("economy"),
     )
     out = storage.stored(out)
     storage.delete(spark, top)

@@ -6,16 +6,21 @@ that a query drops are pruned down to the scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritill.functions.hashing import hex_number, sha, split_name
+from veritill.sources import storage
 
 CURRENCIES = ("USD", "SGD", "EUR", "GBP", "JPY")
 DOMAINS = {"AUTOMOBILE": "travel", "HOUSEHOLD": "retail", "FURNITURE": "retail", "MACHINERY": "procurement", "BUILDING": "dining"}
 FAMILIES = ("none", "cumulative_overspend", "near_budget_match", "missing_required_evidence", "unrelated_add_on")
 #: Relevance letter of a priority, and what it says about the cart.
 RELEVANCE = {"1-URGENT": "I", "2-HIGH": "C", "3-MEDIUM": "S", "4-NOT SPECIFIED": "E", "5-LOW": "E"}
+#: Orders whose examples are put together and sorted at once, which bounds the disk that shuffles take.
+STRETCH = 2_000_000
 CONSTRAINT = "struct<constraint_id:string,type:string,value_list:array<string>,value_map:map<string,string>,amount_minor:bigint,currency:string>"
 
 
@@ -65,22 +70,31 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cart per order that has lines: its items in line order, total, merchant, category and evidence."""
-    lines = line_items(spark, sf_dir)
-    item = F.struct("line_number", "part_key", "merchant_key", "quantity", "amount_minor", "description", F.col("category"))
+    return line_items(spark, sf_dir).groupBy("order_key").agg(*_cart(F.col))
+
+
+def _cart(of: Callable[[str], Column], there: Column | None = None) -> list[Column]:
+    """What a cart has of the lines of its order; of: a line's column, there: whether a row has a line."""
+    item = F.struct(*(of(c).alias(c) for c in ("line_number", "part_key", "merchant_key", "quantity", "amount_minor", "description", "category")))
+    there = F.lit(True) if there is None else there
     rich = F.transform(
-        F.array_sort(F.collect_list(item)),
+        F.array_sort(F.collect_list(F.when(there, item))),
         lambda i: F.struct(
             i["line_number"].alias("line_number"), i["part_key"].alias("part_key"), i["quantity"].alias("quantity"), i["amount_minor"].alias("amount_minor"), i["description"].alias("description"), i["category"].alias("category")
         ),
     )
-    return lines.groupBy("order_key").agg(
+    return [
         rich.alias("items"),
-        F.sum(F.col("amount_minor") * F.col("quantity")).alias("total_amount_minor"),
-        F.count(F.lit(1)).alias("line_item_count"),
-        F.concat(F.lit("mer_"), F.min("merchant_key").cast("string")).alias("merchant_id"),
-        F.max("category").alias("merchant_category"),
-        F.when(F.max(F.col("returned").cast("int")) == 1, "ambiguous").otherwise("sufficient").alias("evidence_sufficiency"),
-    )
+        _total(of).alias("total_amount_minor"),
+        F.count(F.when(there, 1)).alias("line_item_count"),
+        F.concat(F.lit("mer_"), F.min(of("merchant_key")).cast("string")).alias("merchant_id"),
+        F.max(of("category")).alias("merchant_category"),
+        F.when(F.max(of("returned").cast("int")) == 1, "ambiguous").otherwise("sufficient").alias("evidence_sufficiency"),
+    ]
+
+
+def _total(of: Callable[[str], Column]) -> Column:
+    return F.sum(of("amount_minor") * of("quantity"))
 
 
 def with_attributes(items: Column, order: Column, first: bool = False) -> Column:
@@ -136,25 +150,42 @@ def mandate_columns(cust: Column, region: Column, domain: Column) -> dict[str, C
     return {"max_fulfillments": (1 + h % 4).cast("int"), "constraints": constraints}
 
 
-def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their customer, labels and provenance, one row per order, before its cart is known."""
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What headers takes from the tables."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     c = customers(spark, sf_dir)
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    text = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string"))
     return o.join(c, o.o_custkey == c.cust_key).select(
-        key.alias("order_key"), "cust_key", "domain", "region", "locale",
-        text("ex_", key).alias("example_id"), text("grp_", cust).alias("group_id"), text("src_", (key * 7) % 5000).alias("source_record_id"),
-        F.when(key % 6 == 5, text("ex_", key - 1)).alias("parent_example_id"),
-        F.col("o_orderdate").alias("occurred_at"),
-        pick(RELEVANCE, F.col("o_orderpriority")).alias("relevance"),
-        pick(FAMILIES, key % 5).alias("attack_family"),
+        F.col("o_orderkey").alias("order_key"), "cust_key", "domain", "region", "locale", F.col("o_orderdate").alias("occurred_at"), pick(RELEVANCE, F.col("o_orderpriority")).alias("relevance"),
         pick({"P": "weak_policy", "F": "llm_assisted", "O": "deterministic_policy"}, F.col("o_orderstatus")).alias("label_source"),
-        F.when(cust.isNotNull(), split_name(text("grp_", cust))).alias("split"),
-        order_currency(key, F.col("region")).alias("currency"),
     )
 
 
+def example_id(order: Column) -> Column:
+    return F.concat(F.lit("ex_"), order.cast("string"))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """The rows of _headers, or more columns, with the names and labels that follow from their keys."""
+    key, cust = F.col("order_key"), F.col("cust_key")
+    text = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string"))
+    return df.withColumns(
+        {
+            "example_id": example_id(key),
+            "group_id": text("grp_", cust),
+            "source_record_id": text("src_", (key * 7) % 5000),
+            "parent_example_id": F.when(key % 6 == 5, example_id(key - 1)),
+            "attack_family": pick(FAMILIES, key % 5),
+            "split": F.when(cust.isNotNull(), split_name(text("grp_", cust))),
+            "currency": order_currency(key, F.col("region")),
+        }
+    )
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer, labels and provenance, one row per order, before its cart is known."""
+    return _named(_headers(spark, sf_dir)).select("order_key", "cust_key", "domain", "region", "locale", "example_id", "group_id", "source_record_id", "parent_example_id", "occurred_at", "relevance", "attack_family", "label_source", "split", "currency")
+
+
 def scores(example_id: Column) -> dict[str, Column]:
     """Semantic class probabilities and a risk probability with ties, from hashes of the id."""
     parts = [h8(f"nli{k}", example_id) % 1000 + 1 for k in range(3)]
@@ -163,16 +194,8 @@ def scores(example_id: Column) -> dict[str, Column]:
     return {n: p / total for n, p in zip(names, parts, strict=True)} | {"probability": (h8("risk", example_id) % 101) / 100}
 
 
-def examples(spark: SparkSession, sf_dir: str, order: str | None = None, for_rules: bool = False) -> DataFrame:
-    """Canonical examples: header, mandate, cart and state of each order that has lines; sorted by a column, if one is named.
-
-    For rules, which read the attributes of the first item alone, those of other items are null: making them costs as much as the rules.
-    The sort comes before constraints and attributes, which are most of a row and need not be shuffled.
-    """
-    df = headers(spark, sf_dir).join(carts(spark, sf_dir), "order_key")
-    before = Window.partitionBy("cust_key").orderBy("occurred_at", "order_key")
-    df = df.withColumns({"position": F.row_number().over(before), "previous_total": F.lag("total_amount_minor").over(before)})
-    df = df.orderBy(order) if order else df
+def _with_mandates(df: DataFrame, for_rules: bool) -> DataFrame:
+    """Headers with carts and what came before them, with mandate, state and attributes."""
     df = df.withColumns(mandate_columns(F.col("cust_key"), F.col("region"), F.col("domain")))
     spent = F.when(F.col("position") % 3 == 1, F.lit(0).cast("bigint")).otherwise(F.coalesce("previous_total", F.lit(0).cast("bigint")))
     return df.withColumns(
@@ -184,6 +207,48 @@ def examples(spark: SparkSession, sf_dir: str, order: str | None = None, for_rul
     ).drop("previous_total")
 
 
+def _with_previous(df: DataFrame) -> DataFrame:
+    before = Window.partitionBy("cust_key").orderBy("occurred_at", "order_key")
+    return df.withColumns({"position": F.row_number().over(before), "previous_total": F.lag("total_amount_minor").over(before)})
+
+
+def examples(spark: SparkSession, sf_dir: str, for_rules: bool = False) -> DataFrame:
+    """Canonical examples: header, mandate, cart and state of each order that has lines.
+
+    For rules, which read the attributes of the first item alone, those of other items are null: making them costs as much as the rules.
+    """
+    return _with_mandates(_with_previous(headers(spark, sf_dir).join(carts(spark, sf_dir), "order_key")), for_rules)
+
+
+def sorted_examples(spark: SparkSession, sf_dir: str, stretch: int = STRETCH) -> Iterator[DataFrame]:
+    """The rows of examples in order of their ids, a stretch of some orders at a time; write one before the next is asked for, and all, as the end deletes what they read.
+
+    Lines with their products, and headers with what came before them, are stored once, in a folder for each stretch. A stretch deals
+    both out by ranges of the id in one shuffle and puts them together there, so no cart is shuffled; constraints, attributes and other
+    names follow after the sort.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").filter("o_orderkey is not null")
+    n = orders.count()
+    parts = max(1, -(-n // stretch))
+    ids = example_id(F.col("o_orderkey"))
+    # the sample settles how even the stretches are, not what comes out
+    seen = sorted((r[0] for r in orders.select(ids).sample(False, min(1.0, 1_000 * parts / n), 7).collect()), key=str.encode) if parts > 1 else []
+    bounds = sorted({seen[k * len(seen) // parts] for k in range(1, parts)}, key=str.encode) if seen else []
+    placed = lambda df: df.withColumn("example_id", example_id(F.col("order_key"))).withColumn("stretch", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("example_id"))) if bounds else F.lit(0))
+    lines = storage.stored(placed(line_items(spark, sf_dir).filter("order_key is not null")).drop("example_id"), by=("stretch",))
+    totals = lines.groupBy("order_key").agg(_total(F.col).alias("total_amount_minor"))
+    heads = storage.stored(placed(_with_previous(_headers(spark, sf_dir).join(totals, "order_key")).drop("total_amount_minor")).drop("example_id"), by=("stretch",))
+    try:
+        for k in range(len(bounds) + 1):
+            line, head = (df.filter(F.col("stretch") == k).drop("stretch").select("order_key", F.struct("*").alias(name)) for df, name in ((lines, "line"), (heads, "head")))
+            rows = line.unionByName(head, allowMissingColumns=True).withColumn("example_id", example_id(F.col("order_key")))
+            df = rows.repartitionByRange("example_id").groupBy("order_key", "example_id").agg(*_cart(lambda c: F.col("line")[c], F.col("line").isNotNull()), F.collect_list("head").alias("heads"))
+            df = df.filter("line_item_count > 0").withColumn("head", F.explode("heads")).drop("order_key", "heads").sortWithinPartitions("example_id")
+            yield _with_mandates(_named(df.select("*", "head.*").drop("head")), False)
+    finally:
+        storage.release(lines, heads)
+
+
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What evaluation reads per example: label, family, rule counts, semantic scores and a probability, all from its header."""
     h = headers(spark, sf_dir).select("example_id", "group_id", "split", "domain", "locale", "attack_family", "relevance", "label_source")
